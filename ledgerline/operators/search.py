@@ -77,7 +77,7 @@ def apply_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
     """Postings after a change batch (op, id, body): ``delete`` and ``update``
     drop the document's old postings, ``add`` and ``update`` index the body."""
     touched = changes.select(F.col("id").alias("doc_id")).distinct()
-    kept = postings.join(touched, "doc_id", "left_anti")
+    kept = postings.join(touched, "doc_id", "left_anti").select(*postings.columns)
     fresh_docs = changes.filter(F.col("op").isin("add", "update"))
     fresh, _ = build_index(fresh_docs, "id", ["body"])
     return kept.unionByName(fresh.select(*postings.columns))
