@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config
 from ..functions.text import STOP_WORDS, query_terms, tokens
@@ -48,12 +47,12 @@ def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query:
 
     Any query term may match (OR).  Order: score desc, doc_id asc.  No
     matching term -> empty page.  The query terms are a request parameter
-    (bounded by the query text), so they are broadcast.
+    (bounded by the query text) and become an IN filter.
     """
     terms = query_terms(query)
-    qschema = T.StructType([T.StructField("term", T.StringType())])
-    q = F.broadcast(spark.createDataFrame([(t,) for t in terms], qschema))
-    hits = postings.join(q, "term")
+    # An IN-list on the grouping key is pushed below the postings aggregate
+    # (and into the scan of a stored index), so only matching tokens shuffle.
+    hits = postings.filter(F.col("term").isin(terms)) if terms else postings.limit(0)
     dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Exactly one row: corpus size and mean document length.
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"),

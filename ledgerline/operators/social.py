@@ -42,9 +42,18 @@ def user_feed(posts: DataFrame, edges: DataFrame) -> DataFrame:
     return followed.unionByName(own)
 
 
-def feed_page(feed: DataFrame, page_no: int, per_page: int = config.POSTS_PER_PAGE) -> DataFrame:
-    """Page ``page_no`` of every viewer's feed, newest first, with ``rank``."""
-    return per_key_page(feed, "viewer_id", page_no, per_page)
+def feed_page(posts: DataFrame, edges: DataFrame, page_no: int,
+              per_page: int = config.POSTS_PER_PAGE) -> DataFrame:
+    """Page ``page_no`` of every viewer's feed, newest first, with ``rank``.
+
+    A post on rank <= k of a viewer's feed is within the newest k posts of
+    its author, so each author's posts are cut to their newest k before the
+    fan-out to followers (exact, and the join no longer grows with the
+    authors' full history).
+    """
+    k = max(int(page_no), 1) * per_page
+    recent = per_key_page(posts.select(*POST_COLS), "user_id", 1, k).drop("rank")
+    return per_key_page(user_feed(recent, edges), "viewer_id", page_no, per_page)
 
 
 def per_key_page(df: DataFrame, key: str, page_no: int, per_page: int) -> DataFrame:

@@ -33,44 +33,70 @@ from pyspark.sql import functions as F
 from .. import config
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def _any_null(keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def sequence_within_key(batch: DataFrame, keys: list[str], value: str,
-                        bucket_width: int = config.UPSERT_SEQ_BUCKET) -> DataFrame:
-    """Add ``_rn`` (1-based position of the row within its key, by seq) and
-    ``_prev`` (value of the previous row of the same key, null for the first).
+def _sequenced(batch: DataFrame, keys: list[str], value: str, bucket_width: int,
+               targets: DataFrame | None) -> DataFrame:
+    """Batch rows with ``_rn``, ``_prev`` and (with ``targets``) ``_found`` /
+    ``_base_value`` of the key's base row.
+
+    Keyed rows (no null key part):
+
+    * one exchange of the batch, by (key, bucket), for the row window;
+    * the per-bucket summary is aggregated on that same partitioning (no
+      exchange), joined to the base targets and windowed per key -- all on
+      small data (one row per non-empty key bucket);
+    * the summary is joined back on (key, bucket), which the rows already
+      satisfy, so only the summary moves.
 
-    Rows whose key has a null part form a group of their own (``_solo`` = seq).
+    Rows with a null key part never match a key: each is its own group.
     """
-    b = (batch.withColumn("_solo", F.when(_any_null(keys), F.col("seq")))
-         .withColumn("_bucket", F.floor(F.col("seq") / F.lit(int(bucket_width)))))
-    grp = [*keys, "_solo"]
-    w_in = Window.partitionBy(*grp, "_bucket").orderBy("seq")
-    rows = (b.withColumn("_rn_in", F.row_number().over(w_in))
+    keyed = batch.filter(~_any_null(keys)).withColumn(
+        "_bucket", F.floor(F.col("seq") / F.lit(int(bucket_width))))
+    w_in = Window.partitionBy(*keys, "_bucket").orderBy("seq")
+    rows = (keyed.withColumn("_rn_in", F.row_number().over(w_in))
             .withColumn("_prev_in", F.lag(value).over(w_in)))
 
-    # One row per non-empty (key, bucket): its size and its last value.
-    buckets = (b.groupBy(*grp, "_bucket")
+    buckets = (rows.groupBy(*keys, "_bucket")
                .agg(F.count(F.lit(1)).alias("_n"), F.max_by(value, "seq").alias("_last")))
-    w_b = Window.partitionBy(*grp).orderBy("_bucket")
+    if targets is not None:
+        buckets = buckets.join(targets, keys, "left")
+    w_b = Window.partitionBy(*keys).orderBy("_bucket")
     buckets = (buckets
                .withColumn("_before", F.coalesce(
                    F.sum("_n").over(w_b.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("_prev_bucket_last", F.lag("_last").over(w_b))
                .drop("_n", "_last"))
-    bk = buckets.select([F.col(c).alias(f"_b{c}") for c in buckets.columns])
-    on = reduce(lambda a, c: a & rows[c].eqNullSafe(bk[f"_b{c}"]), [*grp, "_bucket"], F.lit(True))
-    j = rows.join(bk, on)
-    return (j.withColumn("_rn", F.col("_b_before") + F.col("_rn_in"))
-            .withColumn("_prev", F.when(F.col("_rn_in") == 1, F.col("_b_prev_bucket_last"))
+    j = rows.join(buckets, [*keys, "_bucket"])
+    seqd = (j.withColumn("_rn", F.col("_before") + F.col("_rn_in"))
+            .withColumn("_prev", F.when(F.col("_rn_in") == 1, F.col("_prev_bucket_last"))
                         .otherwise(F.col("_prev_in")))
-            .drop(*[c for c in j.columns if c.startswith("_b")], "_rn_in", "_prev_in", "_bucket"))
+            .drop("_rn_in", "_prev_in", "_bucket", "_before", "_prev_bucket_last"))
+
+    vtype = batch.schema[value].dataType
+    solo = (batch.filter(_any_null(keys))
+            .withColumn("_rn", F.lit(1).cast("long"))
+            .withColumn("_prev", F.lit(None).cast(vtype)))
+    if targets is not None:
+        seqd = (seqd.withColumn("_found", F.col("_target_id").isNotNull())
+                .drop("_target_id"))
+        solo = (solo.withColumn("_base_value", F.lit(None).cast(vtype))
+                .withColumn("_found", F.lit(False)))
+    return seqd.unionByName(solo)
+
+
+def sequence_within_key(batch: DataFrame, keys: list[str], value: str,
+                        bucket_width: int = config.UPSERT_SEQ_BUCKET) -> DataFrame:
+    """Add ``_rn`` (1-based position of the row within its key, by seq) and
+    ``_prev`` (value of the previous row of the same key, null for the first).
+
+    Windows run over (key, seq bucket) and are stitched across buckets by a
+    window over the per-bucket summary, so a key holding a third of the batch
+    is spread over many tasks instead of one.
+    """
+    return _sequenced(batch, keys, value, bucket_width, None)
 
 
 def base_targets(base: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -83,13 +109,11 @@ def upsert_log(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
                author: str, bucket_width: int = config.UPSERT_SEQ_BUCKET) -> DataFrame:
     """Audit rows, one per batch row:
     (seq, action, author, keys..., <value>_old, <value>_new, remarks)."""
-    seqd = sequence_within_key(batch, keys, value, bucket_width)
-    j = seqd.join(base_targets(base, keys, value), keys, "left")
-    found = F.col("_target_id").isNotNull()
+    j = _sequenced(batch, keys, value, bucket_width, base_targets(base, keys, value))
     later = F.col("_rn") > 1
-    action = F.when(later | found, F.lit("update")).otherwise(F.lit("add"))
+    action = F.when(later | F.col("_found"), F.lit("update")).otherwise(F.lit("add"))
     vtype = batch.schema[value].dataType
-    old = (F.when(later, F.col("_prev")).when(found, F.col("_base_value"))
+    old = (F.when(later, F.col("_prev")).when(F.col("_found"), F.col("_base_value"))
            .otherwise(F.lit(0).cast(vtype)))
     return j.select("seq", action.alias("action"), F.lit(author).alias("author"), *keys,
                     old.alias(f"{value}_old"), F.col(value).alias(f"{value}_new"), "remarks")

@@ -347,7 +347,7 @@ def q_user_feed(spark, d):
 
 @query("user_feed_page")
 def q_user_feed_page(spark, d):
-    return social.feed_page(social.user_feed(fx.posts(spark, d), fx.followers(spark, d)), 1)
+    return social.feed_page(fx.posts(spark, d), fx.followers(spark, d), 1)
 
 
 @query("followers_of")

@@ -28,7 +28,7 @@ def _world(spark):
 
 def test_feed_content_and_order(spark):
     users, posts, edges = _world(spark)
-    page = social.feed_page(social.user_feed(posts, edges), 1)
+    page = social.feed_page(posts, edges, 1)
     got = {}
     for r in page.orderBy("viewer_id", "rank").collect():
         got.setdefault(r.viewer_id, []).append(r.id)
@@ -103,3 +103,12 @@ def test_last_seen(spark):
     ev = spark.createDataFrame([(1, T0), (1, T0 + dt.timedelta(hours=1)), (2, T0)], "user_id long, ts timestamp_ntz")
     assert rows(social.last_seen(ev)) == [(1, T0 + dt.timedelta(hours=1)), (2, T0)]
     assert F is not None
+
+
+def test_feed_page_equals_paging_the_whole_feed(spark):
+    users, posts, edges = _world(spark)
+    for p, n in [(1, 1), (2, 1), (1, 2), (3, 1)]:
+        fast = rows(social.feed_page(posts, edges, p, n).select("viewer_id", "id", "rank"))
+        slow = rows(social.per_key_page(social.user_feed(posts, edges), "viewer_id", p, n)
+                    .select("viewer_id", "id", "rank"))
+        assert fast == slow, (p, n)
