@@ -55,8 +55,10 @@ def merge_profile_maps(active_users: DataFrame, stored: DataFrame,
                                  F.lit(0).alias("prio"))
              .unionByName(stored.select("employee", "profile", F.lit(1).alias("prio")))
              .unionByName(uploaded.select("employee", "profile", F.lit(2).alias("prio"))))
+    # (prio, profile) as the ordering keeps the result deterministic should a
+    # map list the same employee twice.
     return (parts.filter(F.col("employee").isNotNull()).groupBy("employee")
-            .agg(F.max_by("profile", "prio").alias("profile")))
+            .agg(F.max_by("profile", F.struct("prio", "profile")).alias("profile")))
 
 
 def with_profile(cells: DataFrame, profile_map: DataFrame) -> DataFrame:

@@ -43,7 +43,12 @@ def spent_time(entries: DataFrame, run_stamp: str,
     partial aggregation and by AQE's skew-join handling instead of landing in
     one window partition.
     """
-    hours = monthly_hours(drop_zero_hours(entries))
+    return spent_from_monthly(monthly_hours(drop_zero_hours(entries)), run_stamp, avg_monthly_hours)
+
+
+def spent_from_monthly(hours: DataFrame, run_stamp: str,
+                       avg_monthly_hours: float = config.AVG_MONTHLY_HOURS) -> DataFrame:
+    """Spent-time rows from (year, month, project, employee, hours)."""
     totals = (hours.groupBy("year", "month", "employee")
               .agg(F.sum("hours").alias("total_hours")))
     return (hours.join(totals, ["year", "month", "employee"])

@@ -119,10 +119,15 @@ def upsert_log(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
                     old.alias(f"{value}_old"), F.col(value).alias(f"{value}_new"), "remarks")
 
 
-def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str) -> DataFrame:
+def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
+                 id_base: DataFrame | None = None) -> DataFrame:
     """The table after the batch: base rows (the target row of each touched key
     carries the key's last value and remarks) plus one new row per key that
-    was not in the base, with id ``max(base id) + first seq of the key``."""
+    was not in the base, with id ``max(id of id_base) + first seq of the key``.
+
+    ``id_base`` defaults to ``base``; a stream passes its initial table so
+    that ids do not depend on how the batch was split into micro-batches.
+    """
     grp = [*keys, "_solo"]
     b = batch.withColumn("_solo", F.when(_any_null(keys), F.col("seq")))
     last = (b.groupBy(*grp)
@@ -139,7 +144,8 @@ def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str)
          F.when(hit, F.col("_last.r")).otherwise(F.col(c)).alias(c) if c == "remarks" else
          F.col(c)) for c in cols])
     # Exactly one row: the largest base id (0 for an empty base).
-    max_id = base.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max_id"))
+    max_id = (base if id_base is None else id_base).agg(
+        F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max_id"))
     new = last.join(targets, keys, "left_anti").join(F.broadcast(max_id))
     inserted = new.select(*[
         ((F.col("_max_id") + F.col("_first_seq")).alias("id") if c == "id" else

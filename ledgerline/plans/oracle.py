@@ -505,6 +505,13 @@ SQL: dict[str, str] = {
 }
 
 
+# Streaming queries must equal their batch counterparts.
+SQL["stream_last_seen"] = SQL["last_seen"]
+SQL["stream_monthly_hours"] = SQL["monthly_hours"]
+SQL["stream_forecast_upsert_state"] = SQL["upsert_forecast_state"]
+SQL["stream_forecast_upsert_log"] = SQL["upsert_forecast_log"]
+
+
 def _with_views(sql: str) -> str:
     """Prefix the views the statement uses (transitively) as CTEs."""
     needed: list[str] = []

@@ -449,3 +449,69 @@ def q_language_tags(spark, d):
     tags = search.language_tags(spark, docs)
     return (tags.join(docs.select("doc_id", "lang"), "doc_id")
             .withColumn("agrees", F.col("lang_tag") == F.col("lang")))
+
+
+# ---------------------------------------------------------------- streaming
+# Each streaming query runs its stream to completion (availableNow) over files
+# landed from the tables, then returns the sink read back as a batch table.
+# The results must equal the batch queries of the same name without prefix.
+def _await(q) -> int:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    ids = [p["batchId"] for p in q.recentProgress if p.get("numInputRows", 0) > 0 or p["batchId"] == 0]
+    return max(ids) if ids else 0
+
+
+@query("stream_last_seen")
+def q_stream_last_seen(spark, d):
+    from ..streaming import jobs
+    schema = read_table(spark, d, "events").schema
+    events = jobs.file_stream(spark, f"{d.rstrip('/')}/events.parque[t]", schema)
+    root = scratch_path(spark, "stream_last_seen")
+    _await(jobs.start_last_seen(events, f"{root}/table", f"{root}/checkpoint"))
+    return jobs.read_last_seen(spark, f"{root}/table")
+
+
+@query("stream_monthly_hours")
+def q_stream_monthly_hours(spark, d):
+    from .. import schemas
+    from ..streaming import jobs
+    root = scratch_path(spark, "stream_monthly_hours")
+    # land the tracker export as several CSV files (one micro-batch each)
+    (fx.tracker_csv_rows(spark, d).repartition(4).write.option("header", True)
+     .mode("overwrite").csv(f"{root}/landing"))
+    raw = jobs.file_stream(spark, f"{root}/landing", schemas.TIME_ENTRY_CSV, fmt="csv",
+                           max_files_per_trigger=1, header=True)
+    _await(jobs.start_monthly_hours(raw, f"{root}/table", f"{root}/checkpoint"))
+    return rounded(jobs.read_monthly_hours(spark, f"{root}/table"))
+
+
+def _stream_upsert(spark, d):
+    from .. import schemas
+    from ..streaming import jobs
+    root = scratch_path(spark, "stream_upsert")
+    fx.forecast_base(spark, d).write.mode("overwrite").parquet(f"{root}/initial")
+    # one landed file per year: keys never span years, so the order of the
+    # micro-batches cannot change the result
+    (fx.plan_batch_text(spark, d).repartition("year").write.partitionBy("year")
+     .mode("overwrite").parquet(f"{root}/landing"))
+    batches = jobs.file_stream(spark, f"{root}/landing", schemas.PLAN_BATCH, max_files_per_trigger=1)
+    wide_years = lambda b: quality.validate_plan_batch(b, (1, 9999))
+    last = _await(jobs.start_forecast_upsert(batches, f"{root}/initial", f"{root}/out",
+                                             f"{root}/checkpoint", AUTHOR, validate=wide_years))
+    return root, last
+
+
+@query("stream_forecast_upsert_state")
+def q_stream_forecast_upsert_state(spark, d):
+    from ..streaming import jobs
+    root, last = _stream_upsert(spark, d)
+    return rounded(jobs.read_upsert_state(spark, f"{root}/out", last))
+
+
+@query("stream_forecast_upsert_log")
+def q_stream_forecast_upsert_log(spark, d):
+    from ..streaming import jobs
+    root, _ = _stream_upsert(spark, d)
+    return rounded(jobs.read_upsert_log(spark, f"{root}/out"))
