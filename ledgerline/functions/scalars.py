@@ -121,3 +121,8 @@ def row_sum(cols: list[str]) -> Column:
 
 def all_not_null(cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
+def title_case_names(columns: list[str]) -> list[str]:
+    """Report headers: first letter upper case, the rest lower case."""
+    return [c.capitalize() for c in columns]

@@ -30,12 +30,32 @@ def employee_chart_series(cells: DataFrame) -> DataFrame:
     return cells.select("year", "employee", "month", F.col("project").alias("series"), "stack", "value")
 
 
+def chart_for(series: DataFrame, year: int, **item: str) -> DataFrame:
+    """One chart: rows of a year and one project (or one employee)."""
+    (col, val), = item.items()
+    return series.filter((F.col("year") == year) & (F.col(col) == val))
+
+
 def series_points(series: DataFrame, chart_keys: list[str]) -> DataFrame:
-    """Chart-ready: one row per series with its points sorted by month."""
+    """Chart-ready: one row per series with its points sorted by month.
+
+    A series has at most twelve points (one per month), so collecting them
+    per series is bounded.
+    """
     return (series.groupBy(*chart_keys, "stack", "series")
             .agg(F.sort_array(F.collect_list(F.struct("month", "value"))).alias("data")))
 
 
+def series_json(series: DataFrame, chart_keys: list[str]) -> DataFrame:
+    """Series as JSON text ``{"name", "stack", "data": [[month, value], ...]}``;
+    a missing value is JSON null."""
+    pts = series_points(series, chart_keys)
+    body = F.to_json(F.struct(F.col("series").alias("name"), F.col("stack"),
+                              F.transform("data", lambda p: F.array(p["month"].cast("double"), p["value"]))
+                              .alias("data")))
+    return pts.select(*chart_keys, "stack", "series", body.alias("json"))
+
+
 def stack_totals(cells: DataFrame, chart_key: str = "project") -> DataFrame:
     """Stack total per chart, stack and month (the tooltip total)."""
     return (cells.groupBy("year", chart_key, "stack", "month")

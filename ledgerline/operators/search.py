@@ -72,6 +72,16 @@ def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query:
     return ranked.join(F.broadcast(total)).select("rank", "doc_id", "score", "total_hits")
 
 
+def hit_rows(rows: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of a page of hits, in rank order, with rank / score / total.
+
+    The page holds at most ``per_page`` ids (a request parameter, at most
+    100), so it is broadcast to the scan of the rows.
+    """
+    h = hits.withColumnRenamed("doc_id", id_col)
+    return rows.join(F.broadcast(h), id_col).orderBy("rank")
+
+
 def apply_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
     """Postings after a change batch (op, id, body): ``delete`` and ``update``
     drop the document's old postings, ``add`` and ``update`` index the body."""

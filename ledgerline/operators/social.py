@@ -147,3 +147,9 @@ def open_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks whose ``complete`` flag is false (a null flag is not false)."""
     return tasks.filter(F.col("complete") == F.lit(False)).select(
         "user_id", "id", "name", "description")
+
+
+def first_open_task(tasks: DataFrame, name: str) -> DataFrame:
+    """Per user, the first (lowest id) open task with the given name."""
+    return (open_tasks(tasks).filter(F.col("name") == name).groupBy("user_id")
+            .agg(F.min("id").alias("id")))

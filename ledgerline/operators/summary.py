@@ -121,3 +121,15 @@ def formatted_summary(summary_by_employee_wide: DataFrame) -> DataFrame:
         "year", "employee",
         *[scalars.fmt_one_decimal(F.col(c)).alias(c) for c in MONTH_COLS],
         scalars.fmt_pm(F.col("total")).alias("total"))
+
+
+def formatted_dedication_matrix(wide: DataFrame) -> DataFrame:
+    """Month cells of a dedication matrix as whole percent text (``0%``)."""
+    return wide.select("year", "employee", "project",
+                       *[scalars.fmt_percent(F.col(c)).alias(c) for c in MONTH_COLS])
+
+
+def formatted_cost_matrix(wide: DataFrame) -> DataFrame:
+    """Cost matrix cells and total as ``n €`` text."""
+    return wide.select("year", "project", "concept",
+                       *[scalars.fmt_euro(F.col(c)).alias(c) for c in MONTH_COLS + ["total"]])

@@ -505,6 +505,28 @@ SQL: dict[str, str] = {
 }
 
 
+SQL["text_search_rows"] = f"""
+    SELECT h.rank, h.doc_id, d.lang, d.source, d.n_chars, h.score, h.total_hits
+    FROM ({_bm25(R.SEARCH_QUERY, 1, 10)}) h JOIN documents d ON d.doc_id = h.doc_id"""
+SQL["project_chart_one"] = (f"SELECT * FROM ({SQL['project_chart_series']}) c "
+                            f"WHERE year = {R.CHART_YEAR} AND project = '{R.CHART_PROJECT}'")
+SQL["employee_chart_one"] = (f"SELECT * FROM ({SQL['employee_chart_series']}) c "
+                             f"WHERE year = {R.CHART_YEAR} AND employee = '{R.CHART_EMPLOYEE}'")
+SQL["first_open_task"] = (f"SELECT user_id, min(id) AS id FROM tasks WHERE complete = false "
+                          f"AND name = '{R.TASK_NAME}' GROUP BY user_id")
+SQL["spent_summary_all_years"] = _rounded(
+    f"SELECT year, 'project' AS dimension, project AS item, {', '.join(MCOLS)}, total "
+    f"FROM ({_summary('spent_cells', 'project')}) a "
+    f"UNION ALL SELECT year, 'employee', employee, {', '.join(MCOLS)}, total "
+    f"FROM ({_summary('spent_cells', 'employee')}) b", MCOLS + ["total"])
+SQL["available_cost_years"] = "SELECT DISTINCT year FROM cost"
+SQL["available_cost_projects"] = "SELECT DISTINCT year, project FROM cost"
+SQL["distinct_employees"] = "SELECT DISTINCT employee FROM forecast"
+SQL["formatted_dedication_matrix"] = (
+    "SELECT year, employee, project, "
+    + ", ".join(f"CAST(CAST(round_even(m{m} * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS m{m}" for m in MONTHS)
+    + f" FROM ({_mean_matrix('forecast', ['employee', 'project'], 'dedication')}) w")
+
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]

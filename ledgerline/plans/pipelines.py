@@ -1,0 +1,88 @@
+"""User-level batch pipelines that read landed inputs and write results.
+
+These are the jobs a scheduler runs (nightly refresh, retention, exports,
+imports).  Every output goes to shared storage; nothing passes through the
+driver.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions.scalars import title_case_names
+from ..operators import changelog as chg, quality, social, summary, timesheets, upsert
+from ..sinks import writers
+from ..sources import files
+from . import reports
+
+
+def refresh_spent_time(spark: SparkSession, csv_path: str, table_path: str,
+                       run_time: dt.datetime) -> None:
+    """Nightly refresh: tracker CSV -> spent-time table (replaced), by year."""
+    entries = files.read_time_entry_csv(spark, csv_path)
+    spent = timesheets.spent_time(entries, run_time.strftime("%d/%m/%Y %H:%M:%S"))
+    writers.replace_table(spent, table_path, ["year"])
+
+
+def apply_forecast_batch(spark: SparkSession, state_path: str, batch_path: str, out_root: str,
+                         author: str, run_time: dt.datetime, batch_format: str = "csv") -> str:
+    """Import a forecast batch: validate, upsert, append the audit rows, write
+    the new state as a snapshot and return its path (the new current state).
+
+    Rejected rows go to ``<out_root>/quarantine``.  Audit rows take the batch
+    ``seq`` as id and ``run_time`` as timestamp, so a re-run writes the same
+    rows.
+    """
+    root = out_root.rstrip("/")
+    state = spark.read.schema(schemas.FORECAST).parquet(state_path)
+    checked = quality.validate_plan_batch(files.read_plan_batch(spark, batch_path, batch_format))
+    good, bad = quality.split_valid(checked)
+    bad.write.mode("append").parquet(f"{root}/quarantine")
+    log, new_state = upsert.forecast_upsert(state, good, author)
+    stamp = F.lit(run_time.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    audit = log.select(F.col("seq").alias("id"), "action", "author", "employee", "project",
+                       "month", "year", "dedication_old", "dedication_new",
+                       F.lit(None).cast("string").alias("concept"),
+                       F.lit(None).cast("int").alias("cost_old"), F.lit(None).cast("int").alias("cost_new"),
+                       "remarks", stamp.alias("timestamp"))
+    writers.append_log(audit, f"{root}/changelog")
+    return writers.write_snapshot(new_state, f"{root}/forecast")
+
+
+def run_retention(spark: SparkSession, changelog_path: str, out_root: str,
+                  as_of: dt.datetime) -> str:
+    """Keep audit rows of the last 365 days (null timestamps kept) as a new snapshot."""
+    kept = chg.retention(spark.read.parquet(changelog_path), as_of)
+    return writers.write_snapshot(kept, out_root, ["year"])
+
+
+def export_reports(forecast: DataFrame, cost: DataFrame, spent: DataFrame, changelog: DataFrame,
+                   root: str) -> dict[str, str]:
+    """All yearly report sheets, with title-case headers, partitioned by year."""
+    bundle = reports.report_bundle(forecast, cost, spent, changelog)
+    titled = {k: v.toDF(*title_case_names(v.columns)).withColumnRenamed("Year", "year")
+              for k, v in bundle.items()}
+    return writers.write_reports(titled, root)
+
+
+def export_profiles(forecast: DataFrame, spent: DataFrame, cost: DataFrame, profile_map: DataFrame,
+                    root: str) -> dict[str, str]:
+    return writers.write_reports(reports.profile_bundle(forecast, spent, cost, profile_map), root)
+
+
+def export_all_posts(posts: DataFrame, path: str) -> None:
+    writers.export_posts_json(social.export_posts(posts), path)
+
+
+def update_profile_map(spark: SparkSession, active_users: DataFrame, stored_path: str,
+                       uploaded_path: str, out_path: str) -> DataFrame:
+    """Merge active users, the stored map and an uploaded map (last wins) and
+    write the result as JSON lines; returns the merged map."""
+    merged = summary.merge_profile_maps(active_users, files.read_profile_map(spark, stored_path),
+                                        files.read_profile_map(spark, uploaded_path))
+    writers.write_profile_map(merged, out_path)
+    return merged

@@ -451,6 +451,71 @@ def q_language_tags(spark, d):
             .withColumn("agrees", F.col("lang_tag") == F.col("lang")))
 
 
+# ---------------------------------------------------------------- more views
+CHART_YEAR, CHART_PROJECT, CHART_EMPLOYEE = 1997, "Brand#7", "Supplier#000000004"
+TASK_NAME = "signup"
+
+
+@query("text_search_rows")
+def q_text_search_rows(spark, d):
+    docs = _documents(spark, d)
+    postings, lengths = search.build_index(docs, "doc_id", ["text"])
+    hits = search.search(spark, postings, lengths, SEARCH_QUERY, 1, 10)
+    return rounded(search.hit_rows(docs.select("doc_id", "lang", "source", "n_chars"), hits))
+
+
+@query("project_chart_one")
+def q_project_chart_one(spark, d):
+    series = compare.project_chart_series(_cells(spark, d))
+    return rounded(compare.chart_for(series, CHART_YEAR, project=CHART_PROJECT))
+
+
+@query("employee_chart_one")
+def q_employee_chart_one(spark, d):
+    series = compare.employee_chart_series(_cells(spark, d))
+    return rounded(compare.chart_for(series, CHART_YEAR, employee=CHART_EMPLOYEE))
+
+
+@query("chart_series_json")
+def q_chart_series_json(spark, d):
+    return compare.series_json(compare.project_chart_series(_cells(spark, d)), ["year", "project"])
+
+
+@query("first_open_task")
+def q_first_open_task(spark, d):
+    return social.first_open_task(fx.tasks(spark, d), TASK_NAME)
+
+
+@query("spent_summary_all_years")
+def q_spent_summary_all_years(spark, d):
+    return rounded(summary.summary_all_years(_spent(spark, d)))
+
+
+@query("available_cost_years")
+def q_available_cost_years(spark, d):
+    return catalog.available_years(fx.cost(spark, d))
+
+
+@query("available_cost_projects")
+def q_available_cost_projects(spark, d):
+    return catalog.available_by_year(fx.cost(spark, d), "project")
+
+
+@query("distinct_employees")
+def q_distinct_employees(spark, d):
+    return fx.forecast(spark, d).select("employee").distinct()
+
+
+@query("formatted_dedication_matrix")
+def q_formatted_dedication_matrix(spark, d):
+    return summary.formatted_dedication_matrix(matrix.dedication_matrix(fx.forecast(spark, d)))
+
+
+@query("formatted_cost_matrix")
+def q_formatted_cost_matrix(spark, d):
+    return summary.formatted_cost_matrix(matrix.cost_matrix(fx.cost(spark, d)))
+
+
 # ---------------------------------------------------------------- streaming
 # Each streaming query runs its stream to completion (availableNow) over files
 # landed from the tables, then returns the sink read back as a batch table.
