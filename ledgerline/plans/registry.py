@@ -556,27 +556,29 @@ def _stream_upsert(spark, d):
     from .. import schemas
     from ..streaming import jobs
     root = scratch_path(spark, "stream_upsert")
-    fx.forecast_base(spark, d).write.mode("overwrite").parquet(f"{root}/initial")
+    base = fx.forecast_base(spark, d)
+    base.write.mode("overwrite").parquet(f"{root}/initial")
+    jobs.land_state(base, f"{root}/state")
     # one landed file per year: keys never span years, so the order of the
     # micro-batches cannot change the result
     (fx.plan_batch_text(spark, d).repartition("year").write.partitionBy("year")
      .mode("overwrite").parquet(f"{root}/landing"))
     batches = jobs.file_stream(spark, f"{root}/landing", schemas.PLAN_BATCH, max_files_per_trigger=1)
     wide_years = lambda b: quality.validate_plan_batch(b, (1, 9999))
-    last = _await(jobs.start_forecast_upsert(batches, f"{root}/initial", f"{root}/out",
-                                             f"{root}/checkpoint", AUTHOR, validate=wide_years))
-    return root, last
+    _await(jobs.start_forecast_upsert(batches, f"{root}/initial", f"{root}/state", f"{root}/out",
+                                      f"{root}/checkpoint", AUTHOR, validate=wide_years))
+    return root
 
 
 @query("stream_forecast_upsert_state")
 def q_stream_forecast_upsert_state(spark, d):
     from ..streaming import jobs
-    root, last = _stream_upsert(spark, d)
-    return rounded(jobs.read_upsert_state(spark, f"{root}/out", last))
+    root = _stream_upsert(spark, d)
+    return rounded(jobs.read_upsert_state(spark, f"{root}/state"))
 
 
 @query("stream_forecast_upsert_log")
 def q_stream_forecast_upsert_log(spark, d):
     from ..streaming import jobs
-    root, _ = _stream_upsert(spark, d)
+    root = _stream_upsert(spark, d)
     return rounded(jobs.read_upsert_log(spark, f"{root}/out"))

@@ -90,42 +90,83 @@ def read_spent_time(spark: SparkSession, root: str, run_stamp: str) -> DataFrame
 
 
 # ---------------------------------------------------------------- R2 upsert
-def start_forecast_upsert(batches: DataFrame, initial_state_path: str, root: str, checkpoint: str,
-                          author: str, available_now: bool = True,
+STATE_PARTITIONS = ["year", "month"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file exists on the (shared) file system of ``path``."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def start_forecast_upsert(batches: DataFrame, initial_state_path: str, state_root: str, out_root: str,
+                          checkpoint: str, author: str, available_now: bool = True,
                           validate: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Apply landed forecast batches (plan-batch text schema) in order.
 
-    Micro-batch N: validate (bad rows -> ``quarantine/epoch=N``), upsert the
-    good rows against the state of micro-batch N-1 (or the initial table),
-    write ``log/epoch=N`` and ``state/epoch=N``.  Each micro-batch reads a
-    written snapshot, so lineage never grows across micro-batches.  Ids of
-    inserted rows are based on the initial table, so the final state equals
-    applying all batches at once.
+    The state table at ``state_root`` is partitioned by (year, month); both
+    are part of the natural key, so a micro-batch can only change the
+    partitions its rows fall in.  Micro-batch N:
+
+    1. validate; bad rows -> ``<out_root>/quarantine/epoch=N``;
+    2. read only the touched partitions of the state (partition pruning),
+       run the ordered upsert against them, and stage the new partitions and
+       the audit rows under ``<out_root>/staging/epoch=N`` (a ``_DONE``
+       marker closes the stage);
+    3. publish: dynamic partition overwrite of the touched partitions, and
+       ``<out_root>/log/epoch=N``.
+
+    A replayed micro-batch whose stage is complete only re-publishes (the
+    state may already hold its changes), so the log is written exactly once
+    per micro-batch.  Ids of inserted rows are based on the table at
+    ``initial_state_path`` (the state when the stream started), so the result
+    does not depend on how the input was split into micro-batches.
     """
     spark = batches.sparkSession
-    root = root.rstrip("/")
+    out = out_root.rstrip("/")
     check = validate or quality.validate_plan_batch
+    keys = ["employee", "project", "month", "year"]
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        initial = spark.read.schema(schemas.FORECAST).parquet(initial_state_path)
-        state = initial if epoch_id == 0 else spark.read.parquet(f"{root}/state/epoch={epoch_id - 1}")
-        checked = check(batch)
-        good, bad = quality.split_valid(checked)
-        bad.write.mode("overwrite").parquet(f"{root}/quarantine/epoch={epoch_id}")
-        keys = ["employee", "project", "month", "year"]
-        log = upsert.upsert_log(state, good, keys, "dedication", author)
-        new_state = upsert.upsert_state(state, good, keys, "dedication", id_base=initial)
-        log.write.mode("overwrite").parquet(f"{root}/log/epoch={epoch_id}")
-        new_state.write.mode("overwrite").parquet(f"{root}/state/epoch={epoch_id}")
+        stage = f"{out}/staging/epoch={epoch_id}"
+        if not _exists(spark, f"{stage}/_DONE"):
+            good, bad = quality.split_valid(check(batch))
+            bad.write.mode("overwrite").parquet(f"{out}/quarantine/epoch={epoch_id}")
+            good = good.persist()
+            # Touched partitions: at most the number of (year, month)
+            # partitions of the table, a small list of names.
+            touched = [f"{r.year}-{r.month}" for r in good.select(*STATE_PARTITIONS).distinct().collect()]
+            if touched:
+                part_key = F.concat_ws("-", *[F.col(c).cast("string") for c in STATE_PARTITIONS])
+                state = spark.read.parquet(state_root).filter(part_key.isin(touched))
+                initial = spark.read.schema(schemas.FORECAST).parquet(initial_state_path)
+                log = upsert.upsert_log(state, good, keys, "dedication", author)
+                new_part = upsert.upsert_state(state, good, keys, "dedication", id_base=initial)
+                log.write.mode("overwrite").parquet(f"{stage}/log")
+                new_part.write.mode("overwrite").partitionBy(*STATE_PARTITIONS).parquet(f"{stage}/state")
+            good.unpersist()
+            spark.createDataFrame([(epoch_id, len(touched))], "epoch long, partitions long") \
+                .write.mode("overwrite").json(f"{stage}/_DONE")
+        if _exists(spark, f"{stage}/state"):
+            (spark.read.parquet(f"{stage}/state").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(*STATE_PARTITIONS)
+             .parquet(state_root))
+            spark.read.parquet(f"{stage}/log").write.mode("overwrite").parquet(f"{out}/log/epoch={epoch_id}")
 
     w = (batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def read_upsert_state(spark: SparkSession, root: str, last_epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/state/epoch={last_epoch}")
+def land_state(df: DataFrame, state_root: str) -> None:
+    """Write a forecast table in the layout the streaming upsert maintains."""
+    df.write.mode("overwrite").partitionBy(*STATE_PARTITIONS).parquet(state_root)
+
+
+def read_upsert_state(spark: SparkSession, state_root: str) -> DataFrame:
+    t = spark.read.parquet(state_root)
+    return t.select(*[F.col(f.name).cast(f.dataType) for f in schemas.FORECAST.fields])
 
 
-def read_upsert_log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/log").drop("epoch")
+def read_upsert_log(spark: SparkSession, out_root: str) -> DataFrame:
+    return spark.read.parquet(f"{out_root.rstrip('/')}/log").drop("epoch")
