@@ -47,9 +47,10 @@ def fmt_percent(x: Column) -> Column:
 
 
 def fmt_one_decimal(x: Column) -> Column:
-    """``0.0`` format without thousands separators, ties to even."""
-    r = F.bround(x, 1)
-    return F.format_string("%.1f", r)
+    """``0.0`` format: the double rounded to one decimal from its exact
+    binary value (so 0.35, stored just below .35, prints 0.3), without
+    thousands separators."""
+    return F.regexp_replace(F.format_number(x, 1), ",", "")
 
 
 def fmt_pm(x: Column) -> Column:

@@ -115,18 +115,24 @@ def total_bar_fraction(table: DataFrame, total_col: str = "total",
             .drop("_tmin", "_tmax"))
 
 
+def _canonical(c: str):
+    """Round to 6 decimals before display: a sum's last bits depend on the
+    order of addition, which must not decide a displayed digit."""
+    return F.round(F.col(c), 6)
+
+
 def formatted_summary(summary_by_employee_wide: DataFrame) -> DataFrame:
     """Display text of the employee summary: cells ``0.0``, total ``0.0 PM``."""
     return summary_by_employee_wide.select(
         "year", "employee",
-        *[scalars.fmt_one_decimal(F.col(c)).alias(c) for c in MONTH_COLS],
-        scalars.fmt_pm(F.col("total")).alias("total"))
+        *[scalars.fmt_one_decimal(_canonical(c)).alias(c) for c in MONTH_COLS],
+        scalars.fmt_pm(_canonical("total")).alias("total"))
 
 
 def formatted_dedication_matrix(wide: DataFrame) -> DataFrame:
     """Month cells of a dedication matrix as whole percent text (``0%``)."""
     return wide.select("year", "employee", "project",
-                       *[scalars.fmt_percent(F.col(c)).alias(c) for c in MONTH_COLS])
+                       *[scalars.fmt_percent(_canonical(c)).alias(c) for c in MONTH_COLS])
 
 
 def formatted_cost_matrix(wide: DataFrame) -> DataFrame:

@@ -524,9 +524,16 @@ SQL["available_cost_projects"] = "SELECT DISTINCT year, project FROM cost"
 SQL["distinct_employees"] = "SELECT DISTINCT employee FROM forecast"
 SQL["formatted_dedication_matrix"] = (
     "SELECT year, employee, project, "
-    + ", ".join(f"CAST(CAST(round_even(m{m} * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS m{m}" for m in MONTHS)
+    + ", ".join(f"CAST(CAST(round_even(round(m{m}, 6) * 100, 0) AS INTEGER) AS VARCHAR) || '%' AS m{m}"
+                for m in MONTHS)
     + f" FROM ({_mean_matrix('forecast', ['employee', 'project'], 'dedication')}) w")
 
+SQL["formatted_summary"] = (
+    "SELECT year, employee, "
+    + ", ".join(f"printf('%.1f', round(m{m}, 6)) AS m{m}" for m in MONTHS)
+    + ", printf('%.1f', round(total, 6)) || ' PM' AS total"
+    + f" FROM ({_summary('cells', 'employee')}) s")
+
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]

@@ -559,9 +559,9 @@ def _stream_upsert(spark, d):
     base = fx.forecast_base(spark, d)
     base.write.mode("overwrite").parquet(f"{root}/initial")
     jobs.land_state(base, f"{root}/state")
-    # one landed file per year: keys never span years, so the order of the
-    # micro-batches cannot change the result
-    (fx.plan_batch_text(spark, d).repartition("year").write.partitionBy("year")
+    # two landed files, each holding whole years: keys never span years, so
+    # the order of the micro-batches cannot change the result
+    (fx.plan_batch_text(spark, d).repartition(2, "year").write
      .mode("overwrite").parquet(f"{root}/landing"))
     batches = jobs.file_stream(spark, f"{root}/landing", schemas.PLAN_BATCH, max_files_per_trigger=1)
     wide_years = lambda b: quality.validate_plan_batch(b, (1, 9999))
