@@ -23,7 +23,11 @@ def item_month_sums(cells: DataFrame, items: list[str]) -> DataFrame:
 
 def summary(plan: DataFrame, item: str, value: str = "dedication") -> DataFrame:
     """(year, item, m1..m12, total) for every year in one pass."""
-    cells = cell_means(plan, CELL_KEYS, value)
+    return summary_from_cells(cell_means(plan, CELL_KEYS, value), item)
+
+
+def summary_from_cells(cells: DataFrame, item: str) -> DataFrame:
+    """Summary from the cell means (employee, project, year, month, value)."""
     wide = widen(item_month_sums(cells, [item]), ["year", item])
     return wide.withColumn("total", scalars.row_sum(MONTH_COLS))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalars import title_case_names
 from ..operators import changelog as chg, quality, social, summary, timesheets, upsert
+from ..session import cut_lineage
 from ..sinks import writers
 from ..sources import files
 from . import reports
@@ -62,8 +63,12 @@ def run_retention(spark: SparkSession, changelog_path: str, out_root: str,
 
 def export_reports(forecast: DataFrame, cost: DataFrame, spent: DataFrame, changelog: DataFrame,
                    root: str) -> dict[str, str]:
-    """All yearly report sheets, with title-case headers, partitioned by year."""
-    bundle = reports.report_bundle(forecast, cost, spent, changelog)
+    """All yearly report sheets, with title-case headers, partitioned by year.
+
+    The forecast cell means are checkpointed to the shared folder once and
+    reused by the matrix and both summaries.
+    """
+    bundle = reports.report_bundle(forecast, cost, spent, changelog, materialize=cut_lineage)
     titled = {k: v.toDF(*title_case_names(v.columns)).withColumnRenamed("Year", "year")
               for k, v in bundle.items()}
     return writers.write_reports(titled, root)

@@ -7,6 +7,8 @@ partitioned by year.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,27 @@ def _in_years(df: DataFrame, years: DataFrame) -> DataFrame:
 
 
 def report_bundle(forecast: DataFrame, cost: DataFrame, spent: DataFrame,
-                  changelog: DataFrame,
-                  top_n: int = config.CHANGELOG_ROWS_PER_YEAR) -> dict[str, DataFrame]:
+                  changelog: DataFrame, top_n: int = config.CHANGELOG_ROWS_PER_YEAR,
+                  materialize: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """changelog (newest n per year), personnel matrix, cost matrix, spent
     time matrix, project summary and employee summary -- all restricted to
-    the years that have forecasts."""
+    the years that have forecasts.
+
+    The forecast cell means (employee, project, year, month) feed the matrix
+    and both summaries; ``materialize`` (e.g. a reliable checkpoint) lets a
+    writing job compute them once instead of once per report.
+    """
     years = catalog.available_years(forecast)
+    cells = matrix.cell_means(forecast, summary.CELL_KEYS, "dedication")
+    if materialize is not None:
+        cells = materialize(cells)
     return {
         "changelog": _in_years(chg.top_n_per_year(changelog, top_n), years),
-        "personnel_forecasts": matrix.dedication_matrix(forecast),
+        "personnel_forecasts": matrix.widen(cells, ["year", "employee", "project"]),
         "cost_forecasts": _in_years(matrix.cost_matrix(cost), years),
         "spent_time": _in_years(matrix.mean_matrix(spent, ["employee", "project"], "dedication"), years),
-        "summary_projects": summary.summary(forecast, "project"),
-        "summary_employees": summary.summary(forecast, "employee"),
+        "summary_projects": summary.summary_from_cells(cells, "project"),
+        "summary_employees": summary.summary_from_cells(cells, "employee"),
     }
 
 
