@@ -118,6 +118,10 @@ VIEWS: dict[str, str] = {
         SELECT 'update', doc_id, concat(text, ' amended entry') FROM documents WHERE doc_id % 10 = 1
         UNION ALL
         SELECT 'add', -(item_id + 1), text FROM benchmark""",
+    "post_postings": """
+        SELECT term, doc_id, count(*) AS tf
+        FROM (SELECT id AS doc_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM posts)
+        GROUP BY term, doc_id""",
     "postings": """
         SELECT term, doc_id, count(*) AS tf
         FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)
@@ -231,7 +235,8 @@ def _sentence() -> str:
             f"CASE WHEN remarks IS NOT NULL AND remarks <> '' THEN concat(' Motivation: ', remarks) ELSE '' END)")
 
 
-def _bm25(query: str, page: int, per_page: int) -> str:
+def _bm25(query: str, page: int, per_page: int, table: str = "documents", id_col: str = "doc_id",
+          text_col: str = "text", postings: str = "postings") -> str:
     from ..functions.text import query_terms
     from .. import config
     terms = ", ".join("('" + t.replace("'", "''") + "')" for t in query_terms(query)) or "(NULL)"
@@ -239,10 +244,11 @@ def _bm25(query: str, page: int, per_page: int) -> str:
     off = (page - 1) * per_page
     return f"""
       WITH q(term) AS (VALUES {terms}),
-           lens AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS doc_len
-                    FROM documents),
+           lens AS (SELECT {id_col} AS doc_id,
+                           CAST(len(regexp_extract_all(lower({text_col}), '[a-z0-9]+')) AS BIGINT) AS doc_len
+                    FROM {table}),
            st AS (SELECT count(*) AS n_docs, avg(doc_len) AS avg_len FROM lens),
-           h AS (SELECT p.* FROM postings p JOIN q ON p.term = q.term),
+           h AS (SELECT p.* FROM {postings} p JOIN q ON p.term = q.term),
            dfq AS (SELECT term, count(*) AS df FROM h GROUP BY term),
            s AS (SELECT h.doc_id,
                         sum(ln(1 + (st.n_docs - dfq.df + 0.5) / (dfq.df + 0.5))
@@ -534,6 +540,10 @@ SQL["formatted_summary"] = (
     + ", printf('%.1f', round(total, 6)) || ' PM' AS total"
     + f" FROM ({_summary('cells', 'employee')}) s")
 
+SQL["post_search"] = f"""
+    SELECT p.id, p.user_id, p.body, p.timestamp, h.rank, h.score, h.total_hits
+    FROM ({_bm25(R.POST_QUERY, 1, 25, 'posts', 'id', 'body', 'post_postings')}) h JOIN posts p ON p.id = h.doc_id"""
+
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]

@@ -516,6 +516,19 @@ def q_formatted_cost_matrix(spark, d):
     return summary.formatted_cost_matrix(matrix.cost_matrix(fx.cost(spark, d)))
 
 
+POST_QUERY = "purchase 42"
+
+
+@query("post_search")
+def q_post_search(spark, d):
+    """The posts index of the application (body is the searchable field):
+    page 1 of 25 hits, joined back to the post rows in rank order."""
+    posts = fx.posts(spark, d)
+    postings, lengths = search.build_index(posts, "id", ["body"])
+    hits = search.search(spark, postings, lengths, POST_QUERY, 1, 25)
+    return rounded(search.hit_rows(posts.select("id", "user_id", "body", "timestamp"), hits, "id"))
+
+
 # ---------------------------------------------------------------- streaming
 # Each streaming query runs its stream to completion (availableNow) over files
 # landed from the tables, then returns the sink read back as a batch table.

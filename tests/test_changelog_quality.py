@@ -64,3 +64,11 @@ def test_duplicate_usernames(spark):
     req = spark.createDataFrame([(1, "bob"), (2, "ann"), (3, "bob")], "seq long, username string")
     assert rows(quality.reject_duplicate_usernames(req, users)) == [
         (1, "bob", "ok"), (2, "ann", "exists"), (3, "bob", "duplicate")]
+
+
+def test_form_percent_to_fraction(spark):
+    from pyspark.sql import functions as F
+    from ledgerline.functions.scalars import percent_to_fraction
+    got = [r[0] for r in spark.createDataFrame([(0,), (35,), (100,)], "p int")
+           .select(percent_to_fraction(F.col("p"))).collect()]
+    assert got == [0.0, 0.35, 1.0]
