@@ -71,3 +71,26 @@ def to_long(wide: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     """Wide m1..m12 -> long (keys, month, value), zero cells kept."""
     stack = ", ".join(f"{m}, m{m}" for m in MONTHS)
     return wide.selectExpr(*keys, f"stack(12, {stack}) as (month, {value})")
+
+
+def observed_months(df: DataFrame, year: int | None = None) -> list[int]:
+    """Months that hold at least one value (optionally in one year).
+
+    At most twelve values reach the driver; they decide the columns of an
+    observed-only matrix, which is a schema decision, not data.
+    """
+    src = df if year is None else df.filter(F.col("year") == year)
+    return sorted(r[0] for r in src.filter(F.col("month").isNotNull()).select("month").distinct().collect())
+
+
+def year_matrix(df: DataFrame, keys: list[str], value: str, year: int,
+                observed_only: bool = False) -> DataFrame:
+    """The matrix of one year (partition-pruned when the table is partitioned
+    by year); with ``observed_only`` only the months present become columns,
+    as in a pivot table."""
+    one = df.filter(F.col("year") == year)
+    wide = mean_matrix(one, keys, value)
+    if not observed_only:
+        return wide
+    months = observed_months(drop_incomplete(one, keys, value))
+    return wide.select("year", *keys, *[f"m{m}" for m in months])

@@ -89,3 +89,10 @@ def test_to_long_round_trip(spark):
     wide = matrix.dedication_matrix(_plan(spark))
     long = matrix.to_long(wide, ["year", "employee", "project"])
     assert long.count() == 2 * 12
+
+
+def test_year_matrix_observed_only(spark):
+    m = matrix.year_matrix(_plan(spark), ["employee", "project"], "dedication", 2024, observed_only=True)
+    assert m.columns == ["year", "employee", "project", "m1", "m3"]  # month 4 only has a null value
+    full = matrix.year_matrix(_plan(spark), ["employee", "project"], "dedication", 2024)
+    assert len(full.columns) == 3 + 12
