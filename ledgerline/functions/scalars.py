@@ -58,9 +58,16 @@ def fmt_pm(x: Column) -> Column:
     return F.concat(fmt_one_decimal(x), F.lit(" PM"))
 
 
+def plain_number(x: Column) -> Column:
+    """A double as positional text with its shortest digits (``150000.0``,
+    ``123456.5``, ``12345678.0``) -- never scientific notation."""
+    digits = x.cast("decimal(38,18)").cast("string")
+    return F.regexp_replace(F.regexp_replace(digits, "0+$", ""), "\\.$", ".0")
+
+
 def fmt_euro(x: Column) -> Column:
     """``n €`` format of a cost cell (the value printed as is)."""
-    return F.concat(x.cast("string"), F.lit(" €"))
+    return F.concat(plain_number(x.cast("double")), F.lit(" €"))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -544,6 +544,12 @@ SQL["post_search"] = f"""
     SELECT p.id, p.user_id, p.body, p.timestamp, h.rank, h.score, h.total_hits
     FROM ({_bm25(R.POST_QUERY, 1, 25, 'posts', 'id', 'body', 'post_postings')}) h JOIN posts p ON p.id = h.doc_id"""
 
+SQL["formatted_cost_matrix"] = (
+    "SELECT year, project, concept, "
+    + ", ".join(f"CAST(m{m} AS VARCHAR) || ' €' AS m{m}" for m in MONTHS)
+    + ", CAST(total AS VARCHAR) || ' €' AS total"
+    + f" FROM (SELECT *, {_TOTAL} AS total FROM ({_mean_matrix('cost', ['project', 'concept'], 'cost')}) w) c")
+
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]
