@@ -34,7 +34,8 @@ def cell_means(df: DataFrame, keys: list[str], value: str, out: str = "value") -
 
 def widen(long_df: DataFrame, keys: list[str], value: str = "value",
           fill: float = 0.0) -> DataFrame:
-    """Long (keys, month, value) with unique (keys, month) -> m1..m12 columns."""
+    """Long (keys, month, value) -> m1..m12 columns: the sum of the values of
+    each month per ``keys`` (the value itself when (keys, month) is unique)."""
     aggs = [F.coalesce(F.sum(F.when(F.col("month") == m, F.col(value))), F.lit(fill)).alias(f"m{m}")
             for m in MONTHS]
     return long_df.groupBy(*keys).agg(*aggs)

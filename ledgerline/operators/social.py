@@ -103,11 +103,19 @@ def posts_with_author(posts: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def user_profile_counts(users: DataFrame, posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, username, post_count, follower_count, followed_count)."""
-    pc = posts.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("post_count"))
-    fc = edges.groupBy(F.col("followed_id").alias("id")).agg(F.count(F.lit(1)).alias("follower_count"))
-    dc = edges.groupBy(F.col("follower_id").alias("id")).agg(F.count(F.lit(1)).alias("followed_count"))
-    out = users.select("id", "username").join(pc, "id", "left").join(fc, "id", "left").join(dc, "id", "left")
+    """(id, username, post_count, follower_count, followed_count).
+
+    The three counts come from one aggregation over a union of tagged ids
+    (one shuffle, map-side combined, so a user with a third of all
+    followers is absorbed by the partial counts), then one join to users.
+    """
+    tagged = (posts.select(F.col("user_id").alias("id"), F.lit(0).alias("kind"))
+              .unionByName(edges.select(F.col("followed_id").alias("id"), F.lit(1).alias("kind")))
+              .unionByName(edges.select(F.col("follower_id").alias("id"), F.lit(2).alias("kind"))))
+    counts = tagged.groupBy("id").agg(
+        *[F.count(F.when(F.col("kind") == k, F.lit(1))).alias(name)
+          for k, name in enumerate(("post_count", "follower_count", "followed_count"))])
+    out = users.select("id", "username").join(counts, "id", "left")
     return out.select("id", "username",
                       *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
                         for c in ("post_count", "follower_count", "followed_count")])

@@ -27,8 +27,12 @@ def summary(plan: DataFrame, item: str, value: str = "dedication") -> DataFrame:
 
 
 def summary_from_cells(cells: DataFrame, item: str) -> DataFrame:
-    """Summary from the cell means (employee, project, year, month, value)."""
-    wide = widen(item_month_sums(cells, [item]), ["year", item])
+    """Summary from the cell means (employee, project, year, month, value).
+
+    ``widen`` sums ``when(month = m, value)`` per (year, item), which is the
+    per-item month sum and the pivot in one aggregation.
+    """
+    wide = widen(cells, ["year", item])
     return wide.withColumn("total", scalars.row_sum(MONTH_COLS))
 
 
@@ -40,7 +44,7 @@ def summary_all_years(plan: DataFrame, value: str = "dedication") -> DataFrame:
     cells = cell_means(plan, CELL_KEYS, value)
     parts = []
     for dim in ("project", "employee"):
-        w = widen(item_month_sums(cells, [dim]), ["year", dim])
+        w = widen(cells, ["year", dim])
         parts.append(w.select("year", F.lit(dim).alias("dimension"),
                               F.col(dim).alias("item"), *MONTH_COLS)
                      .withColumn("total", scalars.row_sum(MONTH_COLS)))
@@ -79,7 +83,7 @@ def profile_matrix(plan: DataFrame, profile_map: DataFrame,
                    value: str = "dedication") -> DataFrame:
     """(year, project, profile, m1..m12): sum of cell means per profile."""
     cells = with_profile(cell_means(plan, CELL_KEYS, value), profile_map)
-    return widen(item_month_sums(cells, ["project", "profile"]), ["year", "project", "profile"])
+    return widen(cells, ["year", "project", "profile"])
 
 
 def load_bands(summary_by_employee: DataFrame) -> DataFrame:
