@@ -8,9 +8,9 @@ from ledgerline.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
-SUBSET = ["dedication_matrix", "summary_all_years", "upsert_forecast_log", "upsert_forecast_state",
-          "spent_time_refresh", "user_feed_page", "text_search", "changelog_top_n_per_year",
-          "report_bundle", "language_tags"]
+# Streaming queries run their streams end to end; they have their own tests.
+STREAMING = {"stream_last_seen", "stream_monthly_hours", "stream_forecast_upsert_state",
+             "stream_forecast_upsert_log"}
 
 
 def test_entry_smoke(spark):
@@ -29,7 +29,7 @@ def test_oracle_agrees_on_subset(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
-    for name in SUBSET:
+    for name in sorted(set(E.oracle_sql()) - STREAMING):
         df = E.queries()[name](spark, SF_SMALL)
         res = con.execute(E.oracle_sql()[name])
         dcols = [d[0] for d in res.description]
