@@ -169,3 +169,13 @@ def cost_upsert(base: DataFrame, batch: DataFrame, author: str,
     keys = ["concept", "project", "month", "year"]
     return (upsert_log(base, batch, keys, "cost", author, bucket_width),
             upsert_state(base, batch, keys, "cost"))
+
+
+def form_forecast_upsert(base: DataFrame, submissions: DataFrame, author: str,
+                         bucket_width: int = config.UPSERT_SEQ_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Form entries carry whole percent (``dedication_pct``); they become
+    fractions of a person-month before the same ordered upsert."""
+    from ..functions.scalars import percent_to_fraction
+    batch = (submissions.withColumn("dedication", percent_to_fraction(F.col("dedication_pct")))
+             .drop("dedication_pct"))
+    return forecast_upsert(base, batch, author, bucket_width)

@@ -550,6 +550,9 @@ SQL["formatted_cost_matrix"] = (
     + ", CAST(total AS VARCHAR) || ' €' AS total"
     + f" FROM (SELECT *, {_TOTAL} AS total FROM ({_mean_matrix('cost', ['project', 'concept'], 'cost')}) w) c")
 
+# The form path converts whole percent to the same fractions as the batch.
+SQL["upsert_form_log"] = SQL["upsert_forecast_log"]
+
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]

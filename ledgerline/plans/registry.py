@@ -266,6 +266,12 @@ def q_upsert_forecast_state(spark, d):
     return rounded(state)
 
 
+@query("upsert_form_log")
+def q_upsert_form_log(spark, d):
+    log, _ = upsert.form_forecast_upsert(fx.forecast_base(spark, d), fx.form_submissions(spark, d), AUTHOR)
+    return rounded(log)
+
+
 @query("upsert_cost_log")
 def q_upsert_cost_log(spark, d):
     log, _ = upsert.cost_upsert(fx.cost_base(spark, d), fx.cost_batch(spark, d), AUTHOR)

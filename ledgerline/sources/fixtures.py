@@ -261,3 +261,10 @@ def document_changes(spark: SparkSession, d: str) -> DataFrame:
     bench = read_table(spark, d, "benchmark").select(
         F.lit("add").alias("op"), (-(F.col("item_id") + 1)).alias("id"), F.col("text").alias("body"))
     return dele.unionByName(upd).unionByName(bench)
+
+
+def form_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """The forecast batch as form submissions: dedication in whole percent."""
+    b = forecast_batch(spark, d)
+    return b.select("seq", "employee", "project", "remarks", "month", "year",
+                    F.round(F.col("dedication") * 100).cast("int").alias("dedication_pct"))
