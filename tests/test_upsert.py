@@ -36,7 +36,11 @@ def row_by_row(base, batch):
             log.append((seq, "add", 0.0, v))
             next_id += 1
             state[next_id] = [next_id, e, p, rem, m, y, v]
-    return sorted(log), sorted((r[1], r[2], r[4], r[5], r[6]) for r in state.values())
+    return sorted(log), sorted(((r[1], r[2], r[4], r[5], r[6]) for r in state.values()), key=none_safe)
+
+
+def none_safe(t):
+    return tuple((v is None, v) for v in t)
 
 
 def test_golden_case(spark):
@@ -84,7 +88,8 @@ def test_matches_row_by_row_loop_for_any_bucket_width(spark):
         log, state = upsert.forecast_upsert(_base(spark, base), _batch(spark, batch), "me", bucket_width=width)
         got_log = sorted((r.seq, r.action, r.dedication_old, r.dedication_new) for r in log.collect())
         assert got_log == exp_log, (seed, width)
-        got_state = sorted((r.employee, r.project, r.month, r.year, r.dedication) for r in state.collect())
+        got_state = sorted(((r.employee, r.project, r.month, r.year, r.dedication) for r in state.collect()),
+                           key=none_safe)
         assert got_state == exp_state, (seed, width)
 
 
