@@ -10,6 +10,7 @@ Row-by-row semantics being reproduced, for each batch row in ``seq`` order:
 When the base holds the same key several times, the row with the lowest id is
 the one updated; the other duplicates stay as they are.  A row whose key has
 a null part never matches anything (SQL equality), so it is always an ``add``.
+``seq`` (the row's position in the landed batch) must be unique.
 
 Parallel plan (no per-row lookups, no driver loop):
 
@@ -17,8 +18,8 @@ Parallel plan (no per-row lookups, no driver loop):
    (key, seq bucket), stitched across buckets by a window over the small
    per-bucket summary -- so a key holding a third of the batch is spread over
    many tasks instead of one;
-2. one aggregate of the base per key (lowest id, its value), joined to the
-   batch on the key;
+2. one aggregate of the base per key (lowest id, its value), joined to that
+   per-bucket summary, so the batch rows themselves are shuffled only once;
 3. state: last value per key (``max_by`` on seq, map-side combined), applied
    to the base by id; keys new to the base are inserted once.
 """
