@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import config
 
 
 def fraction_text(x: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import scalars
 
+
 def newest_first() -> list:
     """timestamp desc (nulls last), id desc as tie-break."""
     return [F.col("timestamp").desc_nulls_last(), F.col("id").desc()]

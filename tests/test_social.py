@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from ledgerline import schemas
 from ledgerline.operators import social
 
@@ -102,7 +100,6 @@ def test_open_tasks_excludes_null_flag(spark):
 def test_last_seen(spark):
     ev = spark.createDataFrame([(1, T0), (1, T0 + dt.timedelta(hours=1)), (2, T0)], "user_id long, ts timestamp_ntz")
     assert rows(social.last_seen(ev)) == [(1, T0 + dt.timedelta(hours=1)), (2, T0)]
-    assert F is not None
 
 
 def test_feed_page_equals_paging_the_whole_feed(spark):

@@ -4,7 +4,6 @@ import datetime as dt
 import time
 
 from ledgerline import schemas
-from ledgerline.operators import upsert
 from ledgerline.session import scratch_path
 from ledgerline.streaming import jobs
 
