@@ -556,6 +556,7 @@ SQL["upsert_form_log"] = SQL["upsert_forecast_log"]
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]
+SQL["stream_spent_time"] = SQL["spent_time_refresh"]
 SQL["stream_forecast_upsert_state"] = SQL["upsert_forecast_state"]
 SQL["stream_forecast_upsert_log"] = SQL["upsert_forecast_log"]
 

@@ -557,8 +557,7 @@ def q_stream_last_seen(spark, d):
     return jobs.read_last_seen(spark, f"{root}/table")
 
 
-@query("stream_monthly_hours")
-def q_stream_monthly_hours(spark, d):
+def _stream_hours(spark, d) -> str:
     from .. import schemas
     from ..streaming import jobs
     root = scratch_path(spark, "stream_monthly_hours")
@@ -568,7 +567,20 @@ def q_stream_monthly_hours(spark, d):
     raw = jobs.file_stream(spark, f"{root}/landing", schemas.TIME_ENTRY_CSV, fmt="csv",
                            max_files_per_trigger=1, header=True)
     _await(jobs.start_monthly_hours(raw, f"{root}/table", f"{root}/checkpoint"))
-    return rounded(jobs.read_monthly_hours(spark, f"{root}/table"))
+    return f"{root}/table"
+
+
+@query("stream_monthly_hours")
+def q_stream_monthly_hours(spark, d):
+    from ..streaming import jobs
+    return rounded(jobs.read_monthly_hours(spark, _stream_hours(spark, d)))
+
+
+@query("stream_spent_time")
+def q_stream_spent_time(spark, d):
+    """The nightly table (dedication, employee totals) from the stream."""
+    from ..streaming import jobs
+    return rounded(jobs.read_spent_time(spark, _stream_hours(spark, d), RUN_STAMP))
 
 
 def _stream_upsert(spark, d):

@@ -9,8 +9,8 @@ from ledgerline.sources.tables import TABLES
 from conftest import SF_SMALL
 
 # Streaming queries run their streams end to end; they have their own tests.
-STREAMING = {"stream_last_seen", "stream_monthly_hours", "stream_forecast_upsert_state",
-             "stream_forecast_upsert_log"}
+STREAMING = {"stream_last_seen", "stream_monthly_hours", "stream_spent_time",
+             "stream_forecast_upsert_state", "stream_forecast_upsert_log"}
 
 
 def test_entry_smoke(spark):
