@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -94,9 +95,13 @@ STATE_PARTITIONS = ["year", "month"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file exists on the (shared) file system of ``path``."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    """Whether ``path`` exists on its (shared) file system: resolving a file
+    source checks the path without reading any data."""
+    try:
+        spark.read.format("text").load(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 def start_forecast_upsert(batches: DataFrame, initial_state_path: str, state_root: str, out_root: str,
