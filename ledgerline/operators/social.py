@@ -59,12 +59,14 @@ def feed_page(posts: DataFrame, edges: DataFrame, page_no: int,
     return per_key_page(user_feed(recent, edges), "viewer_id", page_no, per_page)
 
 
-def per_key_page(df: DataFrame, key: str, page_no: int, per_page: int) -> DataFrame:
-    """Page of each key's rows (newest first).  The ``rank <= hi`` bound lets
-    Spark apply a partial per-key limit before the shuffle."""
+def per_key_page(df: DataFrame, key: str, page_no: int, per_page: int,
+                 order: list | None = None) -> DataFrame:
+    """Page of each key's rows (newest first unless ``order`` is given).  The
+    ``rank <= hi`` bound lets Spark apply a partial per-key limit before the
+    shuffle."""
     p = max(int(page_no), 1)
     lo, hi = (p - 1) * per_page, p * per_page
-    w = Window.partitionBy(key).orderBy(*newest_first())
+    w = Window.partitionBy(key).orderBy(*(order or newest_first()))
     return df.withColumn("rank", F.row_number().over(w)).filter(
         (F.col("rank") <= hi) & (F.col("rank") > lo))
 
@@ -164,3 +166,19 @@ def first_open_task(tasks: DataFrame, name: str) -> DataFrame:
     """Per user, the first (lowest id) open task with the given name."""
     return (open_tasks(tasks).filter(F.col("name") == name).groupBy("user_id")
             .agg(F.min("id").alias("id")))
+
+
+def user_records(users: DataFrame, posts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The user record of the API: id, username, last_seen (ISO-8601 + Z),
+    the three counts and the avatar digest."""
+    counts = user_profile_counts(users, posts, edges)
+    extra = users.select("id", scalars.iso_utc(F.col("last_seen")).alias("last_seen"),
+                         scalars.avatar_digest(F.col("username")).alias("avatar_md5"))
+    return counts.join(extra, "id")
+
+
+def followers_page(users: DataFrame, edges: DataFrame, page_no: int,
+                   per_page: int = config.API_PER_PAGE_DEFAULT) -> DataFrame:
+    """The same page of every user's follower list, by follower id."""
+    per = min(int(per_page), config.API_PER_PAGE_MAX)
+    return per_key_page(followers_of(users, edges), "user_id", page_no, per, [F.col("follower_id")])

@@ -550,6 +550,20 @@ SQL["formatted_cost_matrix"] = (
     + ", CAST(total AS VARCHAR) || ' €' AS total"
     + f" FROM (SELECT *, {_TOTAL} AS total FROM ({_mean_matrix('cost', ['project', 'concept'], 'cost')}) w) c")
 
+SQL["user_records"] = f"""
+    SELECT c.*, CASE WHEN u.last_seen IS NULL THEN NULL
+                     WHEN strftime(u.last_seen, '%f') = '000000'
+                       THEN strftime(u.last_seen, '%Y-%m-%dT%H:%M:%S') || 'Z'
+                     ELSE strftime(u.last_seen, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END AS last_seen,
+           md5(lower(u.username)) AS avatar_md5
+    FROM ({SQL['user_profile_counts']}) c JOIN users u ON u.id = c.id"""
+SQL["followers_page"] = """
+    SELECT * FROM (SELECT f.followed_id AS user_id, f.follower_id, u.username AS follower_username,
+                          CAST(row_number() OVER (PARTITION BY f.followed_id ORDER BY f.follower_id) AS INTEGER)
+                            AS rank
+                   FROM followers f JOIN users u ON u.id = f.follower_id) r
+    WHERE rank <= 10"""
+
 # The form path converts whole percent to the same fractions as the batch.
 SQL["upsert_form_log"] = SQL["upsert_forecast_log"]
 

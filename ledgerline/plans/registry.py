@@ -381,6 +381,16 @@ def q_user_profile_counts(spark, d):
     return social.user_profile_counts(fx.users(spark, d), fx.posts(spark, d), fx.followers(spark, d))
 
 
+@query("user_records")
+def q_user_records(spark, d):
+    return social.user_records(fx.users(spark, d), fx.posts(spark, d), fx.followers(spark, d))
+
+
+@query("followers_page")
+def q_followers_page(spark, d):
+    return social.followers_page(fx.users(spark, d), fx.followers(spark, d), 1)
+
+
 @query("last_seen")
 def q_last_seen(spark, d):
     return social.last_seen(read_table(spark, d, "events"))
