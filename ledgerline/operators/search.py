@@ -27,19 +27,49 @@ def doc_terms(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
                        F.explode(tokens(_text_of(docs, text_cols))).alias("term"))
 
 
+def _token_counts(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+    """(term, doc_id, tf, doc_len) from one tokenisation pass; a document
+    without tokens appears once with a null term (so its length is kept)."""
+    tok = docs.select(F.col(id_col).alias("doc_id"), tokens(_text_of(docs, text_cols)).alias("_toks"))
+    rows = tok.select("doc_id", F.explode_outer("_toks").alias("term"),
+                      F.size("_toks").cast("long").alias("_len"))
+    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("_len").alias("doc_len"))
+
+
 def build_index(docs: DataFrame, id_col: str, text_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, doc_id, tf) and lengths (doc_id, doc_len).
+    """Postings (term, doc_id, tf) and lengths (doc_id, doc_len), lazily.
 
-    Lengths come from the token array size per document (no shuffle); a
-    document without tokens has length 0 and no postings.
+    Each of the two is a separate plan over the texts; jobs that use both
+    should store the index once with :func:`write_index`.
     """
-    postings = doc_terms(docs, id_col, text_cols).groupBy("term", "doc_id").agg(
-        F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select(F.col(id_col).alias("doc_id"),
-                          F.size(tokens(_text_of(docs, text_cols))).cast("long").alias("doc_len"))
+    counts = _token_counts(docs, id_col, text_cols)
+    postings = counts.filter(F.col("term").isNotNull()).select("term", "doc_id", "tf")
+    lengths = counts.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
     return postings, lengths
 
 
+def write_index(docs: DataFrame, id_col: str, text_cols: list[str], root: str) -> str:
+    """Build and store the index: ``<root>/postings`` (term, doc_id, tf,
+    doc_len; every file sorted by term, so a term filter skips row groups)
+    and ``<root>/lengths`` (doc_id, doc_len).  The texts are tokenised once;
+    the lengths are read back from the stored postings."""
+    root = root.rstrip("/")
+    (_token_counts(docs, id_col, text_cols).sortWithinPartitions("term")
+     .write.mode("overwrite").parquet(f"{root}/postings"))
+    stored = docs.sparkSession.read.parquet(f"{root}/postings")
+    (stored.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+     .write.mode("overwrite").parquet(f"{root}/lengths"))
+    return root
+
+
+def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a stored index."""
+    root = root.rstrip("/")
+    postings = (spark.read.parquet(f"{root}/postings").filter(F.col("term").isNotNull())
+                .select("term", "doc_id", "tf"))
+    return postings, spark.read.parquet(f"{root}/lengths")
+
+
 def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query: str,
            page_no: int = 1, per_page: int = config.API_PER_PAGE_DEFAULT,
            k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
@@ -82,14 +112,23 @@ def hit_rows(rows: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFr
     return rows.join(F.broadcast(h), id_col).orderBy("rank")
 
 
-def apply_changes(postings: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_changes(postings: DataFrame, changes: DataFrame,
+                  lengths: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Postings after a change batch (op, id, body): ``delete`` and ``update``
-    drop the document's old postings, ``add`` and ``update`` index the body."""
+    drop the document's old postings, ``add`` and ``update`` index the body.
+    With ``lengths`` given, returns (postings, lengths) both updated."""
     touched = changes.select(F.col("id").alias("doc_id")).distinct()
     kept = postings.join(touched, "doc_id", "left_anti").select(*postings.columns)
     fresh_docs = changes.filter(F.col("op").isin("add", "update"))
-    fresh, _ = build_index(fresh_docs, "id", ["body"])
-    return kept.unionByName(fresh.select(*postings.columns))
+    counts = _token_counts(fresh_docs, "id", ["body"])
+    fresh = counts.filter(F.col("term").isNotNull()).select("term", "doc_id", "tf")
+    new_postings = kept.unionByName(fresh.select(*postings.columns))
+    if lengths is None:
+        return new_postings
+    fresh_len = counts.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+    new_lengths = (lengths.join(touched, "doc_id", "left_anti").select("doc_id", "doc_len")
+                   .unionByName(fresh_len))
+    return new_postings, new_lengths
 
 
 def stop_word_table(spark: SparkSession) -> DataFrame:

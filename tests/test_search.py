@@ -53,3 +53,20 @@ def test_language_tags(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "le chat et le chien"), (3, "xyz")],
                                  "doc_id long, text string")
     assert rows(search.language_tags(spark, docs)) == [(1, "en"), (2, "fr"), (3, "")]
+
+
+def test_stored_index_search_and_maintenance(spark):
+    from ledgerline.session import scratch_path
+    docs = _docs(spark)
+    root = search.write_index(docs, "doc_id", ["text"], scratch_path(spark, "t-index"))
+    postings, lengths = search.read_index(spark, root)
+    lazy_p, lazy_l = search.build_index(docs, "doc_id", ["text"])
+    assert rows(postings) == rows(lazy_p) and rows(lengths) == rows(lazy_l)
+    stored = {r.doc_id: r.score for r in search.search(spark, postings, lengths, "dog cat").collect()}
+    lazy = {r.doc_id: r.score for r in search.search(spark, lazy_p, lazy_l, "dog cat").collect()}
+    assert stored == lazy
+    ch = spark.createDataFrame([("delete", 1, None), ("update", 2, "bird bird"), ("add", 7, "")],
+                               "op string, id long, body string")
+    p2, l2 = search.apply_changes(postings, ch, lengths)
+    assert rows(l2) == [(2, 2), (3, 3), (7, 0)]
+    assert [d for _, d, _ in rows(p2)].count(2) == 1
