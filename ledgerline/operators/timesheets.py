@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -37,26 +37,26 @@ def spent_time(entries: DataFrame, run_stamp: str,
 
     ``run_stamp`` is the import time as text (``dd/mm/YYYY HH:MM:SS``); it is
     passed in so the job is deterministic and re-runnable.
-
-    The per-employee monthly total is an aggregate joined back rather than a
-    window, so an employee with a huge share of the rows is split by the
-    partial aggregation and by AQE's skew-join handling instead of landing in
-    one window partition.
     """
     return spent_from_monthly(monthly_hours(drop_zero_hours(entries)), run_stamp, avg_monthly_hours)
 
 
 def spent_from_monthly(hours: DataFrame, run_stamp: str,
                        avg_monthly_hours: float = config.AVG_MONTHLY_HOURS) -> DataFrame:
-    """Spent-time rows from (year, month, project, employee, hours)."""
-    totals = (hours.groupBy("year", "month", "employee")
-              .agg(F.sum("hours").alias("total_hours")))
-    return (hours.join(totals, ["year", "month", "employee"])
-            .select("employee", "project",
-                    F.lit(IMPORT_REMARK + run_stamp).alias("remarks"),
-                    "month", "year",
-                    (F.col("hours") / F.lit(float(avg_monthly_hours))).alias("dedication"),
-                    "total_hours"))
+    """Spent-time rows from (year, month, project, employee, hours).
+
+    The employee's monthly total is a window over the *aggregated* rows: one
+    window partition is one (year, month, employee) and holds at most one row
+    per project, however many raw entries the employee booked.  (An aggregate
+    joined back would read the entries twice: the two branches get different
+    inferred filters, so their exchanges are not shared.)
+    """
+    w = Window.partitionBy("year", "month", "employee")
+    return hours.select("employee", "project",
+                        F.lit(IMPORT_REMARK + run_stamp).alias("remarks"),
+                        "month", "year",
+                        (F.col("hours") / F.lit(float(avg_monthly_hours))).alias("dedication"),
+                        F.sum("hours").over(w).alias("total_hours"))
 
 
 def entries_slice(entries: DataFrame, employee: str, project: str | None = None,
