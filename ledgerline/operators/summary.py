@@ -82,8 +82,12 @@ def with_profile(cells: DataFrame, profile_map: DataFrame) -> DataFrame:
 def profile_matrix(plan: DataFrame, profile_map: DataFrame,
                    value: str = "dedication") -> DataFrame:
     """(year, project, profile, m1..m12): sum of cell means per profile."""
-    cells = with_profile(cell_means(plan, CELL_KEYS, value), profile_map)
-    return widen(cells, ["year", "project", "profile"])
+    return profile_matrix_from_cells(cell_means(plan, CELL_KEYS, value), profile_map)
+
+
+def profile_matrix_from_cells(cells: DataFrame, profile_map: DataFrame) -> DataFrame:
+    """Profile matrix from the cell means (employee, project, year, month, value)."""
+    return widen(with_profile(cells, profile_map), ["year", "project", "profile"])
 
 
 def load_bands(summary_by_employee: DataFrame) -> DataFrame:

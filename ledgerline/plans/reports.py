@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..operators import catalog, changelog as chg, matrix, summary
+from ..operators import changelog as chg, matrix, summary
 
 
 def _in_years(df: DataFrame, years: DataFrame) -> DataFrame:
@@ -32,10 +32,13 @@ def report_bundle(forecast: DataFrame, cost: DataFrame, spent: DataFrame,
     and both summaries; ``materialize`` (e.g. a reliable checkpoint) lets a
     writing job compute them once instead of once per report.
     """
-    years = catalog.available_years(forecast)
     cells = matrix.cell_means(forecast, summary.CELL_KEYS, "dedication")
     if materialize is not None:
         cells = materialize(cells)
+    # years with forecasts, read off the cell means (the same aggregation
+    # exchange as the matrix and the summaries, so the forecast is not
+    # scanned again for it)
+    years = cells.select("year").distinct()
     return {
         "changelog": _in_years(chg.top_n_per_year(changelog, top_n), years),
         "personnel_forecasts": matrix.widen(cells, ["year", "employee", "project"]),
@@ -50,9 +53,10 @@ def profile_bundle(forecast: DataFrame, spent: DataFrame, cost: DataFrame,
                    profile_map: DataFrame) -> dict[str, DataFrame]:
     """Forecast and spent time by (project, profile), and the cost matrix,
     for the years that have forecasts."""
-    years = catalog.available_years(forecast)
+    cells = matrix.cell_means(forecast, summary.CELL_KEYS, "dedication")
+    years = cells.select("year").distinct()
     return {
-        "forecast_profile": summary.profile_matrix(forecast, profile_map),
+        "forecast_profile": summary.profile_matrix_from_cells(cells, profile_map),
         "spent_time_profile": _in_years(summary.profile_matrix(spent, profile_map), years),
         "costs": _in_years(matrix.cost_matrix(cost), years),
     }
