@@ -134,8 +134,10 @@ def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
     last = (b.groupBy(*grp)
             .agg(F.max_by(F.struct(F.col(value).alias("v"), F.col("remarks").alias("r")), "seq").alias("_last"),
                  F.min("seq").alias("_first_seq")))
-    targets = base_targets(base, keys, value)
-    touched = (last.join(targets, keys, "inner")
+    # One left join decides both outcomes per key (found -> update the target
+    # row, not found -> insert); both branches share this join's exchanges.
+    matched = last.join(base_targets(base, keys, value), keys, "left")
+    touched = (matched.filter(F.col("_target_id").isNotNull())
                .select(F.col("_target_id").alias("id"), "_last"))
     cols = [c for c in base.columns]
     upd = base.join(touched, "id", "left")
@@ -147,7 +149,7 @@ def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
     # Exactly one row: the largest base id (0 for an empty base).
     max_id = (base if id_base is None else id_base).agg(
         F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max_id"))
-    new = last.join(targets, keys, "left_anti").join(F.broadcast(max_id))
+    new = matched.filter(F.col("_target_id").isNull()).join(F.broadcast(max_id))
     inserted = new.select(*[
         ((F.col("_max_id") + F.col("_first_seq")).alias("id") if c == "id" else
          F.col("_last.v").alias(c) if c == value else
