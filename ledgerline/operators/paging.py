@@ -20,18 +20,17 @@ def page_envelope(df: DataFrame, order_cols: list[str], page_no: int,
     """One row: page (as asked), per_page (capped at 100), total_items,
     total_pages, has_next, has_prev, n_items, first_id, last_id.
 
-    The total is a count aggregate; the page is a bounded top-k whose
-    summary is one row, so joining the two one-row results is constant work.
+    The total is a count aggregate used as a scalar subquery; the page is a
+    bounded top-k summarised in one row.
     """
     per = min(int(per_page), config.API_PER_PAGE_MAX)
     p_eff = max(int(page_no), 1)
     items = page_items(df, order_cols, page_no, per)
     key = F.struct(*[F.col(c) for c in order_cols])
-    total = df.agg(F.count(F.lit(1)).alias("total_items"))
-    summary = items.agg(F.count(F.lit(1)).alias("n_items"),
-                        F.min_by(id_col, key).alias("first_id"),
-                        F.max_by(id_col, key).alias("last_id"))
-    env = total.join(F.broadcast(summary))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    env = items.agg(F.count(F.lit(1)).alias("n_items"),
+                    F.min_by(id_col, key).alias("first_id"),
+                    F.max_by(id_col, key).alias("last_id")).withColumn("total_items", total)
     pages = F.when(F.col("total_items") == 0, F.lit(0)).otherwise(
         F.ceil(F.col("total_items") / F.lit(per))).cast("long")
     return env.select(F.lit(int(page_no)).alias("page"), F.lit(per).alias("per_page"),

@@ -84,22 +84,23 @@ def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query:
     # (and into the scan of a stored index), so only matching tokens shuffle.
     hits = postings.filter(F.col("term").isin(terms)) if terms else postings.limit(0)
     dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Exactly one row: corpus size and mean document length.
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"),
-                        F.avg("doc_len").alias("avg_len"))
-    scored = (hits.join(dfreq, "term").join(lengths, "doc_id")
-              .join(F.broadcast(stats)))
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / F.col("avg_len"))
+    # Corpus size and mean document length: one scalar subquery, evaluated
+    # once and used as a value (no join).
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"),
+                                 F.avg("doc_len").alias("avg_len")).alias("s")).scalar()
+    scored = hits.join(dfreq, "term").join(lengths, "doc_id")
+    n_docs, avg_len = stats.getField("n_docs"), stats.getField("avg_len")
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / avg_len)
     part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
     per_doc = scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
-    total = per_doc.agg(F.count(F.lit(1)).alias("total_hits"))
+    total = per_doc.agg(F.count(F.lit(1))).scalar()
     p = max(int(page_no), 1)
     top = per_doc.orderBy(F.col("score").desc(), F.col("doc_id")).offset((p - 1) * per_page).limit(per_page)
     # The page holds at most per_page rows: ranking it in one task is bounded.
     w = Window.orderBy(F.col("score").desc(), F.col("doc_id"))
     ranked = top.withColumn("rank", F.row_number().over(w) + F.lit((p - 1) * per_page))
-    return ranked.join(F.broadcast(total)).select("rank", "doc_id", "score", "total_hits")
+    return ranked.select("rank", "doc_id", "score", total.alias("total_hits"))
 
 
 def hit_rows(rows: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -146,12 +146,12 @@ def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
         (F.when(hit, F.col("_last.v")).otherwise(F.col(c)).alias(c) if c == value else
          F.when(hit, F.col("_last.r")).otherwise(F.col(c)).alias(c) if c == "remarks" else
          F.col(c)) for c in cols])
-    # Exactly one row: the largest base id (0 for an empty base).
+    # The largest base id (0 for an empty base), as a scalar subquery.
     max_id = (base if id_base is None else id_base).agg(
-        F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_max_id"))
-    new = matched.filter(F.col("_target_id").isNull()).join(F.broadcast(max_id))
+        F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    new = matched.filter(F.col("_target_id").isNull())
     inserted = new.select(*[
-        ((F.col("_max_id") + F.col("_first_seq")).alias("id") if c == "id" else
+        ((max_id + F.col("_first_seq")).alias("id") if c == "id" else
          F.col("_last.v").alias(c) if c == value else
          F.col("_last.r").alias(c) if c == "remarks" else
          F.col(c)) for c in cols])
