@@ -564,6 +564,13 @@ SQL["followers_page"] = """
                    FROM followers f JOIN users u ON u.id = f.follower_id) r
     WHERE rank <= 10"""
 
+SQL["chart_series_json"] = f"""
+    SELECT year, project, stack, series,
+           to_json({{'name': series, 'stack': stack,
+                     'data': list([CAST(month AS DOUBLE), value] ORDER BY month)}}) AS json
+    FROM ({SQL['project_chart_series']}) s
+    GROUP BY year, project, stack, series"""
+
 # The form path converts whole percent to the same fractions as the batch.
 SQL["upsert_form_log"] = SQL["upsert_forecast_log"]
 

@@ -501,7 +501,8 @@ def q_employee_chart_one(spark, d):
 
 @query("chart_series_json")
 def q_chart_series_json(spark, d):
-    return compare.series_json(compare.project_chart_series(_cells(spark, d)), ["year", "project"])
+    series = rounded(compare.project_chart_series(_cells(spark, d)))
+    return compare.series_json(series, ["year", "project"])
 
 
 @query("first_open_task")
