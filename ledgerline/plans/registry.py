@@ -580,7 +580,7 @@ def _stream_hours(spark, d) -> str:
     from ..streaming import jobs
     root = scratch_path(spark, "stream_monthly_hours")
     # land the tracker export as several CSV files (one micro-batch each)
-    (fx.tracker_csv_rows(spark, d).repartition(4).write.option("header", True)
+    (fx.tracker_csv_rows(spark, d).repartition(2).write.option("header", True)
      .mode("overwrite").csv(f"{root}/landing"))
     raw = jobs.file_stream(spark, f"{root}/landing", schemas.TIME_ENTRY_CSV, fmt="csv",
                            max_files_per_trigger=1, header=True)
