@@ -566,8 +566,8 @@ SQL["followers_page"] = """
 
 SQL["chart_series_json"] = f"""
     SELECT year, project, stack, series,
-           to_json({{'name': series, 'stack': stack,
-                     'data': list([CAST(month AS DOUBLE), value] ORDER BY month)}}) AS json
+           CAST(to_json({{'name': series, 'stack': stack,
+                          'data': list([CAST(month AS DOUBLE), value] ORDER BY month)}}) AS VARCHAR) AS json
     FROM ({SQL['project_chart_series']}) s
     GROUP BY year, project, stack, series"""
 

@@ -8,6 +8,9 @@ from ledgerline.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
 # Streaming queries run their streams end to end; they have their own tests.
 STREAMING = {"stream_last_seen", "stream_monthly_hours", "stream_spent_time",
              "stream_forecast_upsert_state", "stream_forecast_upsert_log"}
@@ -25,12 +28,16 @@ def test_every_query_has_oracle_or_is_declared_rows_only():
     assert set(q) - set(sql) == E.NO_ORACLE
 
 
-def test_oracle_agrees_on_subset(spark):
+def test_oracle_agrees_on_every_query(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     for name in sorted(set(E.oracle_sql()) - STREAMING):
         df = E.queries()[name](spark, SF_SMALL)
+        rel = con.sql(E.oracle_sql()[name])
+        spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                       for f in df.schema.fields}
+        assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}, name
         res = con.execute(E.oracle_sql()[name])
         dcols = [d[0] for d in res.description]
         assert sorted(df.columns) == sorted(dcols), name
