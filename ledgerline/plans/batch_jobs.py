@@ -1,4 +1,4 @@
-"""User-level batch pipelines that read landed inputs and write results.
+"""User-level batch jobs that read landed inputs and write results.
 
 These are the jobs a scheduler runs (nightly refresh, retention, exports,
 imports).  Every output goes to shared storage; nothing passes through the

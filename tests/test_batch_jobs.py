@@ -1,4 +1,4 @@
-"""Batch pipelines that land outputs on shared storage."""
+"""Batch jobs that land outputs on shared storage."""
 
 import datetime as dt
 import json
@@ -6,7 +6,7 @@ import os
 
 from ledgerline import schemas
 from ledgerline.operators import catalog
-from ledgerline.plans import pipelines
+from ledgerline.plans import batch_jobs
 from ledgerline.session import local_path, scratch_path
 from ledgerline.sources import files, fixtures as fx
 
@@ -25,7 +25,7 @@ def test_refresh_spent_time_from_csv(spark):
     root = scratch_path(spark, "t-refresh")
     _write_text(f"{root}/csv/e.csv", "Date,Project,User,Activity,Issue,Comment,Hours\n"
                 "1/2/2020,A,u,x,,,70\n1/3/2020,B,u,x,,,70\n2/3/2021,A,v,x,,,0\n")
-    pipelines.refresh_spent_time(spark, f"{root}/csv", f"{root}/table", RUN)
+    batch_jobs.refresh_spent_time(spark, f"{root}/csv", f"{root}/table", RUN)
     got = rows(spark.read.parquet(f"{root}/table").select("year", "employee", "project", "dedication",
                                                          "total_hours", "remarks"))
     assert got == [(2020, "u", "A", 0.5, 140.0, "Imported from time tracker at 01/01/2024 01:05:00"),
@@ -37,7 +37,7 @@ def test_apply_forecast_batch_quarantine_log_and_snapshot(spark):
     spark.createDataFrame([(1, "k", "P", "", 1, 2024, 0.2)], schemas.FORECAST).write.parquet(f"{root}/state0")
     _write_text(f"{root}/batch/b.csv", "seq,employee,project,month,year,dedication,remarks\n"
                 "1,k,P,1,2024,0.5,\n2,,P,1,2024,0.5,\n3,n,P,1,2024,0.1,new\n")
-    snap = pipelines.apply_forecast_batch(spark, f"{root}/state0", f"{root}/batch", f"{root}/out", "me", RUN)
+    snap = batch_jobs.apply_forecast_batch(spark, f"{root}/state0", f"{root}/batch", f"{root}/out", "me", RUN)
     assert rows(spark.read.parquet(snap).select("id", "employee", "dedication", "remarks")) == [
         (1, "k", 0.5, ""), (4, "n", 0.1, "new")]
     log = spark.read.parquet(f"{root}/out/changelog")
@@ -50,7 +50,7 @@ def test_retention_snapshot(spark):
     root = scratch_path(spark, "t-retention")
     log = fx.changelog(spark, SF_SMALL)
     log.write.partitionBy("year").parquet(f"{root}/log")
-    snap = pipelines.run_retention(spark, f"{root}/log", f"{root}/kept", dt.datetime(2001, 6, 30))
+    snap = batch_jobs.run_retention(spark, f"{root}/log", f"{root}/kept", dt.datetime(2001, 6, 30))
     kept = spark.read.parquet(snap)
     assert kept.count() == log.filter("timestamp >= timestamp_ntz'2000-06-30 00:00:00'").count()
 
@@ -58,7 +58,7 @@ def test_retention_snapshot(spark):
 def test_export_posts_one_folder_per_user_oldest_first(spark):
     root = scratch_path(spark, "t-export")
     posts = fx.posts(spark, SF_SMALL)
-    pipelines.export_all_posts(posts, f"{root}/posts")
+    batch_jobs.export_all_posts(posts, f"{root}/posts")
     back = spark.read.json(f"{root}/posts")
     assert back.count() == posts.count()
     one = spark.read.json(f"{root}/posts/user_id=7").collect()
@@ -71,15 +71,15 @@ def test_update_profile_map_round_trip(spark):
     _write_text(f"{root}/stored/a.json", json.dumps({"a": "X", "c": "Y"}) + "\n")
     _write_text(f"{root}/uploaded/b.json", json.dumps({"c": "Z"}) + "\n")
     active = spark.createDataFrame([("a",), ("b",)], "name string")
-    pipelines.update_profile_map(spark, active, f"{root}/stored", f"{root}/uploaded", f"{root}/merged")
+    batch_jobs.update_profile_map(spark, active, f"{root}/stored", f"{root}/uploaded", f"{root}/merged")
     assert rows(files.read_profile_map(spark, f"{root}/merged")) == [("a", "X"), ("b", ""), ("c", "Z")]
 
 
 def test_export_reports_title_case_partitioned(spark):
     root = scratch_path(spark, "t-reports")
     d = SF_SMALL
-    out = pipelines.export_reports(fx.forecast(spark, d), fx.cost(spark, d),
-                                   pipelines.timesheets.spent_time(fx.time_entries(spark, d), "x"),
+    out = batch_jobs.export_reports(fx.forecast(spark, d), fx.cost(spark, d),
+                                   batch_jobs.timesheets.spent_time(fx.time_entries(spark, d), "x"),
                                    fx.changelog(spark, d), root)
     df = spark.read.parquet(out["personnel_forecasts"])
     assert {"Employee", "Project", "M1", "year"} <= set(df.columns)
