@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalars import title_case_names
-from ..operators import changelog as chg, quality, social, summary, timesheets, upsert
+from ..operators import changelog as chg, quality, summary, timesheets, upsert
 from ..session import cut_lineage
 from ..sinks import writers
 from ..sources import files
@@ -80,7 +80,8 @@ def export_profiles(forecast: DataFrame, spent: DataFrame, cost: DataFrame, prof
 
 
 def export_all_posts(posts: DataFrame, path: str) -> None:
-    writers.export_posts_json(social.export_posts(posts), path)
+    """Every user's posts as JSON, oldest first (one folder per user)."""
+    writers.export_posts_json(posts, path)
 
 
 def update_profile_map(spark: SparkSession, active_users: DataFrame, stored_path: str,

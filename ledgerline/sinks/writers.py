@@ -37,10 +37,20 @@ def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").partitionBy("year").parquet(path)
 
 
-def export_posts_json(export: DataFrame, path: str) -> None:
-    """One JSON folder per user, rows oldest first within each file."""
-    (export.repartition("user_id")
+def export_posts_json(posts: DataFrame, path: str) -> None:
+    """One JSON folder per user, ``{body, timestamp}`` oldest first.
+
+    Range partitioning on (user_id, timestamp, id) splits a user with a huge
+    history across several tasks; each file is sorted and the files of a
+    user cover consecutive time ranges in part-number order.  (Hash
+    partitioning by user would give such a user one task.)  Rows are ordered
+    by the timestamp itself and formatted as ISO text only when written.
+    """
+    from ..functions.scalars import iso_utc
+    (posts.select("user_id", "id", "body", "timestamp")
+     .repartitionByRange("user_id", "timestamp", "id")
      .sortWithinPartitions("user_id", "timestamp", "id")
+     .select("user_id", "body", iso_utc(F.col("timestamp")).alias("timestamp"))
      .write.mode("overwrite").partitionBy("user_id").json(path))
 
 

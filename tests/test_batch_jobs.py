@@ -62,8 +62,9 @@ def test_export_posts_one_folder_per_user_oldest_first(spark):
     back = spark.read.json(f"{root}/posts")
     assert back.count() == posts.count()
     one = spark.read.json(f"{root}/posts/user_id=7").collect()
-    stamps = [r.timestamp for r in one]
-    assert stamps == sorted(stamps) and all(s.endswith("Z") for s in stamps)
+    stamps = [dt.datetime.fromisoformat(r.timestamp.rstrip("Z")) for r in one]
+    assert stamps == sorted(stamps) and all(r.timestamp.endswith("Z") for r in one)
+    assert set(one[0].asDict()) == {"body", "timestamp"}
 
 
 def test_update_profile_map_round_trip(spark):
