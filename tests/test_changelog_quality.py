@@ -72,3 +72,18 @@ def test_form_percent_to_fraction(spark):
     got = [r[0] for r in spark.createDataFrame([(0,), (35,), (100,)], "p int")
            .select(percent_to_fraction(F.col("p"))).collect()]
     assert got == [0.0, 0.35, 1.0]
+
+
+def test_read_plan_batch_blank_cells_become_empty_text(spark):
+    import os
+    from ledgerline.session import local_path, scratch_path
+    from ledgerline.sources import files
+    root = scratch_path(spark, "t-batch")
+    os.makedirs(local_path(root), exist_ok=True)
+    with open(local_path(f"{root}/b.csv"), "w") as f:
+        f.write("seq,employee,project,month,year,dedication,remarks\n1,e,P,3,2024,0.5,\n2,,P,,2024,0.2,x\n")
+    b = files.read_plan_batch(spark, root)
+    got = {r.seq: (r.employee, r.month, r.remarks) for r in b.collect()}
+    assert got == {1: ("e", "3", ""), 2: ("", "", "x")}
+    v = {r.seq: r.violations for r in quality.validate_plan_batch(b).collect()}
+    assert v == {1: "", 2: "employee_required,month_invalid"}
