@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -72,8 +71,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for code that needs a plain local path."""
     return path[5:] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> None:
-    if not path.startswith(("hdfs:", "s3", "gs:", "abfs", "wasb")):
-        os.makedirs(local_path(path), exist_ok=True)
