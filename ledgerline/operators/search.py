@@ -88,7 +88,9 @@ def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query:
     # once and used as a value (no join).
     stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"),
                                  F.avg("doc_len").alias("avg_len")).alias("s")).scalar()
-    scored = hits.join(dfreq, "term").join(lengths, "doc_id")
+    # dfreq has one row per query term (bounded by the request): broadcast,
+    # so the postings of a very common term are never a hot join key.
+    scored = hits.join(F.broadcast(dfreq), "term").join(lengths, "doc_id")
     n_docs, avg_len = stats.getField("n_docs"), stats.getField("avg_len")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / avg_len)
