@@ -140,20 +140,25 @@ def stop_word_table(spark: SparkSession) -> DataFrame:
 
 
 def language_tags(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_tag): the language whose function words the text uses
+                  text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, *keep, lang_tag): the language whose function words the text uses
     most (ties -> alphabetical); '' when none is found or the tag is longer
     than 5 characters.
 
-    Token counts per (doc, language) are partially aggregated before the
-    shuffle; the fixed word list is broadcast.
+    Map-only: per row, the tokens of each language are counted with a
+    higher-order ``filter`` over the token array (an IN set of the fixed word
+    list), and the best language is the minimum of (-count, language)
+    structs.  No token is exploded and nothing is shuffled.
     """
-    terms = doc_terms(docs, id_col, [text_col])
-    hits = terms.join(F.broadcast(stop_word_table(spark)), "term")
-    per_lang = hits.groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("n"))
-    best = per_lang.groupBy("doc_id").agg(
-        F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("lang").alias("lang"))).alias("best"))
-    tagged = docs.select(F.col(id_col).alias("doc_id")).join(best, "doc_id", "left")
-    tag = F.coalesce(F.col("best.lang"), F.lit(""))
+    toks = tokens(F.col(text_col))
+
+    def member_of(words: list[str]):
+        return lambda t: t.isin(words)
+
+    counts = [F.struct((-F.size(F.filter(toks, member_of(words)))).alias("neg_n"),
+                       F.lit(lang).alias("lang"))
+              for lang, words in sorted(STOP_WORDS.items())]
+    best = F.array_min(F.array(*counts))
+    tag = F.when(best["neg_n"] < 0, best["lang"]).otherwise(F.lit(""))
     tag = F.when(F.length(tag) > config.MAX_LANGUAGE_TAG_LEN, F.lit("")).otherwise(tag)
-    return tagged.select("doc_id", tag.alias("lang_tag"))
+    return docs.select(F.col(id_col).alias("doc_id"), *(keep or []), tag.alias("lang_tag"))

@@ -468,10 +468,8 @@ def q_text_index_apply_changes(spark, d):
 
 @query("language_tags")
 def q_language_tags(spark, d):
-    docs = _documents(spark, d)
-    tags = search.language_tags(spark, docs)
-    return (tags.join(docs.select("doc_id", "lang"), "doc_id")
-            .withColumn("agrees", F.col("lang_tag") == F.col("lang")))
+    tags = search.language_tags(spark, _documents(spark, d), keep=["lang"])
+    return tags.withColumn("agrees", F.col("lang_tag") == F.col("lang"))
 
 
 # ---------------------------------------------------------------- more views
