@@ -38,7 +38,9 @@ def user_feed(posts: DataFrame, edges: DataFrame) -> DataFrame:
     of everyone is a hot join key; AQE splits that join partition.
     """
     e = clean_edges(edges)
-    p = posts.select(*POST_COLS)
+    # a post without an author belongs to no feed; stating the filter once
+    # keeps both branches identical, so the posts are read once
+    p = posts.select(*POST_COLS).filter(F.col("user_id").isNotNull())
     followed = (p.join(e, p["user_id"] == e["followed_id"])
                 .select(F.col("follower_id").alias("viewer_id"), *[p[c] for c in POST_COLS]))
     own = p.select(F.col("user_id").alias("viewer_id"), *POST_COLS)
@@ -90,16 +92,16 @@ def apply_follow_requests(edges: DataFrame, requests: DataFrame) -> DataFrame:
 
     Applied in seq order, follow adds a missing edge and unfollow removes a
     present one, so for each pair only its last request decides; self-follows
-    are refused.  The last request per pair is an aggregate (``max_by``), and
-    the edge table is changed with an anti join and a union.
+    are refused.  The last request per pair is an aggregate (``max_by``); one
+    full outer join with the current edges decides every pair.
     """
+    pair = ["follower_id", "followed_id"]
     req = (requests.filter(F.col("follower_id") != F.col("followed_id"))
-           .groupBy("follower_id", "followed_id")
-           .agg(F.max_by("op", "seq").alias("op")))
-    e = edges.select("follower_id", "followed_id").distinct()
-    kept = e.join(req, ["follower_id", "followed_id"], "left_anti")
-    added = req.filter(F.col("op") == "follow").select("follower_id", "followed_id")
-    return kept.unionByName(added)
+           .groupBy(*pair).agg(F.max_by("op", "seq").alias("op")))
+    e = edges.select(*pair).distinct().withColumn("_present", F.lit(True))
+    j = e.join(req, pair, "full_outer")
+    keep = F.when(F.col("op").isNull(), F.col("_present")).otherwise(F.col("op") == "follow")
+    return j.filter(keep).select(*pair)
 
 
 def posts_with_author(posts: DataFrame, users: DataFrame) -> DataFrame:
@@ -107,21 +109,25 @@ def posts_with_author(posts: DataFrame, users: DataFrame) -> DataFrame:
     return posts.join(u, "user_id", "left").select("id", "user_id", "username", "body", "timestamp")
 
 
-def user_profile_counts(users: DataFrame, posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, username, post_count, follower_count, followed_count).
+def user_profile_counts(users: DataFrame, posts: DataFrame, edges: DataFrame,
+                        extra: list | None = None) -> DataFrame:
+    """(id, username, [extra...], post_count, follower_count, followed_count).
 
     The three counts come from one aggregation over a union of tagged ids
     (one shuffle, map-side combined, so a user with a third of all
     followers is absorbed by the partial counts), then one join to users.
+    Each edge yields its two tagged ids from a single read of the edges.
     """
-    tagged = (posts.select(F.col("user_id").alias("id"), F.lit(0).alias("kind"))
-              .unionByName(edges.select(F.col("followed_id").alias("id"), F.lit(1).alias("kind")))
-              .unionByName(edges.select(F.col("follower_id").alias("id"), F.lit(2).alias("kind"))))
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("followed_id").alias("id"), F.lit(1).alias("kind")),
+        F.struct(F.col("follower_id").alias("id"), F.lit(2).alias("kind")))).alias("e")).select("e.*")
+    tagged = posts.select(F.col("user_id").alias("id"), F.lit(0).alias("kind")).unionByName(ends)
     counts = tagged.groupBy("id").agg(
         *[F.count(F.when(F.col("kind") == k, F.lit(1))).alias(name)
           for k, name in enumerate(("post_count", "follower_count", "followed_count"))])
-    out = users.select("id", "username").join(counts, "id", "left")
-    return out.select("id", "username",
+    out = users.select("id", "username", *(extra or [])).join(counts, "id", "left")
+    names = [c for c in out.columns if c not in ("post_count", "follower_count", "followed_count")]
+    return out.select(*names,
                       *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
                         for c in ("post_count", "follower_count", "followed_count")])
 
@@ -170,11 +176,10 @@ def first_open_task(tasks: DataFrame, name: str) -> DataFrame:
 
 def user_records(users: DataFrame, posts: DataFrame, edges: DataFrame) -> DataFrame:
     """The user record of the API: id, username, last_seen (ISO-8601 + Z),
-    the three counts and the avatar digest."""
-    counts = user_profile_counts(users, posts, edges)
-    extra = users.select("id", scalars.iso_utc(F.col("last_seen")).alias("last_seen"),
-                         scalars.avatar_digest(F.col("username")).alias("avatar_md5"))
-    return counts.join(extra, "id")
+    avatar digest and the three counts (one read of the users)."""
+    return user_profile_counts(users, posts, edges, extra=[
+        scalars.iso_utc(F.col("last_seen")).alias("last_seen"),
+        scalars.avatar_digest(F.col("username")).alias("avatar_md5")])
 
 
 def followers_page(users: DataFrame, edges: DataFrame, page_no: int,

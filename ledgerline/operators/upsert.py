@@ -54,7 +54,10 @@ def _sequenced(batch: DataFrame, keys: list[str], value: str, bucket_width: int,
 
     Rows with a null key part never match a key: each is its own group.
     """
-    keyed = batch.filter(~_any_null(keys)).withColumn(
+    # The join back on (key, bucket) would infer "key and seq not null" for
+    # one use of the rows only; stating it here keeps both uses identical so
+    # Spark shares their exchange (the batch is read once for keyed rows).
+    keyed = batch.filter(~_any_null(keys) & F.col("seq").isNotNull()).withColumn(
         "_bucket", F.floor(F.col("seq") / F.lit(int(bucket_width))))
     w_in = Window.partitionBy(*keys, "_bucket").orderBy("seq")
     rows = (keyed.withColumn("_rn_in", F.row_number().over(w_in))
@@ -77,7 +80,7 @@ def _sequenced(batch: DataFrame, keys: list[str], value: str, bucket_width: int,
             .drop("_rn_in", "_prev_in", "_bucket", "_before", "_prev_bucket_last"))
 
     vtype = batch.schema[value].dataType
-    solo = (batch.filter(_any_null(keys))
+    solo = (batch.filter(_any_null(keys) | F.col("seq").isNull())
             .withColumn("_rn", F.lit(1).cast("long"))
             .withColumn("_prev", F.lit(None).cast(vtype)))
     if targets is not None:
