@@ -20,8 +20,8 @@ Parallel plan (no per-row lookups, no driver loop):
    many tasks instead of one;
 2. one aggregate of the base per key (lowest id, its value), joined to that
    per-bucket summary, so the batch rows themselves are shuffled only once;
-3. state: last value per key (``max_by`` on seq, map-side combined), applied
-   to the base by id; keys new to the base are inserted once.
+3. state: last value per key (``max_by`` on seq), then one full outer join
+   with the base on ``id = target id`` updates, keeps and inserts at once.
 """
 
 from __future__ import annotations
@@ -131,34 +131,36 @@ def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
 
     ``id_base`` defaults to ``base``; a stream passes its initial table so
     that ids do not depend on how the batch was split into micro-batches.
+
+    One full outer join of the base with the per-key batch result on
+    ``base.id = target id`` gives all three outcomes at once: matched base
+    rows are updated, unmatched base rows stay, unmatched keys are inserted.
     """
-    grp = [*keys, "_solo"]
     b = batch.withColumn("_solo", F.when(_any_null(keys), F.col("seq")))
-    last = (b.groupBy(*grp)
+    last = (b.groupBy(*keys, "_solo")
             .agg(F.max_by(F.struct(F.col(value).alias("v"), F.col("remarks").alias("r")), "seq").alias("_last"),
                  F.min("seq").alias("_first_seq")))
-    # One left join decides both outcomes per key (found -> update the target
-    # row, not found -> insert); both branches share this join's exchanges.
-    matched = last.join(base_targets(base, keys, value), keys, "left")
-    touched = (matched.filter(F.col("_target_id").isNotNull())
-               .select(F.col("_target_id").alias("id"), "_last"))
-    cols = [c for c in base.columns]
-    upd = base.join(touched, "id", "left")
-    hit = F.col("_last").isNotNull()
-    updated = upd.select(*[
-        (F.when(hit, F.col("_last.v")).otherwise(F.col(c)).alias(c) if c == value else
-         F.when(hit, F.col("_last.r")).otherwise(F.col(c)).alias(c) if c == "remarks" else
-         F.col(c)) for c in cols])
+    matched = (last.join(base_targets(base, keys, value), keys, "left")
+               .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_target_id", "_last", "_first_seq"))
     # The largest base id (0 for an empty base), as a scalar subquery.
     max_id = (base if id_base is None else id_base).agg(
         F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    new = matched.filter(F.col("_target_id").isNull())
-    inserted = new.select(*[
-        ((max_id + F.col("_first_seq")).alias("id") if c == "id" else
-         F.col("_last.v").alias(c) if c == value else
-         F.col("_last.r").alias(c) if c == "remarks" else
-         F.col(c)) for c in cols])
-    return updated.unionByName(inserted)
+    j = base.withColumn("_in_base", F.lit(True)).join(
+        matched, F.col("id") == F.col("_target_id"), "full_outer")
+    in_base = F.col("_in_base").isNotNull()
+    hit = in_base & F.col("_target_id").isNotNull()
+
+    def out(c: str):
+        if c == "id":
+            return F.when(in_base, F.col("id")).otherwise(max_id + F.col("_first_seq")).alias("id")
+        if c == value:
+            return F.when(hit | ~in_base, F.col("_last.v")).otherwise(F.col(c)).alias(c)
+        if c == "remarks":
+            return F.when(hit | ~in_base, F.col("_last.r")).otherwise(F.col(c)).alias(c)
+        if c in keys:
+            return F.when(in_base, F.col(c)).otherwise(F.col(f"_k_{c}")).alias(c)
+        return F.col(c)
+    return j.select(*[out(c) for c in base.columns])
 
 
 def forecast_upsert(base: DataFrame, batch: DataFrame, author: str,
