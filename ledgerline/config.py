@@ -33,7 +33,7 @@ MAX_LANGUAGE_TAG_LEN = 5
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-# Rows of one key that the ordered upsert handles inside one window
-# partition; larger runs of one key are split by sequence range (see
-# operators/upsert.py) so a hot key never lands in a single task.
+# Width, in sequence numbers, of the ranges into which the ordered upsert
+# splits the rows of one key (see operators/upsert.py): a window partition
+# holds at most this many rows, so a hot key never lands in a single task.
 UPSERT_SEQ_BUCKET = 1 << 20
