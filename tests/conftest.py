@@ -1,3 +1,5 @@
+"""Shared test session (local[8], 8 shuffle partitions) and helpers."""
+
 import os
 import sys
 
