@@ -134,9 +134,11 @@ def start_forecast_upsert(batches: DataFrame, initial_state_path: str, state_roo
     def apply(batch: DataFrame, epoch_id: int) -> None:
         stage = f"{out}/staging/epoch={epoch_id}"
         if not _exists(spark, f"{stage}/_DONE"):
-            good, bad = quality.split_valid(check(batch))
+            # validated once for the four actions below (a lost cache block is
+            # recomputed from the micro-batch's source files)
+            checked = check(batch).persist()
+            good, bad = quality.split_valid(checked)
             bad.write.mode("overwrite").parquet(f"{out}/quarantine/epoch={epoch_id}")
-            good = good.persist()
             # Touched partitions: at most the number of (year, month)
             # partitions of the table, a small list of names.
             touched = [f"{r.year}-{r.month}" for r in good.select(*STATE_PARTITIONS).distinct().collect()]
@@ -151,7 +153,7 @@ def start_forecast_upsert(batches: DataFrame, initial_state_path: str, state_roo
                 # state: the log can go straight to its final place.
                 log.write.mode("overwrite").parquet(f"{out}/log/epoch={epoch_id}")
                 new_part.write.mode("overwrite").partitionBy(*STATE_PARTITIONS).parquet(f"{stage}/state")
-            good.unpersist()
+            checked.unpersist()
             spark.createDataFrame([(epoch_id, len(touched))], "epoch long, partitions long") \
                 .write.mode("overwrite").json(f"{stage}/_DONE")
         if _exists(spark, f"{stage}/state"):
