@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import config, schemas
 from ..functions.scalars import title_case_names
 from ..operators import changelog as chg, quality, summary, timesheets, upsert
 from ..session import cut_lineage
@@ -30,7 +30,8 @@ def refresh_spent_time(spark: SparkSession, csv_path: str, table_path: str,
 
 
 def apply_forecast_batch(spark: SparkSession, state_path: str, batch_path: str, out_root: str,
-                         author: str, run_time: dt.datetime, batch_format: str = "csv") -> str:
+                         author: str, run_time: dt.datetime, batch_format: str = "csv",
+                         year_range: tuple[int, int] = config.YEAR_RANGE) -> str:
     """Import a forecast batch: validate, upsert, append the audit rows, write
     the new state as a snapshot and return its path (the new current state).
 
@@ -40,7 +41,7 @@ def apply_forecast_batch(spark: SparkSession, state_path: str, batch_path: str,
     """
     root = out_root.rstrip("/")
     state = spark.read.schema(schemas.FORECAST).parquet(state_path)
-    checked = quality.validate_plan_batch(files.read_plan_batch(spark, batch_path, batch_format))
+    checked = quality.validate_plan_batch(files.read_plan_batch(spark, batch_path, batch_format), year_range)
     good, bad = quality.split_valid(checked)
     bad.write.mode("append").parquet(f"{root}/quarantine")
     log, new_state = upsert.forecast_upsert(state, good, author)
