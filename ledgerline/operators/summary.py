@@ -101,13 +101,20 @@ def load_bands(summary_by_employee: DataFrame) -> DataFrame:
 
 
 def employee_cells_with_total(plan: DataFrame, value: str = "dedication") -> DataFrame:
-    """Long employee summary plus a TOTAL row per (year, employee)."""
+    """Long employee summary plus a TOTAL row per (year, employee).
+
+    One rollup over (year, employee, month) yields the month sums and the
+    per-employee totals in a single aggregation; ``grouping_id`` tells the
+    two levels apart (0: a month cell, 1: the month rolled up).
+    """
     cells = cell_means(plan, CELL_KEYS, value)
-    per = item_month_sums(cells, ["employee"])
-    months = per.select("year", "employee", F.col("month").cast("string").alias("cell"), "value")
-    totals = (per.groupBy("year", "employee").agg(F.sum("value").alias("value"))
-              .select("year", "employee", F.lit("TOTAL").alias("cell"), "value"))
-    return months.unionByName(totals)
+    agg = (cells.rollup("year", "employee", "month")
+           .agg(F.sum("value").alias("value"), F.grouping_id().alias("_level")))
+    return (agg.filter(F.col("_level") <= 1)
+            .select("year", "employee",
+                    F.when(F.col("_level") == 1, F.lit("TOTAL"))
+                    .otherwise(F.col("month").cast("string")).alias("cell"),
+                    "value"))
 
 
 def total_bar_fraction(table: DataFrame, total_col: str = "total",
