@@ -39,16 +39,21 @@ def summary_from_cells(cells: DataFrame, item: str) -> DataFrame:
 def summary_all_years(plan: DataFrame, value: str = "dedication") -> DataFrame:
     """Both summaries for all years: (year, dimension, item, m1..m12, total).
 
-    The cell means are computed once and feed both item groupings.
+    The cell means are computed once; grouping sets ((year, project),
+    (year, employee)) build both summaries in one aggregation, and
+    ``grouping(employee)`` names the dimension of each row.
     """
     cells = cell_means(plan, CELL_KEYS, value)
-    parts = []
-    for dim in ("project", "employee"):
-        w = widen(cells, ["year", dim])
-        parts.append(w.select("year", F.lit(dim).alias("dimension"),
-                              F.col(dim).alias("item"), *MONTH_COLS)
-                     .withColumn("total", scalars.row_sum(MONTH_COLS)))
-    return parts[0].unionByName(parts[1])
+    sums = [F.coalesce(F.sum(F.when(F.col("month") == m, F.col("value"))), F.lit(0.0)).alias(f"m{m}")
+            for m in range(1, 13)]
+    agg = cells.groupingSets([["year", "project"], ["year", "employee"]], "year", "project", "employee") \
+        .agg(*sums, F.grouping("employee").alias("_by_project"))
+    # grouping(employee) = 1 in the (year, project) set, where employee is rolled up
+    by_project = F.col("_by_project") == 1
+    return agg.select("year",
+                      F.when(by_project, F.lit("project")).otherwise(F.lit("employee")).alias("dimension"),
+                      F.when(by_project, F.col("project")).otherwise(F.col("employee")).alias("item"),
+                      *MONTH_COLS).withColumn("total", scalars.row_sum(MONTH_COLS))
 
 
 def merge_profile_maps(active_users: DataFrame, stored: DataFrame,
