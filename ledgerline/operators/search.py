@@ -21,12 +21,6 @@ def _text_of(df: DataFrame, text_cols: list[str]):
     return F.concat_ws(" ", *[F.col(c) for c in text_cols])
 
 
-def doc_terms(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """(doc_id, term) one row per token occurrence."""
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.explode(tokens(_text_of(docs, text_cols))).alias("term"))
-
-
 def _token_counts(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(term, doc_id, tf, doc_len) from one tokenisation pass; a document
     without tokens appears once with a null term (so its length is kept)."""

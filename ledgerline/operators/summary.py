@@ -16,11 +16,6 @@ from .matrix import MONTH_COLS, cell_means, widen
 CELL_KEYS = ["employee", "project"]
 
 
-def item_month_sums(cells: DataFrame, items: list[str]) -> DataFrame:
-    """Long (items, year, month, value): sum of cell means per item."""
-    return cells.groupBy(*items, "year", "month").agg(F.sum("value").alias("value"))
-
-
 def summary(plan: DataFrame, item: str, value: str = "dedication") -> DataFrame:
     """(year, item, m1..m12, total) for every year in one pass."""
     return summary_from_cells(cell_means(plan, CELL_KEYS, value), item)

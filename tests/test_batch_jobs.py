@@ -85,3 +85,15 @@ def test_export_reports_title_case_partitioned(spark):
     df = spark.read.parquet(out["personnel_forecasts"])
     assert {"Employee", "Project", "M1", "year"} <= set(df.columns)
     assert df.select("year").distinct().count() == catalog.available_years(fx.forecast(spark, d)).count()
+
+
+def test_export_profiles_partitioned_by_year(spark):
+    root = scratch_path(spark, "t-profiles-export")
+    d = SF_SMALL
+    pm = fx.profile_map(spark, d)
+    out = batch_jobs.export_profiles(fx.forecast(spark, d),
+                                     batch_jobs.timesheets.spent_time(fx.time_entries(spark, d), "x"),
+                                     fx.cost(spark, d), pm, root)
+    assert set(out) == {"forecast_profile", "spent_time_profile", "costs"}
+    fp = spark.read.parquet(out["forecast_profile"])
+    assert {"project", "profile", "m1", "year"} <= set(fp.columns) and fp.count() > 0
