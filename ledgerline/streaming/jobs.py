@@ -1,9 +1,12 @@
 """Streaming jobs: last seen (R3), monthly hours (R1), ordered upsert (R2).
 
-Sinks are epoch-keyed: micro-batch ``N`` writes ``<root>/epoch=N`` with
-overwrite, so a micro-batch replayed after a failure replaces its own output
-and the result stays exactly-once.  Readers combine the epochs with a
-(map-side combined) aggregate; no listing or state lives on the driver.
+R1 and R3 sinks are epoch-keyed: micro-batch ``N`` writes ``<root>/epoch=N``
+with overwrite, so a micro-batch replayed after a failure replaces its own
+output and the result stays exactly-once; readers combine the epochs with a
+(map-side combined) aggregate.  R2 keeps its state table partitioned by
+(year, month), rewrites only the partitions a micro-batch touches, and stages
+each micro-batch so that a replay only re-publishes (see
+:func:`start_forecast_upsert`).
 """
 
 from __future__ import annotations
