@@ -1,8 +1,10 @@
 """Full-text index and ranked search as DataFrame jobs.
 
 The index is a postings table (term, doc_id, tf) plus a document-length
-table; search is a join of the query terms to the postings and BM25 scoring
-as column arithmetic.  Whole texts are tokenised; nothing is truncated.
+table, built once and stored (``write_index``); search filters the postings on
+the query terms (pushed into the scan), joins the document lengths and scores
+with BM25 as column arithmetic.  Whole texts are tokenised; nothing is
+truncated.
 """
 
 from __future__ import annotations
