@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, mixing, sharding
+from . import decontaminate, langid, mixing, sharding, simhash, tokens
 
 
 def op2_mix_sources(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -28,4 +28,20 @@ def op4_decontaminate(spark: SparkSession, data_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_consistent_hash_shards, op4_decontaminate)}
+def op5_identify_language(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = langid.predict(read_table(spark, data_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                        F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+
+
+def op8_count_tokens(spark: SparkSession, data_dir: str) -> DataFrame:
+    return tokens.token_counts(read_table(spark, data_dir, "documents"))
+
+
+def op9_simhash_near_duplicates(spark: SparkSession, data_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, data_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_consistent_hash_shards, op4_decontaminate, op5_identify_language,
+                                   op8_count_tokens, op9_simhash_near_duplicates)}
