@@ -96,4 +96,14 @@ SELECT a.doc_id, CAST(a.size AS BIGINT) AS size, xor(list_reduce(list_prepend(CA
 FROM crc_table, arced a JOIN pieces p ON p.arc = a.arc AND a.rnk >= p.from_rank AND a.rnk < p.to_rank
 """
 
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op3_consistent_hash_shards": OP3_SQL, "op4_decontaminate": OP4_SQL}
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL = {"op1_warc_archive": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_consistent_hash_shards": OP3_SQL,
+              "op4_decontaminate": OP4_SQL}

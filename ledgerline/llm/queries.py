@@ -8,8 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources.tables import read_table
-from . import decontaminate, langid, mixing, sharding, simhash, tokens
+from . import ann, decontaminate, langid, licenses, mixing, ppm, sharding, simhash, tokens, warc
+
+
+def op1_warc_archive(spark: SparkSession, data_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(read_table(spark, data_dir, "pages"), path)
+    return (warc.read_archive(spark, path)
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op2_mix_sources(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -34,6 +42,14 @@ def op5_identify_language(spark: SparkSession, data_dir: str) -> DataFrame:
                         F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
 
 
+def op6_score_language_model(spark: SparkSession, data_dir: str) -> DataFrame:
+    return ppm.score_documents(read_table(spark, data_dir, "documents"))
+
+
+def op7_scan_licenses(spark: SparkSession, data_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, data_dir, "documents"))
+
+
 def op8_count_tokens(spark: SparkSession, data_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, data_dir, "documents"))
 
@@ -43,5 +59,10 @@ def op9_simhash_near_duplicates(spark: SparkSession, data_dir: str) -> DataFrame
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_consistent_hash_shards, op4_decontaminate, op5_identify_language,
-                                   op8_count_tokens, op9_simhash_near_duplicates)}
+def op10_nearest_neighbours(spark: SparkSession, data_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, data_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc_archive, op2_mix_sources, op3_consistent_hash_shards, op4_decontaminate, op5_identify_language,
+    op6_score_language_model, op7_scan_licenses, op8_count_tokens, op9_simhash_near_duplicates, op10_nearest_neighbours)}
