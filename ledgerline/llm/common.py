@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most rows of a key table that is broadcast; larger ones are joined through a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def ascii_lower(c: Column) -> Column:

@@ -75,17 +75,21 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
             .select("src_null", "src", "source_size", "rank", "weight", "target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target (its source's) and taken (its words in the mix)."""
-    sized = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                    word_count(F.col(text_col)).alias("size"))
-                        .withColumns({"src_null": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))}))
-    shards = max(1, -(-sized.count() // ROWS_PER_SHARD))
-    placed = sized.withColumn("h", hash48(seed, F.col("doc_id"))).withColumn("shard", F.col("h") % shards)
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))})
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
+    """Adds to rows with __id, __source and __size where each document stands (__s, __e in its shard's part
+    of the source's stream), its source's size, target and passes, and the shard's selection of blocks."""
+    own = lambda df: df.withColumns({"src_null": F.col("__source").isNull(), "src": F.coalesce("__source", F.lit("")),
+                                     "__h": hash48(seed, F.col("__id"))})
+    small = cut_lineage(own(sized.select("__id", "__source", "__size")))
+    shards = max(1, -(-small.count() // ROWS_PER_SHARD))
+    shard = F.col("__h") % shards
 
     src = ["src_null", "src"]
-    cells = cut_lineage(placed.groupBy(*src, "shard").agg(F.sum("size").alias("words")))
+    cells = cut_lineage(small.withColumn("shard", shard).groupBy(*src, "shard").agg(F.sum("__size").alias("words")))
     goals = targets(cells.groupBy(*src).agg(F.sum("words").alias("source_size")), weights, max_repeats)
     every = W.partitionBy(F.lit(0))
     block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(
@@ -114,24 +118,74 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
               .withColumn("phase", F.when(F.col("n") > 0, hash48(seed, F.col("src"), F.col("shard")) % F.col("n")).otherwise(0))
               .withColumn("head", F.col("first") * F.col("block") - F.col("at"))
               .withColumn("carry", F.coalesce(F.last(F.when(F.col("n") > 0, _picked("n - 1")), True).over(stream), F.lit(0)))
-              .select(*src, "shard", "source_size", "target", "block", "passes", "n", "quota", "phase", "head", "carry"))
+              .select(F.struct(*src, "shard", "source_size", "target", "block", "passes", "n", "quota", "phase", "head", "carry").alias("__p")))
 
-    in_cell = W.partitionBy(*src, "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    run = placed.withColumn("e", F.sum("size").over(in_cell)).withColumn("s", F.col("e") - F.col("size"))
-    return (run.join(picked, [*src, "shard"])
-            .select("doc_id", "source", "size", "source_size", "target",
-                    (F.col("size") * F.col("passes") + _selected("e") - _selected("s")).cast("long").alias("taken")))
+    rows = (small if set(sized.columns) == {"__id", "__source", "__size"} else own(sized)).withColumn("__shard", shard)
+    in_cell = W.partitionBy("src_null", "src", "__shard").orderBy("__h", "__id", "__size").rowsBetween(W.unboundedPreceding, 0)
+    run = rows.withColumn("__e", F.sum("__size").over(in_cell)).withColumn("__s", F.col("__e") - F.col("__size"))
+    return run.join(picked, (F.col("src_null") == F.col("__p.src_null")) & (F.col("src") == F.col("__p.src"))
+                    & (F.col("__shard") == F.col("__p.shard")))
 
 
-def _picked(j: str) -> Column:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target (its source's) and taken (its words in the mix)."""
+    placed = _plan(_sized(docs, id_col, text_col, source_col).select("__id", "__source", "__size"), weights, max_repeats, seed)
+    taken = F.col("__size") * F.col("__p.passes") + _selected("__e") - _selected("__s")
+    return placed.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"),
+                         F.col("__p.source_size").alias("source_size"), F.col("__p.target").alias("target"),
+                         taken.cast("long").alias("taken"))
+
+
+def mix_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
+              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each whole pass over a document, and one for
+    the words of its selected blocks (with what follows each word); chars_col, if there, is the new
+    text's length. A document of which nothing is taken is left out."""
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    sized = row.select("__row", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{source_col}").alias("__source"),
+                       word_count(F.col(f"__row.{text_col}")).alias("__size"))
+    placed = _plan(sized, weights, max_repeats, seed)
+    text = F.col(f"__row.{text_col}")
+    pieces = F.regexp_extract_all(text, F.lit(SPACED_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    lead = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    part = F.when(F.size("__own") > 0, F.concat(lead, F.array_join(F.flatten(F.transform(
+        "__own", lambda r: F.slice(pieces, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")))), "")))
+    chosen = _selected("__e") - _selected("__s")
+    rows = (placed.withColumn("__own", F.when((chosen > 0) & (chosen < F.col("__size")), _ranges()))
+            .withColumn("__some", F.when(chosen == F.col("__size"), text).otherwise(part))
+            .withColumn("__texts", F.concat(F.when(F.col("__size") > 0, F.array_repeat(text, F.col("__p.passes").cast("int"))).otherwise(F.array().cast("array<string>")),
+                                            F.when((chosen > 0), F.array("__some")).otherwise(F.array().cast("array<string>"))))
+            .select("__row", F.explode("__texts").alias("__text")))
+    new = {text_col: F.col("__text"), chars_col: F.char_length("__text").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _ranges() -> Column:
+    """The document's selected words as ranges [a, b) of its own word numbers, one per selected block."""
+    p, s, e = "__p.", "__s", "__e"
+    before = F.when((F.col(p + "carry") == 1) & (F.col(s) < F.col(p + "head")), F.array(F.struct(
+        F.lit(0).cast("long").alias("a"), (F.least(F.col(e), F.col(p + "head")) - F.col(s)).alias("b"))))
+    first = F.floor((F.greatest(F.col(s), F.col(p + "head")) - F.col(p + "head")) / F.col(p + "block")).cast("long")
+    last = F.floor((F.col(e) - 1 - F.col(p + "head")) / F.col(p + "block")).cast("long")
+    step = lambda j: F.floor((j * F.col(p + "quota") + F.col(p + "phase")) / F.col(p + "n"))
+    mine = F.filter(F.sequence(first, last), lambda j: step(j + 1) > step(j))
+    cut = F.transform(mine, lambda j: F.struct(
+        (F.greatest(F.col(s), F.col(p + "head") + j * F.col(p + "block")) - F.col(s)).alias("a"),
+        (F.least(F.col(e), F.col(p + "head") + (j + 1) * F.col(p + "block")) - F.col(s)).alias("b")))
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    return F.concat(F.coalesce(before, empty), F.when((F.col(p + "n") > 0) & (F.col(e) > F.col(p + "head")), cut).otherwise(empty))
+
+
+def _picked(j: str, p: str = "") -> Column:
     """1 if the shard's block j is selected: its evenly spaced quota steps up there."""
-    return F.expr(f"(({j} + 1) * quota + phase) div n - (({j}) * quota + phase) div n")
+    return F.expr(f"(({j} + 1) * {p}quota + {p}phase) div {p}n - (({j}) * {p}quota + {p}phase) div {p}n")
 
 
-def _selected(x: str) -> Column:
+def _selected(x: str, p: str = "__p.") -> Column:
     """Selected words among the first x of a shard's part of the stream."""
-    j = f"(({x} - head) div block)"
-    inside = F.expr(f"carry * head + block * (({j} * quota + phase) div n)") + \
-        F.expr(f"({x} - head) % block") * _picked(j)
-    return F.when((F.col("n") > 0) & (F.col(x) >= F.col("head")), inside).otherwise(
-        F.col("carry") * F.least(F.col(x), F.col("head")))
+    j = f"(({x} - {p}head) div {p}block)"
+    inside = F.expr(f"{p}carry * {p}head + {p}block * (({j} * {p}quota + {p}phase) div {p}n)") + \
+        F.expr(f"({x} - {p}head) % {p}block") * _picked(j, p)
+    return F.when((F.col(p + "n") > 0) & (F.col(x) >= F.col(p + "head")), inside).otherwise(
+        F.col(p + "carry") * F.least(F.col(x), F.col(p + "head")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow_text import text_udf
-from .common import join_keys
+from .common import join_keys, text_key
 from .components import components
 
 SHINGLE = 3
@@ -298,15 +298,44 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, large: int =
     return edges.union(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = BANDS,
-                    large: int = LARGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, fp (bigint) and component_id (smallest doc_id reachable)."""
-    rows = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp"))
+def _grouped(docs: DataFrame, shingle: int, radius: int, bands: int, large: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document row: doc_id, text key, fp, root (a fingerprint that names the component) and component_id."""
+    text = F.col(text_col)
+    rows = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), *text_key(text), fingerprint(text, shingle).alias("fp"))
                        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
     parts = cut_lineage(rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("low")))
     nodes = parts.groupBy("fp").agg(F.min("low").alias("low"))
     roots = components(links(nodes.select("fp"), radius, bands, large))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return (rows.join(parts.select("fp", "salt").join(named, "fp"), ["fp", "salt"])
-            .select("doc_id", "fp", "component_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(parts.select("fp", "salt").join(named, "fp"), ["fp", "salt"])
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = BANDS,
+                    large: int = LARGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document row: doc_id, fp (bigint) and component_id (smallest doc_id reachable)."""
+    return _grouped(docs, shingle, radius, bands, large, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bands: int = BANDS, large: int = LARGE,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, unchanged: that of the smallest id (nulls last), of repeated rows one."""
+    rows = cut_lineage(_grouped(docs, shingle, radius, bands, large, id_col, text_col)
+                       .select("doc_id", "__text_hash", "__text_bytes", "root"))
+    key = ["doc_id", "__text_hash", "__text_bytes"]
+    order = F.struct(F.col("doc_id").isNull(), *key)
+    kept = rows.groupBy("root").agg(F.min(order).alias("k")).select("k.*")
+    counts = rows.groupBy("root", *key).agg(F.count(F.lit(1)).alias("n"))
+    named = lambda df: df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)])
+    on = [f"__k{i}" for i in range(len(key))]
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key]
+    same = same[0] & same[1] & same[2]
+    gone = counts.alias("c").join(kept.alias("k"), same, "left_anti")
+    repeated = counts.filter("n > 1").alias("c").join(kept.alias("k"), same, "left_semi")
+    h, b = text_key(F.col(text_col))
+    keyed = docs.withColumns({"__k0": F.col(id_col), "__k1": h, "__k2": b})
+    out = join_keys(keyed, named(gone.distinct()), on, "left_anti")
+    again = cut_lineage(named(repeated))
+    if not again.isEmpty():  # rows that repeat a kept one
+        out = join_keys(out, again, on, "left_anti").union(join_keys(out, again, on, "left_semi").dropDuplicates(on))
+    return out.drop(*on)
