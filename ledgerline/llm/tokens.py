@@ -20,10 +20,10 @@ import os
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import text_udf
+from .arrow_text import map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -121,16 +121,15 @@ def _counts(path: str) -> Counts:
     return _COUNTS[path]
 
 
-def n_tokens(text: Column, path: str) -> Column:
-    def run(texts, counts):
-        return pa.array(counts.count([t.decode() if t else "" for t in texts]), pa.int64())
-    return text_udf(run, "bigint", lambda: _counts(path))(text)
-
-
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit. `path` must be readable on every executor."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
-                          n_tokens(text, path or vocabulary_path()).alias("n_tokens"))
+    file = path or vocabulary_path()
+
+    def run(texts, counts):
+        return [pa.array([len(t or b"") for t in texts], pa.int64()),
+                pa.array(counts.count([t.decode() if t else "" for t in texts]), pa.int64())]
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counted = map_texts(rows, "text", run, "n_bytes bigint, n_tokens bigint", lambda: _counts(file))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
