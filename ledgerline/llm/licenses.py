@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import joined, text_udf
+from .arrow_text import joined, map_texts
 
 # License notices as their licenses word them, by SPDX identifier.
 TEMPLATES = (
@@ -206,8 +206,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
     def run(texts):
         got = scanner.scan([t or b"" for t in texts])
         names = ("license", "containment", "first_word", "occurrences")
-        return pa.array([[dict(zip(names, x)) for x in rows] for rows in got], kind)
+        return [pa.array([[dict(zip(names, x)) for x in rows] for rows in got], kind)]
 
-    found = text_udf(run, _FOUND)
-    return (docs.select(F.col(id_col).alias("doc_id"), F.explode(found(F.col(text_col))).alias("f"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = map_texts(rows, "text", run, f"found {_FOUND}")
+    return (found.select("doc_id", F.explode("found").alias("f"))
             .select("doc_id", "f.license", "f.containment", "f.first_word", "f.occurrences"))
