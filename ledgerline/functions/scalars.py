@@ -98,19 +98,21 @@ def change_sentence(c: dict[str, Column] | None = None) -> Column:
 
     Dedication branch when an employee is set, else cost branch when a concept
     is set, else only the author.  " Motivation: <remarks>" is appended when
-    remarks are present.  Percentages are ``round(x * 100)``, ties to even.
+    remarks are present.  A missing author, project, month or year reads
+    "None", as the page renders it.  Percentages are ``round(x * 100)``, ties to even.
     """
     col = (lambda n: F.col(n)) if c is None else (lambda n: c[n])
-    when_ = F.concat_ws("/", col("month").cast("string"), col("year").cast("string"))
+    said = lambda n: F.coalesce(col(n).cast("string"), F.lit("None"))
+    when_ = F.concat(said("month"), F.lit("/"), said("year"))
     ded = F.concat(
-        col("author"), F.lit(" changed the dedication of "), col("employee"),
-        F.lit(" in "), col("project"), F.lit(" - "), when_,
+        said("author"), F.lit(" changed the dedication of "), col("employee"),
+        F.lit(" in "), said("project"), F.lit(" - "), when_,
         F.lit(" from "), F.coalesce(whole_percent(col("dedication_old")).cast("string"), F.lit("")),
         F.lit("% to "), F.coalesce(whole_percent(col("dedication_new")).cast("string"), F.lit("")),
         F.lit("%."))
     cst = F.concat(
-        col("author"), F.lit(" changed the cost of "), col("concept"),
-        F.lit(" in "), col("project"), F.lit(" - "), when_,
+        said("author"), F.lit(" changed the cost of "), col("concept"),
+        F.lit(" in "), said("project"), F.lit(" - "), when_,
         F.lit(" from "), F.coalesce(col("cost_old").cast("string"), F.lit("None")),
         F.lit("€ to "), F.coalesce(col("cost_new").cast("string"), F.lit("None")),
         F.lit("€."))

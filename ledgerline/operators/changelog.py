@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars
+from .topn import top_n
 
 
 def newest_first() -> list:
@@ -19,13 +20,9 @@ def newest_first() -> list:
 def top_n_per_year(changelog: DataFrame, n: int = config.CHANGELOG_ROWS_PER_YEAR) -> DataFrame:
     """Newest ``n`` rows of every year (timestamp desc, id desc as tie-break).
 
-    ``row_number() <= n`` lets Spark insert a partial group limit before the
-    shuffle, so each map task forwards at most ``n`` rows per year: the few,
-    huge year groups never reach one task whole.
+    The few, huge year groups never reach one task whole (see :func:`topn.top_n`).
     """
-    w = Window.partitionBy("year").orderBy(*newest_first())
-    return (changelog.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= n))
+    return top_n(changelog, ["year"], newest_first(), n, "id")
 
 
 def year_top_n(changelog: DataFrame, year: int, n: int = config.CHANGELOG_ROWS_PER_YEAR) -> DataFrame:

@@ -69,8 +69,9 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reject_duplicate_usernames(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """(seq, username, status) with status ``exists`` (name already taken),
-    ``duplicate`` (asked for earlier in the same batch) or ``ok``.
+    """(seq, username, status) with status ``missing`` (no name), ``exists``
+    (name already taken), ``duplicate`` (asked for earlier in the same batch)
+    or ``ok``.
 
     Earlier-in-batch is decided by the first seq per name (an aggregate
     joined back), so a name requested by a third of the batch is not a
@@ -78,9 +79,10 @@ def reject_duplicate_usernames(requests: DataFrame, users: DataFrame) -> DataFra
     """
     taken = users.select(F.col("username").alias("_taken")).distinct()
     first = requests.groupBy("username").agg(F.min("seq").alias("_first_seq"))
-    j = (requests.join(first, "username")
+    j = (requests.join(first, "username", "left")
          .join(taken, F.col("username") == F.col("_taken"), "left"))
-    status = (F.when(F.col("_taken").isNotNull(), F.lit("exists"))
+    status = (F.when(F.col("username").isNull(), F.lit("missing"))
+              .when(F.col("_taken").isNotNull(), F.lit("exists"))
               .when(F.col("seq") != F.col("_first_seq"), F.lit("duplicate"))
               .otherwise(F.lit("ok")))
     return j.select("seq", "username", status.alias("status"))

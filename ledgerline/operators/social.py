@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars
+from .topn import top_n
 
 
 def newest_first() -> list:
@@ -47,6 +48,22 @@ def user_feed(posts: DataFrame, edges: DataFrame) -> DataFrame:
     return followed.unionByName(own)
 
 
+def viewer_feed(posts: DataFrame, edges: DataFrame, viewers: list[int] | tuple[int, ...] | DataFrame) -> DataFrame:
+    """(viewer_id, id, user_id, body, timestamp) for the given viewers (ids, or
+    a DataFrame with ``viewer_id``): posts of followed users plus own posts.
+
+    The viewers' edges and the viewers themselves are one list of (viewer,
+    author) pairs, so the posts are read once and only pairs of the viewers
+    asked for are ever made."""
+    if not isinstance(viewers, DataFrame):
+        viewers = posts.sparkSession.createDataFrame([(int(v),) for v in viewers], "viewer_id bigint")
+    asked = viewers.select(F.col("viewer_id").cast("long").alias("viewer_id")).distinct()
+    pairs = (clean_edges(edges).join(asked, F.col("follower_id") == F.col("viewer_id"), "left_semi")
+             .select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("_author"))
+             .unionByName(asked.select("viewer_id", F.col("viewer_id").alias("_author"))))
+    return posts.select(*POST_COLS).join(pairs, F.col("user_id") == F.col("_author")).select("viewer_id", *POST_COLS)
+
+
 def feed_page(posts: DataFrame, edges: DataFrame, page_no: int,
               per_page: int = config.POSTS_PER_PAGE) -> DataFrame:
     """Page ``page_no`` of every viewer's feed, newest first, with ``rank``.
@@ -63,14 +80,12 @@ def feed_page(posts: DataFrame, edges: DataFrame, page_no: int,
 
 def per_key_page(df: DataFrame, key: str, page_no: int, per_page: int,
                  order: list | None = None) -> DataFrame:
-    """Page of each key's rows (newest first unless ``order`` is given).  The
-    ``rank <= hi`` bound lets Spark apply a partial per-key limit before the
-    shuffle."""
+    """Page of each key's rows (newest first unless ``order`` is given; rows
+    have an ``id``).  However deep the page, no key meets in one task whole
+    (see :func:`topn.top_n`)."""
     p = max(int(page_no), 1)
     lo, hi = (p - 1) * per_page, p * per_page
-    w = Window.partitionBy(key).orderBy(*(order or newest_first()))
-    return df.withColumn("rank", F.row_number().over(w)).filter(
-        (F.col("rank") <= hi) & (F.col("rank") > lo))
+    return top_n(df, [key], order or newest_first(), hi, "id").filter(F.col("rank") > lo)
 
 
 def followers_of(users: DataFrame, edges: DataFrame) -> DataFrame:

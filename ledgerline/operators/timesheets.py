@@ -61,14 +61,15 @@ def spent_from_monthly(hours: DataFrame, run_stamp: str,
 
 def entries_slice(entries: DataFrame, employee: str, project: str | None = None,
                   from_date: str | None = None, to_date: str | None = None,
-                  fallback_limit: int = 100) -> DataFrame:
-    """Entries of one employee, optionally one project, optionally a date
-    range (inclusive).  Every given filter is applied.  Without a date range
-    the first ``fallback_limit`` entries by (date, project) are returned."""
+                  limit: int | None = None) -> DataFrame:
+    """Entries of one employee, optionally one project, optionally from and/or
+    to a date (inclusive).  Every given filter is applied, each date bound on
+    its own.  Only with ``limit`` the first ones by (date, project, hours)."""
     out = entries.filter(F.col("employee") == employee)
     if project is not None:
         out = out.filter(F.col("project") == project)
-    if from_date and to_date:
-        return out.filter(F.col("date").between(F.lit(from_date).cast("date"),
-                                                F.lit(to_date).cast("date")))
-    return out.orderBy("date", "project", "hours").limit(fallback_limit)
+    if from_date:
+        out = out.filter(F.col("date") >= F.lit(from_date).cast("date"))
+    if to_date:
+        out = out.filter(F.col("date") <= F.lit(to_date).cast("date"))
+    return out if limit is None else out.orderBy("date", "project", "hours").limit(limit)

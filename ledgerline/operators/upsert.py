@@ -20,8 +20,9 @@ Parallel plan (no per-row lookups, no driver loop):
    many tasks instead of one;
 2. one aggregate of the base per key (lowest id, its value), joined to that
    per-bucket summary, so the batch rows themselves are shuffled only once;
-3. state: last value per key (``max_by`` on seq), then one full outer join
-   with the base on ``id = target id`` updates, keeps and inserts at once.
+3. state: last value per key (``max_by`` on seq); the base is left-joined
+   with the keys it has (on the key and the target id) and the other keys are
+   added as new rows, so inserts stay spread by key as the aggregate left them.
 """
 
 from __future__ import annotations
@@ -123,18 +124,21 @@ def upsert_log(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
                     old.alias(f"{value}_old"), F.col(value).alias(f"{value}_new"), "remarks")
 
 
+def next_id(base: DataFrame) -> Column:
+    """What the ids of inserted rows are counted from: the largest id of the
+    base (0 if it is empty), as a scalar subquery."""
+    return base.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+
+
 def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
-                 id_base: DataFrame | None = None) -> DataFrame:
+                 first_id: Column | None = None) -> DataFrame:
     """The table after the batch: base rows (the target row of each touched key
     carries the key's last value and remarks) plus one new row per key that
-    was not in the base, with id ``max(id of id_base) + first seq of the key``.
-
-    ``id_base`` defaults to ``base``; a stream passes its initial table so
-    that ids do not depend on how the batch was split into micro-batches.
+    was not in the base, with id ``first_id + first seq of the key``.
 
-    One full outer join of the base with the per-key batch result on
-    ``base.id = target id`` gives all three outcomes at once: matched base
-    rows are updated, unmatched base rows stay, unmatched keys are inserted.
+    ``first_id`` defaults to the largest id of the base.  A stream, whose
+    batches are each numbered from 1, passes a number of its own per
+    micro-batch, so that ids of different files never meet.
     """
     b = batch.withColumn("_solo", F.when(_any_null(keys), F.col("seq")))
     last = (b.groupBy(*keys, "_solo")
@@ -142,25 +146,18 @@ def upsert_state(base: DataFrame, batch: DataFrame, keys: list[str], value: str,
                  F.min("seq").alias("_first_seq")))
     matched = (last.join(base_targets(base, keys, value), keys, "left")
                .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_target_id", "_last", "_first_seq"))
-    # The largest base id (0 for an empty base), as a scalar subquery.
-    max_id = (base if id_base is None else id_base).agg(
-        F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    j = base.withColumn("_in_base", F.lit(True)).join(
-        matched, F.col("id") == F.col("_target_id"), "full_outer")
-    in_base = F.col("_in_base").isNotNull()
-    hit = in_base & F.col("_target_id").isNotNull()
-
-    def out(c: str):
-        if c == "id":
-            return F.when(in_base, F.col("id")).otherwise(max_id + F.col("_first_seq")).alias("id")
-        if c == value:
-            return F.when(hit | ~in_base, F.col("_last.v")).otherwise(F.col(c)).alias(c)
-        if c == "remarks":
-            return F.when(hit | ~in_base, F.col("_last.r")).otherwise(F.col(c)).alias(c)
-        if c in keys:
-            return F.when(in_base, F.col(c)).otherwise(F.col(f"_k_{c}")).alias(c)
-        return F.col(c)
-    return j.select(*[out(c) for c in base.columns])
+    hits = matched.filter(F.col("_target_id").isNotNull())
+    on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_k_{k}") for k in keys], F.col("id") == F.col("_target_id"))
+    new = {value: F.col("_last.v"), "remarks": F.col("_last.r")}
+    hit = F.col("_target_id").isNotNull()
+    kept = base.join(hits, on, "left").select(
+        *[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in base.columns])
+    start = next_id(base) if first_id is None else first_id
+    added = new | {"id": start + F.col("_first_seq")} | {k: F.col(f"_k_{k}") for k in keys}
+    types = dict(base.dtypes)
+    inserts = matched.filter(F.col("_target_id").isNull()).select(
+        *[added.get(c, F.lit(None)).cast(types[c]).alias(c) for c in base.columns])
+    return kept.unionByName(inserts)
 
 
 def forecast_upsert(base: DataFrame, batch: DataFrame, author: str,

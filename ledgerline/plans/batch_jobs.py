@@ -21,38 +21,68 @@ from ..sources import files
 from . import reports
 
 
+#: Room for the rows of one run in the ids of its audit rows.
+RUN_SPAN = 1 << 24
+
+
 def refresh_spent_time(spark: SparkSession, csv_path: str, table_path: str,
-                       run_time: dt.datetime) -> None:
-    """Nightly refresh: tracker CSV -> spent-time table (replaced), by year."""
-    entries = files.read_time_entry_csv(spark, csv_path)
+                       run_time: dt.datetime, quarantine_path: str | None = None) -> str:
+    """Nightly refresh: tracker CSV -> spent-time table, by year, as a snapshot
+    (a failed run leaves the last table current).  Rows that do not parse go to
+    the quarantine (default ``<table_path>/quarantine``).  Returns the snapshot."""
+    entries, bad = files.read_time_entry_csv(spark, csv_path)
+    key = _run_key(run_time)
+    bad.write.mode("overwrite").parquet(f"{quarantine_path or table_path + '/quarantine'}/run={key}")
     spent = timesheets.spent_time(entries, run_time.strftime("%d/%m/%Y %H:%M:%S"))
-    writers.replace_table(spent, table_path, ["year"])
+    return writers.write_snapshot(spent, table_path, ["year"], key)
+
+
+def _run_key(run_time: dt.datetime) -> str:
+    return run_time.strftime("%Y%m%dT%H%M%S")
+
+
+def _audit(log: DataFrame, run_time: dt.datetime) -> DataFrame:
+    """Log rows in the audit table's columns.  Ids are unique between runs: the
+    run's second, then the row's place in its batch."""
+    stamp = F.lit(run_time.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    second = int(run_time.replace(tzinfo=dt.timezone.utc).timestamp())
+    have = set(log.columns)
+    cols = {f.name: f.dataType for f in schemas.CHANGELOG.fields}
+    fixed = {"id": F.lit(second * RUN_SPAN) + F.col("seq"), "timestamp": stamp}
+    return log.select(*[fixed.get(c, F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
+
+
+def _apply(spark: SparkSession, state: DataFrame, checked: DataFrame, out_root: str, run_time: dt.datetime,
+           author: str, apply, table: str) -> str:
+    root, key = out_root.rstrip("/"), _run_key(run_time)
+    good, bad = quality.split_valid(checked)
+    bad.write.mode("overwrite").parquet(f"{root}/quarantine/run={key}")
+    log, new_state = apply(state, good, author)
+    writers.append_log(_audit(log, run_time), f"{root}/changelog", key)
+    return writers.write_snapshot(new_state, f"{root}/{table}", run_key=key)
 
 
 def apply_forecast_batch(spark: SparkSession, state_path: str, batch_path: str, out_root: str,
                          author: str, run_time: dt.datetime, batch_format: str = "csv",
                          year_range: tuple[int, int] = config.YEAR_RANGE) -> str:
-    """Import a forecast batch: validate, upsert, append the audit rows, write
+    """Import a forecast batch: validate, upsert, add the audit rows, write
     the new state as a snapshot and return its path (the new current state).
 
-    Rejected rows go to ``<out_root>/quarantine``.  Audit rows take the batch
-    ``seq`` as id and ``run_time`` as timestamp, so a re-run writes the same
-    rows.
+    Rejected rows go to ``<out_root>/quarantine``.  All three outputs are keyed
+    by ``run_time``: a re-run replaces them.
     """
-    root = out_root.rstrip("/")
     state = spark.read.schema(schemas.FORECAST).parquet(state_path)
     checked = quality.validate_plan_batch(files.read_plan_batch(spark, batch_path, batch_format), year_range)
-    good, bad = quality.split_valid(checked)
-    bad.write.mode("append").parquet(f"{root}/quarantine")
-    log, new_state = upsert.forecast_upsert(state, good, author)
-    stamp = F.lit(run_time.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    audit = log.select(F.col("seq").alias("id"), "action", "author", "employee", "project",
-                       "month", "year", "dedication_old", "dedication_new",
-                       F.lit(None).cast("string").alias("concept"),
-                       F.lit(None).cast("int").alias("cost_old"), F.lit(None).cast("int").alias("cost_new"),
-                       "remarks", stamp.alias("timestamp"))
-    writers.append_log(audit, f"{root}/changelog")
-    return writers.write_snapshot(new_state, f"{root}/forecast")
+    return _apply(spark, state, checked, out_root, run_time, author, upsert.forecast_upsert, "forecast")
+
+
+def apply_cost_batch(spark: SparkSession, state_path: str, batch_path: str, out_root: str, author: str,
+                     run_time: dt.datetime, concepts: tuple[str, ...], batch_format: str = "csv",
+                     year_range: tuple[int, int] = config.YEAR_RANGE) -> str:
+    """Import a cost batch, as :func:`apply_forecast_batch` does for forecasts."""
+    state = spark.read.schema(schemas.COST).parquet(state_path)
+    checked = quality.validate_cost_batch(files.read_cost_batch(spark, batch_path, batch_format), concepts, year_range)
+    return _apply(spark, state, checked, out_root, run_time, author, upsert.cost_upsert, "cost")
 
 
 def run_retention(spark: SparkSession, changelog_path: str, out_root: str,
@@ -77,18 +107,19 @@ def export_reports(forecast: DataFrame, cost: DataFrame, spent: DataFrame, chang
 
 def export_profiles(forecast: DataFrame, spent: DataFrame, cost: DataFrame, profile_map: DataFrame,
                     root: str) -> dict[str, str]:
-    return writers.write_reports(reports.profile_bundle(forecast, spent, cost, profile_map), root)
+    """Profile sheets and costs; the forecast cell means are computed once."""
+    return writers.write_reports(reports.profile_bundle(forecast, spent, cost, profile_map, materialize=cut_lineage), root)
 
 
 def export_all_posts(posts: DataFrame, path: str) -> None:
-    """Every user's posts as JSON, oldest first (one folder per user)."""
+    """Every user's posts as JSON, oldest first, in folders of users."""
     writers.export_posts_json(posts, path)
 
 
 def update_profile_map(spark: SparkSession, active_users: DataFrame, stored_path: str,
                        uploaded_path: str, out_path: str) -> DataFrame:
     """Merge active users, the stored map and an uploaded map (last wins) and
-    write the result as JSON lines; returns the merged map."""
+    write the result as one JSON object; returns the merged map."""
     merged = summary.merge_profile_maps(active_users, files.read_profile_map(spark, stored_path),
                                         files.read_profile_map(spark, uploaded_path))
     writers.write_profile_map(merged, out_path)

@@ -279,6 +279,18 @@ SQL: dict[str, str] = {
         SELECT date, project, employee, hours FROM time_entries
         WHERE employee = '{R.SLICE['employee']}' AND project = '{R.SLICE['project']}'
           AND date BETWEEN DATE '{R.SLICE['from_date']}' AND DATE '{R.SLICE['to_date']}'""",
+    "quarantined_time_entries": """
+        SELECT employee, violations, count(*) AS n_rows FROM (
+          SELECT employee, concat_ws(',', CASE WHEN date IS NULL OR day(date) = 13 THEN 'date_invalid' END,
+                                          CASE WHEN hours = 5 THEN 'hours_invalid' END) AS violations
+          FROM time_entries) x GROUP BY ALL""",
+    "time_entries_since": f"""
+        SELECT date, project, employee, hours FROM time_entries
+        WHERE employee = '{R.SLICE['employee']}' AND date >= DATE '{R.SLICE['from_date']}'""",
+    "time_entries_first": f"""
+        SELECT date, project, employee, hours FROM time_entries
+        WHERE employee = '{R.SLICE['employee']}' AND project = '{R.SLICE['project']}'
+        ORDER BY date, project, hours LIMIT {R.ENTRIES_SHOWN}""",
     "resolve_ids": """
         SELECT p.employee, p.project, e.employee_id, o.project_id
         FROM (SELECT DISTINCT employee, project FROM forecast) p
@@ -308,6 +320,7 @@ SQL: dict[str, str] = {
     "profile_matrix": _rounded(_profile_matrix("cells", "profile_map"), MCOLS),
     "profile_matrix_spent": _rounded(_profile_matrix("spent_cells", "profile_map"), MCOLS),
     "profile_map_merge": "SELECT employee, profile FROM merged_map",
+    "profile_map_file": "SELECT employee, profile FROM merged_map",
     "load_bands": _rounded("""
         WITH per AS (SELECT employee, year, month, sum(value) AS value FROM cells GROUP BY ALL),
              x AS (SELECT year, employee, CAST(month AS VARCHAR) AS cell, value FROM per
@@ -397,37 +410,18 @@ SQL: dict[str, str] = {
         + (R.RETENTION_AS_OF - __import__('datetime').timedelta(days=365)).strftime('%Y-%m-%d %H:%M:%S') + "'",
         ["dedication_old", "dedication_new"]),
     "forecast_year_filter": f"SELECT * FROM forecast WHERE year = {R.YEAR}",
-    "report_bundle": f"""
-        WITH yrs AS (SELECT DISTINCT year FROM forecast)
-        SELECT 'changelog' AS report, year, count(*) AS n_rows FROM (
-            SELECT year, row_number() OVER (PARTITION BY year ORDER BY {_NEWEST}) AS rn FROM changelog) c
-          WHERE rn <= 120 AND year IN (SELECT year FROM yrs) GROUP BY year
-        UNION ALL SELECT 'personnel_forecasts', year, count(*) FROM
-          (SELECT DISTINCT year, employee, project FROM forecast) x GROUP BY year
-        UNION ALL SELECT 'cost_forecasts', year, count(*) FROM
-          (SELECT DISTINCT year, project, concept FROM cost) x WHERE year IN (SELECT year FROM yrs) GROUP BY year
-        UNION ALL SELECT 'spent_time', year, count(*) FROM
-          (SELECT DISTINCT year, employee, project FROM spent_time) x WHERE year IN (SELECT year FROM yrs) GROUP BY year
-        UNION ALL SELECT 'summary_projects', year, count(*) FROM
-          (SELECT DISTINCT year, project FROM forecast) x GROUP BY year
-        UNION ALL SELECT 'summary_employees', year, count(*) FROM
-          (SELECT DISTINCT year, employee FROM forecast) x GROUP BY year""",
-    "profile_bundle": """
-        WITH yrs AS (SELECT DISTINCT year FROM forecast),
-             pf AS (SELECT c.year, c.project, CASE WHEN m.employee IS NOT NULL THEN m.profile ELSE c.employee END AS profile
-                    FROM cells c LEFT JOIN merged_map m ON c.employee = m.employee),
-             ps AS (SELECT c.year, c.project, CASE WHEN m.employee IS NOT NULL THEN m.profile ELSE c.employee END AS profile
-                    FROM spent_cells c LEFT JOIN merged_map m ON c.employee = m.employee)
-        SELECT 'forecast_profile' AS report, year, count(*) AS n_rows FROM (SELECT DISTINCT * FROM pf) x GROUP BY year
-        UNION ALL SELECT 'spent_time_profile', year, count(*) FROM (SELECT DISTINCT * FROM ps) x
-          WHERE year IN (SELECT year FROM yrs) GROUP BY year
-        UNION ALL SELECT 'costs', year, count(*) FROM (SELECT DISTINCT year, project, concept FROM cost) x
-          WHERE year IN (SELECT year FROM yrs) GROUP BY year""",
     "user_feed": """
         SELECT f.follower_id AS viewer_id, p.id, p.user_id, p.body, p.timestamp
         FROM posts p JOIN followers f ON p.user_id = f.followed_id
         UNION
         SELECT user_id, id, user_id, body, timestamp FROM posts""",
+    "viewer_feed": f"""
+        SELECT * FROM (
+          SELECT f.follower_id AS viewer_id, p.id, p.user_id, p.body, p.timestamp
+          FROM posts p JOIN followers f ON p.user_id = f.followed_id
+          UNION
+          SELECT user_id, id, user_id, body, timestamp FROM posts) u
+        WHERE viewer_id IN {tuple(R.FEED_VIEWERS)}""",
     "user_feed_page": f"""
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY viewer_id ORDER BY {_NEWEST}) AS INTEGER)
                               AS rank FROM (
@@ -578,7 +572,39 @@ SQL["upsert_form_log"] = SQL["upsert_forecast_log"]
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]
 SQL["stream_spent_time"] = SQL["spent_time_refresh"]
-SQL["stream_forecast_upsert_state"] = SQL["upsert_forecast_state"]
+
+
+def _sheet(report: str, sql: str, keys: list[str], numbers: list[str], texts: tuple[str, ...] = ()) -> str:
+    """Cells of one report in the bundles' long form, for the years that have forecasts."""
+    cells = [f"{{'c': '{c.capitalize()}', 'n': CAST({c} AS DOUBLE), 't': CAST(NULL AS VARCHAR)}}" for c in numbers]
+    cells += [f"{{'c': '{c.capitalize()}', 'n': CAST(NULL AS DOUBLE), 't': {c}}}" for c in texts]
+    key = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"""SELECT '{report}' AS report, year, row_key, u.c AS "column", round(u.n, 6) AS number, u.t AS "text" FROM (
+        SELECT year, concat_ws('|', {key}) AS row_key, unnest([{', '.join(cells)}]) AS u FROM ({sql}) s
+        WHERE year IN (SELECT year FROM forecast)) x"""
+
+
+SQL["report_bundle"] = " UNION ALL ".join([
+    _sheet("changelog", SQL["changelog_top_n_per_year"], ["id"],
+           ["month", "dedication_old", "dedication_new", "cost_old", "cost_new", "rank"],
+           ("action", "author", "employee", "project", "concept", "remarks")),
+    _sheet("personnel_forecasts", SQL["dedication_matrix"], ["employee", "project"], MCOLS),
+    _sheet("cost_forecasts", SQL["cost_matrix"], ["project", "concept"], MCOLS + ["total"]),
+    _sheet("spent_time", SQL["spent_time_matrix"], ["employee", "project"], MCOLS),
+    _sheet("summary_projects", SQL["summary_by_project"], ["project"], MCOLS + ["total"]),
+    _sheet("summary_employees", SQL["summary_by_employee"], ["employee"], MCOLS + ["total"])])
+SQL["profile_bundle"] = " UNION ALL ".join([
+    _sheet("forecast_profile", _rounded(_profile_matrix("cells", "merged_map"), MCOLS), ["project", "profile"], MCOLS),
+    _sheet("spent_time_profile", _rounded(_profile_matrix("spent_cells", "merged_map"), MCOLS), ["project", "profile"], MCOLS),
+    _sheet("costs", SQL["cost_matrix"], ["project", "concept"], MCOLS + ["total"])])
+SQL["export_posts_file"] = f"""
+    SELECT user_id, body, timestamp,
+           row_number() OVER (PARTITION BY user_id ORDER BY posted NULLS FIRST, id) AS place
+    FROM (SELECT e.*, p.timestamp AS posted FROM ({SQL['export_posts']}) e JOIN posts p USING (id)) x"""
+# an inserted row's id depends on its micro-batch: only that it is new counts
+SQL["stream_forecast_upsert_state"] = f"""
+    SELECT CASE WHEN id <= (SELECT max(id) FROM fbase) THEN id END AS id, * EXCLUDE (id)
+    FROM ({SQL['upsert_forecast_state']}) s"""
 SQL["stream_forecast_upsert_log"] = SQL["upsert_forecast_log"]
 
 

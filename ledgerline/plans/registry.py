@@ -12,14 +12,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import (catalog, changelog as chg, compare, matrix, paging, quality,
                          search, social, summary, timesheets, upsert)
 from ..sinks import writers
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import files, fixtures as fx
 from ..sources.tables import read_table
 from . import reports
@@ -37,6 +37,8 @@ LOCALE = "en"
 VALID_YEARS = (1996, 2000)
 VALID_CONCEPTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 SEARCH_QUERY = "haing ouen reth eau"
+ENTRIES_SHOWN = 100
+FEED_VIEWERS = (1, 2, 3, 5, 8)
 POSTS_PAGE, USER_POSTS_PAGE, CHANGELOG_PAGE = 2, 2, 3
 ENVELOPE_PAGE, ENVELOPE_PER_PAGE = 3, 10
 
@@ -98,6 +100,54 @@ def q_time_entries_slice(spark, d):
     return timesheets.entries_slice(te, **SLICE)
 
 
+@query("time_entries_since")
+def q_time_entries_since(spark, d):
+    te = fx.time_entries(spark, d).select("date", "project", "employee", "hours")
+    return timesheets.entries_slice(te, SLICE["employee"], from_date=SLICE["from_date"])
+
+
+@query("time_entries_first")
+def q_time_entries_first(spark, d):
+    te = fx.time_entries(spark, d).select("date", "project", "employee", "hours")
+    return timesheets.entries_slice(te, SLICE["employee"], SLICE["project"], limit=ENTRIES_SHOWN)
+
+
+@query("quarantined_time_entries")
+def q_quarantined_time_entries(spark, d):
+    """Export rows that do not parse, written as CSV and read with the reader:
+    dates of a 13th are turned around, hours of 5 carry their unit."""
+    root = scratch_path(spark, "quarantine")
+    rows = fx.tracker_csv_rows(spark, d)
+    broken = rows.withColumns({
+        "Hours": F.when(F.col("Hours") == 5, "5 h").otherwise(F.col("Hours").cast("string")),
+        "Date": F.when(F.split("Date", "/")[1] == "13", F.concat(F.lit("13/"), F.col("Date"))).otherwise(F.col("Date"))})
+    broken.write.option("header", True).mode("overwrite").csv(root)
+    good, bad = files.read_time_entry_csv(spark, root)
+    return (bad.groupBy("User", "violations").agg(F.count(F.lit(1)).alias("n_rows"))
+            .union(good.groupBy(F.col("employee"), F.lit("")).agg(F.count(F.lit(1))))
+            .toDF("employee", "violations", "n_rows"))
+
+
+@query("profile_map_file")
+def q_profile_map_file(spark, d):
+    """The merged profile map written as one JSON object and read back."""
+    root = scratch_path(spark, "profile_map")
+    writers.write_profile_map(summary.merge_profile_maps(
+        catalog.active_users(fx.tracker_users(spark, d)), fx.profile_map(spark, d), fx.uploaded_profile_map(spark, d)), root)
+    return files.read_profile_map(spark, root)
+
+
+@query("export_posts_file")
+def q_export_posts_file(spark, d):
+    """The post export written as JSON and read back, with each post's place in its user's list."""
+    root = scratch_path(spark, "posts")
+    writers.export_posts_json(fx.posts(spark, d), root)
+    back = (spark.read.schema("user_id bigint, body string, timestamp string, bucket int").json(root)
+            .withColumns({"_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()}))
+    order = Window.partitionBy("user_id").orderBy("_file", "_row")
+    return back.select("user_id", "body", "timestamp", F.row_number().over(order).cast("long").alias("place"))
+
+
 @query("resolve_ids")
 def q_resolve_ids(spark, d):
     pairs = catalog.employee_projects(fx.forecast(spark, d))
@@ -333,16 +383,16 @@ def q_forecast_year_filter(spark, d):
 # ---------------------------------------------------------------- bundles
 @query("report_bundle")
 def q_report_bundle(spark, d):
-    return reports.bundle_counts(reports.report_bundle(
-        fx.forecast(spark, d), fx.cost(spark, d), _spent(spark, d), fx.changelog(spark, d)))
+    return rounded(reports.bundle_cells(reports.report_bundle(
+        fx.forecast(spark, d), fx.cost(spark, d), _spent(spark, d), fx.changelog(spark, d), materialize=cut_lineage)))
 
 
 @query("profile_bundle")
 def q_profile_bundle(spark, d):
     pm = summary.merge_profile_maps(catalog.active_users(fx.tracker_users(spark, d)),
                                     fx.profile_map(spark, d), fx.uploaded_profile_map(spark, d))
-    return reports.bundle_counts(reports.profile_bundle(
-        fx.forecast(spark, d), _spent(spark, d), fx.cost(spark, d), pm))
+    return rounded(reports.bundle_cells(reports.profile_bundle(
+        fx.forecast(spark, d), _spent(spark, d), fx.cost(spark, d), pm, materialize=cut_lineage)))
 
 
 # ---------------------------------------------------------------- social
@@ -351,6 +401,11 @@ def q_user_feed(spark, d):
     return social.user_feed(fx.posts(spark, d), fx.followers(spark, d))
 
 
+@query("viewer_feed")
+def q_viewer_feed(spark, d):
+    return social.viewer_feed(fx.posts(spark, d), fx.followers(spark, d), FEED_VIEWERS)
+
+
 @query("user_feed_page")
 def q_user_feed_page(spark, d):
     return social.feed_page(fx.posts(spark, d), fx.followers(spark, d), 1)
@@ -551,6 +606,10 @@ def q_post_search(spark, d):
     return rounded(search.hit_rows(posts.select("id", "user_id", "body", "timestamp"), hits, "id"))
 
 
+#: Rows of a landed CSV file.
+LANDED_ROWS = 20_000
+
+
 # ---------------------------------------------------------------- streaming
 # Each streaming query runs its stream to completion (availableNow) over files
 # landed from the tables, then returns the sink read back as a batch table.
@@ -577,8 +636,9 @@ def _stream_hours(spark, d) -> str:
     from .. import schemas
     from ..streaming import jobs
     root = scratch_path(spark, "stream_monthly_hours")
-    # land the tracker export as several CSV files (one micro-batch each)
-    (fx.tracker_csv_rows(spark, d).repartition(2).write.option("header", True)
+    # land the tracker export in its own partitioning, as CSV files of at most
+    # LANDED_ROWS rows (one micro-batch each)
+    (fx.tracker_csv_rows(spark, d).write.option("header", True).option("maxRecordsPerFile", LANDED_ROWS)
      .mode("overwrite").csv(f"{root}/landing"))
     raw = jobs.file_stream(spark, f"{root}/landing", schemas.TIME_ENTRY_CSV, fmt="csv",
                            max_files_per_trigger=1, header=True)
@@ -606,9 +666,10 @@ def _stream_upsert(spark, d):
     base = fx.forecast_base(spark, d)
     base.write.mode("overwrite").parquet(f"{root}/initial")
     jobs.land_state(base, f"{root}/state")
-    # two landed files, each holding whole years: keys never span years, so
-    # the order of the micro-batches cannot change the result
-    (fx.plan_batch_text(spark, d).repartition(2, "year").write
+    # files of whole years: keys never span years, so the order of the
+    # micro-batches cannot change the result (tests/test_streaming.py lands
+    # files that share keys, in order)
+    (fx.plan_batch_text(spark, d).repartition("year").write
      .mode("overwrite").parquet(f"{root}/landing"))
     batches = jobs.file_stream(spark, f"{root}/landing", schemas.PLAN_BATCH, max_files_per_trigger=1)
     wide_years = lambda b: quality.validate_plan_batch(b, (1, 9999))
@@ -621,7 +682,10 @@ def _stream_upsert(spark, d):
 def q_stream_forecast_upsert_state(spark, d):
     from ..streaming import jobs
     root = _stream_upsert(spark, d)
-    return rounded(jobs.read_upsert_state(spark, f"{root}/state"))
+    old = fx.forecast_base(spark, d).select(F.max("id")).scalar()
+    # which id an inserted row gets depends on its micro-batch: only that it is new counts
+    state = jobs.read_upsert_state(spark, f"{root}/state").withColumn("id", F.when(F.col("id") <= old, F.col("id")))
+    return rounded(state)
 
 
 @query("stream_forecast_upsert_log")

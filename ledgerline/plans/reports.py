@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.scalars import title_case_names
 from ..operators import changelog as chg, matrix, summary
 
 
@@ -49,11 +50,13 @@ def report_bundle(forecast: DataFrame, cost: DataFrame, spent: DataFrame,
     }
 
 
-def profile_bundle(forecast: DataFrame, spent: DataFrame, cost: DataFrame,
-                   profile_map: DataFrame) -> dict[str, DataFrame]:
+def profile_bundle(forecast: DataFrame, spent: DataFrame, cost: DataFrame, profile_map: DataFrame,
+                   materialize: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Forecast and spent time by (project, profile), and the cost matrix,
-    for the years that have forecasts."""
+    for the years that have forecasts (``materialize`` as in :func:`report_bundle`)."""
     cells = matrix.cell_means(forecast, summary.CELL_KEYS, "dedication")
+    if materialize is not None:
+        cells = materialize(cells)
     years = cells.select("year").distinct()
     return {
         "forecast_profile": summary.profile_matrix_from_cells(cells, profile_map),
@@ -62,11 +65,30 @@ def profile_bundle(forecast: DataFrame, spent: DataFrame, cost: DataFrame,
     }
 
 
-def bundle_counts(reports: dict[str, DataFrame]) -> DataFrame:
-    """(report, year, n_rows) for a bundle: what each yearly sheet holds."""
-    parts = [df.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(name).alias("report"), "year", "n_rows")
-             for name, df in reports.items()]
+#: What names a row of each report, beside its year.
+ROW_KEYS = {
+    "changelog": ["id"], "personnel_forecasts": ["employee", "project"], "cost_forecasts": ["project", "concept"],
+    "spent_time": ["employee", "project"], "summary_projects": ["project"], "summary_employees": ["employee"],
+    "forecast_profile": ["project", "profile"], "spent_time_profile": ["project", "profile"], "costs": ["project", "concept"],
+}
+
+
+def bundle_cells(reports: dict[str, DataFrame]) -> DataFrame:
+    """Every cell of every sheet: (report, year, row_key, column, number, text), the column
+    named as the sheet's header.  Numbers are in ``number``, texts in ``text``."""
+    parts = []
+    for name, df in reports.items():
+        keys = ROW_KEYS[name]
+        cells = [f for f in df.schema.fields if f.name not in ("year", *keys) and not f.dataType.simpleString().startswith("timestamp")]
+        titles = title_case_names([f.name for f in cells])
+        text = lambda f: f.dataType.simpleString() == "string"
+        stacked = F.explode(F.array(*[F.struct(
+            F.lit(title).alias("column"),
+            (F.lit(None) if text(f) else F.col(f.name)).cast("double").alias("number"),
+            (F.col(f.name) if text(f) else F.lit(None)).cast("string").alias("text")) for f, title in zip(cells, titles)]))
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        parts.append(df.select(F.lit(name).alias("report"), "year", key.alias("row_key"), stacked.alias("c"))
+                     .select("report", "year", "row_key", "c.column", "c.number", "c.text"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

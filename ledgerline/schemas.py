@@ -85,7 +85,7 @@ TIME_ENTRY_CSV = T.StructType([
     T.StructField("Activity", T.StringType()),
     T.StructField("Issue", T.StringType()),
     T.StructField("Comment", T.StringType()),
-    T.StructField("Hours", T.DoubleType()),
+    T.StructField("Hours", T.StringType()),
 ])
 
 # Batch of forecast rows as read from a landed file: text until validated.
@@ -99,6 +99,16 @@ PLAN_BATCH = T.StructType([
     T.StructField("remarks", T.StringType()),
 ])
 
+COST_BATCH = T.StructType([
+    T.StructField("seq", T.LongType()),
+    T.StructField("concept", T.StringType()),
+    T.StructField("project", T.StringType()),
+    T.StructField("month", T.StringType()),
+    T.StructField("year", T.StringType()),
+    T.StructField("cost", T.StringType()),
+    T.StructField("remarks", T.StringType()),
+])
+
 TRACKER_DIM = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("name", T.StringType()),

@@ -42,8 +42,9 @@ def build_session(master: str | None = None, app_name: str = "ledgerline",
 def shared_dir(spark: SparkSession) -> str:
     """Folder on shared storage for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset (a
-    local test run) a private temporary folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  Where it is unset a local
+    session gets a private temporary folder; any other session is refused,
+    because its executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

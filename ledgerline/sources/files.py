@@ -13,27 +13,41 @@ from .. import schemas
 TRACKER_DATE_FORMAT = "M/d/yyyy"
 
 
-def read_time_entry_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tracker time-entry export (header row, ``M/d/yyyy`` dates)."""
+def read_time_entry_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tracker time-entry export (header row, ``M/d/yyyy`` dates): the entries,
+    and the rows to quarantine."""
     raw = (spark.read.schema(schemas.TIME_ENTRY_CSV)
            .option("header", True).option("mode", "PERMISSIVE").csv(path))
-    return parse_time_entries(raw)
+    return parse_time_entries(raw), bad_time_entries(raw)
 
 
-def parse_time_entries(raw: DataFrame) -> DataFrame:
-    """Drop Activity / Issue / Comment, parse the date, rename to the model.
+def _entry_violations() -> Column:
+    """Comma-joined codes of a raw export row, ``''`` for a good one.
+
+    A date must be there and parse; hours may be missing (they count as 0)
+    but not be something else than a number."""
+    hours = F.col("Hours").cast("string")
+    return F.concat_ws(
+        ",", F.when(F.try_to_date(F.col("Date"), TRACKER_DATE_FORMAT).isNull(), F.lit("date_invalid")),
+        F.when((F.trim(hours) != "") & hours.try_cast("double").isNull(), F.lit("hours_invalid")))
+
 
-    Unparseable dates become null; they are dropped later by the rollup, which
-    ignores rows without a date (the tracker never exports such rows).
-    """
-    return raw.select(
+def parse_time_entries(raw: DataFrame) -> DataFrame:
+    """Drop Activity / Issue / Comment, parse date and hours, rename to the
+    model.  Rows that do not parse are left to :func:`bad_time_entries`."""
+    return raw.filter(_entry_violations() == "").select(
         F.try_to_date(F.col("Date"), TRACKER_DATE_FORMAT).alias("date"),
         F.col("Project").alias("project"),
         F.col("User").alias("employee"),
-        F.col("Hours").cast("double").alias("hours"),
+        F.col("Hours").cast("string").try_cast("double").alias("hours"),
     )
 
 
+def bad_time_entries(raw: DataFrame) -> DataFrame:
+    """The rows that do not parse, as they came, with their ``violations``."""
+    return raw.withColumn("violations", _entry_violations()).filter(F.col("violations") != "")
+
+
 def tracker_date_text(date_col: Column) -> Column:
     """Inverse of the parser: the tracker's ``M/d/yyyy`` text."""
     return F.date_format(date_col, TRACKER_DATE_FORMAT)
@@ -47,6 +61,17 @@ def read_plan_batch(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
     return blank_text_to_empty(reader.format(fmt).load(path))
 
 
+def read_cost_batch(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Cost batch with a ``seq`` column; numbers that do not parse become null
+    and are rejected by the validation."""
+    reader = spark.read.schema(schemas.COST_BATCH)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    raw = reader.format(fmt).load(path)
+    number = lambda c: F.trim(F.col(c)).try_cast("int").alias(c)
+    return blank_text_to_empty(raw).select("seq", "concept", "project", "remarks", number("month"), number("year"), number("cost"))
+
+
 def blank_text_to_empty(batch: DataFrame) -> DataFrame:
     """Empty cells of text columns become ``''`` (numbers stay null)."""
     text_cols = [f.name for f in batch.schema.fields if f.dataType.simpleString() == "string"]
@@ -54,14 +79,18 @@ def blank_text_to_empty(batch: DataFrame) -> DataFrame:
 
 
 def read_profile_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON objects ``{"employee": "profile", ...}``, one or more per line.
-
-    Each line is parsed on its own and exploded to (employee, profile), so a
-    large map spread over many lines is read in parallel.
-    """
+    """(employee, profile) of JSON objects ``{"employee": "profile", ...}``: one
+    or more whole objects per file, each on one line or indented with one entry
+    per line.  Lines are parsed on their own, so a large map is read in parallel."""
     return parse_profile_json(spark.read.text(path))
 
 
 def parse_profile_json(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    parsed = lines.select(F.from_json(F.col(text_col), "map<string,string>").alias("m"))
-    return parsed.select(F.explode("m").alias("employee", "profile"))
+    """Entries of lines of a profile map; a line that is neither an object, a
+    brace nor entries of one fails the job rather than losing its entries."""
+    line = F.regexp_replace(F.trim(F.regexp_replace(F.col(text_col), r"[\r\t]", " ")), r"^, *|,$", "")
+    inner = F.trim(F.regexp_replace(F.regexp_replace(line, r"^\{", ""), r"\}$", ""))
+    entries = F.from_json(F.concat(F.lit("{"), inner, F.lit("}")), "map<string,string>")
+    checked = F.when(inner == "", F.create_map().cast("map<string,string>")).otherwise(F.coalesce(
+        entries, F.raise_error(F.concat(F.lit("not an entry of a profile map: "), F.col(text_col))).cast("map<string,string>")))
+    return lines.select(checked.alias("m")).select(F.explode("m").alias("employee", "profile"))

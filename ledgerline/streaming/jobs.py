@@ -95,6 +95,8 @@ def read_spent_time(spark: SparkSession, root: str, run_stamp: str) -> DataFrame
 
 # ---------------------------------------------------------------- R2 upsert
 STATE_PARTITIONS = ["year", "month"]
+#: Ids set aside for the rows of one micro-batch.
+EPOCH_SPAN = 1 << 32
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -125,14 +127,18 @@ def start_forecast_upsert(batches: DataFrame, initial_state_path: str, state_roo
 
     A replayed micro-batch whose stage is complete only re-publishes (the
     state may already hold its changes), so the log is written exactly once
-    per micro-batch.  Ids of inserted rows are based on the table at
-    ``initial_state_path`` (the state when the stream started), so the result
-    does not depend on how the input was split into micro-batches.
+    per micro-batch.  A micro-batch must be numbered without repeats (one
+    landed file per trigger, each numbered from 1): an inserted row gets the
+    largest id of the table at ``initial_state_path`` (the state when the stream
+    started) plus EPOCH_SPAN per micro-batch plus its ``seq``, so rows of
+    different files never share an id.  The tables may start out empty.
     """
     spark = batches.sparkSession
     out = out_root.rstrip("/")
     check = validate or quality.validate_plan_batch
     keys = ["employee", "project", "month", "year"]
+    initial = spark.read.schema(schemas.FORECAST).parquet(initial_state_path)
+    first_id = initial.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
         stage = f"{out}/staging/epoch={epoch_id}"
@@ -147,10 +153,10 @@ def start_forecast_upsert(batches: DataFrame, initial_state_path: str, state_roo
             touched = [f"{r.year}-{r.month}" for r in good.select(*STATE_PARTITIONS).distinct().collect()]
             if touched:
                 part_key = F.concat_ws("-", *[F.col(c).cast("string") for c in STATE_PARTITIONS])
-                state = spark.read.parquet(state_root).filter(part_key.isin(touched))
-                initial = spark.read.schema(schemas.FORECAST).parquet(initial_state_path)
+                state = spark.read.schema(schemas.FORECAST).parquet(state_root).filter(part_key.isin(touched))
                 log = upsert.upsert_log(state, good, keys, "dedication", author)
-                new_part = upsert.upsert_state(state, good, keys, "dedication", id_base=initial)
+                new_part = upsert.upsert_state(state, good, keys, "dedication",
+                                               F.lit(first_id + epoch_id * EPOCH_SPAN).cast("long"))
                 # The state is published only after the stage is closed, so a
                 # replay that gets here recomputes the same log from the same
                 # state: the log can go straight to its final place.
@@ -175,7 +181,7 @@ def land_state(df: DataFrame, state_root: str) -> None:
 
 
 def read_upsert_state(spark: SparkSession, state_root: str) -> DataFrame:
-    t = spark.read.parquet(state_root)
+    t = spark.read.schema(schemas.FORECAST).parquet(state_root)
     return t.select(*[F.col(f.name).cast(f.dataType) for f in schemas.FORECAST.fields])
 
 
