@@ -44,20 +44,42 @@ def build_index(docs: DataFrame, id_col: str, text_cols: list[str]) -> tuple[Dat
     return postings, lengths
 
 
-def write_index(docs: DataFrame, id_col: str, text_cols: list[str], root: str) -> str:
-    """Build and store the index: ``<root>/postings`` (term, doc_id, tf,
-    doc_len; every file sorted by term, so a term filter skips row groups)
-    and ``<root>/lengths`` (doc_id, doc_len).  The texts are tokenised once;
-    the lengths are read back from the stored postings."""
+def _store(counts: DataFrame, root: str) -> str:
+    """Write token counts (term, doc_id, tf, doc_len) as an index."""
     root = root.rstrip("/")
-    (_token_counts(docs, id_col, text_cols).sortWithinPartitions("term")
+    (counts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").parquet(f"{root}/postings"))
-    stored = docs.sparkSession.read.parquet(f"{root}/postings")
-    (stored.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+    spark = counts.sparkSession
+    (spark.read.parquet(f"{root}/postings").groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
      .write.mode("overwrite").parquet(f"{root}/lengths"))
+    (spark.read.parquet(f"{root}/lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{root}/corpus"))
     return root
 
 
+def write_index(docs: DataFrame, id_col: str, text_cols: list[str], root: str) -> str:
+    """Build and store the index: ``<root>/postings`` (term, doc_id, tf,
+    doc_len), ``<root>/lengths`` (doc_id, doc_len) and ``<root>/corpus`` (one
+    row: n_docs, avg_len).
+
+    Postings are range-partitioned and sorted by (term, doc_id): a term lies in
+    few files, which a term filter finds by their statistics, and a frequent
+    term is still split over several.  The texts are tokenised once; lengths
+    and corpus numbers are read back from the stored postings."""
+    return _store(_token_counts(docs, id_col, text_cols), root)
+
+
+def update_index(spark: SparkSession, root: str, changes: DataFrame, new_root: str) -> str:
+    """Store the index after a change batch (op, id, body) under ``new_root``:
+    ``delete`` and ``update`` drop a document's postings, ``add`` and
+    ``update`` index the body.  Readers keep the old index until then."""
+    touched = changes.select(F.col("id").alias("doc_id")).distinct()
+    old = spark.read.parquet(f"{root.rstrip('/')}/postings")
+    kept = old.join(touched, "doc_id", "left_anti").select("term", "doc_id", "tf", "doc_len")
+    fresh = _token_counts(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
+    return _store(kept.unionByName(fresh), new_root)
+
+
 def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of a stored index."""
     root = root.rstrip("/")
@@ -66,33 +88,26 @@ def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return postings, spark.read.parquet(f"{root}/lengths")
 
 
-def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query: str,
-           page_no: int = 1, per_page: int = config.API_PER_PAGE_DEFAULT,
-           k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
-    """One page of BM25 hits: (rank, doc_id, score, total_hits).
-
-    Any query term may match (OR).  Order: score desc, doc_id asc.  No
-    matching term -> empty page.  The query terms are a request parameter
-    (bounded by the query text) and become an IN filter.
-    """
+def _matching(postings: DataFrame, query: str) -> DataFrame:
+    """Postings of the query's terms.  An IN-list on the grouping key is pushed
+    below the postings aggregate, and into the scan of a stored index."""
     terms = query_terms(query)
-    # An IN-list on the grouping key is pushed below the postings aggregate
-    # (and into the scan of a stored index), so only matching tokens shuffle.
-    hits = postings.filter(F.col("term").isin(terms)) if terms else postings.limit(0)
+    return postings.filter(F.col("term").isin(terms)) if terms else postings.limit(0)
+
+
+def _page_of_hits(hits: DataFrame, n_docs, avg_len, page_no: int, per_page: int, k1: float, b: float) -> DataFrame:
+    """Score matching postings (term, doc_id, tf, doc_len) and cut the page."""
+    if per_page > config.API_PER_PAGE_MAX:
+        raise ValueError(f"a page has at most {config.API_PER_PAGE_MAX} hits, not {per_page}")
+    # One row per query term (bounded by the request): broadcast, so the
+    # postings of a very common term are never a hot join key.
     dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Corpus size and mean document length: one scalar subquery, evaluated
-    # once and used as a value (no join).
-    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"),
-                                 F.avg("doc_len").alias("avg_len")).alias("s")).scalar()
-    # dfreq has one row per query term (bounded by the request): broadcast,
-    # so the postings of a very common term are never a hot join key.
-    scored = hits.join(F.broadcast(dfreq), "term").join(lengths, "doc_id")
-    n_docs, avg_len = stats.getField("n_docs"), stats.getField("avg_len")
+    scored = hits.join(F.broadcast(dfreq), "term")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doc_len") / avg_len)
     part = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
     per_doc = scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
-    total = per_doc.agg(F.count(F.lit(1))).scalar()
+    total = hits.agg(F.count_distinct("doc_id")).scalar()
     p = max(int(page_no), 1)
     top = per_doc.orderBy(F.col("score").desc(), F.col("doc_id")).offset((p - 1) * per_page).limit(per_page)
     # The page holds at most per_page rows: ranking it in one task is bounded.
@@ -101,11 +116,44 @@ def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query:
     return ranked.select("rank", "doc_id", "score", total.alias("total_hits"))
 
 
+def search(spark: SparkSession, postings: DataFrame, lengths: DataFrame, query: str,
+           page_no: int = 1, per_page: int = config.API_PER_PAGE_DEFAULT,
+           k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
+    """One page of BM25 hits of an index that is not stored: (rank, doc_id,
+    score, total_hits).
+
+    Any query term may match (OR).  Order: score desc, doc_id asc.  No
+    matching term -> empty page; a page has at most API_PER_PAGE_MAX hits.
+    The query terms are a request parameter (bounded by the query text).
+    """
+    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n_docs"),
+                                 F.avg("doc_len").alias("avg_len")).alias("s")).scalar()
+    hits = _matching(postings, query).join(lengths, "doc_id")
+    return _page_of_hits(hits, stats.getField("n_docs"), stats.getField("avg_len"), page_no, per_page, k1, b)
+
+
+def search_stored(spark: SparkSession, root: str, query: str, page_no: int = 1,
+                  per_page: int = config.API_PER_PAGE_DEFAULT,
+                  k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
+    """As :func:`search`, of a stored index.  Lengths come with the postings
+    and the corpus numbers are stored, so only the query's postings are read."""
+    root = root.rstrip("/")
+    corpus = spark.read.parquet(f"{root}/corpus")
+    n_docs, avg_len = corpus.select("n_docs").scalar(), corpus.select("avg_len").scalar()
+    return _page_of_hits(_matching(spark.read.parquet(f"{root}/postings"), query), n_docs, avg_len, page_no, per_page, k1, b)
+
+
+def total_hits(spark: SparkSession, root: str, query: str) -> int:
+    """Number of documents that match, whatever the page (a page past the last
+    hit has no row to carry it)."""
+    return _matching(spark.read.parquet(f"{root.rstrip('/')}/postings"), query).agg(F.count_distinct("doc_id")).first()[0]
+
+
 def hit_rows(rows: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of a page of hits, in rank order, with rank / score / total.
 
-    The page holds at most ``per_page`` ids (a request parameter, at most
-    100), so it is broadcast to the scan of the rows.
+    The page holds at most API_PER_PAGE_MAX ids, so it is broadcast to the
+    scan of the rows.
     """
     h = hits.withColumnRenamed("doc_id", id_col)
     return rows.join(F.broadcast(h), id_col).orderBy("rank")

@@ -491,6 +491,13 @@ SQL: dict[str, str] = {
         SELECT term, id AS doc_id, count(*) AS tf FROM (
           SELECT id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM doc_changes
           WHERE op IN ('add', 'update')) t GROUP BY term, id""",
+    "text_index_updated": """
+        WITH n AS (SELECT doc_id, term, tf FROM postings WHERE doc_id NOT IN (SELECT id FROM doc_changes)
+                   UNION ALL
+                   SELECT id, term, count(*) FROM (
+                     SELECT id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM doc_changes
+                     WHERE op IN ('add', 'update')) t GROUP BY term, id)
+        SELECT term, doc_id, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS doc_len FROM n""",
     "language_tags": f"""
         WITH sw(term, lang) AS (VALUES {_stop_words_values()}),
              t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),

@@ -502,17 +502,32 @@ def q_text_index(spark, d):
     return postings
 
 
-def _stored_index(spark, docs, id_col, text_col):
-    """Index the texts once into the shared folder (the indexing job), then
-    read it back the way searches do."""
-    root = search.write_index(docs, id_col, [text_col], scratch_path(spark, "text_index"))
-    return search.read_index(spark, root)
+def _stored_index(spark, docs, id_col, text_col) -> str:
+    """The stored index of a texts column; searches over the same files share
+    one build (the indexing job) as long as it is there."""
+    files_read = tuple(sorted(docs.inputFiles()))
+    key = (spark.sparkContext.applicationId, files_read, id_col, text_col)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.write_index(docs, id_col, [text_col], scratch_path(spark, "text_index"))
+    return _INDEXES[key]
+
+
+#: Roots of the indexes built by this application.
+_INDEXES: dict[tuple, str] = {}
 
 
 @query("text_search")
 def q_text_search(spark, d):
-    postings, lengths = _stored_index(spark, _documents(spark, d), "doc_id", "text")
-    return rounded(search.search(spark, postings, lengths, SEARCH_QUERY, 1, 10))
+    root = _stored_index(spark, _documents(spark, d), "doc_id", "text")
+    return rounded(search.search_stored(spark, root, SEARCH_QUERY, 1, 10))
+
+
+@query("text_index_updated")
+def q_text_index_updated(spark, d):
+    """Postings and document lengths of the stored index after a change batch, stored again."""
+    root = _stored_index(spark, _documents(spark, d), "doc_id", "text")
+    new = search.update_index(spark, root, fx.document_changes(spark, d), scratch_path(spark, "text_index"))
+    return spark.read.parquet(f"{new}/postings").filter(F.col("term").isNotNull()).select("term", "doc_id", "tf", "doc_len")
 
 
 @query("text_index_apply_changes")
@@ -535,8 +550,7 @@ TASK_NAME = "signup"
 @query("text_search_rows")
 def q_text_search_rows(spark, d):
     docs = _documents(spark, d)
-    postings, lengths = _stored_index(spark, docs, "doc_id", "text")
-    hits = search.search(spark, postings, lengths, SEARCH_QUERY, 1, 10)
+    hits = search.search_stored(spark, _stored_index(spark, docs, "doc_id", "text"), SEARCH_QUERY, 1, 10)
     return rounded(search.hit_rows(docs.select("doc_id", "lang", "source", "n_chars"), hits))
 
 
@@ -601,8 +615,7 @@ def q_post_search(spark, d):
     """The posts index of the application (body is the searchable field):
     page 1 of 25 hits, joined back to the post rows in rank order."""
     posts = fx.posts(spark, d)
-    postings, lengths = _stored_index(spark, posts, "id", "body")
-    hits = search.search(spark, postings, lengths, POST_QUERY, 1, 25)
+    hits = search.search_stored(spark, _stored_index(spark, posts, "id", "body"), POST_QUERY, 1, 25)
     return rounded(search.hit_rows(posts.select("id", "user_id", "body", "timestamp"), hits, "id"))
 
 

@@ -4,10 +4,13 @@ import datetime as dt
 import json
 import os
 
+import pytest
+
 from ledgerline import schemas
 from ledgerline.operators import catalog
 from ledgerline.plans import batch_jobs
 from ledgerline.session import local_path, scratch_path
+from ledgerline.sinks import writers
 from ledgerline.sources import files, fixtures as fx
 
 from conftest import SF_SMALL, rows
@@ -25,9 +28,9 @@ def test_refresh_spent_time_from_csv(spark):
     root = scratch_path(spark, "t-refresh")
     _write_text(f"{root}/csv/e.csv", "Date,Project,User,Activity,Issue,Comment,Hours\n"
                 "1/2/2020,A,u,x,,,70\n1/3/2020,B,u,x,,,70\n2/3/2021,A,v,x,,,0\n")
-    batch_jobs.refresh_spent_time(spark, f"{root}/csv", f"{root}/table", RUN)
-    got = rows(spark.read.parquet(f"{root}/table").select("year", "employee", "project", "dedication",
-                                                         "total_hours", "remarks"))
+    snap = batch_jobs.refresh_spent_time(spark, f"{root}/csv", f"{root}/table", RUN)
+    assert writers.current_snapshot(spark, f"{root}/table") == snap
+    got = rows(spark.read.parquet(snap).select("year", "employee", "project", "dedication", "total_hours", "remarks"))
     assert got == [(2020, "u", "A", 0.5, 140.0, "Imported from time tracker at 01/01/2024 01:05:00"),
                    (2020, "u", "B", 0.5, 140.0, "Imported from time tracker at 01/01/2024 01:05:00")]
 
@@ -41,9 +44,32 @@ def test_apply_forecast_batch_quarantine_log_and_snapshot(spark):
     assert rows(spark.read.parquet(snap).select("id", "employee", "dedication", "remarks")) == [
         (1, "k", 0.5, ""), (4, "n", 0.1, "new")]
     log = spark.read.parquet(f"{root}/out/changelog")
-    assert rows(log.select("id", "action", "dedication_old", "timestamp")) == [
-        (1, "update", 0.2, RUN), (3, "add", 0.0, RUN)]
+    first = int(RUN.replace(tzinfo=dt.timezone.utc).timestamp()) * batch_jobs.RUN_SPAN
+    want = [(first + 1, "update", 0.2, RUN), (first + 3, "add", 0.0, RUN)]
+    assert rows(log.select("id", "action", "dedication_old", "timestamp")) == want
+    assert spark.read.parquet(f"{root}/out/quarantine").count() == 1
+    # a retried run leaves the same rows, the next one adds to them
+    assert batch_jobs.apply_forecast_batch(spark, f"{root}/state0", f"{root}/batch", f"{root}/out", "me", RUN) == snap
+    assert rows(spark.read.parquet(f"{root}/out/changelog").select("id", "action", "dedication_old", "timestamp")) == want
     assert spark.read.parquet(f"{root}/out/quarantine").count() == 1
+    later = RUN + dt.timedelta(days=1)
+    again = batch_jobs.apply_forecast_batch(spark, snap, f"{root}/batch", f"{root}/out", "me", later)
+    log = spark.read.parquet(f"{root}/out/changelog")
+    assert log.count() == log.select("id").distinct().count() == 4
+    assert spark.read.parquet(again).count() == 2 and writers.current_snapshot(spark, f"{root}/out/forecast") == again
+
+
+def test_apply_cost_batch_into_an_empty_table(spark):
+    root = scratch_path(spark, "t-cost")
+    spark.createDataFrame([], schemas.COST).write.parquet(f"{root}/state0")
+    _write_text(f"{root}/batch/b.csv", "seq,concept,project,month,year,cost,remarks\n"
+                "1,travel,P,1,2024,50,\n2,travel,P,1,2024,70,again\n3,other,P,1,2024,5,\n4,travel,P,x,2024,5,\n5,travel,Q,2,2024,9,\n")
+    snap = batch_jobs.apply_cost_batch(spark, f"{root}/state0", f"{root}/batch", f"{root}/out", "me", RUN, ("travel",))
+    assert rows(spark.read.parquet(snap).select("id", "project", "cost", "remarks")) == [(1, "P", 70, "again"), (5, "Q", 9, "")]
+    log = spark.read.parquet(f"{root}/out/changelog")
+    assert rows(log.select("action", "cost_old", "cost_new")) == [("add", 0, 9), ("add", 0, 50), ("update", 50, 70)]
+    bad = spark.read.parquet(f"{root}/out/quarantine")
+    assert rows(bad.select("seq", "violations")) == [(3, "concept_invalid"), (4, "month_invalid")]
 
 
 def test_retention_snapshot(spark):
@@ -55,16 +81,37 @@ def test_retention_snapshot(spark):
     assert kept.count() == log.filter("timestamp >= timestamp_ntz'2000-06-30 00:00:00'").count()
 
 
-def test_export_posts_one_folder_per_user_oldest_first(spark):
+def test_export_posts_by_user_oldest_first(spark):
     root = scratch_path(spark, "t-export")
     posts = fx.posts(spark, SF_SMALL)
     batch_jobs.export_all_posts(posts, f"{root}/posts")
     back = spark.read.json(f"{root}/posts")
     assert back.count() == posts.count()
-    one = spark.read.json(f"{root}/posts/user_id=7").collect()
+    one = [r for r in back.collect() if r.user_id == 7]  # of one bucket, in file order
     stamps = [dt.datetime.fromisoformat(r.timestamp.rstrip("Z")) for r in one]
-    assert stamps == sorted(stamps) and all(r.timestamp.endswith("Z") for r in one)
-    assert set(one[0].asDict()) == {"body", "timestamp"}
+    assert len(one) > 1 and stamps == sorted(stamps) and all(r.timestamp.endswith("Z") for r in one)
+    assert set(one[0].asDict()) == {"user_id", "body", "timestamp", "bucket"}
+    assert len(os.listdir(local_path(f"{root}/posts"))) <= writers.POST_BUCKETS + 2
+
+
+def test_profile_map_as_one_indented_object(spark):
+    root = scratch_path(spark, "t-map")
+    want = {"Ann \"A\" Lee": "x, y", "Bo": "", "Zoë": "p:{q}"}
+    for name, text in (("indented", json.dumps(want, indent=4)), ("lines", "\n".join(json.dumps({k: v}) for k, v in want.items())),
+                       ("one", json.dumps(want, ensure_ascii=False) + "\n"), ("empty", "{}"), ("blank", "{\n}\n")):
+        _write_text(f"{root}/{name}/a.json", text)
+        assert dict(rows(files.read_profile_map(spark, f"{root}/{name}"))) == ({} if name in ("empty", "blank") else want), name
+    written = spark.createDataFrame(list(want.items()), "employee string, profile string")
+    writers.write_profile_map(written, f"{root}/out")
+    folder = local_path(f"{root}/out")
+    text = "".join(open(f"{folder}/{f}").read() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
+    assert json.loads(text) == want
+    assert dict(rows(files.read_profile_map(spark, f"{root}/out"))) == want
+    writers.write_profile_map(written.limit(0), f"{root}/none")
+    assert files.read_profile_map(spark, f"{root}/none").count() == 0
+    _write_text(f"{root}/bad/a.json", "{\n  \"a\": \n}")
+    with pytest.raises(Exception, match="not an entry"):
+        files.read_profile_map(spark, f"{root}/bad").collect()
 
 
 def test_update_profile_map_round_trip(spark):

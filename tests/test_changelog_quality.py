@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ledgerline import schemas
 from ledgerline.operators import changelog as chg
 from ledgerline.operators import quality
@@ -87,3 +89,31 @@ def test_read_plan_batch_blank_cells_become_empty_text(spark):
     assert got == {1: ("e", "3", ""), 2: ("", "", "x")}
     v = {r.seq: r.violations for r in quality.validate_plan_batch(b).collect()}
     assert v == {1: "", 2: "employee_required,month_invalid"}
+
+
+def test_request_without_a_name_is_kept(spark):
+    users = spark.createDataFrame([("ann",)], "username string")
+    asked = spark.createDataFrame([(1, "ann"), (2, None), (3, "bob"), (4, "bob"), (5, None)], "seq long, username string")
+    got = {r.seq: r.status for r in quality.reject_duplicate_usernames(asked, users).collect()}
+    assert got == {1: "exists", 2: "missing", 3: "ok", 4: "duplicate", 5: "missing"}
+
+
+def test_sentence_of_a_change_without_author_or_project(spark):
+    from ledgerline import schemas
+    base = dict.fromkeys(schemas.CHANGELOG.fieldNames())
+    data = [base | {"id": 1, "employee": "e", "month": 1, "year": 2024, "dedication_old": 0.1, "dedication_new": 0.2},
+            base | {"id": 2, "concept": "c", "author": "me", "cost_old": 1, "cost_new": 2, "month": 3, "year": 2024, "remarks": "why"}]
+    log = spark.createDataFrame([tuple(r.values()) for r in data], schemas.CHANGELOG)
+    got = {r.id: r.sentence for r in chg.sentences(log).collect()}
+    assert got == {1: "None changed the dedication of e in None - 1/2024 from 10% to 20%.",
+                   2: "me changed the cost of c in None - 3/2024 from 1\u20ac to 2\u20ac. Motivation: why"}
+    assert chg.text_filter(chg.sentences(log), "NONE CHANGED").count() == 1
+
+
+def test_top_n_beyond_the_partial_limit(spark):
+    from ledgerline.operators.topn import top_n
+    df = spark.range(9000).select("id", (F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    got = top_n(df, ["g"], [F.col("v").desc()], 1500, "id")
+    want = {(g, 8999 - (1 - g) - 2 * k, k + 1) for g in (0, 1) for k in range(1500)}
+    assert {(r.g, r.id, r["rank"]) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") >= 1

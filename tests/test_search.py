@@ -70,3 +70,24 @@ def test_stored_index_search_and_maintenance(spark):
     p2, l2 = search.apply_changes(postings, ch, lengths)
     assert rows(l2) == [(2, 2), (3, 3), (7, 0)]
     assert [d for _, d, _ in rows(p2)].count(2) == 1
+
+
+def test_stored_search_equals_lazy_and_is_updated(spark):
+    import pytest
+    from ledgerline.session import scratch_path
+    docs = _docs(spark)
+    root = search.write_index(docs, "doc_id", ["text"], scratch_path(spark, "t-index"))
+    lazy = rows(search.search(spark, *search.build_index(docs, "doc_id", ["text"]), "dog cat"))
+    found = search.search_stored(spark, root, "dog cat")
+    assert rows(found) == lazy
+    assert "lengths" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert search.search_stored(spark, root, "dog cat", page_no=9).count() == 0
+    assert search.total_hits(spark, root, "dog cat") == 2 and search.total_hits(spark, root, "zebra") == 0
+    with pytest.raises(ValueError):
+        search.search_stored(spark, root, "dog", per_page=10_000)
+    ch = spark.createDataFrame([("delete", 1, None), ("update", 2, "bird bird"), ("add", 7, "cat")], "op string, id long, body string")
+    new = search.update_index(spark, root, ch, scratch_path(spark, "t-index"))
+    p, lens = search.read_index(spark, new)
+    assert rows(lens) == [(2, 2), (3, 3), (7, 1)] and ("bird", 2, 2) in rows(p)
+    assert [r.doc_id for r in search.search_stored(spark, new, "cat").collect()] == [7]
+    assert sorted(r.doc_id for r in search.search_stored(spark, root, "cat").collect()) == [1, 2]

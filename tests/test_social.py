@@ -109,3 +109,17 @@ def test_feed_page_equals_paging_the_whole_feed(spark):
         slow = rows(social.per_key_page(social.user_feed(posts, edges), "viewer_id", p, n)
                     .select("viewer_id", "id", "rank"))
         assert fast == slow, (p, n)
+
+
+def test_feed_of_given_viewers(spark):
+    """Own posts and those of followed users, for the viewers asked for only; repeated and self edges add nothing."""
+    t = dt.datetime(2024, 1, 1)
+    posts = spark.createDataFrame([(i, u, f"p{i}", t + dt.timedelta(seconds=i)) for i, u in enumerate((1, 2, 3, 4, None))],
+                                  "id long, user_id long, body string, timestamp timestamp_ntz")
+    edges = spark.createDataFrame([(1, 2), (1, 4), (1, 2), (2, 3), (3, 4), (4, 4)], "follower_id long, followed_id long")
+    got = {(r.viewer_id, r.id) for r in social.viewer_feed(posts, edges, [1, 4, 1, 9]).collect()}
+    assert got == {(1, 0), (1, 1), (1, 3), (4, 3)}
+    assert social.viewer_feed(posts, edges, [1]).count() == 3
+    whole = {(r.viewer_id, r.id) for r in social.user_feed(posts, edges).collect()}
+    every = {(r.viewer_id, r.id) for r in social.viewer_feed(posts, edges, [1, 2, 3, 4]).collect()}
+    assert every == whole

@@ -106,3 +106,27 @@ def test_replayed_epoch_only_republishes(spark):
     assert os.path.exists(local_path(f"{root}/ck/commits/0"))  # batch 0 ran again
     log = [(r.action, r.dedication_old, r.dedication_new) for r in jobs.read_upsert_log(spark, f"{root}/out").collect()]
     assert log == [("update", 0.2, 0.5)]
+
+
+def test_files_numbered_alike_and_sharing_keys_equal_a_replay(spark):
+    """Each file counts from 1; keys come back in later files; the first state is empty."""
+    root = scratch_path(spark, "t-files")
+    spark.createDataFrame([], schemas.FORECAST).write.parquet(f"{root}/initial")
+    jobs.land_state(spark.createDataFrame([], schemas.FORECAST), f"{root}/state")
+    batches = [[(1, "a", "P", "1", "2024", "0.1", ""), (2, "c", "P", "2", "2024", "0.3", "")],
+               [(1, "b", "P", "1", "2024", "0.2", "")],
+               [(1, "a", "P", "1", "2024", "0.9", "r"), (2, "d", "P", "1", "2024", "0.4", ""), (3, "a", "P", "1", "2024", "0.8", "s")]]
+    for i, batch in enumerate(batches):  # landed and processed one after the other
+        _land(spark.createDataFrame(batch, schemas.PLAN_BATCH), f"{root}/in/f{i}")
+        src = jobs.file_stream(spark, f"{root}/in/*", schemas.PLAN_BATCH, max_files_per_trigger=1)
+        _finish(jobs.start_forecast_upsert(src, f"{root}/initial", f"{root}/state", f"{root}/out", f"{root}/ck", "me"))
+    state, log = {}, []
+    for batch in batches:
+        for seq, e, p, m, y, v, r in batch:
+            log.append((seq, e, "update" if e in state else "add", state.get(e, (0.0,))[0], float(v)))
+            state[e] = (float(v), r)
+    got = jobs.read_upsert_state(spark, f"{root}/state").collect()
+    assert {r.employee: (r.dedication, r.remarks) for r in got} == state
+    assert len(got) == len({r.id for r in got}) == 4
+    assert sorted((r.seq, r.employee, r.action, r.dedication_old, r.dedication_new)
+                  for r in jobs.read_upsert_log(spark, f"{root}/out").collect()) == sorted(log)

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+from ledgerline import schemas
 from ledgerline.operators import timesheets
 from ledgerline.sources import files
 
@@ -40,11 +41,31 @@ def test_csv_reader_parses_single_digit_dates(spark):
     with open(os.path.join(d, "entries.csv"), "w") as f:
         f.write("Date,Project,User,Activity,Issue,Comment,Hours\n")
         f.write("1/2/2020,A,u,Dev,,,1.5\n12/31/2020,B,u,Dev,7,note,2\nnot-a-date,C,u,Dev,,,1\n")
-    got = rows(files.read_time_entry_csv(spark, d))
+    good, bad = files.read_time_entry_csv(spark, d)
+    got = rows(good)
     assert (D(2020, 1, 2), "A", "u", 1.5) in got and (D(2020, 12, 31), "B", "u", 2.0) in got
-    assert (None, "C", "u", 1.0) in got
-    # the bad-date row is dropped by the rollup, the others are kept
-    assert timesheets.monthly_hours(files.read_time_entry_csv(spark, d)).count() == 2
+    # the bad-date row is set aside with its reason, not lost
+    assert rows(bad.select("Date", "Project", "violations")) == [("not-a-date", "C", "date_invalid")]
+    assert len(got) == 2 and timesheets.monthly_hours(good).count() == 2
+
+
+def test_bad_hours_are_quarantined_not_counted_as_zero(spark):
+    raw = spark.createDataFrame([("31/31/2020", "A", "u", None, None, None, "5"), ("1/2/2020", "A", "u", None, None, None, "5 h"),
+                                 ("1/2/2020", "A", "u", None, None, None, "2"), ("1/3/2020", "A", "u", None, None, None, None)],
+                                schemas.TIME_ENTRY_CSV)
+    assert rows(files.parse_time_entries(raw).select("date", "hours"), order=True) == [(D(2020, 1, 2), 2.0), (D(2020, 1, 3), None)]
+    assert sorted(r.violations for r in files.bad_time_entries(raw).collect()) == ["date_invalid", "hours_invalid"]
+    assert timesheets.monthly_hours(files.parse_time_entries(raw)).first().hours == 2.0
+
+
+def test_entries_slice_takes_each_bound_alone_and_cuts_only_on_request(spark):
+    rows_ = [(D(2020, 1, 1) + __import__("datetime").timedelta(days=i % 300), "A", "u", 1.0) for i in range(500)]
+    te = spark.createDataFrame(rows_, "date date, project string, employee string, hours double")
+    late = sum(r[0] >= D(2020, 6, 1) for r in rows_)
+    assert timesheets.entries_slice(te, "u", from_date="2020-06-01").count() == late
+    assert timesheets.entries_slice(te, "u", to_date="2020-05-31").count() == 500 - late
+    assert timesheets.entries_slice(te, "u", "A").count() == 500
+    assert timesheets.entries_slice(te, "u", "A", limit=100).count() == 100
 
 
 def test_entries_slice_honours_every_filter(spark):

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerline import schemas
 from ledgerline.operators import upsert
 
@@ -108,3 +110,31 @@ def test_cost_upsert_logs_cost_new(spark):
     log, state = upsert.cost_upsert(base, batch, "me")
     assert [(r.action, r.cost_old, r.cost_new) for r in log.collect()] == [("update", 100, 150)]
     assert [r.cost for r in state.collect()] == [150]
+
+
+def test_inserts_are_spread_over_partitions(spark):
+    """A first load is all inserts: no task may get them all."""
+    base = spark.createDataFrame([(1, "k", "P", "", 1, 2024, 0.2)], schemas.FORECAST)
+    batch = spark.range(20000).select((F.col("id") + 1).alias("seq"), F.concat(F.lit("e"), F.col("id")).alias("employee"),
+                                      F.lit("P").alias("project"), F.lit(1).alias("month"), F.lit(2024).alias("year"),
+                                      F.lit(0.5).alias("dedication"), F.lit("").alias("remarks"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, state = upsert.forecast_upsert(base, batch, "me")
+        sizes = [r["count"] for r in state.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20001 and max(sizes) < 6000
+
+
+def test_upsert_into_an_empty_table(spark):
+    base = spark.createDataFrame([], schemas.FORECAST)
+    batch = spark.createDataFrame([(1, "a", "P", 1, 2024, 0.5, ""), (2, "a", "P", 1, 2024, 0.6, "r"), (3, None, "P", 1, 2024, 0.1, "")],
+                                  "seq long, employee string, project string, month int, year int, dedication double, remarks string")
+    log, state = upsert.forecast_upsert(base, batch, "me")
+    assert state.schema.simpleString() == base.schema.simpleString()
+    assert sorted((r.id, r.employee, r.dedication) for r in state.collect()) == [(1, "a", 0.6), (3, None, 0.1)]
+    assert sorted((r.seq, r.action) for r in log.collect()) == [(1, "add"), (2, "update"), (3, "add")]
