@@ -11,7 +11,8 @@ On Spark: n-grams of all training texts are counted in tasks, added up in one sh
 trie. Its size is checked: the order is the longest of which MAX_NODES entries hold all n-grams,
 so what is broadcast is bounded. Words cannot be bounded so: documents are dealt into chunks of
 about CHUNK_TEXT bytes, each chunk's distinct words get their corpus counts in one shuffle by word,
-and the chunk's documents meet these counts again when they are scored.
+and the chunk's documents meet these counts again when they are scored. Words go by a 64-bit hash: among
+V distinct words, two share one with a chance of about V * V / 2^65 (5 million words: one in a million).
 
 Defined results: a null text is the empty text, which is its end alone; with nothing to learn from,
 every symbol is equally likely; a null id counts as the empty text where documents are held out;
@@ -20,7 +21,6 @@ repeated rows get equal results; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +29,15 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrow_text import chunks
+from .arrow_text import chunks, joined
 from .common import doc_bucket
+from .wordhash import words
 
 MAX_ORDER = 5
 MAX_NODES = 4_000_000
-CHUNK_TEXT = 16 << 20
+CHUNK_TEXT = 32 << 20
+#: Bytes of text worked on at once; arrays of this size stay in a core's cache.
+WORK_BYTES = 1 << 20
 
 END, BEFORE, SYMBOLS = 256, 257, 257  # the end is a symbol; what stands before a text only a context
 _BITS = np.uint64(9)
@@ -195,7 +198,7 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch([pa.array(keys[a:a + (1 << 16)].view(np.int64)), pa.array(counts[a:a + (1 << 16)])], ["key", "n"])
 
     for batch in batches:
-        for texts in chunks(batch.column(0)):
+        for texts in chunks(batch.column(0), WORK_BYTES):
             held.append(np.unique(ngram_keys([normalised(t) for t in texts], MAX_ORDER)[0], return_counts=True))
             size += len(held[-1][0])
             if size > MAX_NODES:
@@ -227,25 +230,57 @@ def held_out(id_col: Column) -> Column:
     return doc_bucket(id_col, 5) == 1
 
 
+def _hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of normalised texts laid end to end, and the number of words of each."""
+    data, at = joined([t + b" " for t in texts])
+    start, _, hashes = words(data, ~_BLANK[data])
+    return hashes, np.diff(np.searchsorted(start, at))
+
+
+#: ASCII white space by byte.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each chunk in a task, with their count in its training texts."""
-    counts: dict[int, dict[bytes, int]] = {}
+    """Distinct words (hashes) of each chunk in a task, with their count in its training texts.
+
+    Rows are (doc_id, held_out, text, chunk), sorted by chunk."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+
+    def added():
+        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        low, where = np.unique(keys, return_inverse=True)
+        return low, np.bincount(where, counts, len(low)).astype(np.int64)
+
+    def rows():
+        low, counts = added()
+        for a in range(0, len(low), 1 << 16):
+            part = low[a:a + (1 << 16)]
+            yield pa.record_batch([pa.array(np.full(len(part), now)), pa.array(part.view(np.int64)), pa.array(counts[a:a + (1 << 16)])],
+                                  ["chunk", "word", "n"])
+
     for batch in batches:
-        for chunk, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                      batch.column(2).cast(pa.large_binary()).to_pylist()):
-            own = counts.setdefault(chunk, Counter())
-            words = normalised(text).split()
-            if train:
-                own.update(words)
-            else:
-                for w in set(words).difference(own):
-                    own[w] = 0
-    for chunk in list(counts):
-        own = counts.pop(chunk)
-        words, n = pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())
-        for a in range(0, len(words), 1 << 16):
-            part = words.slice(a, 1 << 16)
-            yield pa.record_batch([pa.array(np.full(len(part), chunk, np.int64)), part, n.slice(a, 1 << 16)], ["chunk", "word", "n"])
+        chunk = batch.column(3).to_numpy()
+        train = ~batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if held and chunk[lo] != now:
+                yield from rows()
+                held = []
+            now, done = int(chunk[lo]), int(lo)
+            for texts in chunks(batch.column(2).slice(lo, hi - lo), WORK_BYTES):
+                hashes, sizes = _hashed_words([normalised(t) for t in texts])
+                seen = np.repeat(train[done:done + len(texts)], sizes)
+                done += len(texts)
+                low, where = np.unique(hashes, return_inverse=True)
+                held.append((low, np.bincount(where, seen, len(low)).astype(np.int64)))
+            if len(held) > 64:
+                held = [added()]
+    if held:
+        yield from rows()
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_counts double, score double, words bigint, kinds bigint"
@@ -254,26 +289,29 @@ _SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_
 def _scorer(model):
     """Cogroup function: a chunk's documents and its words' counts -> scored documents, and one row of
     what the chunk adds to the number of training words and of distinct ones."""
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         trie = model.value
-        count = np.asarray(words["c"].to_numpy())
-        place = dict(zip(words["word"].to_pylist(), range(len(count))))
-        log_count, known = np.log10(count + 0.5), count > 0
-        ids, out, score = docs["doc_id"], [], []
+        order = np.argsort(counted["word"].to_numpy().view(np.uint64))
+        keys, count = counted["word"].to_numpy().view(np.uint64)[order], counted["c"].to_numpy()[order]
+        log_count, known = np.log10(count + 0.5), (count > 0).astype(np.int64)
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for part in docs["text"].chunks:
-            for texts in chunks(part):
+            for texts in chunks(part, WORK_BYTES):
                 own = [normalised(t) for t in texts]
-                score.append(trie.score(own))
-                for t in own:
-                    at = np.fromiter(map(place.__getitem__, t.split()), np.int64)
-                    out.append((len(at), int(known[at].sum()), float(log_count[at].sum())))
-        n = len(out)
+                hashes, sizes = _hashed_words(own)
+                at = np.searchsorted(keys, hashes)
+                doc = np.repeat(np.arange(len(own)), sizes)
+                out[0].append(sizes)
+                out[1].append(np.bincount(doc, known[at], len(own)).astype(np.int64))
+                out[2].append(np.bincount(doc, log_count[at], len(own)))
+                out[3].append(trie.score(own))
+        n = docs.num_rows
+        whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
         last = [pa.array([None], pa.int64()), pa.array([None], pa.bool_()), *[pa.array([None], pa.int64())] * 2,
-                *[pa.array([None], pa.float64())] * 2, pa.array([int(words["n"].to_numpy().sum())], pa.int64()),
-                pa.array([int((words["first"].to_numpy(zero_copy_only=False) & known).sum())], pa.int64())]
-        rows = [ids, docs["held_out"], pa.array([x[0] for x in out], pa.int64()),
-                pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()),
-                pa.array(np.concatenate(score) if score else np.zeros(0), pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+                *[pa.array([None], pa.float64())] * 2, pa.array([int(counted["n"].to_numpy().sum())], pa.int64()),
+                pa.array([int((counted["first"].to_numpy() & (counted["c"].to_numpy() > 0)).sum())], pa.int64())]
+        rows = [docs["doc_id"], docs["held_out"], pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)),
+                pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
         names = [x.split()[0] for x in _SCORED.split(", ")]
         return pa.concat_tables([pa.table(rows, names=names), pa.table(last, names=names)])
     return run
@@ -286,13 +324,13 @@ def score_documents(docs: DataFrame, max_nodes: int = MAX_NODES, id_col: str = "
     model = spark.sparkContext.broadcast(learn(rows.filter("not held_out").select("text"), max_nodes))
     sums = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     parts = max(1, -(-sums[0] // CHUNK_TEXT))
-    dealt = (rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)))
-             .repartition("chunk"))
-    words = (dealt.select("chunk", ~F.col("held_out"), "text").mapInArrow(_chunk_words, "chunk bigint, word binary, n bigint"))
+    # both sides take all columns of the dealt documents, so the texts are shuffled once
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("long")).repartition("chunk")
     by_word = W.partitionBy("word")
-    words = (words.withColumn("c", F.sum("n").over(by_word))
-             .withColumn("first", F.min("chunk").over(by_word) == F.col("chunk")))
-    scored = cut_lineage(dealt.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_scorer(model), _SCORED))
+    counted = (dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_words, "chunk bigint, word bigint, n bigint")
+               .withColumn("c", F.sum("n").over(by_word))
+               .withColumn("first", F.min("chunk").over(by_word) == F.col("chunk")))
+    scored = cut_lineage(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_scorer(model), _SCORED))
     whole = scored.filter("words is not null").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     texts = sums[1]  # each ends once
     tokens, kinds = whole[0] + texts, whole[1] + (texts > 0)
