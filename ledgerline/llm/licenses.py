@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import joined, map_texts
+from .wordhash import mix, words
 
 # License notices as their licenses word them, by SPDX identifier.
 TEMPLATES = (
@@ -52,34 +53,14 @@ ROWS = 2
 
 #: Letters in lower case, digits and everything outside ASCII make words; the rest is blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Words:
     """Words of folded texts laid end to end: places, owner and a 64-bit hash of each."""
 
     def __init__(self, texts: list[bytes]):
         self.data, at = joined([t.translate(_FOLD) + b" " for t in texts])
-        inside = self.data != 32
-        edge = np.diff(inside.astype(np.int8), prepend=0)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.start, self.end, self.hash = words(self.data, self.data != 32)
         self.owner = np.searchsorted(at, self.start, "right") - 1
         self.first = np.searchsorted(self.owner, np.arange(len(texts) + 1))  # first word of each text
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(self.data))[:-1])))
-        self.hash = _mix((total[self.end] - total[self.start]) * _powers(_BACK, len(self.data))[self.start])
 
     def shingles(self, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether they lie in one text."""
@@ -89,7 +70,7 @@ class Words:
         h = np.zeros(m, np.uint64)
         for k in range(n):
             h = h * np.uint64(0x100000001B3) + self.hash[k:k + m]
-        return _mix(h), self.owner[:m] == self.owner[n - 1:]
+        return mix(h), self.owner[:m] == self.owner[n - 1:]
 
     def words(self, lo: int, hi: int) -> list[bytes]:
         return [bytes(self.data[a:b]) for a, b in zip(self.start[lo:hi], self.end[lo:hi])]
@@ -110,17 +91,17 @@ def band_settings(m: int) -> tuple[int, int]:
 class _Template:
     def __init__(self, name: str, text: str):
         w = Words([text.encode()])
-        words = w.words(0, len(w.hash))
+        own = w.words(0, len(w.hash))
         self.name = name
-        self.shingles = {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        self.shingles = {tuple(own[i:i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
         if not self.shingles:
             raise ValueError(f"a template needs {SHINGLE} words: {text!r}")
-        self.m = len(words) - SHINGLE + 1
+        self.m = len(own) - SHINGLE + 1
         self.short = (w.shingles()[0] >> np.uint64(32)).astype(np.uint32)
 
 
 _NONE = np.uint32(0xFFFFFFFF)
-_SEEDS = (_mix(np.arange(1, 257, dtype=np.uint64) * _BASE) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SEEDS = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _ladder(values: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -144,9 +125,9 @@ class Scanner:
         self.templates = [_Template(*t) for t in templates]
         self.longest = max(t.m for t in self.templates)
 
-    def candidates(self, words: Words):
+    def candidates(self, laid: Words):
         """(template, first shingle of a window that shares a band with it)."""
-        hashes, within = words.shingles()
+        hashes, within = laid.shingles()
         if not within.any():
             return
         short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -171,13 +152,13 @@ class Scanner:
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, float, int, int]]]:
         """Of each text, sorted: (license, best containment, first word of that place, occurrences)."""
-        words = Words(texts)
+        laid = Words(texts)
         found: list[dict[str, list[tuple[float, int, int]]]] = [{} for _ in texts]
-        for t, at in self.candidates(words):
-            for doc in np.unique(words.owner[at:at + t.m + SHINGLE]).tolist():  # a window may reach into the next text
-                first = int(words.first[doc])
-                lo, hi = max(first, at - t.m // 2 - 1), min(int(words.first[doc + 1]), at + t.m + SHINGLE + t.m // 2)
-                around = words.words(lo, hi)
+        for t, at in self.candidates(laid):
+            for doc in np.unique(laid.owner[at:at + t.m + SHINGLE]).tolist():  # a window may reach into the next text
+                first = int(laid.first[doc])
+                lo, hi = max(first, at - t.m // 2 - 1), min(int(laid.first[doc + 1]), at + t.m + SHINGLE + t.m // 2)
+                around = laid.words(lo, hi)
                 held = [i for i in range(len(around) - SHINGLE + 1) if tuple(around[i:i + SHINGLE]) in t.shingles]
                 share = len({tuple(around[i:i + SHINGLE]) for i in held}) / len(t.shingles)
                 if share >= CONTAINMENT:
