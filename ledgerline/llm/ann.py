@@ -2,13 +2,14 @@
 
 The tree is fitted on at most SAMPLE vectors (those of smallest hash); every vector is then indexed
 under the leaf it descends to. A query walks the tree best bin first: a priority queue holds the
-nodes by inner product of query and centre, and the first leaves popped are visited. How many is
-calibrated: for CALIBRATION queries the true neighbours are found by brute force over all vectors,
-and visits widen until the leaves of TARGET of them are reached.
+nodes by inner product of query and centre plus a part of the node's radius, and the first leaves
+popped are visited. How many is calibrated: for CALIBRATION queries the true neighbours are found by
+brute force over all vectors, and visits widen until the leaves of TARGET of them are reached.
 
 Equal vectors are one class that keeps its k + 1 smallest ids, which is all a result can hold of it,
-so a vector that a third of all rows share is compared once. A leaf beyond PART classes, or visited
-by more than PART queries, is dealt out in parts; one task compares one part with another.
+so a vector that a third of all rows share is compared once. Neighbouring leaves form shelves of about
+PART classes; a shelf with more of them, or of queries, is dealt out in parts, and one task compares
+the queries of one part with the leaves they visit in another.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component, rows with a
 null id, and vectors of another length than the most common one take no part; repeated rows count
@@ -30,9 +31,11 @@ from ..session import cut_lineage
 
 K = 20
 SAMPLE = 20_000
-LEAF_ROWS, LEAF_SAMPLE, BRANCHES = 256, 16, 8
-CALIBRATION, TARGET = 128, 0.97
+LEAF_ROWS, LEAF_SAMPLE, BRANCHES = 96, 16, 8
+CALIBRATION, TARGET = 128, 0.94
 PART = 8192
+#: Weight of a node's radius in its priority: how far beyond its centre its vectors may lie.
+REACH = 0.5
 SEED = 5
 
 
@@ -42,6 +45,7 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaf_size: int):
         rng = np.random.default_rng(SEED)
         self.centre, self.first, self.count, self.leaf, self.leaves = [sample.mean(0) if len(sample) else np.zeros(0)], [0], [0], [-1], 0
+        radius = [0.0]
         todo = [(0, sample)]
         while todo:
             node, own = todo.pop()
@@ -53,10 +57,11 @@ class Tree:
             for g in groups:
                 todo.append((len(self.centre), g))
                 self.centre.append(g.mean(0))
+                radius.append(float(np.sqrt(((g - self.centre[-1]) ** 2).sum(1).mean())))
                 self.first.append(0)
                 self.count.append(0)
                 self.leaf.append(-1)
-        self.centre = np.array(self.centre)
+        self.centre, self.radius = np.array(self.centre), np.array(radius)
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of each vector: the nearest child at every level."""
@@ -79,7 +84,7 @@ class Tree:
 
     def visits(self, query: np.ndarray, most: int) -> list[int]:
         """The first `most` leaves of a best-bin-first walk."""
-        near = self.centre @ query
+        near = (self.centre @ query + REACH * np.sqrt(query @ query) * self.radius).tolist()
         queue, out = [(-near[0], 0)], []
         while queue and len(out) < most:
             _, node = heapq.heappop(queue)
@@ -121,16 +126,14 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vkey").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _top(score: np.ndarray, low_id: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row of scores, ties to the smaller id."""
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row of scores; of equal scores the first columns."""
     if score.shape[1] <= k:
         return np.tile(np.arange(score.shape[1]), (len(score), 1))
-    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-    out = np.empty((len(score), k), np.int64)
-    for i, row in enumerate(score):
-        at = np.flatnonzero(row >= edge[i])
-        out[i] = at[np.lexsort((low_id[at], -row[at]))[:k]]
-    return out
+    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
+    above, equal = score > edge, score == edge
+    chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(len(score), k)
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -141,27 +144,44 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, candidate, score) arrays of each query's k best, in blocks of queries."""
+def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int,
+          visited: np.ndarray | None = None, bin_of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, candidate, score) arrays of each query's k best, in blocks of queries. ids ascend.
+    With visited[query, bin], only candidates of the bins a query visits count."""
     step = max(1, (1 << 21) // max(1, len(vectors)))
     for lo in range(0, len(queries), step):
         q = queries[lo:lo + step]
-        near = q @ vectors.T
-        at = _top(near.round(12), ids, k + 8)
-        exact = _exact(q, vectors[at])
+        near = (q @ vectors.T).round(12)
+        if visited is not None:
+            near[~visited[lo:lo + step][:, bin_of]] = -np.inf
+        at = _top(near, k + 8)
+        exact = np.where(np.take_along_axis(near, at, 1) > -np.inf, _exact(q, vectors[at]), -np.inf)
         row = np.repeat(np.arange(len(q)), at.shape[1])
-        rank = np.lexsort((ids[at].ravel(), -exact.ravel(), row)).reshape(len(q), -1)[:, :k].ravel()
+        rank = np.lexsort((at.ravel(), -exact.ravel(), row)).reshape(len(q), -1)[:, :k].ravel()
+        rank = rank[exact.ravel()[rank] > -np.inf]
         yield row[rank] + lo, at.ravel()[rank], exact.ravel()[rank]
 
 
+def _low_ids(ids) -> np.ndarray:
+    """First of each list of ids."""
+    return np.array([x[0].as_py() for x in ids], np.int64)
+
+
 def _compare(k: int):
-    """Cogroup function: one part of a leaf's queries against one part of its classes."""
+    """Cogroup function: one part of a shelf's queries against one part of its classes."""
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        keys, ids = queries["qkey"].combine_chunks(), index["ids"].combine_chunks().cast(pa.list_(pa.int64()))
-        low = np.array([x[0].as_py() for x in ids], np.int64)
         parts = []
-        if len(keys) and len(low):
-            for q, c, s in _best(_matrix(queries["vector"]), _matrix(index["vector"]), low, k):
+        if queries.num_rows and index.num_rows:
+            low = _low_ids(index["ids"].combine_chunks())
+            index = index.take(np.argsort(low, kind="stable"))
+            keys, ids = queries["qkey"].combine_chunks(), index["ids"].combine_chunks().cast(pa.list_(pa.int64()))
+            bins, bin_of = np.unique(index["leaf"].to_numpy(), return_inverse=True)
+            leaves = queries["leaves"].combine_chunks()
+            visited = np.zeros((queries.num_rows, len(bins) + 1), bool)
+            at = np.searchsorted(bins, leaves.flatten().to_numpy())
+            at[bins[np.minimum(at, len(bins) - 1)] != leaves.flatten().to_numpy()] = len(bins)  # leaves without a class here
+            visited[np.repeat(np.arange(len(leaves)), leaves.value_lengths().to_numpy()), at] = True
+            for q, c, s in _best(_matrix(queries["vector"]), _matrix(index["vector"]), np.sort(low), k, visited, bin_of):
                 parts.append(pa.table([keys.take(pa.array(q)), ids.take(pa.array(c)), pa.array(s)], names=["qkey", "ids", "score"]))
         return pa.concat_tables(parts) if parts else pa.table(
             {"qkey": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
@@ -173,9 +193,11 @@ def _brute(queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and len(queries):
-                low = np.array([x[0].as_py() for x in batch.column(1)], np.int64)
-                for q, c, s in _best(queries, _matrix(batch.column(0)), low, k):
-                    leaf = batch.column(2).to_numpy()[c]
+                low = _low_ids(batch.column(1))
+                order = np.argsort(low, kind="stable")
+                low = low[order]
+                for q, c, s in _best(queries, _matrix(batch.column(0))[order], low, k):
+                    leaf = batch.column(2).to_numpy()[order][c]
                     yield pa.record_batch([pa.array(q, pa.int32()), pa.array(low[c]), pa.array(leaf, pa.int32()), pa.array(s)], ["q", "id", "leaf", "score"])
     return run
 
@@ -228,19 +250,31 @@ def search(rows: DataFrame, is_query: Column, k: int = K, target: float = TARGET
     queries = cut_lineage(asked.groupBy(F.col("vkey").alias("qkey")).agg(F.first("vector").alias("vector")))
     visits, _ = calibrate(index, tree, queries, k + 1, target)
 
-    @F.arrow_udf("array<int>")
+    n_shelves = max(1, -(-index.count() // PART))
+    shelf_of = lambda leaf: leaf * n_shelves // tree.leaves  # noqa: E731  leaves are numbered depth first, so neighbours share a shelf
+
+    @F.arrow_udf("array<struct<shelf:int,leaves:array<int>>>")
     def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("shelf", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
         for vectors in batches:
-            yield pa.array([tree.visits(v, visits) for v in _matrix(vectors)], pa.list_(pa.int32()))
-
-    going = cut_lineage(queries.select("qkey", "vector", F.explode(walk("vector")).alias("leaf")))
-    parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).alias(name))
-    plan = F.broadcast(parts(index, "parts").join(parts(going, "turns"), "leaf"))  # a row per leaf of the tree at most
+            rows = []
+            for v in _matrix(vectors):
+                shelves: dict[int, list[int]] = {}
+                for leaf in tree.visits(v, visits):
+                    shelves.setdefault(shelf_of(leaf), []).append(leaf)
+                rows.append([{"shelf": s, "leaves": x} for s, x in shelves.items()])
+            yield pa.array(rows, kind)
+
+    going = cut_lineage(queries.select("qkey", "vector", F.explode(walk("vector")).alias("w"))
+                        .select("qkey", "vector", "w.shelf", "w.leaves"))
+    shelved = index.withColumn("shelf", F.expr(f"cast(leaf * {n_shelves}L div {tree.leaves} as int)"))
+    parts = lambda df, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / PART).alias(name))
+    plan = F.broadcast(parts(shelved, "parts").join(parts(going, "turns"), "shelf"))  # a row per leaf of the tree at most
     own = lambda key, of: F.pmod(F.xxhash64(key), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    group = ["leaf", "part", "turn"]
-    left = going.join(plan, "leaf").withColumn("turn", own("qkey", "turns")).withColumn("part", every("parts")).select(*group, "qkey", "vector")
-    right = index.join(plan, "leaf").withColumn("part", own("vkey", "parts")).withColumn("turn", every("turns")).select(*group, "ids", "vector")
+    group = ["shelf", "part", "turn"]
+    left = going.join(plan, "shelf").withColumn("turn", own("qkey", "turns")).withColumn("part", every("parts")).select(*group, "qkey", "vector", "leaves")
+    right = shelved.join(plan, "shelf").withColumn("part", own("vkey", "parts")).withColumn("turn", every("turns")).select(*group, "leaf", "ids", "vector")
     near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_compare(k + 1), "qkey string, ids array<bigint>, score double")
 
     best = lambda by: W.partitionBy("qkey").orderBy(F.col("score").desc(), by)
