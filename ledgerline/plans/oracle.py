@@ -297,6 +297,13 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT name, min(id) AS employee_id FROM tracker_users GROUP BY name) e ON p.employee = e.name
         LEFT JOIN (SELECT name, max(id) AS project_id FROM tracker_projects
                    WHERE status IS DISTINCT FROM 5 GROUP BY name) o ON p.project = o.name""",
+    "resolve_tracker_ids": """
+        SELECT p.employee, p.project, e.employee_id, o.project_id
+        FROM (SELECT DISTINCT s_name AS employee, p_name AS project FROM lineitem
+              JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey) p
+        LEFT JOIN (SELECT name, min(id) AS employee_id FROM tracker_users GROUP BY name) e ON p.employee = e.name
+        LEFT JOIN (SELECT name, max(id) AS project_id FROM tracker_projects
+                   WHERE status IS DISTINCT FROM 5 GROUP BY name) o ON p.project = o.name""",
     "spent_time_refresh": _rounded("SELECT * FROM spent_time", ["dedication", "total_hours"]),
     "nonzero_entries": _rounded("SELECT date, project, employee, hours FROM time_entries "
                                 "WHERE hours IS DISTINCT FROM 0", ["hours"]),
@@ -591,6 +598,16 @@ def _sheet(report: str, sql: str, keys: list[str], numbers: list[str], texts: tu
         WHERE year IN (SELECT year FROM forecast)) x"""
 
 
+VIEWS["faulty_text"] = """
+    SELECT seq, CASE WHEN seq % 11 = 0 THEN ' ' ELSE employee END AS employee, CASE WHEN seq % 13 = 0 THEN '' ELSE project END AS project,
+           CASE WHEN seq % 7 = 0 THEN '13' ELSE month END AS month, CASE WHEN seq % 17 = 0 THEN 'soon' ELSE year END AS year,
+           CASE WHEN seq % 5 = 0 THEN 'half' WHEN seq % 19 = 0 THEN '1.5' ELSE dedication END AS dedication, remarks
+    FROM plan_text"""
+SQL["validate_faulty_batch"] = SQL["validate_plan_batch"].replace("FROM plan_text", "FROM faulty_text")
+SQL["load_bands_by_project"] = _rounded("""
+    SELECT year, concat(employee, '|', project) AS employee, CAST(month AS VARCHAR) AS cell, value,
+           CASE WHEN value > 1 AND value <= 3 THEN 'over' WHEN value > 0.5 AND value <= 0.8 THEN 'light'
+                WHEN value <= 0.5 THEN 'low' ELSE 'none' END AS band FROM cells""", ["value"])
 SQL["report_bundle"] = " UNION ALL ".join([
     _sheet("changelog", SQL["changelog_top_n_per_year"], ["id"],
            ["month", "dedication_old", "dedication_new", "cost_old", "cost_new", "rank"],

@@ -155,6 +155,15 @@ def q_resolve_ids(spark, d):
                                catalog.open_projects(fx.tracker_projects(spark, d)))
 
 
+@query("resolve_tracker_ids")
+def q_resolve_tracker_ids(spark, d):
+    """Pairs of user and project as the tracker names them: most resolve, closed projects do not."""
+    li, p, s = (read_table(spark, d, t) for t in ("lineitem", "part", "supplier"))
+    pairs = (li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
+             .select(F.col("s_name").alias("employee"), F.col("p_name").alias("project")).distinct())
+    return catalog.resolve_ids(pairs, fx.tracker_users(spark, d), catalog.open_projects(fx.tracker_projects(spark, d)))
+
+
 # ---------------------------------------------------------------- timesheets
 def _spent(spark, d):
     return timesheets.spent_time(fx.time_entries(spark, d), RUN_STAMP)
@@ -242,6 +251,14 @@ def q_load_bands(spark, d):
     return rounded(summary.load_bands(summary.employee_cells_with_total(fx.forecast(spark, d))))
 
 
+@query("load_bands_by_project")
+def q_load_bands_by_project(spark, d):
+    """Band of every employee's month on one project, where loads are lower than over all projects."""
+    cells = matrix.cell_means(fx.forecast(spark, d), summary.CELL_KEYS, "dedication")
+    cells = cells.withColumn("employee", F.concat_ws("|", "employee", "project")).withColumn("cell", F.col("month").cast("string"))
+    return rounded(summary.load_bands(cells))
+
+
 @query("total_bar_fraction")
 def q_total_bar_fraction(spark, d):
     return rounded(summary.total_bar_fraction(matrix.cost_matrix(fx.cost(spark, d))))
@@ -339,6 +356,17 @@ def q_validate_plan_batch(spark, d):
     return rounded(quality.validate_plan_batch(fx.plan_batch_text(spark, d), VALID_YEARS))
 
 
+@query("validate_faulty_batch")
+def q_validate_faulty_batch(spark, d):
+    """The batch with blanks, texts and numbers out of range, so that every check has rows to reject."""
+    bad = lambda n, c, value: F.when(F.col("seq") % n == 0, value).otherwise(F.col(c)).alias(c)
+    batch = fx.plan_batch_text(spark, d).select(
+        "seq", bad(11, "employee", " "), bad(13, "project", ""), bad(7, "month", "13"), bad(17, "year", "soon"),
+        F.when(F.col("seq") % 5 == 0, "half").when(F.col("seq") % 19 == 0, "1.5").otherwise(F.col("dedication")).alias("dedication"),
+        "remarks")
+    return rounded(quality.validate_plan_batch(batch, VALID_YEARS))
+
+
 @query("validate_cost_batch")
 def q_validate_cost_batch(spark, d):
     return quality.validate_cost_batch(fx.cost_batch(spark, d), VALID_CONCEPTS, VALID_YEARS)
