@@ -142,7 +142,7 @@ def mix_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     """The mix itself, with the columns of docs: a row for each whole pass over a document, and one for
     the words of its selected blocks (with what follows each word); chars_col, if there, is the new
     text's length. A document of which nothing is taken is left out."""
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     sized = row.select("__row", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{source_col}").alias("__source"),
                        word_count(F.col(f"__row.{text_col}")).alias("__size"))
     placed = _plan(sized, weights, max_repeats, seed)

@@ -88,7 +88,8 @@ def _walk(loads: DataFrame, caps: list[int]) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, per_shard: int = NODES_PER_SHARD,
           id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard (0-based) and slot (0-based place in the shard, gapless).
-    With whole_rows: all columns of docs instead of the first three, then shard and slot."""
+    With whole_rows: all columns of docs instead of the first three, then shard and slot (which take
+    the place of columns of these names)."""
     spark = docs.sparkSession
     histogram = cut_lineage(docs.select(key_position(F.col(id_col)).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")))
     rows = histogram.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -104,7 +105,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, per_shard:
     where = (places.join(pieces, "arc").filter("from_rank < start + n and to_rank > start")
              .select("pos", "start", "from_rank", "to_rank", "shard", "slot"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns] if whole_rows else [F.lit(0)]).alias("row"),
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns] if whole_rows else [F.lit(0)]).alias("row"),
                         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1).cast("long")).alias("size"),
                         F.crc32(text.cast("binary")).alias("text_crc32"), key_position(F.col(id_col)).alias("pos"))
     nth = F.row_number().over(W.partitionBy("pos").orderBy("doc_id", "text_crc32", "size")) - 1
@@ -113,5 +114,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, per_shard:
               .filter("rank >= from_rank and rank < to_rank")
               .withColumn("slot", F.col("slot") + F.col("rank") - F.col("from_rank")))
     if whole_rows:
-        return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "shard", "slot")
+        own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+        return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "shard", "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")

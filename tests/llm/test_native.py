@@ -154,8 +154,9 @@ def test_sharding_cases(spark):
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == sorted(
         [(None, 1, 0)] * 3 + [(5, 3, binascii.crc32("é".encode()))] * 2 + [(6, 1, 0)], key=str)
     assert sorted(Counter(r.shard for r in got).values()) == [2, 2, 2]
-    whole = sharding.shard(docs.drop("shard"), 3, whole_rows=True)
+    whole = sharding.shard(docs, 3, whole_rows=True)  # docs has a column named shard, too
     assert whole.columns == [*docs.drop("shard").columns, "shard", "slot"] and whole.count() == 6
+    assert sorted(Counter(r.shard for r in whole.collect()).values()) == [2, 2, 2]
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
