@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 Every window of n benchmark words is hashed into a set; each training document is scanned once, one
-hash per word position, and a position found in the set is verified against the window's words.
+hash per word position, and a position found in the set is verified against all the window's words
+(the hash itself takes every third word and the last, which is as selective and a third of the work).
 The hit words are the union of the verified occurrences. Built-in functions only.
 
 Defined results: a null or wordless text has no words and is never hit; an item of fewer words
@@ -46,15 +47,20 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item
             .groupBy("h", "window", "len").agg(F.collect_set("item").alias("items")))
 
 
-def _hash_of(name: str) -> Column:
-    return F.xxhash64(F.col(name))
+def _keyed(k: int, length: int) -> bool:
+    """Whether a window's hash takes its k-th word: every third one and the last."""
+    return k % 3 == 0 or k == length - 1
+
+
+def _hash_of(window: str) -> Column:
+    return F.xxhash64(F.filter(window, lambda x, k: (k % 3 == 0) | (k == F.size(window) - 1)))
 
 
 def _window_hashes(words: Column, length: int) -> Column:
-    """One hash per position of a window of `length` words, equal to that of the array of its words."""
+    """One hash per position of a window of `length` words, equal to :func:`_hash_of` of its words."""
     n = F.size(words)
     at = F.when(n >= length, F.sequence(F.lit(0), n - length))
-    parts = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(length)])
+    parts = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(length) if _keyed(k, length)])
     return F.coalesce(F.transform(at, parts), F.array().cast("array<bigint>"))
 
 
