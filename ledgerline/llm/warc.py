@@ -13,8 +13,8 @@ bytes are shuffled once, by (digest, page_id).
 
 Defined results: null html is an empty payload, null url no WARC-Target-URI line; line ends and
 control characters in a url are percent-encoded; rows that repeat the smallest page_id with the same
-payload are all responses; a null page_id is smaller than none, so it is the response only where all
-ids of the digest are null; an empty table makes an empty archive; other columns are not read.
+payload are all responses; a row with a null page_id is the response only where all ids of its
+digest are null; an empty table makes an empty archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,10 +85,11 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
                .select("page_id", "digest", header_block(F.col("type"), F.col("page_id"), F.col("url"), F.col("digest"),
                                                          F.col("bytes"), F.col("first"), captured).alias("header")))
     headers.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
-    owner = firsts.groupBy("digest").agg(F.first("first").alias("page_id"))
-    kept = (rows.select("digest", "page_id", "payload").alias("r")
-            .join(owner.alias("o"), (F.col("r.digest") == F.col("o.digest")) & F.col("r.page_id").eqNullSafe(F.col("o.page_id")))
-            .groupBy("r.digest", "r.page_id").agg(F.first("r.payload").alias("payload")))
+    # the key is never null, so the join's partitioning also serves the aggregate that drops repeated rows
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    owner = firsts.groupBy("digest").agg(F.first("first").alias("page_id")).select("digest", key)
+    kept = (rows.select("digest", key, "payload").join(owner, ["digest", "key"])
+            .groupBy("digest", "key").agg(F.first("payload").alias("payload")))
     kept.select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
