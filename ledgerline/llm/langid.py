@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .arrow_text import joined, text_udf
-from .common import doc_bucket
+from .common import doc_bucket, join_keys
 
 # Language codes by family.
 FAMILIES = {
@@ -43,6 +44,8 @@ FAMILIES = {
 UNKNOWN = "und"
 
 TRAIN_ROWS = 1600
+#: Training rows ranked for each one taken (some have no letter).
+SPARE = 8
 ORDERS = (3, 5)
 BITS = 13
 EPOCHS = 40
@@ -198,12 +201,19 @@ def identify(text: Column, model: Model) -> Column:
 
 def training_rows(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang") -> DataFrame:
-    """At most `most` labelled rows with a letter, equally many of each language: those of smallest hash."""
-    usable = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-              .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
-    langs = max(1, usable.select("lang").distinct().count())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("train")), "id")
-    return usable.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(1, most // langs)).select("lang", "text")
+    """At most `most` labelled rows with a letter, equally many of each language: those of smallest hash.
+
+    Labels are counted first, so that only rows with one of about SPARE times as many smallest hashes
+    as are needed are read whole and ranked, however many rows a language has."""
+    labelled = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+                .filter(F.col("lang").isNotNull()))
+    sizes = cut_lineage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    quota = max(1, most // max(1, sizes.count()))
+    part = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 40)) / float(1 << 40)
+    near = (join_keys(labelled.withColumn("__lang", F.col("lang")), sizes.withColumnRenamed("lang", "__lang"), ["__lang"], "inner")
+            .withColumn("__part", part).filter((F.col("__part") * F.col("n") < SPARE * quota) & F.col("text").rlike(r"\p{L}")))
+    order = W.partitionBy("lang").orderBy("__part", "id")
+    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= quota).select("lang", "text")
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS, **cols) -> Model:
