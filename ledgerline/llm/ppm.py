@@ -35,7 +35,7 @@ from .wordhash import words
 
 MAX_ORDER = 5
 MAX_NODES = 4_000_000
-CHUNK_TEXT = 32 << 20
+CHUNK_TEXT = 16 << 20
 #: Bytes of text worked on at once; arrays of this size stay in a core's cache.
 WORK_BYTES = 1 << 20
 
@@ -283,16 +283,19 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows()
 
 
-_SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_counts double, score double, words bigint, kinds bigint"
+_SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_counts double, score double, kinds bigint"
 
 
 def _scorer(model):
-    """Cogroup function: a chunk's documents and its words' counts -> scored documents, and one row of
-    what the chunk adds to the number of training words and of distinct ones."""
+    """Cogroup function: a chunk's documents and its words' counts -> scored documents, and one row with
+    the number of distinct training words that are counted with this chunk. A count comes as c, or as
+    -1 - c where the word is counted with this chunk."""
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         trie = model.value
         order = np.argsort(counted["word"].to_numpy().view(np.uint64))
         keys, count = counted["word"].to_numpy().view(np.uint64)[order], counted["c"].to_numpy()[order]
+        kinds = int((count < -1).sum())
+        count = np.where(count < 0, -1 - count, count)
         log_count, known = np.log10(count + 0.5), (count > 0).astype(np.int64)
         out: list[list[np.ndarray]] = [[], [], [], []]
         for part in docs["text"].chunks:
@@ -308,10 +311,9 @@ def _scorer(model):
         n = docs.num_rows
         whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
         last = [pa.array([None], pa.int64()), pa.array([None], pa.bool_()), *[pa.array([None], pa.int64())] * 2,
-                *[pa.array([None], pa.float64())] * 2, pa.array([int(counted["n"].to_numpy().sum())], pa.int64()),
-                pa.array([int((counted["first"].to_numpy() & (counted["c"].to_numpy() > 0)).sum())], pa.int64())]
+                *[pa.array([None], pa.float64())] * 2, pa.array([kinds], pa.int64())]
         rows = [docs["doc_id"], docs["held_out"], pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)),
-                pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+                pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), pa.nulls(n, pa.int64())]
         names = [x.split()[0] for x in _SCORED.split(", ")]
         return pa.concat_tables([pa.table(rows, names=names), pa.table(last, names=names)])
     return run
@@ -328,14 +330,14 @@ def score_documents(docs: DataFrame, max_nodes: int = MAX_NODES, id_col: str = "
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("long")).repartition("chunk")
     by_word = W.partitionBy("word")
     counted = (dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_words, "chunk bigint, word bigint, n bigint")
-               .withColumn("c", F.sum("n").over(by_word))
-               .withColumn("first", F.min("chunk").over(by_word) == F.col("chunk")))
+               .withColumns({"c": F.sum("n").over(by_word), "first": F.min("chunk").over(by_word)})
+               .select("chunk", "word", F.when(F.col("first") == F.col("chunk"), -1 - F.col("c")).otherwise(F.col("c")).alias("c")))
     scored = cut_lineage(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_scorer(model), _SCORED))
-    whole = scored.filter("words is not null").agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    whole = scored.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_words"))), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     texts = sums[1]  # each ends once
     tokens, kinds = whole[0] + texts, whole[1] + (texts > 0)
     below = F.log10(F.lit(float(tokens + 0.5 * (kinds + 1))))
-    return (scored.filter("words is null")
+    return (scored.filter("kinds is null")
             .select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(texts > 0)).alias("n_known"),
                     F.lit(tokens).cast("long").alias("train_tokens"),
                     (F.col("log_counts") + F.log10(F.lit(texts + 0.5)) - (F.col("n_words") + 1) * below).alias("base_score"), "score"))
