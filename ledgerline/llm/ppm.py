@@ -7,12 +7,14 @@ symbols over its count plus these), and the symbols of the contexts escaped from
 document's score is the log10 probability of its bytes and one end symbol, its pretrained code
 length; the word-unigram base score comes with it.
 
-On Spark: n-grams of all training texts are counted in tasks, added up in one shuffle, and make the
-trie. Its size is checked: the order is the longest of which MAX_NODES entries hold all n-grams,
-so what is broadcast is bounded. Words cannot be bounded so: documents are dealt into chunks of
-about CHUNK_TEXT bytes, each chunk's distinct words get their corpus counts in one shuffle by word,
-and the chunk's documents meet these counts again when they are scored. Words go by a 64-bit hash: among
-V distinct words, two share one with a chance of about V * V / 2^65 (5 million words: one in a million).
+On Spark: the order is MAX_ORDER at every size. Documents are dealt into chunks of about CHUNK_TEXT
+bytes. Each chunk's distinct n-grams are added up by n-gram; the distinct ones of all chunks are dealt
+out by the last SHARED + 1 symbols of their context, so that a part holds all its longer contexts, makes
+its own part of the trie and gives each n-gram its probability; these go back to the chunks by joins. Only
+the trie of order SHARED is broadcast (n-grams of SHARED + 1 bytes: bounded whatever the corpus). Words
+go the same way: each chunk's distinct words get their corpus counts in one shuffle by word, and the
+chunk's documents meet both when they are scored. Words go by a 64-bit hash: among V distinct words, two
+share one with a chance of about V * V / 2^65 (5 million words: one in a million).
 
 Defined results: a null text is the empty text, which is its end alone; with nothing to learn from,
 every symbol is equally likely; a null id counts as the empty text where documents are held out;
@@ -34,8 +36,13 @@ from .common import doc_bucket
 from .wordhash import words
 
 MAX_ORDER = 5
+#: Order of the trie that every task holds.
+SHARED = 2
+#: Entries of a trie that is made in one piece, and n-grams that a counting task holds at once.
 MAX_NODES = 4_000_000
 CHUNK_TEXT = 16 << 20
+#: Least number of parts of the trie, and parts for each chunk.
+PARTS, CHUNK_PARTS = 256, 4
 #: Bytes of text worked on at once; arrays of this size stay in a core's cache.
 WORK_BYTES = 1 << 20
 
@@ -109,19 +116,27 @@ def _log10(x: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Trie of the n-grams (sorted keys of order + 1 symbols, counts), ready for scoring."""
+    """Trie of the n-grams (sorted keys of order + 1 symbols, counts), ready for scoring.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    With `base`, the trie of all n-grams of a lower order, the keys may be a part of all n-grams: all
+    those whose contexts end with certain base.order + 1 symbols. It then scores keys of such contexts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, base: Trie | None = None):
         self.order = order
         entry_keys, entry_counts = [None] * (order + 1), [None] * (order + 1)
         entry_keys[order], entry_counts[order] = keys.astype(np.uint64), counts.astype(np.int64)
-        for j in range(order - 1, -1, -1):
+        lowest = base.order + 1 if base else 0
+        for j in range(order - 1, lowest - 1, -1):
             low, where = np.unique(entry_keys[j + 1] & _mask(j + 1), return_inverse=True)
             entry_keys[j], entry_counts[j] = low, np.bincount(where, entry_counts[j + 1], len(low)).astype(np.int64)
-        self.entries, self.log_count, self.alone = [], [], []
-        self.contexts, self.escape, self.after_total, self.after_escape = [], [], [], []
+        of_base = (lambda name: list(getattr(base, name))) if base else (lambda name: [])
+        self.entries, self.log_count, self.alone = map(of_base, ("entries", "log_count", "alone"))
+        self.contexts, self.escape, self.after_total, self.after_escape = map(of_base, ("contexts", "escape", "after_total", "after_escape"))
         total = distinct = None
-        for j in range(order + 1):
+        if base:
+            self.unseen = base.unseen
+            entry_keys[base.order], entry_counts[base.order], total, distinct, shorter_contexts = base.last
+        for j in range(lowest, order + 1):
             k, c = entry_keys[j], entry_counts[j]
             context, owner = np.unique(k >> _BITS, return_inverse=True)
             n, d = np.bincount(owner, c, len(context)).astype(np.int64), np.bincount(owner, minlength=len(context))
@@ -141,6 +156,7 @@ class Trie:
                 self.after_total.append(_log10(n_left + d_left))
                 self.after_escape.append(np.where(d_left > 0, _log10(d_left) - _log10(n_left + d_left), 0.0))
             total, distinct, shorter_contexts = n, d, context
+        self.last = entry_keys[order], entry_counts[order], total, distinct, shorter_contexts
 
     def log10_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Of each symbol in its context; keys as by ngram_keys of the same order."""
@@ -184,45 +200,59 @@ class Trie:
 
 # ---- on Spark -------------------------------------------------------------------------------
 
-def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of the highest order in a task's texts, each with its count as often as memory allows."""
-    held, size = [], 0
+def _count_ngrams(order: int):
+    """mapInArrow function: n-grams in a task's texts, each with its count as often as memory allows."""
+    kind = np.uint64 if order > 2 else np.uint32  # short keys sort faster
 
-    def added():
+    def added(held):
         keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
         low, where = np.unique(keys, return_inverse=True)
         return low, np.bincount(where, counts, len(low)).astype(np.int64)
 
     def rows(keys, counts):
         for a in range(0, len(keys), 1 << 16):
-            yield pa.record_batch([pa.array(keys[a:a + (1 << 16)].view(np.int64)), pa.array(counts[a:a + (1 << 16)])], ["key", "n"])
-
-    for batch in batches:
-        for texts in chunks(batch.column(0), WORK_BYTES):
-            held.append(np.unique(ngram_keys([normalised(t) for t in texts], MAX_ORDER)[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > MAX_NODES:
-                held = [added()]
-                size = len(held[0][0])
-                if size > MAX_NODES // 2:
-                    yield from rows(*held[0])
-                    held, size = [], 0
-    if held:
-        yield from rows(*added())
+            yield pa.record_batch([pa.array(keys[a:a + (1 << 16)].astype(np.int64)), pa.array(counts[a:a + (1 << 16)])], ["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for texts in chunks(batch.column(0), WORK_BYTES):
+                held.append(np.unique(ngram_keys([normalised(t) for t in texts], order)[0].astype(kind), return_counts=True))
+                size += len(held[-1][0])
+                if size > MAX_NODES:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                    if size > MAX_NODES // 2:
+                        yield from rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(*added(held))
+    return run
+
+
+def _trie(table: pa.Table, order: int, base: Trie | None = None) -> Trie:
+    """Trie of the rows (key, n); those without a count are not learned."""
+    keys, counts = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    at = np.argsort(keys)
+    at = at[counts[at] > 0]
+    return Trie(keys[at], counts[at], order, base)
+
+
+def learn_shared(texts: DataFrame) -> Trie:
+    """Trie of order SHARED of all texts of a one-column DataFrame."""
+    return _trie(texts.mapInArrow(_count_ngrams(SHARED), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow(), SHARED)
 
 
 def learn(texts: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """Trie of all texts of a one-column DataFrame."""
-    grams = cut_lineage(texts.mapInArrow(_count_ngrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    """Trie of all texts of a one-column DataFrame in one piece, of the longest order of which max_nodes
+    entries hold all n-grams. Documents are not scored by it: see score_documents."""
+    grams = cut_lineage(texts.mapInArrow(_count_ngrams(MAX_ORDER), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     for order in range(MAX_ORDER, -1, -1):
         cut = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(order + 1)))).alias("key")).agg(F.sum("n").alias("n")) \
             if order < MAX_ORDER else grams
         if order == 0 or cut.count() <= max_nodes:
             break
-    table = cut.toArrow()
-    keys, counts = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    at = np.argsort(keys)
-    return Trie(keys[at], counts[at], order)
+    return _trie(cut.toArrow(), order)
 
 
 def held_out(id_col: Column) -> Column:
@@ -241,98 +271,128 @@ def _hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words (hashes) of each chunk in a task, with their count in its training texts.
+def _chunk_counts(keys_of):
+    """mapInArrow function: distinct keys of each chunk in a task, with their count in its training texts.
 
-    Rows are (doc_id, held_out, text, chunk), sorted by chunk."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    now = None
-
-    def added():
+    Rows are (doc_id, held_out, text, chunk), sorted by chunk; keys_of gives the keys of normalised texts
+    and the number of keys of each."""
+    def added(held):
         keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
         low, where = np.unique(keys, return_inverse=True)
         return low, np.bincount(where, counts, len(low)).astype(np.int64)
 
-    def rows():
-        low, counts = added()
+    def rows(held, chunk):
+        low, counts = added(held)
         for a in range(0, len(low), 1 << 16):
             part = low[a:a + (1 << 16)]
-            yield pa.record_batch([pa.array(np.full(len(part), now)), pa.array(part.view(np.int64)), pa.array(counts[a:a + (1 << 16)])],
-                                  ["chunk", "word", "n"])
-
-    for batch in batches:
-        chunk = batch.column(3).to_numpy()
-        train = ~batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if lo == hi:
-                continue
-            if held and chunk[lo] != now:
-                yield from rows()
-                held = []
-            now, done = int(chunk[lo]), int(lo)
-            for texts in chunks(batch.column(2).slice(lo, hi - lo), WORK_BYTES):
-                hashes, sizes = _hashed_words([normalised(t) for t in texts])
-                seen = np.repeat(train[done:done + len(texts)], sizes)
-                done += len(texts)
-                low, where = np.unique(hashes, return_inverse=True)
-                held.append((low, np.bincount(where, seen, len(low)).astype(np.int64)))
-            if len(held) > 64:
-                held = [added()]
-    if held:
-        yield from rows()
+            yield pa.record_batch([pa.array(np.full(len(part), chunk)), pa.array(part.view(np.int64)), pa.array(counts[a:a + (1 << 16)])],
+                                  ["chunk", "key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+        for batch in batches:
+            chunk = batch.column(3).to_numpy()
+            train = ~batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and chunk[lo] != now:
+                    yield from rows(held, now)
+                    held = []
+                now, done = int(chunk[lo]), int(lo)
+                for texts in chunks(batch.column(2).slice(lo, hi - lo), WORK_BYTES):
+                    keys, sizes = keys_of([normalised(t) for t in texts])
+                    seen = np.repeat(train[done:done + len(texts)], sizes)
+                    done += len(texts)
+                    low, n = np.unique(keys[seen], return_counts=True)
+                    held.append((low, n.astype(np.int64)))
+                    low = np.unique(keys[~seen])
+                    held.append((low, np.zeros(len(low), np.int64)))
+                if len(held) > 64:
+                    held = [added(held)]
+        if held:
+            yield from rows(held, now)
+    return run
 
 
-_SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_counts double, score double, kinds bigint"
+def _probabilities(base):
+    """Function of a part of all distinct n-grams (key, n in training texts) -> (key, log10 probability)."""
+    def run(part: pa.Table) -> pa.Table:
+        got = _trie(part, MAX_ORDER, base.value).log10_probabilities(part["key"].to_numpy().view(np.uint64))
+        return pa.table([part["key"], pa.array(got.astype(np.float32))], names=["key", "value"])
+    return run
 
 
-def _scorer(model):
-    """Cogroup function: a chunk's documents and its words' counts -> scored documents, and one row with
-    the number of distinct training words that are counted with this chunk. A count comes as c, or as
-    -1 - c where the word is counted with this chunk."""
-    def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
-        trie = model.value
-        order = np.argsort(counted["word"].to_numpy().view(np.uint64))
-        keys, count = counted["word"].to_numpy().view(np.uint64)[order], counted["c"].to_numpy()[order]
-        kinds = int((count < -1).sum())
-        count = np.where(count < 0, -1 - count, count)
-        log_count, known = np.log10(count + 0.5), (count > 0).astype(np.int64)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for part in docs["text"].chunks:
-            for texts in chunks(part, WORK_BYTES):
-                own = [normalised(t) for t in texts]
-                hashes, sizes = _hashed_words(own)
-                at = np.searchsorted(keys, hashes)
-                doc = np.repeat(np.arange(len(own)), sizes)
-                out[0].append(sizes)
-                out[1].append(np.bincount(doc, known[at], len(own)).astype(np.int64))
-                out[2].append(np.bincount(doc, log_count[at], len(own)))
-                out[3].append(trie.score(own))
-        n = docs.num_rows
-        whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        last = [pa.array([None], pa.int64()), pa.array([None], pa.bool_()), *[pa.array([None], pa.int64())] * 2,
-                *[pa.array([None], pa.float64())] * 2, pa.array([kinds], pa.int64())]
-        rows = [docs["doc_id"], docs["held_out"], pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)),
-                pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), pa.nulls(n, pa.int64())]
-        names = [x.split()[0] for x in _SCORED.split(", ")]
-        return pa.concat_tables([pa.table(rows, names=names), pa.table(last, names=names)])
-    return run
+_SCORED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_counts double, score double, kinds bigint"
 
 
-def score_documents(docs: DataFrame, max_nodes: int = MAX_NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _score(docs: pa.Table, counted: pa.Table) -> pa.Table:
+    """Cogroup function: a chunk's documents and its counted words and n-grams -> scored documents, and one
+    row with the number of distinct training words that are counted with this chunk. The value of an n-gram
+    is its log10 probability, that of a word its count c, or -1 - c where it is counted with this chunk."""
+    is_word = counted["is_word"].to_numpy()
+    keys, values = counted["key"].to_numpy().view(np.uint64), counted["value"].to_numpy()
+    grams, gram_values = _Index(keys[~is_word]), values[~is_word]
+    keys, count = keys[is_word], values[is_word]
+    order = np.argsort(keys)
+    keys, count = keys[order], count[order].astype(np.int64)
+    kinds = int((count < -1).sum())
+    count = np.where(count < 0, -1 - count, count)
+    log_count, known = np.log10(count + 0.5), (count > 0).astype(np.int64)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for part in docs["text"].chunks:
+        for texts in chunks(part, WORK_BYTES):
+            own = [normalised(t) for t in texts]
+            hashes, sizes = _hashed_words(own)
+            at = np.searchsorted(keys, hashes)
+            doc = np.repeat(np.arange(len(own)), sizes)
+            out[0].append(sizes)
+            out[1].append(np.bincount(doc, known[at], len(own)).astype(np.int64))
+            out[2].append(np.bincount(doc, log_count[at], len(own)))
+            symbols, lengths = ngram_keys(own, MAX_ORDER)
+            at = grams.find(symbols)
+            if (at < 0).any():
+                raise ValueError("an n-gram of the chunk has no probability")
+            out[3].append(np.add.reduceat(gram_values[at], np.concatenate(([0], np.cumsum(lengths)[:-1]))))
+    n = docs.num_rows
+    whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
+    last = [pa.array([None], pa.int64()), pa.array([None], pa.bool_()), *[pa.array([None], pa.int64())] * 2,
+            *[pa.array([None], pa.float64())] * 2, pa.array([kinds], pa.int64())]
+    rows = [docs["doc_id"], docs["held_out"], pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)),
+            pa.array(whole[2], pa.float64()), pa.array(whole[3], pa.float64()), pa.nulls(n, pa.int64())]
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    return pa.concat_tables([pa.table(rows, names=names), pa.table(last, names=names)])
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    model = spark.sparkContext.broadcast(learn(rows.filter("not held_out").select("text"), max_nodes))
+    base = spark.sparkContext.broadcast(learn_shared(rows.filter("not held_out").select("text")))
     sums = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     parts = max(1, -(-sums[0] // CHUNK_TEXT))
-    # both sides take all columns of the dealt documents, so the texts are shuffled once
+    # all sides take all columns of the dealt documents, so the texts are shuffled once
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("long")).repartition("chunk")
-    by_word = W.partitionBy("word")
-    counted = (dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_words, "chunk bigint, word bigint, n bigint")
+    sorted_docs = dealt.sortWithinPartitions("chunk")
+    by_word = W.partitionBy("key")
+    counted = (sorted_docs.mapInArrow(_chunk_counts(_hashed_words), "chunk bigint, key bigint, n bigint")
                .withColumns({"c": F.sum("n").over(by_word), "first": F.min("chunk").over(by_word)})
-               .select("chunk", "word", F.when(F.col("first") == F.col("chunk"), -1 - F.col("c")).otherwise(F.col("c")).alias("c")))
-    scored = cut_lineage(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_scorer(model), _SCORED))
+               .select("chunk", "key", F.when(F.col("first") == F.col("chunk"), -1 - F.col("c")).otherwise(F.col("c")).cast("double").alias("value"),
+                       F.lit(True).alias("is_word")))
+    # chunk and count in one column and the join's filter made before: both sides then take the same rows and
+    # columns, and the n-grams are counted and shuffled once
+    grams = (sorted_docs.mapInArrow(_chunk_counts(lambda texts: ngram_keys(texts, MAX_ORDER)), "chunk bigint, key bigint, n bigint")
+             .select("key", (F.shiftleft("chunk", 36) + F.col("n")).alias("at"))
+             .filter("key is not null").repartition("key"))
+    context = F.shiftright("key", 9).bitwiseAND(F.lit(int(_mask(SHARED + 1))))
+    kept = (grams.groupBy("key").agg(F.sum(F.col("at").bitwiseAND(F.lit((1 << 36) - 1))).alias("n"))
+            .withColumn("part", F.pmod(F.xxhash64(context), F.lit(max(PARTS, CHUNK_PARTS * parts)))))
+    found = kept.groupBy("part").applyInArrow(_probabilities(base), "key bigint, value float")
+    valued = (grams.join(found.hint("merge"), "key")  # n-grams outnumber what Spark guesses from the file sizes: no broadcast
+              .select(F.shiftright("at", 36).alias("chunk"), "key", F.col("value").cast("double").alias("value"), F.lit(False).alias("is_word")))
+    scored = cut_lineage(dealt.groupBy("chunk").cogroup(counted.unionByName(valued).groupBy("chunk")).applyInArrow(_score, _SCORED))
     whole = scored.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_words"))), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     texts = sums[1]  # each ends once
     tokens, kinds = whole[0] + texts, whole[1] + (texts > 0)

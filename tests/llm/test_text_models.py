@@ -172,6 +172,32 @@ def test_order_follows_the_bound(spark):
     assert np.allclose(small.score([b"abra"]), BrutePPM([("abracadabra " * 5).encode(), b"alakazam simsalabim"], small.order).score(b"abra"), rtol=1e-5)
 
 
+def test_order_of_the_scores_does_not_fall_with_size(spark):
+    """More n-grams than a trie made in one piece may hold."""
+    rng = np.random.default_rng(5)
+    rows = [(d, rng.integers(97, 123, 25_000).astype(np.uint8).tobytes().decode()) for d in range(260)]
+    learned = [t.encode() for d, t in rows if crc(d) % 5 != 1]
+    whole = trie(learned, ppm.MAX_ORDER)
+    assert len(whole.alone[ppm.MAX_ORDER]) > ppm.MAX_NODES
+    got = {r.doc_id: r.score for r in ppm.score_documents(docs_of(spark, [(*r, "en") for r in rows])).collect()}
+    some = [r for r in rows if crc(r[0]) % 5 == 1][:5] + rows[:5]
+    assert len(got) == len(rows)
+    assert np.allclose([got[d] for d, _ in some], whole.score([t.encode() for _, t in some]), rtol=1e-6)
+
+
+def test_parts_of_a_trie_score_as_the_whole():
+    rng = random.Random(8)
+    train = [bytes(rng.choices(b"abcd ", k=rng.randint(0, 80))) for _ in range(15)] + [b""]
+    keys = ppm.ngram_keys(train[:4] + [b"abcdz", b"zz a b", b""], 5)[0]
+    base, whole = trie(train, ppm.SHARED), trie(train, 5)
+    own, counts = np.unique(ppm.ngram_keys(train, 5)[0], return_counts=True)
+    part = lambda k: (k >> np.uint64(9) & np.uint64((1 << 27) - 1)) % np.uint64(3)
+    for p in range(3):
+        one = ppm.Trie(own[part(own) == p], counts[part(own) == p], 5, base)
+        asked = keys[part(keys) == p]
+        assert len(asked) and np.array_equal(one.log10_probabilities(asked), whole.log10_probabilities(asked))
+
+
 # ---- token counts -----------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
