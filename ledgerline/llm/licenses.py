@@ -5,7 +5,9 @@ shingles starts at every word of the whole text; each window's MinHash signature
 and a window that shares a band with the template is a candidate. The bands are as many as it takes
 for a window at the least Jaccard similarity of an occurrence to share one with probability
 GUARANTEE. A candidate is a match if the words around the window hold at least CONTAINMENT of the
-template's shingles, compared as words.
+template's shingles, compared as words. Of matches of several licenses at one place (they share at least
+half of the shorter one) the one that holds most distinct shingles stays, then the one of the largest
+share; where both are equal, all stay. So a relative's name is not given to a license that is known.
 
 Work is by document and in tasks alone; templates are a small fixed table. Defined results: null,
 empty and short texts match nothing; repeated rows are scanned separately; a text that repeats a
@@ -15,7 +17,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,27 @@ TEMPLATES = (
             "documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+_GNU = ("This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by "
+        "the Free Software Foundation, either version {2} of the License, or (at your option) any later version")
+_GNU_2 = _GNU.replace("software:", "software;").replace(", either", "; either")
+#: Notices of relatives of the above.
+RELATIVES = (
+    ("AGPL-3.0-or-later", _GNU.format("program", "Affero General Public License", "3")),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+                "rights to this software to the public domain worldwide"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0-or-later", _GNU_2.format("program", "General Public License", "2")),
+    ("LGPL-2.0-or-later", _GNU_2.format("library", "Library General Public License", "2")),
+    ("LGPL-2.1-or-later", _GNU_2.format("library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0-or-later", _GNU.format("program", "Lesser General Public License", "3")),
+    ("LGPL-3.0-or-later", _GNU.format("library", "Lesser General Public License", "3")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+)
+#: Whole texts; that of AGPL-3.0 is its terms only, composed of GPL-3.0's and its own section 13.
+WHOLE = tuple(tuple(x) for x in json.loads(pkgutil.get_data(__package__, "license_texts.json")))
 SHINGLE = 5
+#: Windows of templates of more shingles are verified one for each eighth of the template's length.
+LONG = 64
 CONTAINMENT = 0.8
 GUARANTEE = 0.999
 ROWS = 2
@@ -120,8 +144,33 @@ def _window_min(ladder: list[np.ndarray], m: int) -> np.ndarray:
     return np.minimum(ladder[top][:len(ladder[top]) - rest], ladder[top][rest:]) if rest else ladder[top]
 
 
+def _shortest(kinds: list[tuple], places: list[int]) -> tuple[int, int]:
+    """First and last place of the shortest stretch that holds all kinds."""
+    wanted, have, lo, best = len(set(kinds)), {}, 0, (places[0], places[-1])
+    for hi, kind in enumerate(kinds):
+        have[kind] = have.get(kind, 0) + 1
+        while have[kinds[lo]] > 1:
+            have[kinds[lo]] -= 1
+            lo += 1
+        if len(have) == wanted and places[hi] - places[lo] < best[1] - best[0]:
+            best = places[lo], places[hi]
+    return best
+
+
+def _without_relatives(matches: list) -> list:
+    """The matches (shingles, share, ..., name, stretch) without those of which a better one of another name
+    lies at the same place."""
+    kept: list = []
+    for x in sorted(set(matches), key=lambda m: (-m[0], -m[1], m[2:])):
+        a, b = x[-1]
+        if not any(k[-2] != x[-2] and k[:2] > x[:2] and 2 * (min(b, k[-1][1]) - max(a, k[-1][0])) >= min(b - a, k[-1][1] - k[-1][0])
+                   for k in kept):
+            kept.append(x)
+    return kept
+
+
 class Scanner:
-    def __init__(self, templates=TEMPLATES):
+    def __init__(self, templates=TEMPLATES + RELATIVES + WHOLE):
         self.templates = [_Template(*t) for t in templates]
         self.longest = max(t.m for t in self.templates)
 
@@ -147,26 +196,37 @@ class Scanner:
                 if n % rows == rows - 1:
                     hits[k] |= same[k]
         for t, h in zip(self.templates, hits):
+            last = None
             for at in np.flatnonzero(h).tolist():
+                if t.m > LONG and last is not None and at - last < t.m // 8 and laid.owner[at] == laid.owner[last]:
+                    continue  # the last one's surroundings hold this one's
+                last = at
                 yield t, at
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[str, float, int, int]]]:
         """Of each text, sorted: (license, best containment, first word of that place, occurrences)."""
         laid = Words(texts)
-        found: list[dict[str, list[tuple[float, int, int]]]] = [{} for _ in texts]
+        found: list[list[tuple[int, float, int, int, str, tuple[int, int]]]] = [[] for _ in texts]
         for t, at in self.candidates(laid):
             for doc in np.unique(laid.owner[at:at + t.m + SHINGLE]).tolist():  # a window may reach into the next text
                 first = int(laid.first[doc])
-                lo, hi = max(first, at - t.m // 2 - 1), min(int(laid.first[doc + 1]), at + t.m + SHINGLE + t.m // 2)
+                reach = t.m // 2 + (t.m // 8 if t.m > LONG else 0)
+                lo, hi = max(first, at - reach - 1), min(int(laid.first[doc + 1]), at + t.m + SHINGLE + reach)
                 around = laid.words(lo, hi)
                 held = [i for i in range(len(around) - SHINGLE + 1) if tuple(around[i:i + SHINGLE]) in t.shingles]
-                share = len({tuple(around[i:i + SHINGLE]) for i in held}) / len(t.shingles)
+                kinds = [tuple(around[i:i + SHINGLE]) for i in held]
+                count = len(set(kinds))
+                share = count / len(t.shingles)
                 if share >= CONTAINMENT:
-                    found[doc].setdefault(t.name, []).append((share, lo + held[0] - first, lo + held[-1] + SHINGLE - first))
+                    a, b = _shortest(kinds, held)
+                    found[doc].append((count, share, lo + held[0] - first, lo + held[-1] + SHINGLE - first, t.name,
+                                       (lo + a - first, lo + b + SHINGLE - first)))
         out = []
         for own in found:
-            rows = []
-            for name, spans in sorted(own.items()):
+            rows, by_name = [], {}
+            for _, share, a, b, name, _ in _without_relatives(own):
+                by_name.setdefault(name, []).append((share, a, b))
+            for name, spans in sorted(by_name.items()):
                 best = min(spans, key=lambda s: (-s[0], s[1]))
                 count, end = 0, -1
                 for _, a, b in sorted(spans, key=lambda s: s[1:]):
@@ -179,7 +239,7 @@ class Scanner:
 _FOUND = "array<struct<license:string,containment:double,first_word:bigint,occurrences:bigint>>"
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES + RELATIVES + WHOLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment, first_word, occurrences: a row per document and license found in it."""
     scanner = Scanner(templates)
     kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("occurrences", pa.int64())]))

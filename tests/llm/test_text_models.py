@@ -285,6 +285,25 @@ def test_licenses_equal_brute_force():
     assert got[-1] == [("MIT", 1.0, 0, 2)]
 
 
+def test_relatives_get_their_own_name():
+    """Whole texts and notices of near relatives, alone, in upper case amid other words, and with a few words changed."""
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(n))
+    scanner = licenses.Scanner()
+    table = licenses.RELATIVES + licenses.WHOLE
+    assert {"GPL-2.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause", "CC0-1.0", "Unlicense"} <= {n for n, _ in licenses.WHOLE}
+    for name, text in table:
+        words = text.split()
+        assert [r[0] for r in scanner.scan([text.encode()])[0]] == [name]
+        assert [r[0] for r in scanner.scan([f"{noise(30)} {text.upper()} {noise(30)}".encode()])[0]] == [name]
+        if len(words) > 100:  # as many changes as a twentieth of the containment allows
+            for _ in range(len(words) // 100):
+                words[rng.randrange(len(words))] = "changed"
+            assert [r[0] for r in scanner.scan([" ".join(words).encode()])[0]] == [name]
+    both = f"{licenses.RELATIVES[0][1]}. {noise(40)} {licenses.RELATIVES[5][1]}."
+    assert [r[0] for r in scanner.scan([both.encode()])[0]] == ["AGPL-3.0-or-later", "LGPL-2.1-or-later"]
+
+
 def test_band_settings_guarantee():
     for m in range(1, 200):
         rows, bands = licenses.band_settings(m)
