@@ -530,10 +530,17 @@ def q_text_index(spark, d):
     return postings
 
 
+def _file_state(spark, name: str) -> tuple[str, int, int]:
+    """Name (as by inputFiles), length and modification time of a file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return name, status.getLen(), status.getModificationTime()
+
+
 def _stored_index(spark, docs, id_col, text_col) -> str:
     """The stored index of a texts column; searches over the same files share
     one build (the indexing job) as long as it is there."""
-    files_read = tuple(sorted(docs.inputFiles()))
+    files_read = tuple(sorted(_file_state(spark, f) for f in docs.inputFiles()))
     key = (spark.sparkContext.applicationId, files_read, id_col, text_col)
     if key not in _INDEXES:
         _INDEXES[key] = search.write_index(docs, id_col, [text_col], scratch_path(spark, "text_index"))

@@ -91,3 +91,19 @@ def test_stored_search_equals_lazy_and_is_updated(spark):
     assert rows(lens) == [(2, 2), (3, 3), (7, 1)] and ("bird", 2, 2) in rows(p)
     assert [r.doc_id for r in search.search_stored(spark, new, "cat").collect()] == [7]
     assert sorted(r.doc_id for r in search.search_stored(spark, root, "cat").collect()) == [1, 2]
+
+
+def test_replaced_table_is_indexed_again(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ledgerline.plans import registry
+
+    path = str(tmp_path / "own documents.parquet")
+    roots = []
+    for text in ("alpha beta", "gamma delta and more"):
+        pq.write_table(pa.table({"doc_id": [1], "text": [text]}), path)
+        roots += [registry._stored_index(spark, spark.read.parquet(path), "doc_id", "text") for _ in range(2)]
+    assert roots[0] == roots[1] != roots[2] == roots[3]
+    terms = {r.term for r in spark.read.parquet(f"{roots[2]}/postings").collect() if r.term}
+    assert "gamma" in terms and "alpha" not in terms
