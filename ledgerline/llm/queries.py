@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table
-from . import ann, decontaminate, langid, licenses, mixing, ppm, sharding, simhash, tokens, warc
+from . import ann, decontaminate, langid, licenses, mixing, ppm, quality, sharding, simhash, spelling, tokens, warc, whitening
 
 
 def op1_warc_archive(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_nearest_neighbours(spark: SparkSession, data_dir: str) -> DataFrame:
     return ann.search(read_table(spark, data_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_whiten_embeddings(spark: SparkSession, data_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, data_dir, "embeddings"))
+
+
+def op12_group_spelling_variants(spark: SparkSession, data_dir: str) -> DataFrame:
+    return spelling.group_variants(read_table(spark, data_dir, "documents"))
+
+
+def op13_classify_quality(spark: SparkSession, data_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, data_dir, "documents"), read_table(spark, data_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_archive, op2_mix_sources, op3_consistent_hash_shards, op4_decontaminate, op5_identify_language,
-    op6_score_language_model, op7_scan_licenses, op8_count_tokens, op9_simhash_near_duplicates, op10_nearest_neighbours)}
+    op6_score_language_model, op7_scan_licenses, op8_count_tokens, op9_simhash_near_duplicates, op10_nearest_neighbours,
+    op11_whiten_embeddings, op12_group_spelling_variants, op13_classify_quality)}
