@@ -155,11 +155,9 @@ def groups_for(n_words: int) -> int:
 _BLOCKS = "len int, codes binary, counts binary, cells array<array<int>>"
 
 
-def blocks(words: DataFrame, group: np.ndarray, size: int = BLOCK) -> DataFrame:
+def blocks(words: DataFrame, group: np.ndarray, k: int, size: int = BLOCK) -> DataFrame:
     """Words in blocks (id, len, codes, counts, cells): at most `size` words of one length, in order of their cell;
-    codes are their letter numbers, counts how often they occur, cells the distinct cells."""
-    k = int(group.max()) + 1
-
+    codes are their letter numbers, counts how often they occur, cells the distinct cells (counts of k groups)."""
     def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
@@ -326,7 +324,7 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per word: word, form, root, n, n_near, form_n."""
     words = cut_lineage(word_counts(docs, id_col, text_col, min_length, min_count, misspelt))
     k = groups or groups_for(words.count())
-    made = blocks(words, letter_groups(words, k), size)
+    made = blocks(words, letter_groups(words, k), k, size)
     known = F.col("form_n") >= ratio * F.col("n")
     told = cut_lineage(words.join(links(made, k), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
