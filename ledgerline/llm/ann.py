@@ -12,8 +12,9 @@ PART classes; a shelf with more of them, or of queries, is dealt out in parts, a
 the queries of one part with the leaves they visit in another.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component, rows with a
-null id, and vectors of another length than the most common one take no part; repeated rows count
-once; a candidate never has the query's own id; equal scores go to the smaller id; with fewer
+null id take no part; vectors are searched among those of their own length (each length has its tree);
+an id with several vectors asks with each (with vectors of several lengths, for the best of all) and is
+a candidate with each; repeated rows count once; a candidate never has the query's own id; equal scores go to the smaller id; with fewer
 candidates all are returned; an empty table gives no rows; other columns are not read.
 """
 
@@ -126,40 +127,46 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vkey").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row of scores; of equal scores the first columns."""
-    if score.shape[1] <= k:
-        return np.tile(np.arange(score.shape[1]), (len(score), 1))
-    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
-    above, equal = score > edge, score == edge
-    chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
-    return np.nonzero(chosen)[1].reshape(len(score), k)
-
-
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of q[i] with each c[i, j], summed from the first component to the last."""
-    out = np.zeros(c.shape[:2])
+    """Inner products of q[i] with c[i], summed from the first component to the last."""
+    out = np.zeros(len(q))
     for d in range(q.shape[1]):
-        out += q[:, None, d] * c[:, :, d]
+        out += q[:, d] * c[:, d]
     return out
 
 
 def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int,
           visited: np.ndarray | None = None, bin_of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, candidate, score) arrays of each query's k best, in blocks of queries. ids ascend.
-    With visited[query, bin], only candidates of the bins a query visits count."""
+    With visited[query, bin], only candidates of the bins a query visits count.
+
+    A matrix product differs from the exact score by at most its rounding error, relative to the lengths
+    of both vectors. Every candidate that may be among the k best by that much is scored exactly, so ties
+    and vectors of any size are told apart as the exact scores tell them."""
     step = max(1, (1 << 21) // max(1, len(vectors)))
+    unit = vectors / (np.abs(vectors).max(initial=0) or 1.0)  # products of tiny or huge vectors neither vanish nor overflow
+    length = np.sqrt((unit * unit).sum(1))
     for lo in range(0, len(queries), step):
         q = queries[lo:lo + step]
-        near = (q @ vectors.T).round(12)
+        size = np.abs(q).max(1, initial=0)[:, None]
+        near = (q / np.where(size > 0, size, 1)) @ unit.T
+        slack = 4 * vectors.shape[1] * np.sqrt(vectors.shape[1]) * np.finfo(float).eps * length
         if visited is not None:
             near[~visited[lo:lo + step][:, bin_of]] = -np.inf
-        at = _top(near, k + 8)
-        exact = np.where(np.take_along_axis(near, at, 1) > -np.inf, _exact(q, vectors[at]), -np.inf)
-        row = np.repeat(np.arange(len(q)), at.shape[1])
-        rank = np.lexsort((at.ravel(), -exact.ravel(), row)).reshape(len(q), -1)[:, :k].ravel()
-        rank = rank[exact.ravel()[rank] > -np.inf]
-        yield row[rank] + lo, at.ravel()[rank], exact.ravel()[rank]
+        if near.shape[1] > k:
+            edge = -np.partition(-(near - slack), k - 1, axis=1)[:, k - 1:k]
+            row, at = np.nonzero((near + slack >= edge) & (near > -np.inf))
+        else:
+            row, at = np.nonzero(near > -np.inf)
+        exact = np.empty(len(row))
+        for part in range(0, len(row), 1 << 17):
+            cut = slice(part, part + (1 << 17))
+            exact[cut] = _exact(q[row[cut]], vectors[at[cut]])
+        order = np.lexsort((at, -exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = nth < k
+        yield row[kept] + lo, at[kept], exact[kept]
 
 
 def _low_ids(ids) -> np.ndarray:
@@ -242,8 +249,24 @@ def search(rows: DataFrame, is_query: Column, k: int = K, target: float = TARGET
     vector = F.col(vector_col).cast("array<double>")
     valid = (rows.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
              .filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))))
-    length = valid.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    valid = valid.filter(F.size("vector") == (length[0] if length else 0))
+    lengths = [r.dim for r in valid.select(F.size("vector").alias("dim")).distinct().orderBy("dim").collect()]
+    out = None
+    for dim in lengths or [0]:
+        found = _search(valid.filter(F.size("vector") == dim), is_query, k, target, sample)
+        out = found if out is None else out.unionByName(found)
+    return out if len(lengths) < 2 else _ranked(out, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over its vectors of all lengths (an id may have several)."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def _search(valid: DataFrame, is_query: Column, k: int, target: float, sample: int) -> DataFrame:
+    """The search among (vec_id, vector) of one length."""
     valid = valid.withColumn("vkey", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",").cast("binary")))
     index, tree = build(valid, k, sample)
     asked = valid.filter(is_query)

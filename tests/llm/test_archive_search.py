@@ -136,6 +136,27 @@ def test_recall_and_a_vector_shared_by_many(spark, monkeypatch):
     assert all(abs(s - float(np.dot(np.float64(data[q]), np.float64(data[i])))) < 1e-12 for q in got for i, s in got[q].items())
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e-12])
+def test_recall_at_any_scale_and_mixed_lengths(spark, scale):
+    rng = np.random.default_rng(6)
+    data = (rng.normal(size=(1200, 12)) * scale).astype(np.float32)
+    rows = [(i, [float(x) for x in (v[:5] if i % 5 == 0 else v)]) for i, v in enumerate(data)]
+    got = {}
+    for r in ann.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i, _ in rows if i % 20 == 0]
+    own = {i: brute_neighbours([r for r in rows if len(r[1]) == len(dict(rows)[i])], 20)[i] for i in asked}
+    assert sorted(got) == asked and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[i] & {j for j, _ in own[i]}) / 20 for i in asked]) >= 0.9
+
+
+def test_equal_products_of_different_vectors(spark):
+    """Every candidate has the same product with the query: the smallest ids win, however many there are."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, float(np.cos(i)), float(np.sin(i))]) for i in range(1, 400)]
+    got = [r.vec_id for r in ann.search(frame(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == list(range(1, 21))
+
+
 # ---- components -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n,m,seed", [(1, 0, 0), (30, 20, 1), (200, 180, 2), (60, 59, 3)])
