@@ -35,6 +35,11 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("__text_hash"), F.octet_length(text).alias("__text_bytes")]
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A row as one struct, so that its columns clash with no other, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def doc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

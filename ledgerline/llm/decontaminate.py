@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import BROADCAST_ROWS, ascii_lower, join_keys, text_key
+from .common import BROADCAST_ROWS, ascii_lower, join_keys, text_key, whole_row
 
 #: A word after lower-casing A-Z: digits, a-z and everything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,8 +130,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
            .select(F.col("doc_id").alias("__k_id"), F.col("__text_hash").alias("__k_hash"),
                    F.col("__text_bytes").alias("__k_bytes")).distinct())
     h, b = text_key(F.col(text_col))
-    keyed = docs.withColumns({"__k_id": F.col(id_col), "__k_hash": h, "__k_bytes": b})
-    return join_keys(keyed, bad, ["__k_id", "__k_hash", "__k_bytes"], "left_anti").drop("__k_id", "__k_hash", "__k_bytes")
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("__k_id"), h.alias("__k_hash"), b.alias("__k_bytes"))
+    return join_keys(keyed, bad, ["__k_id", "__k_hash", "__k_bytes"], "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id",
@@ -141,11 +141,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col:
     hits = (find_hits(docs, benchmark, n, id_col, text_col).filter(F.size("hits") > 0)
             .select(F.col("__id").alias("__k_id"), F.col("__text_hash").alias("__k_hash"),
                     F.col("__text_bytes").alias("__k_bytes"), F.col("hits").alias("__hits")))
-    keyed = docs.withColumns({"__k_id": F.col(id_col), "__k_hash": h, "__k_bytes": b})
+    text = F.col("row").getField(text_col)
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("__k_id"), h.alias("__k_hash"), b.alias("__k_bytes"))
     joined = join_keys(keyed, hits, ["__k_id", "__k_hash", "__k_bytes"], "left")
     covered = lambda i: F.exists(F.col("__hits"), lambda x: (i >= x["pos"]) & (i < x["pos"] + x["len"]))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0))
-    cut = F.concat(F.regexp_extract(F.col(text_col), LEAD, 0),
-                   F.array_join(F.filter(pieces, lambda x, i: ~covered(i)), ""))
-    return (joined.withColumn(text_col, F.when(F.col("__hits").isNotNull(), cut).otherwise(F.col(text_col)))
-            .select(*docs.columns))
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    cut = F.concat(F.regexp_extract(text, LEAD, 0), F.array_join(F.filter(pieces, lambda x, i: ~covered(i)), ""))
+    left = F.when(F.col("__hits").isNotNull(), cut).otherwise(text)
+    return joined.select(*[left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow_text import text_udf
-from .common import join_keys, text_key
+from .common import join_keys, text_key, whole_row
 from .components import components
 
 SHINGLE = 3
@@ -333,9 +333,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, band
     gone = counts.alias("c").join(kept.alias("k"), same, "left_anti")
     repeated = counts.filter("n > 1").alias("c").join(kept.alias("k"), same, "left_semi")
     h, b = text_key(F.col(text_col))
-    keyed = docs.withColumns({"__k0": F.col(id_col), "__k1": h, "__k2": b})
+    keyed = docs.select(whole_row(docs).alias("row"), *[c.alias(name) for c, name in zip((F.col(id_col), h, b), on)])
     out = join_keys(keyed, named(gone.distinct()), on, "left_anti")
     again = cut_lineage(named(repeated))
     if not again.isEmpty():  # rows that repeat a kept one
         out = join_keys(out, again, on, "left_anti").union(join_keys(out, again, on, "left_semi").dropDuplicates(on))
-    return out.drop(*on)
+    return out.select("row.*")
