@@ -12,7 +12,9 @@ prediction uses the text alone.
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled row
 every text is `und`; with one language learned, every text with a letter is that language, score 1;
 a language outside the family table is a family of its own; null labels are not learned; repeated
-rows get equal results; an empty table gives no rows; other columns are kept or not read.
+rows get equal results; in a vote, names with equally many pairs won are told apart by the sum of their
+margins, then by name; texts of any length are read whole, one at a time beyond 4 MB; an empty table
+gives no rows; other columns are kept or not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow_text import joined, text_udf
-from .common import doc_bucket, join_keys
+from .common import doc_bucket, join_keys, whole_row
 
 # Language codes by family.
 FAMILIES = {
@@ -146,46 +148,71 @@ def _elect(names: list[str], prefix: str, row: np.ndarray, column: dict) -> tupl
     return best, 1.0 / (1.0 + np.exp(-np.clip(STEEPNESS * least[best], -60, 60)))
 
 
-def _svm(rows: np.ndarray, sign: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, float]:
+def _svm(gram: np.ndarray, sign: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge) by dual coordinate descent on the rows' inner products (there are far
-    fewer rows than features); the classes' costs are balanced."""
+    fewer rows than features): the rows' coefficients and the bias. The classes' costs are balanced."""
     c = np.where(sign > 0, cost * len(sign) / (2 * max(1, (sign > 0).sum())), cost * len(sign) / (2 * max(1, (sign < 0).sum())))
-    gram = (rows @ rows.T).astype(np.float64) + 0.01  # with a small constant feature for the bias
+    gram = gram + 0.01  # with a small constant feature for the bias
     diagonal = 1 / (2 * c)
     norm = np.diag(gram) + diagonal
-    alpha, value, rng = np.zeros(len(rows)), np.zeros(len(rows)), np.random.default_rng(7)
+    alpha, value, rng = np.zeros(len(sign)), np.zeros(len(sign)), np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(sign)):
             new = max(0.0, alpha[i] - (sign[i] * value[i] - 1 + diagonal[i] * alpha[i]) / norm[i])
             if new != alpha[i]:
                 value += (new - alpha[i]) * sign[i] * gram[i]
                 alpha[i] = new
-    return rows.T @ (alpha * sign).astype(np.float32), 0.01 * float(alpha @ sign)
+    return alpha * sign, 0.01 * float(alpha @ sign)
+
+
+#: Rows that are spread out to all features at a time.
+_DENSE = 128
+
+
+def _dense(features: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray) -> np.ndarray:
+    rows = np.zeros((len(features), len(scale)), np.float32)
+    for row, (at, value) in zip(rows, features):
+        row[at] = value * scale[at]
+    return rows
 
 
 def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Model:
-    """All pairs of families, and of the languages of each family."""
+    """All pairs of families, and of the languages of each family.
+
+    The rows stay sparse; their inner products are taken block by block, and a pair of names uses its
+    part of that one matrix, so memory beyond the sparse rows is a row x row matrix and two blocks."""
     names = np.array(labels, object)
     families = np.array([family(x) for x in labels], object)
     langs = sorted(set(labels))
-    rows = np.zeros((len(features), len(ORDERS) << BITS), np.float32)
-    for i, (at, value) in enumerate(features):
-        rows[i, at] = value
-    scale = 1 / (np.sqrt((rows * rows).mean(0)) + 1e-3) if len(rows) else np.ones(rows.shape[1])
-    rows *= scale  # frequent and rare n-grams weigh alike
-    length = float(np.sqrt((rows * rows).sum(1)).mean()) if len(rows) else 1.0
-    rows /= max(length, 1e-9)
+    n, width = len(features), len(ORDERS) << BITS
+    square = np.zeros(width)
+    for at, value in features:
+        square[at] += value.astype(np.float64) ** 2
+    scale = 1 / (np.sqrt(square / max(1, n)) + 1e-3)  # frequent and rare n-grams weigh alike
+    length = float(np.mean([np.sqrt(((value * scale[at]) ** 2).sum()) for at, value in features])) if n else 1.0
+    scale /= max(length, 1e-9)
+    gram = np.zeros((n, n))
+    for lo in range(0, n, _DENSE):
+        a = _dense(features[lo:lo + _DENSE], scale)
+        for other in range(0, lo + 1, _DENSE):
+            part = a @ (a if other == lo else _dense(features[other:other + _DENSE], scale)).T
+            gram[lo:lo + len(a), other:other + part.shape[1]] = part
+            gram[other:other + part.shape[1], lo:lo + len(a)] = part.T
     pairs, weights, bias = [], [], []
     for prefix, of, groups in (("family:", families, [sorted(set(families))]),
                                ("", names, [[x for x in langs if family(x) == f] for f in sorted(set(families))])):
         for group in groups:
             for a, b in itertools.combinations(group, 2):
                 own = np.flatnonzero((of == a) | (of == b))
-                w, c = _svm(rows[own], np.where(of[own] == a, 1.0, -1.0))
+                part, c = _svm(gram[np.ix_(own, own)], np.where(of[own] == a, 1.0, -1.0))
+                w = np.zeros(width)
+                for i, x in zip(own, part):
+                    if x:
+                        w[features[i][0]] += x * features[i][1]
                 pairs.append((prefix + a, prefix + b))
-                weights.append(w * scale / max(length, 1e-9))
+                weights.append((w * scale * scale).astype(np.float32))
                 bias.append(c)
-    return Model(langs, pairs, np.array(weights).T if pairs else np.zeros((rows.shape[1], 0)), np.array(bias))
+    return Model(langs, pairs, np.array(weights).T if pairs else np.zeros((width, 0), np.float32), np.array(bias))
 
 
 def identify(text: Column, model: Model) -> Column:
@@ -213,7 +240,7 @@ def training_rows(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id
     near = (join_keys(labelled.withColumn("__lang", F.col("lang")), sizes.withColumnRenamed("lang", "__lang"), ["__lang"], "inner")
             .withColumn("__part", part).filter((F.col("__part") * F.col("n") < SPARE * quota) & F.col("text").rlike(r"\p{L}")))
     order = W.partitionBy("lang").orderBy("__part", "id")
-    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= quota).select("lang", "text")
+    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= quota).select("lang", "nth", "text")
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS, **cols) -> Model:
@@ -223,10 +250,10 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, **cols) -> Model:
         return pa.StructArray.from_arrays([pa.array([x.astype(np.int32) for x, _ in got], pa.list_(pa.int32())),
                                            pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))], ["at", "value"])
     made = text_udf(run, "at array<int>, value array<float>")
-    table = training_rows(docs, most, **cols).select("lang", made("text").alias("f")).select("lang", "f.at", "f.value").toArrow()
-    order = sorted(range(table.num_rows), key=lambda i: (table["lang"][i].as_py(), table["value"][i].as_py()))
-    feats = [(np.array(table["at"][i].as_py(), np.int64), np.array(table["value"][i].as_py())) for i in order]
-    return fit(feats, [table["lang"][i].as_py() for i in order])
+    table = (training_rows(docs, most, **cols).select("lang", "nth", made("text").alias("f"))
+             .select("lang", "nth", "f.at", "f.value").toArrow().sort_by([("lang", "ascending"), ("nth", "ascending")]).combine_chunks())
+    list_of = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in table[name]]
+    return fit(list(zip(list_of("at"), list_of("value"))), table["lang"].to_pylist())
 
 
 def held_out(id_col: Column) -> Column:
@@ -237,12 +264,19 @@ def held_out(id_col: Column) -> Column:
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             most: int = TRAIN_ROWS) -> DataFrame:
     """docs with __lang_pred and __lang_score, learned from the labelled documents that are not held out."""
+    return _found(docs, id_col, text_col, lang_col, most).select(
+        "row.*", F.col("lang.lang").alias("__lang_pred"), F.col("lang.score").alias("__lang_score"))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """(row, lang): whole rows, whatever their columns are called, with their struct(lang, score)."""
     model = train(docs.filter(~held_out(F.col(id_col))), most, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = docs.withColumn("__lang", identify(F.col(text_col), model))
-    return (found.withColumns({"__lang_pred": F.col("__lang.lang"), "__lang_score": F.col("__lang.score")}).drop("__lang"))
+    rows = docs.select(whole_row(docs).alias("row"))
+    return rows.select("row", identify(F.col("row").getField(text_col), model).alias("lang"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0, **cols) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang", most: int = TRAIN_ROWS) -> DataFrame:
     """The documents whose language can be told (not `und`, score of at least min_score), unchanged."""
-    return (predict(docs, **cols).filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= min_score))
-            .drop("__lang_pred", "__lang_score"))
+    found = _found(docs, id_col, text_col, lang_col, most)
+    return found.filter((F.col("lang.lang") != UNKNOWN) & (F.col("lang.score") >= min_score)).select("row.*")

@@ -45,6 +45,60 @@ def test_margins_equal_dense_products():
     assert np.allclose(model.margins(texts), dense @ model.weights + model.bias, atol=1e-4)
 
 
+def test_svm_solves_its_problem():
+    """The pairwise fit is the minimum of the squared-hinge objective, found here by plain gradient steps."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 6)) / 2.5
+    sign = np.where(x[:, 0] + 0.3 * rng.normal(size=40) > 0, 1.0, -1.0)
+    coefficient, bias = langid._svm(x @ x.T, sign, epochs=3000)
+    w = np.append(x.T @ coefficient, bias / 0.1)  # the constant feature is 0.1
+    rows = np.column_stack((x, np.full(40, 0.1)))
+    c = np.where(sign > 0, langid.COST * 40 / (2 * (sign > 0).sum()), langid.COST * 40 / (2 * (sign < 0).sum()))
+
+    def slope(v):
+        return v - 2 * rows.T @ (c * sign * np.maximum(0, 1 - sign * (rows @ v)))
+
+    v = np.zeros(7)
+    for _ in range(60000):
+        v -= 2e-4 * slope(v)
+    assert np.allclose(w, v, atol=1e-3) and np.abs(slope(w)).max() < 1e-3
+
+
+def test_vote_equals_counting():
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "c", "d"]
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1:]]
+    column = {p: k for k, p in enumerate(pairs)}
+    for _ in range(200):
+        row = rng.integers(-2, 3, len(pairs)).astype(float)
+        margin = lambda x, y: row[column[x, y]] if (x, y) in column else -row[column[y, x]]
+        won = {x: sum(margin(x, y) > 0 or (margin(x, y) == 0 and x < y) for y in names if y != x) for x in names}
+        total = {x: sum(margin(x, y) for y in names if y != x) for x in names}
+        best = min(names, key=lambda x: (-won[x], -total[x], x))
+        got, sure = langid._elect(names, "", row, column)
+        assert got == best and 0 <= sure <= 1
+
+
+def test_fit_memory_is_bounded():
+    """A fit of TRAIN_ROWS dense rows never holds them spread out to all features."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    width = len(langid.ORDERS) << langid.BITS
+    features = [(np.sort(rng.choice(width, 2000, replace=False)), rng.random(2000)) for _ in range(langid.TRAIN_ROWS)]
+    names = [("en", "de", "fr", "es")[i % 4] for i in range(len(features))]
+    tracemalloc.start()
+    langid.fit(features, names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+
+
+def test_whole_rows_keep_clashing_columns(spark):
+    rows = [(i, "the house and this water", "en" if i % 2 else "de", 1, 2, 3, 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, __lang int, row int, __k_id int, __lang_score int")
+    assert langid.keep_identified(df).columns == df.columns and langid.keep_identified(df).count() == 20
+
+
 def test_language_cases(spark):
     words = {"en": "the house and this water with that friend", "de": "das Haus und dieses Wasser mit jenem Freund",
              "fr": "la maison et cette eau avec cet ami", "xx": "zqo wkk jjv qqz xwv kzz vjq"}
