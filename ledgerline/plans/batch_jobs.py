@@ -8,6 +8,7 @@ driver.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,14 @@ from .. import config, schemas
 from ..functions.scalars import title_case_names
 from ..operators import changelog as chg, quality, summary, timesheets, upsert
 from ..session import cut_lineage
-from ..sinks import writers
+from ..sinks import epochs, writers
 from ..sources import files
 from . import reports
 
 
-#: Room for the rows of one run in the ids of its audit rows.
-RUN_SPAN = 1 << 24
+#: Ids of audit rows set aside for one second, and the tables that share them.
+RUN_SPAN = 1 << 30
+AUDITED = ("forecast", "cost")
 
 
 def refresh_spent_time(spark: SparkSession, csv_path: str, table_path: str,
@@ -41,24 +43,41 @@ def _run_key(run_time: dt.datetime) -> str:
     return run_time.strftime("%Y%m%dT%H%M%S")
 
 
-def _audit(log: DataFrame, run_time: dt.datetime) -> DataFrame:
-    """Log rows in the audit table's columns.  Ids are unique between runs: the
-    run's second, then the row's place in its batch."""
+def _audit(log: DataFrame, run_time: dt.datetime, table: str) -> DataFrame:
+    """Log rows in the audit table's columns.  Ids are unique between runs: the run's second, its table,
+    then the row's number in its batch; a batch with numbers beyond its room fails instead of running into
+    the ids of another."""
     stamp = F.lit(run_time.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     second = int(run_time.replace(tzinfo=dt.timezone.utc).timestamp())
+    room = RUN_SPAN // len(AUDITED)
+    first = second * RUN_SPAN + AUDITED.index(table) * room
+    number = F.when(F.col("seq").between(0, room - 1), F.col("seq")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a batch numbers its rows from 0 to {room - 1}, not "), F.coalesce(F.col("seq").cast("string"), F.lit("null")))).cast("long"))
     have = set(log.columns)
     cols = {f.name: f.dataType for f in schemas.CHANGELOG.fields}
-    fixed = {"id": F.lit(second * RUN_SPAN) + F.col("seq"), "timestamp": stamp}
+    fixed = {"id": F.lit(first) + number, "timestamp": stamp}
     return log.select(*[fixed.get(c, F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
 
 
+def _batch_key(spark: SparkSession, root: str, table: str, run_time: dt.datetime, batch_path: str) -> str:
+    """Names a run's outputs: its table, its time and its batch.  The same batch again replaces them; another
+    batch for the same table and second is refused, as its audit rows would share ids."""
+    run = f"{table}-{_run_key(run_time)}-"
+    key = run + hashlib.sha256(batch_path.encode()).hexdigest()[:12]
+    other = [f for f in epochs.folder_names(spark, f"{root}/changelog") if f.startswith(f"run={run}") and f != f"run={key}"]
+    if other:
+        raise ValueError(f"another {table} batch has run time {run_time}: {other[0]}")
+    return key
+
+
 def _apply(spark: SparkSession, state: DataFrame, checked: DataFrame, out_root: str, run_time: dt.datetime,
-           author: str, apply, table: str) -> str:
-    root, key = out_root.rstrip("/"), _run_key(run_time)
+           author: str, apply, table: str, batch_path: str) -> str:
+    root = out_root.rstrip("/")
+    key = _batch_key(spark, root, table, run_time, batch_path)
     good, bad = quality.split_valid(checked)
     bad.write.mode("overwrite").parquet(f"{root}/quarantine/run={key}")
     log, new_state = apply(state, good, author)
-    writers.append_log(_audit(log, run_time), f"{root}/changelog", key)
+    writers.append_log(_audit(log, run_time, table), f"{root}/changelog", key)
     return writers.write_snapshot(new_state, f"{root}/{table}", run_key=key)
 
 
@@ -68,12 +87,12 @@ def apply_forecast_batch(spark: SparkSession, state_path: str, batch_path: str,
     """Import a forecast batch: validate, upsert, add the audit rows, write
     the new state as a snapshot and return its path (the new current state).
 
-    Rejected rows go to ``<out_root>/quarantine``.  All three outputs are keyed
-    by ``run_time``: a re-run replaces them.
+    Rejected rows go to ``<out_root>/quarantine/run=...``.  All three outputs are keyed by
+    table, ``run_time`` and batch: a re-run replaces them, and nothing else does.
     """
     state = spark.read.schema(schemas.FORECAST).parquet(state_path)
     checked = quality.validate_plan_batch(files.read_plan_batch(spark, batch_path, batch_format), year_range)
-    return _apply(spark, state, checked, out_root, run_time, author, upsert.forecast_upsert, "forecast")
+    return _apply(spark, state, checked, out_root, run_time, author, upsert.forecast_upsert, "forecast", batch_path)
 
 
 def apply_cost_batch(spark: SparkSession, state_path: str, batch_path: str, out_root: str, author: str,
@@ -82,7 +101,7 @@ def apply_cost_batch(spark: SparkSession, state_path: str, batch_path: str, out_
     """Import a cost batch, as :func:`apply_forecast_batch` does for forecasts."""
     state = spark.read.schema(schemas.COST).parquet(state_path)
     checked = quality.validate_cost_batch(files.read_cost_batch(spark, batch_path, batch_format), concepts, year_range)
-    return _apply(spark, state, checked, out_root, run_time, author, upsert.cost_upsert, "cost")
+    return _apply(spark, state, checked, out_root, run_time, author, upsert.cost_upsert, "cost", batch_path)
 
 
 def run_retention(spark: SparkSession, changelog_path: str, out_root: str,

@@ -585,6 +585,15 @@ SQL["upsert_form_log"] = SQL["upsert_forecast_log"]
 # Streaming queries must equal their batch counterparts.
 SQL["stream_last_seen"] = SQL["last_seen"]
 SQL["stream_monthly_hours"] = SQL["monthly_hours"]
+SQL["stream_quarantined_hours"] = """
+    SELECT employee, concat_ws(',', CASE WHEN day(date) = 13 THEN 'date_invalid' END,
+                                    CASE WHEN hours = 5 THEN 'hours_invalid' END) AS violations,
+           count(*) AS n_rows, CAST(NULL AS DOUBLE) AS hours
+    FROM time_entries WHERE day(date) = 13 OR hours = 5 GROUP BY ALL
+    UNION ALL
+    SELECT employee, '', NULL, round(sum(hours), 6) FROM time_entries
+    WHERE NOT (day(date) = 13 OR hours = 5) AND hours IS DISTINCT FROM 0
+      AND project IS NOT NULL AND employee IS NOT NULL GROUP BY employee"""
 SQL["stream_spent_time"] = SQL["spent_time_refresh"]
 
 
@@ -632,6 +641,26 @@ SQL["stream_forecast_upsert_state"] = f"""
 SQL["stream_forecast_upsert_log"] = SQL["upsert_forecast_log"]
 
 
+VIEWS["fbatch_valid"] = f"SELECT * FROM fbatch WHERE year BETWEEN {R.VALID_YEARS[0]} AND {R.VALID_YEARS[1]}"
+VIEWS["cbatch_valid"] = f"""SELECT * FROM cbatch WHERE year BETWEEN {R.VALID_YEARS[0]} AND {R.VALID_YEARS[1]}
+    AND concept IN ({', '.join(repr(c) for c in R.VALID_CONCEPTS)}) AND cost >= 0"""
+_FORECAST_KEYS = ["employee", "project", "month", "year"]
+SQL["stream_ordered_upsert_log"] = _rounded(_upsert_log("fbatch_valid", "fbase", _FORECAST_KEYS, "dedication"), ["dedication_old", "dedication_new"])
+SQL["stream_ordered_upsert_state"] = f"""
+    SELECT s.* REPLACE (CASE WHEN s.id <= (SELECT max(id) FROM fbase) THEN s.id END AS id, round(s.dedication, 6) AS dedication)
+    FROM ({_upsert_state("fbatch_valid", "fbase", _FORECAST_KEYS, "dedication",
+                         ["id", "employee", "project", "remarks", "month", "year", "dedication"])}) s"""
+SQL["read_plan_batch_file"] = "SELECT seq, employee, project, month, year, dedication, remarks FROM plan_text"
+_STAMP = f"TIMESTAMP '{R.IMPORT_TIME:%Y-%m-%d %H:%M:%S}'"
+SQL["import_audit_log"] = _rounded(f"""
+    SELECT action, author, employee, project, month, year, dedication_old, dedication_new, CAST(NULL AS VARCHAR) AS concept,
+           CAST(NULL AS INTEGER) AS cost_old, CAST(NULL AS INTEGER) AS cost_new, remarks, {_STAMP} AS timestamp
+    FROM ({_upsert_log("fbatch_valid", "fbase", _FORECAST_KEYS, "dedication")}) f
+    UNION ALL
+    SELECT action, author, NULL, project, month, year, NULL, NULL, concept, cost_old, cost_new, remarks, {_STAMP}
+    FROM ({_upsert_log("cbatch_valid", "cbase", ["concept", "project", "month", "year"], "cost")}) c""", ["dedication_old", "dedication_new"])
+
+
 def _with_views(sql: str) -> str:
     """Prefix the views the statement uses (transitively) as CTEs."""
     needed: list[str] = []

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas
 from ..operators import (catalog, changelog as chg, compare, matrix, paging, quality,
                          search, social, summary, timesheets, upsert)
 from ..sinks import writers
@@ -112,16 +113,18 @@ def q_time_entries_first(spark, d):
     return timesheets.entries_slice(te, SLICE["employee"], SLICE["project"], limit=ENTRIES_SHOWN)
 
 
+def _broken_rows(spark, d) -> DataFrame:
+    """The export with rows that do not parse: dates of a 13th are turned around, hours of 5 carry their unit."""
+    return fx.tracker_csv_rows(spark, d).withColumns({
+        "Hours": F.when(F.col("Hours") == 5, "5 h").otherwise(F.col("Hours").cast("string")),
+        "Date": F.when(F.split("Date", "/")[1] == "13", F.concat(F.lit("13/"), F.col("Date"))).otherwise(F.col("Date"))})
+
+
 @query("quarantined_time_entries")
 def q_quarantined_time_entries(spark, d):
-    """Export rows that do not parse, written as CSV and read with the reader:
-    dates of a 13th are turned around, hours of 5 carry their unit."""
+    """Export rows that do not parse, written as CSV and read with the reader."""
     root = scratch_path(spark, "quarantine")
-    rows = fx.tracker_csv_rows(spark, d)
-    broken = rows.withColumns({
-        "Hours": F.when(F.col("Hours") == 5, "5 h").otherwise(F.col("Hours").cast("string")),
-        "Date": F.when(F.split("Date", "/")[1] == "13", F.concat(F.lit("13/"), F.col("Date"))).otherwise(F.col("Date"))})
-    broken.write.option("header", True).mode("overwrite").csv(root)
+    _land_csv(_broken_rows(spark, d), root)
     good, bad = files.read_time_entry_csv(spark, root)
     return (bad.groupBy("User", "violations").agg(F.count(F.lit(1)).alias("n_rows"))
             .union(good.groupBy(F.col("employee"), F.lit("")).agg(F.count(F.lit(1))))
@@ -654,8 +657,8 @@ def q_post_search(spark, d):
     return rounded(search.hit_rows(posts.select("id", "user_id", "body", "timestamp"), hits, "id"))
 
 
-#: Rows of a landed CSV file.
-LANDED_ROWS = 20_000
+#: Rows of a landed CSV file, and bytes of files that a micro-batch admits.
+LANDED_ROWS, STREAM_BYTES = 20_000, 16 << 20
 
 
 # ---------------------------------------------------------------- streaming
@@ -680,20 +683,40 @@ def q_stream_last_seen(spark, d):
     return jobs.read_last_seen(spark, f"{root}/table")
 
 
-def _stream_hours(spark, d) -> str:
-    from .. import schemas
+def _land_csv(rows: DataFrame, folder: str) -> None:
+    (rows.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", LANDED_ROWS)
+     .mode("overwrite").csv(folder))
+
+
+def _run_hours(spark, root: str) -> str:
+    """The table of a stream over <root>/landing: files are admitted STREAM_BYTES at a time."""
     from ..streaming import jobs
-    root = scratch_path(spark, "stream_monthly_hours")
-    # land the tracker export in its own partitioning, as CSV files of at most
-    # LANDED_ROWS rows (one micro-batch each)
-    (fx.tracker_csv_rows(spark, d).write.option("header", True).option("maxRecordsPerFile", LANDED_ROWS)
-     .mode("overwrite").csv(f"{root}/landing"))
-    raw = jobs.file_stream(spark, f"{root}/landing", schemas.TIME_ENTRY_CSV, fmt="csv",
-                           max_files_per_trigger=1, header=True)
+    raw = jobs.time_entry_stream(spark, f"{root}/landing", STREAM_BYTES)
     _await(jobs.start_monthly_hours(raw, f"{root}/table", f"{root}/checkpoint"))
     return f"{root}/table"
 
 
+def _stream_hours(spark, d) -> str:
+    # the tracker export lands in its own partitioning, as CSV files of at most LANDED_ROWS rows
+    root = scratch_path(spark, "stream_monthly_hours")
+    _land_csv(fx.tracker_csv_rows(spark, d), f"{root}/landing")
+    return _run_hours(spark, root)
+
+
+@query("stream_quarantined_hours")
+def q_stream_quarantined_hours(spark, d):
+    """Rows that do not parse are quarantined by the stream, the hours of the others counted."""
+    from ..streaming import jobs
+    root = scratch_path(spark, "stream_quarantine")
+    _land_csv(_broken_rows(spark, d), f"{root}/landing")
+    table = _run_hours(spark, root)
+    bad = jobs.read_quarantine(spark, table)
+    return (bad.groupBy("User", "violations").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("double").alias("hours"))
+            .union(rounded(jobs.read_monthly_hours(spark, table).groupBy("employee", F.lit("")).agg(
+                F.lit(None).cast("long"), F.sum("hours").alias("hours"))))
+            .toDF("employee", "violations", "n_rows", "hours"))
+
+
 @query("stream_monthly_hours")
 def q_stream_monthly_hours(spark, d):
     from ..streaming import jobs
@@ -708,7 +731,6 @@ def q_stream_spent_time(spark, d):
 
 
 def _stream_upsert(spark, d):
-    from .. import schemas
     from ..streaming import jobs
     root = scratch_path(spark, "stream_upsert")
     base = fx.forecast_base(spark, d)
@@ -741,3 +763,72 @@ def q_stream_forecast_upsert_log(spark, d):
     from ..streaming import jobs
     root = _stream_upsert(spark, d)
     return rounded(jobs.read_upsert_log(spark, f"{root}/out"))
+
+
+def _stream_ordered_upsert(spark, d) -> str:
+    """Files that share keys and land one after the other; a micro-batch takes up to three of them, and rows
+    of years beyond VALID_YEARS go to the quarantine."""
+    from ..streaming import jobs
+    root = scratch_path(spark, "stream_ordered_upsert")
+    base = fx.forecast_base(spark, d)
+    base.write.mode("overwrite").parquet(f"{root}/initial")
+    jobs.land_state(base, f"{root}/state")
+    text = cut_lineage(fx.plan_batch_text(spark, d))
+    last = text.agg(F.max("seq")).first()[0] or 0
+    for k in range(LANDED_FILES):
+        part = text.filter((F.col("seq") > last * k // LANDED_FILES) & (F.col("seq") <= last * (k + 1) // LANDED_FILES))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    batches = jobs.plan_batch_stream(spark, f"{root}/landing", max_files_per_trigger=3)
+    _await(jobs.start_forecast_upsert(batches, f"{root}/initial", f"{root}/state", f"{root}/out", f"{root}/checkpoint",
+                                      AUTHOR, validate=lambda b: quality.validate_plan_batch(b, VALID_YEARS)))
+    return root
+
+
+#: Files of the ordered upsert's landing.
+LANDED_FILES = 4
+
+
+@query("stream_ordered_upsert_state")
+def q_stream_ordered_upsert_state(spark, d):
+    from ..streaming import jobs
+    root = _stream_ordered_upsert(spark, d)
+    old = fx.forecast_base(spark, d).select(F.max("id")).scalar()
+    state = jobs.read_upsert_state(spark, f"{root}/state").withColumn("id", F.when(F.col("id") <= old, F.col("id")))
+    return rounded(state)
+
+
+@query("stream_ordered_upsert_log")
+def q_stream_ordered_upsert_log(spark, d):
+    from ..streaming import jobs
+    root = _stream_ordered_upsert(spark, d)
+    return rounded(jobs.read_upsert_log(spark, f"{root}/out"))
+
+
+#: The moment of both imports of one night.
+IMPORT_TIME = dt.datetime(2024, 1, 1, 1, 5)
+
+
+@query("import_audit_log")
+def q_import_audit_log(spark, d):
+    """A forecast and a cost batch, landed as CSV and read with their readers, imported at the same moment:
+    the audit log holds the rows of both."""
+    from . import batch_jobs
+    root = scratch_path(spark, "import_audit")
+    fx.forecast_base(spark, d).write.parquet(f"{root}/forecast")
+    fx.cost_base(spark, d).write.parquet(f"{root}/cost")
+    text = lambda df, name: (df.select(*[F.col(c).cast("string") for c in df.columns])
+                             .write.option("header", True).csv(f"{root}/landing/{name}"))
+    text(fx.plan_batch_text(spark, d).select(*schemas.PLAN_BATCH.names), "forecast")
+    text(fx.cost_batch(spark, d).select(*schemas.COST_BATCH.names), "cost")
+    batch_jobs.apply_forecast_batch(spark, f"{root}/forecast", f"{root}/landing/forecast", f"{root}/out", AUTHOR, IMPORT_TIME, year_range=VALID_YEARS)
+    batch_jobs.apply_cost_batch(spark, f"{root}/cost", f"{root}/landing/cost", f"{root}/out", AUTHOR, IMPORT_TIME, VALID_CONCEPTS, year_range=VALID_YEARS)
+    log = spark.read.parquet(f"{root}/out/changelog")
+    return rounded(log.select(*[c for c in schemas.CHANGELOG.names if c != "id"]))
+
+
+@query("read_plan_batch_file")
+def q_read_plan_batch_file(spark, d):
+    """The forecast batch landed as CSV and read with the reader: text cells, blanks as ''."""
+    root = scratch_path(spark, "plan_batch")
+    fx.plan_batch_text(spark, d).select(*schemas.PLAN_BATCH.names).write.option("header", True).csv(root)
+    return files.read_plan_batch(spark, root)

@@ -77,6 +77,11 @@ TASKS = T.StructType([
     T.StructField("complete", T.BooleanType()),
 ])
 
+LAST_SEEN = T.StructType([
+    T.StructField("user_id", T.LongType()),
+    T.StructField("last_seen", T.TimestampNTZType()),
+])
+
 # Time-tracker CSV export as landed on shared storage (header row present).
 TIME_ENTRY_CSV = T.StructType([
     T.StructField("Date", T.StringType()),

@@ -7,35 +7,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 
 TRACKER_DATE_FORMAT = "M/d/yyyy"
 
 
+#: Column of the text of a row that the CSV parser cannot place.
+BROKEN_ROW = "_corrupt_record"
+#: How the tracker's export is read, by batch jobs and streams alike: a quoted comment may hold line breaks
+#: and doubled quotes; a row with too many or too few cells is kept as its text, its cells are not trusted.
+TIME_ENTRY_CSV_READ = StructType(schemas.TIME_ENTRY_CSV.fields + [StructField(BROKEN_ROW, StringType())])
+TIME_ENTRY_CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "multiLine": "true", "escape": '"',
+                          "columnNameOfCorruptRecord": BROKEN_ROW}
+
+
 def read_time_entry_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Tracker time-entry export (header row, ``M/d/yyyy`` dates): the entries,
-    and the rows to quarantine."""
-    raw = (spark.read.schema(schemas.TIME_ENTRY_CSV)
-           .option("header", True).option("mode", "PERMISSIVE").csv(path))
+    and the rows to quarantine.
+
+    A file is one task, because only a reader from its start can tell a line
+    break in a comment from the end of a row: land exports in files of up to
+    some hundred megabytes."""
+    raw = spark.read.schema(TIME_ENTRY_CSV_READ).options(**TIME_ENTRY_CSV_OPTIONS).csv(path)
     return parse_time_entries(raw), bad_time_entries(raw)
 
 
-def _entry_violations() -> Column:
+def entry_violations(raw: DataFrame) -> Column:
     """Comma-joined codes of a raw export row, ``''`` for a good one.
 
-    A date must be there and parse; hours may be missing (they count as 0)
-    but not be something else than a number."""
+    A row must have the header's cells, a date must be there and parse; hours
+    may be missing (they count as 0) but not be something else than a number."""
     hours = F.col("Hours").cast("string")
-    return F.concat_ws(
+    whole = F.col(BROKEN_ROW).isNull() if BROKEN_ROW in raw.columns else F.lit(True)
+    return F.when(~whole, "row_broken").otherwise(F.concat_ws(
         ",", F.when(F.try_to_date(F.col("Date"), TRACKER_DATE_FORMAT).isNull(), F.lit("date_invalid")),
-        F.when((F.trim(hours) != "") & hours.try_cast("double").isNull(), F.lit("hours_invalid")))
+        F.when((F.trim(hours) != "") & hours.try_cast("double").isNull(), F.lit("hours_invalid"))))
 
 
 def parse_time_entries(raw: DataFrame) -> DataFrame:
     """Drop Activity / Issue / Comment, parse date and hours, rename to the
     model.  Rows that do not parse are left to :func:`bad_time_entries`."""
-    return raw.filter(_entry_violations() == "").select(
+    return raw.filter(entry_violations(raw) == "").select(
         F.try_to_date(F.col("Date"), TRACKER_DATE_FORMAT).alias("date"),
         F.col("Project").alias("project"),
         F.col("User").alias("employee"),
@@ -44,8 +58,8 @@ def parse_time_entries(raw: DataFrame) -> DataFrame:
 
 
 def bad_time_entries(raw: DataFrame) -> DataFrame:
-    """The rows that do not parse, as they came, with their ``violations``."""
-    return raw.withColumn("violations", _entry_violations()).filter(F.col("violations") != "")
+    """The rows that do not parse, as they came (a broken one as its text), with their ``violations``."""
+    return raw.withColumn("violations", entry_violations(raw)).filter(F.col("violations") != "")
 
 
 def tracker_date_text(date_col: Column) -> Column:

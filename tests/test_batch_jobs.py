@@ -144,3 +144,31 @@ def test_export_profiles_partitioned_by_year(spark):
     assert set(out) == {"forecast_profile", "spent_time_profile", "costs"}
     fp = spark.read.parquet(out["forecast_profile"])
     assert {"project", "profile", "m1", "year"} <= set(fp.columns) and fp.count() > 0
+
+
+def test_audits_of_one_moment_are_both_kept(spark):
+    root = scratch_path(spark, "t-moment")
+    spark.createDataFrame([], schemas.FORECAST).write.parquet(f"{root}/forecast0")
+    spark.createDataFrame([], schemas.COST).write.parquet(f"{root}/cost0")
+    _write_text(f"{root}/f/a.csv", "seq,employee,project,month,year,dedication,remarks\n1,e,P,1,2024,0.5,\n2,e,P,x,2024,0.5,\n")
+    _write_text(f"{root}/f2/a.csv", "seq,employee,project,month,year,dedication,remarks\n1,g,P,1,2024,0.5,\n")
+    _write_text(f"{root}/c/a.csv", "seq,concept,project,month,year,cost,remarks\n1,travel,P,1,2024,50,\n2,other,P,1,2024,1,\n")
+    forecast = lambda batch: batch_jobs.apply_forecast_batch(spark, f"{root}/forecast0", f"{root}/{batch}", f"{root}/out", "me", RUN)
+    forecast("f")
+    batch_jobs.apply_cost_batch(spark, f"{root}/cost0", f"{root}/c", f"{root}/out", "me", RUN, ("travel",))
+    forecast("f")  # a retry replaces its own rows
+    log = spark.read.parquet(f"{root}/out/changelog")
+    assert rows(log.select("employee", "concept", "action")) == [("e", None, "add"), (None, "travel", "add")]
+    assert log.select("id").distinct().count() == 2
+    assert rows(spark.read.parquet(f"{root}/out/quarantine").select("seq")) == [(2,), (2,)]
+    with pytest.raises(ValueError, match="another forecast batch"):
+        forecast("f2")
+
+
+def test_export_rows_of_broken_structure(spark):
+    root = scratch_path(spark, "t-structure")
+    _write_text(f"{root}/a.csv", 'Date,Project,User,Activity,Issue,Comment,Hours\n1/5/2020,A,u,x,,"first\nsecond, ""third""",2\n'
+                "1/6/2020,A,u,x,,one,two,7\n1/7/2020,A\n1/8/2020,A,v,x,,,3\n")
+    good, bad = files.read_time_entry_csv(spark, root)
+    assert rows(good.select("employee", "hours")) == [("u", 2.0), ("v", 3.0)]
+    assert rows(bad.select("violations", "_corrupt_record")) == [("row_broken", "1/6/2020,A,u,x,,one,two,7"), ("row_broken", "1/7/2020,A")]

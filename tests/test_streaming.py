@@ -130,3 +130,81 @@ def test_files_numbered_alike_and_sharing_keys_equal_a_replay(spark):
     assert len(got) == len({r.id for r in got}) == 4
     assert sorted((r.seq, r.employee, r.action, r.dedication_old, r.dedication_new)
                   for r in jobs.read_upsert_log(spark, f"{root}/out").collect()) == sorted(log)
+
+
+HEADER = "Date,Project,User,Activity,Issue,Comment,Hours\n"
+
+
+def _land_text(root, name, body):
+    import os
+    from ledgerline.session import local_path
+    os.makedirs(local_path(f"{root}/in"), exist_ok=True)
+    with open(local_path(f"{root}/in/{name}"), "w") as f:
+        f.write(HEADER + body)
+    time.sleep(0.05)
+
+
+def test_rows_that_do_not_parse_are_quarantined_by_the_stream(spark):
+    root = scratch_path(spark, "t-bad-hours")
+    _land_text(root, "a.csv", '1/5/2020,A,u,x,,"two\nlines, ""quoted""",2\n13/1/2020,A,u,x,,,1\n1/6/2020,A,u,x,,,2 h\n')
+    _land_text(root, "b.csv", "1/7/2020,A,u,x,,too,many,4\n1/8/2020,A\n1/9/2020,A,u,x,,,\n1/9/2020,A,v,x,,,3\n")
+    q = jobs.start_monthly_hours(jobs.time_entry_stream(spark, f"{root}/in", 1), f"{root}/t", f"{root}/ck")
+    assert len(_finish(q)) == 2
+    assert rows(jobs.read_monthly_hours(spark, f"{root}/t")) == [(2020, 1, "A", "u", 2.0), (2020, 1, "A", "v", 3.0)]
+    bad = jobs.read_quarantine(spark, f"{root}/t")
+    assert sorted(r.violations for r in bad.collect()) == ["date_invalid", "hours_invalid", "row_broken", "row_broken"]
+    assert {r._corrupt_record for r in bad.filter("violations = 'row_broken'").collect()} == {"1/7/2020,A,u,x,,too,many,4", "1/8/2020,A"}
+    clean = scratch_path(spark, "t-clean-hours")
+    _land_text(clean, "a.csv", "1/5/2020,A,u,x,,,2\n")
+    _finish(jobs.start_monthly_hours(jobs.time_entry_stream(spark, f"{clean}/in"), f"{clean}/t", f"{clean}/ck"))
+    assert jobs.read_quarantine(spark, f"{clean}/t").count() == 0
+
+
+def test_epochs_are_folded_and_replays_change_nothing(spark):
+    from pyspark.sql import functions as F
+    from ledgerline.sinks import epochs
+    root = scratch_path(spark, "t-epochs")
+    schema = spark.createDataFrame([], "k string, n double").schema
+    table = epochs.EpochTable(spark, root, schema, ["k"], {"n": F.sum}, fold_every=3)
+    batch = lambda e: spark.createDataFrame([("a", 1.0), (f"k{e}", float(e))], schema)
+    assert table.read().count() == 0
+    for e in range(11):
+        table.write(batch(e), e)
+        base, folders = table._folders()
+        assert len(folders) <= 4 and len(epochs.folder_names(spark, f"{root}/delta")) <= 6 and len(epochs.folder_names(spark, f"{root}/base")) <= 2
+        assert table._folders()[0] == base
+    want = sorted([("a", 11.0)] + [(f"k{e}", float(e)) for e in range(11)])
+    assert rows(table.read()) == want
+    table.write(batch(10), 10)  # replayed after a failure
+    table.write(batch(8), 8)    # already in a base
+    assert rows(table.read()) == want
+    # a base that was not finished is not read
+    epochs.remove(spark, f"{root}/base/upto={table._folders()[0]}/_SUCCESS")
+    assert rows(table.read()) == want
+
+
+def test_a_sink_belongs_to_one_checkpoint(spark):
+    import pytest
+    from ledgerline.sinks import epochs
+    root = scratch_path(spark, "t-claim")
+    epochs.claim(spark, root, "c1")
+    epochs.claim(spark, root, "c1")
+    with pytest.raises(ValueError, match="belongs to the stream of c1"):
+        epochs.claim(spark, root, "c2")
+
+
+def test_files_of_one_micro_batch_are_replayed_as_they_landed(spark):
+    root = scratch_path(spark, "t-files")
+    base = spark.createDataFrame([(1, "k", "P", "", 1, 2024, 0.2)], schemas.FORECAST)
+    base.write.parquet(f"{root}/initial")
+    jobs.land_state(base, f"{root}/state")
+    # the later file has the smaller name; both number their rows from 1
+    _land(spark.createDataFrame([(1, "k", "P", "1", "2024", "0.5", "r1"), (2, "n", "P", "1", "2024", "0.1", "")], schemas.PLAN_BATCH), f"{root}/in/z")
+    _land(spark.createDataFrame([(1, "k", "P", "1", "2024", "0.7", "r2"), (2, "m", "P", "1", "2024", "2", "")], schemas.PLAN_BATCH), f"{root}/in/b")
+    src = jobs.plan_batch_stream(spark, f"{root}/in/*", max_files_per_trigger=5)
+    assert len(_finish(jobs.start_forecast_upsert(src, f"{root}/initial", f"{root}/state", f"{root}/out", f"{root}/ck", "me"))) == 1
+    assert rows(jobs.read_upsert_state(spark, f"{root}/state").select("id", "employee", "dedication")) == [(1, "k", 0.7), (3, "n", 0.1)]
+    log = sorted((r.seq, r.employee, r.action, r.dedication_old, r.dedication_new) for r in jobs.read_upsert_log(spark, f"{root}/out").collect())
+    assert log == [(1, "k", "update", 0.2, 0.5), (1, "k", "update", 0.5, 0.7), (2, "n", "add", 0.0, 0.1)]
+    bad = spark.read.parquet(f"{root}/out/quarantine").collect()
+    assert [(r.seq, r.violations) for r in bad] == [(2, "dedication_invalid")]
