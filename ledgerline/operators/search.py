@@ -23,7 +23,7 @@ def _text_of(df: DataFrame, text_cols: list[str]):
     return F.concat_ws(" ", *[F.col(c) for c in text_cols])
 
 
-def _token_counts(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(term, doc_id, tf, doc_len) from one tokenisation pass; a document
     without tokens appears once with a null term (so its length is kept)."""
     tok = docs.select(F.col(id_col).alias("doc_id"), tokens(_text_of(docs, text_cols)).alias("_toks"))
@@ -38,7 +38,7 @@ def build_index(docs: DataFrame, id_col: str, text_cols: list[str]) -> tuple[Dat
     Each of the two is a separate plan over the texts; jobs that use both
     should store the index once with :func:`write_index`.
     """
-    counts = _token_counts(docs, id_col, text_cols)
+    counts = token_counts(docs, id_col, text_cols)
     postings = counts.filter(F.col("term").isNotNull()).select("term", "doc_id", "tf")
     lengths = counts.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
     return postings, lengths
@@ -66,7 +66,7 @@ def write_index(docs: DataFrame, id_col: str, text_cols: list[str], root: str) -
     few files, which a term filter finds by their statistics, and a frequent
     term is still split over several.  The texts are tokenised once; lengths
     and corpus numbers are read back from the stored postings."""
-    return _store(_token_counts(docs, id_col, text_cols), root)
+    return _store(token_counts(docs, id_col, text_cols), root)
 
 
 def update_index(spark: SparkSession, root: str, changes: DataFrame, new_root: str) -> str:
@@ -76,7 +76,7 @@ def update_index(spark: SparkSession, root: str, changes: DataFrame, new_root: s
     touched = changes.select(F.col("id").alias("doc_id")).distinct()
     old = spark.read.parquet(f"{root.rstrip('/')}/postings")
     kept = old.join(touched, "doc_id", "left_anti").select("term", "doc_id", "tf", "doc_len")
-    fresh = _token_counts(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
+    fresh = token_counts(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
     return _store(kept.unionByName(fresh), new_root)
 
 
@@ -167,7 +167,7 @@ def apply_changes(postings: DataFrame, changes: DataFrame,
     touched = changes.select(F.col("id").alias("doc_id")).distinct()
     kept = postings.join(touched, "doc_id", "left_anti").select(*postings.columns)
     fresh_docs = changes.filter(F.col("op").isin("add", "update"))
-    counts = _token_counts(fresh_docs, "id", ["body"])
+    counts = token_counts(fresh_docs, "id", ["body"])
     fresh = counts.filter(F.col("term").isNotNull()).select("term", "doc_id", "tf")
     new_postings = kept.unionByName(fresh.select(*postings.columns))
     if lengths is None:

@@ -661,6 +661,20 @@ SQL["import_audit_log"] = _rounded(f"""
     FROM ({_upsert_log("cbatch_valid", "cbase", ["concept", "project", "month", "year"], "cost")}) c""", ["dedication_old", "dedication_new"])
 
 
+VIEWS["documents_updated"] = """
+    SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT id FROM doc_changes)
+    UNION ALL SELECT id, body FROM doc_changes WHERE op IN ('add', 'update')"""
+VIEWS["postings_updated"] = """
+    SELECT doc_id, term, count(*) AS tf FROM (
+      SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents_updated) t GROUP BY ALL"""
+SQL["segment_search"] = SQL["text_search"]
+SQL["segment_search_past_end"] = f"""
+    SELECT CAST(NULL AS INTEGER) AS rank, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS DOUBLE) AS score, max(total_hits) AS total_hits
+    FROM ({SQL['text_search']}) s"""
+SQL["segment_search_updated"] = _bm25(R.SEARCH_QUERY, 2, 10, "documents_updated", postings="postings_updated")
+SQL["segment_postings_updated"] = SQL["text_index_updated"]
+
+
 def _with_views(sql: str) -> str:
     """Prefix the views the statement uses (transitively) as CTEs."""
     needed: list[str] = []

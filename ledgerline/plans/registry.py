@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import (catalog, changelog as chg, compare, matrix, paging, quality,
-                         search, social, summary, timesheets, upsert)
+                         search, segments, social, summary, timesheets, upsert)
 from ..sinks import writers
 from ..session import cut_lineage, scratch_path
 from ..sources import files, fixtures as fx
@@ -832,3 +832,37 @@ def q_read_plan_batch_file(spark, d):
     root = scratch_path(spark, "plan_batch")
     fx.plan_batch_text(spark, d).select(*schemas.PLAN_BATCH.names).write.option("header", True).csv(root)
     return files.read_plan_batch(spark, root)
+
+
+# ---------------------------------------------------------------- segmented text index
+def _segmented(spark, d, updated: bool) -> str:
+    """A new index of the documents' texts, with or without the change batch."""
+    root = segments.write_index(_documents(spark, d), "doc_id", ["text"], scratch_path(spark, "segments"))
+    if updated:
+        segments.update_index(spark, root, fx.document_changes(spark, d))
+    return root
+
+
+@query("segment_search")
+def q_segment_search(spark, d):
+    return rounded(segments.Search(spark, _segmented(spark, d, False), SEARCH_QUERY).page(1, 10))
+
+
+@query("segment_search_past_end")
+def q_segment_search_past_end(spark, d):
+    """A page beyond the last hit: no hit, the total all the same."""
+    return segments.Search(spark, _segmented(spark, d, False), SEARCH_QUERY).page(PAST_END, 10)
+
+
+@query("segment_search_updated")
+def q_segment_search_updated(spark, d):
+    """Ranked as a rebuilt index would, after an update that wrote a segment of its own."""
+    return rounded(segments.Search(spark, _segmented(spark, d, True), SEARCH_QUERY).page(2, 10))
+
+
+@query("segment_postings_updated")
+def q_segment_postings_updated(spark, d):
+    return segments.live_postings(spark, _segmented(spark, d, True))
+
+
+PAST_END = 1_000_000
