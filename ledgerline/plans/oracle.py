@@ -675,6 +675,36 @@ SQL["segment_search_updated"] = _bm25(R.SEARCH_QUERY, 2, 10, "documents_updated"
 SQL["segment_postings_updated"] = SQL["text_index_updated"]
 
 
+# ---- learned language tags: words, trigrams of padded words, add-1/2 smoothing
+VIEWS["tag_docs"] = """
+    SELECT doc_id, text, lang, substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') AS held_out FROM documents"""
+VIEWS["tag_words"] = r"""
+    SELECT doc_id, word, count(*) AS n FROM (
+      SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) t GROUP BY ALL"""
+VIEWS["tag_grams"] = """
+    SELECT word, substring('^' || word || '$', CAST(i AS INTEGER), 3) AS gram FROM (
+      SELECT word, unnest(generate_series(1, length(word))) AS i FROM (SELECT DISTINCT word FROM tag_words) v) x"""
+VIEWS["tag_counts"] = """
+    SELECT lang, gram, sum(n) AS n FROM (
+      SELECT lang, word, sum(n) AS n FROM tag_words JOIN tag_docs USING (doc_id)
+      WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) w JOIN tag_grams USING (word) GROUP BY ALL"""
+VIEWS["tag_langs"] = """
+    SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM tag_counts) AS kinds FROM tag_counts GROUP BY lang"""
+VIEWS["tag_scores"] = """
+    SELECT word, l.lang, sum(ln((coalesce(c.n, 0) + 0.5) / (l.total + 0.5 * l.kinds))) AS score
+    FROM tag_grams g CROSS JOIN tag_langs l LEFT JOIN tag_counts c ON c.gram = g.gram AND c.lang = l.lang GROUP BY ALL"""
+VIEWS["tag_best"] = """
+    SELECT doc_id, lang FROM (
+      SELECT doc_id, s.lang, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n * score) DESC, s.lang) AS rn
+      FROM tag_words w JOIN tag_scores s USING (word) GROUP BY doc_id, s.lang) x WHERE rn = 1"""
+SQL["learned_language_tags"] = """
+    SELECT d.doc_id, d.lang, d.held_out, coalesce(CASE WHEN length(b.lang) <= 5 THEN b.lang END, '') AS lang_tag
+    FROM tag_docs d LEFT JOIN tag_best b USING (doc_id)"""
+SQL["language_accuracy"] = f"""
+    SELECT lang, held_out, count(*) AS n_docs, count(*) FILTER (lang_tag = lang) AS n_right
+    FROM ({SQL['learned_language_tags']}) t GROUP BY ALL"""
+
+
 def _with_views(sql: str) -> str:
     """Prefix the views the statement uses (transitively) as CTEs."""
     needed: list[str] = []

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators import (catalog, changelog as chg, compare, matrix, paging, quality,
+from ..operators import (catalog, changelog as chg, compare, language, matrix, paging, quality,
                          search, segments, social, summary, timesheets, upsert)
 from ..sinks import writers
 from ..session import cut_lineage, scratch_path
@@ -866,3 +866,16 @@ def q_segment_postings_updated(spark, d):
 
 
 PAST_END = 1_000_000
+
+
+@query("learned_language_tags")
+def q_learned_language_tags(spark, d):
+    """Tags by trigram probabilities; held-out documents are not learned from."""
+    return language.measured_tags(_documents(spark, d).select("doc_id", "text", "lang"))
+
+
+@query("language_accuracy")
+def q_language_accuracy(spark, d):
+    """Documents and right tags by language, of learned and of held-out documents."""
+    tags = language.measured_tags(_documents(spark, d).select("doc_id", "text", "lang"))
+    return tags.groupBy("lang", "held_out").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("lang_tag") == F.col("lang")).alias("n_right"))
