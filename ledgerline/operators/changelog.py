@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars
+from .seek import page_newest_first
 from .topn import top_n
 
 
@@ -38,7 +39,8 @@ def page(df: DataFrame, order: list, page_no: int, per_page: int) -> DataFrame:
 
 def changelog_page(changelog: DataFrame, page_no: int,
                    per_page: int = config.CHANGELOG_PAGE_SIZE) -> DataFrame:
-    return page(changelog, newest_first(), page_no, per_page)
+    """A page of the log, newest first; deep pages are sought (see :mod:`seek`)."""
+    return page_newest_first(changelog, page_no, per_page)
 
 
 def sentences(changelog: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import scalars
+from .seek import page_newest_first
 from .topn import top_n
 
 
@@ -147,14 +148,45 @@ def user_profile_counts(users: DataFrame, posts: DataFrame, edges: DataFrame,
                         for c in ("post_count", "follower_count", "followed_count")])
 
 
+COUNTS = ["post_count", "follower_count", "followed_count"]
+
+
+def count_deltas(old_edges: DataFrame, new_edges: DataFrame, posts: DataFrame) -> DataFrame:
+    """(id, post_count, follower_count, followed_count): what a batch adds to, or takes from, the counts of the
+    users it touches: new posts, and edges that are in one of the two tables only."""
+    pair = ["follower_id", "followed_id"]
+    gained = new_edges.select(*pair).exceptAll(old_edges.select(*pair)).withColumn("by", F.lit(1))
+    lost = old_edges.select(*pair).exceptAll(new_edges.select(*pair)).withColumn("by", F.lit(-1))
+    return _signed(gained.unionByName(lost), posts.select("user_id", F.lit(1).alias("by")))
+
+
+def follow_deltas(edges: DataFrame, requests: DataFrame, posts: DataFrame) -> DataFrame:
+    """As :func:`count_deltas`, straight from a follow batch: only the pairs it asks for are looked up."""
+    pair = ["follower_id", "followed_id"]
+    asked = (requests.filter(F.col("follower_id") != F.col("followed_id"))
+             .groupBy(*pair).agg(F.max_by("op", "seq").alias("op")))
+    there = edges.select(*pair).distinct().withColumn("there", F.lit(True))
+    by = F.when((F.col("op") == "follow") & F.col("there").isNull(), 1).when((F.col("op") != "follow") & F.col("there"), -1)
+    changed = asked.join(there, pair, "left").select(*pair, by.alias("by")).filter(F.col("by").isNotNull())
+    return _signed(changed, posts.select("user_id", F.lit(1).alias("by")))
+
+
+def _signed(edges: DataFrame, posts: DataFrame) -> DataFrame:
+    ends = edges.select("by", F.explode(F.array(
+        F.struct(F.col("followed_id").alias("id"), F.lit(1).alias("kind")),
+        F.struct(F.col("follower_id").alias("id"), F.lit(2).alias("kind")))).alias("e")).select("e.*", "by")
+    tagged = posts.select(F.col("user_id").alias("id"), F.lit(0).alias("kind"), "by").unionByName(ends)
+    return tagged.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("by"))), F.lit(0)).cast("long").alias(name)
+                                      for k, name in enumerate(COUNTS)])
+
+
 def last_seen(events: DataFrame, user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
     return events.groupBy(user_col).agg(F.max(ts_col).alias("last_seen"))
 
 
 def posts_page(posts: DataFrame, page_no: int, per_page: int = config.POSTS_PER_PAGE) -> DataFrame:
-    p = max(int(page_no), 1)
-    return (posts.select(*POST_COLS).orderBy(*newest_first())
-            .offset((p - 1) * per_page).limit(per_page))
+    """A page of all posts, newest first; deep pages are sought (see :mod:`seek`)."""
+    return page_newest_first(posts.select(*POST_COLS), page_no, per_page)
 
 
 def user_posts_page(posts: DataFrame, page_no: int, per_page: int = config.POSTS_PER_PAGE) -> DataFrame:

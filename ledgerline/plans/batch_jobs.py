@@ -12,10 +12,11 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import config, schemas
 from ..functions.scalars import title_case_names
-from ..operators import changelog as chg, quality, summary, timesheets, upsert
+from ..operators import changelog as chg, quality, social, summary, timesheets, upsert
 from ..session import cut_lineage
 from ..sinks import epochs, writers
 from ..sources import files
@@ -111,6 +112,18 @@ def run_retention(spark: SparkSession, changelog_path: str, out_root: str,
     return writers.write_snapshot(kept, out_root, ["year"])
 
 
+def run_day_retention(spark: SparkSession, log_root: str, as_of: dt.datetime, days: int = config.RETENTION_DAYS) -> list[str]:
+    """Retention of an audit log laid out by day (``writers.write_day_log``), in place: whole days are dropped."""
+    return writers.expire_days(spark, log_root, as_of - dt.timedelta(days=days), schemas.CHANGELOG)
+
+
+def counts_table(spark: SparkSession, root: str) -> epochs.EpochTable:
+    """Stored counts per user (id, post_count, follower_count, followed_count), kept as signed deltas: batch N
+    writes ``social.follow_deltas`` or ``social.count_deltas`` of the users it touches, reading adds them up."""
+    fields = [StructField(c, LongType()) for c in ("id", *social.COUNTS)]
+    return epochs.EpochTable(spark, root.rstrip("/"), StructType(fields), ["id"], dict.fromkeys(social.COUNTS, F.sum))
+
+
 def export_reports(forecast: DataFrame, cost: DataFrame, spent: DataFrame, changelog: DataFrame,
                    root: str) -> dict[str, str]:
     """All yearly report sheets, with title-case headers, partitioned by year.

@@ -675,6 +675,18 @@ SQL["segment_search_updated"] = _bm25(R.SEARCH_QUERY, 2, 10, "documents_updated"
 SQL["segment_postings_updated"] = SQL["text_index_updated"]
 
 
+SQL["posts_page_deep"] = (f"SELECT id, user_id, body, timestamp FROM posts ORDER BY {_NEWEST} "
+                          f"LIMIT 25 OFFSET {(R.DEEP_PAGE - 1) * 25}")
+SQL["changelog_page_deep"] = _rounded(f"SELECT * FROM changelog ORDER BY {_NEWEST} LIMIT 50 OFFSET {(R.DEEP_PAGE - 1) * 50}",
+                                      ["dedication_old", "dedication_new"])
+SQL["changelog_day_retention"] = _rounded(
+    f"SELECT * FROM changelog WHERE timestamp IS NULL OR timestamp >= TIMESTAMP '{R.RETENTION_MOMENT:%Y-%m-%d %H:%M:%S}' - INTERVAL 365 DAY",
+    ["dedication_old", "dedication_new"])
+SQL["stored_user_counts"] = f"""
+    WITH e AS ({SQL['apply_follow_batch']})
+    SELECT id, CAST(sum(post) AS BIGINT) AS post_count, CAST(sum(follower) AS BIGINT) AS follower_count, CAST(sum(followed) AS BIGINT) AS followed_count
+    FROM (SELECT user_id AS id, 1 AS post, 0 AS follower, 0 AS followed FROM posts
+          UNION ALL SELECT followed_id, 0, 1, 0 FROM e UNION ALL SELECT follower_id, 0, 0, 1 FROM e) x GROUP BY id"""
 # ---- learned language tags: words, trigrams of padded words, add-1/2 smoothing
 VIEWS["tag_docs"] = """
     SELECT doc_id, text, lang, substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') AS held_out FROM documents"""

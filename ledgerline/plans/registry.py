@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import (catalog, changelog as chg, compare, language, matrix, paging, quality,
-                         search, segments, social, summary, timesheets, upsert)
+                         search, seek, segments, social, summary, timesheets, upsert)
 from ..sinks import writers
 from ..session import cut_lineage, scratch_path
 from ..sources import files, fixtures as fx
@@ -879,3 +879,43 @@ def q_language_accuracy(spark, d):
     """Documents and right tags by language, of learned and of held-out documents."""
     tags = language.measured_tags(_documents(spark, d).select("doc_id", "text", "lang"))
     return tags.groupBy("lang", "held_out").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("lang_tag") == F.col("lang")).alias("n_right"))
+
+
+# ---------------------------------------------------------------- deep pages, retention by day, stored counts
+DEEP_PAGE = 17
+
+
+@query("posts_page_deep")
+def q_posts_page_deep(spark, d):
+    """A page found by counting ranges of time, not by sorting what comes before it."""
+    return seek.seek_page(fx.posts(spark, d).select(*social.POST_COLS), DEEP_PAGE, 25)
+
+
+@query("changelog_page_deep")
+def q_changelog_page_deep(spark, d):
+    return rounded(seek.seek_page(fx.changelog(spark, d), DEEP_PAGE, 50))
+
+
+@query("changelog_day_retention")
+def q_changelog_day_retention(spark, d):
+    """The log laid out by day; expiry drops whole days and writes the cutoff's day again."""
+    from . import batch_jobs
+    root = scratch_path(spark, "day_log")
+    log = fx.changelog(spark, d)
+    writers.write_day_log(log, root)
+    batch_jobs.run_day_retention(spark, root, RETENTION_MOMENT)
+    return rounded(writers.read_day_log(spark, root, log.schema))
+
+
+RETENTION_MOMENT = dt.datetime(2001, 6, 30, 11, 30)
+
+
+@query("stored_user_counts")
+def q_stored_user_counts(spark, d):
+    """Counts kept by deltas: all posts and edges, then a follow batch that touches some users."""
+    from . import batch_jobs
+    table = batch_jobs.counts_table(spark, scratch_path(spark, "user_counts"))
+    edges, posts = fx.followers(spark, d), fx.posts(spark, d)
+    table.write(social.count_deltas(edges.limit(0), edges, posts), 0)
+    table.write(social.follow_deltas(edges, fx.follow_requests(spark, d), posts.limit(0)), 1)
+    return table.read().filter(" OR ".join(f"{c} <> 0" for c in social.COUNTS))

@@ -7,10 +7,14 @@ the current one; the audit log is append-only and partitioned by year.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import epochs
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -49,6 +53,40 @@ def append_log(log: DataFrame, path: str, run_key: str) -> None:
     (log.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{path}/run={run_key}"))
 
 
+#: Name of the partition of rows without a time.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_day_log(log: DataFrame, root: str, mode: str = "append") -> None:
+    """Add rows to a log laid out by day (``<root>/day=YYYY-MM-DD``), the layout that :func:`expire_days` keeps."""
+    days = log.withColumn("day", F.col("timestamp").cast("date").cast("string"))
+    days.hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(root)
+
+
+def read_day_log(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(root).select(*schema.names)
+
+
+def expire_days(spark: SparkSession, root: str, cutoff: dt.datetime, schema: StructType) -> list[str]:
+    """Delete the rows before the cutoff (rows without a time stay): whole days are dropped as folders, only the
+    cutoff's own day is written again, so the work does not grow with the log.  Returns the days dropped.
+
+    A run that fails is simply run again: what it dropped stays dropped, and the rewritten day is staged
+    beside the log before it replaces the old one."""
+    root = root.rstrip("/")
+    boundary = cutoff.strftime("%Y-%m-%d")
+    days = [f[4:] for f in epochs.folder_names(spark, root) if f.startswith("day=") and f[4:] != NO_DAY]
+    old = [d for d in days if d < boundary]
+    for day in old:
+        epochs.remove(spark, f"{root}/day={day}")
+    if boundary in days and cutoff != dt.datetime.combine(cutoff.date(), dt.time()):
+        own, stage = spark.read.schema(schema).parquet(f"{root}/day={boundary}"), f"{root}/_expiring/{uuid.uuid4().hex}"
+        own.filter(F.col("timestamp") >= F.lit(cutoff).cast("timestamp_ntz")).write.parquet(stage)
+        spark.read.schema(schema).parquet(stage).write.mode("overwrite").parquet(f"{root}/day={boundary}")
+        epochs.remove(spark, f"{root}/_expiring")
+    return old
+
+
 #: Folders that the users of a post export are dealt to.
 POST_BUCKETS = 256
 
