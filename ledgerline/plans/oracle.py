@@ -618,9 +618,12 @@ SQL["load_bands_by_project"] = _rounded("""
            CASE WHEN value > 1 AND value <= 3 THEN 'over' WHEN value > 0.5 AND value <= 0.8 THEN 'light'
                 WHEN value <= 0.5 THEN 'low' ELSE 'none' END AS band FROM cells""", ["value"])
 SQL["report_bundle"] = " UNION ALL ".join([
-    _sheet("changelog", SQL["changelog_top_n_per_year"], ["id"],
+    _sheet("changelog", f"""SELECT * REPLACE (CASE WHEN timestamp IS NULL THEN NULL
+                 WHEN strftime(timestamp, '%f') = '000000' THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || 'Z'
+                 ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END AS timestamp)
+               FROM ({SQL["changelog_top_n_per_year"]}) t""", ["id"],
            ["month", "dedication_old", "dedication_new", "cost_old", "cost_new", "rank"],
-           ("action", "author", "employee", "project", "concept", "remarks")),
+           ("action", "author", "employee", "project", "concept", "remarks", "timestamp")),
     _sheet("personnel_forecasts", SQL["dedication_matrix"], ["employee", "project"], MCOLS),
     _sheet("cost_forecasts", SQL["cost_matrix"], ["project", "concept"], MCOLS + ["total"]),
     _sheet("spent_time", SQL["spent_time_matrix"], ["employee", "project"], MCOLS),

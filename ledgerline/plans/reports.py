@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.scalars import title_case_names
+from ..functions.scalars import iso_utc, title_case_names
 from ..operators import changelog as chg, matrix, summary
 
 
@@ -75,17 +75,19 @@ ROW_KEYS = {
 
 def bundle_cells(reports: dict[str, DataFrame]) -> DataFrame:
     """Every cell of every sheet: (report, year, row_key, column, number, text), the column
-    named as the sheet's header.  Numbers are in ``number``, texts in ``text``."""
+    named as the sheet's header.  Numbers are in ``number``, texts in ``text``, times as ISO text."""
     parts = []
     for name, df in reports.items():
         keys = ROW_KEYS[name]
-        cells = [f for f in df.schema.fields if f.name not in ("year", *keys) and not f.dataType.simpleString().startswith("timestamp")]
+        cells = [f for f in df.schema.fields if f.name not in ("year", *keys)]
         titles = title_case_names([f.name for f in cells])
-        text = lambda f: f.dataType.simpleString() == "string"
+        text = lambda f: f.dataType.simpleString() == "string" or timed(f)
+        timed = lambda f: f.dataType.simpleString().startswith("timestamp")
+        shown = lambda f: iso_utc(F.col(f.name)) if timed(f) else F.col(f.name)
         stacked = F.explode(F.array(*[F.struct(
             F.lit(title).alias("column"),
             (F.lit(None) if text(f) else F.col(f.name)).cast("double").alias("number"),
-            (F.col(f.name) if text(f) else F.lit(None)).cast("string").alias("text")) for f, title in zip(cells, titles)]))
+            (shown(f) if text(f) else F.lit(None)).cast("string").alias("text")) for f, title in zip(cells, titles)]))
         key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
         parts.append(df.select(F.lit(name).alias("report"), "year", key.alias("row_key"), stacked.alias("c"))
                      .select("report", "year", "row_key", "c.column", "c.number", "c.text"))
