@@ -10,7 +10,7 @@ it is one fold over that histogram; rows are then ranked within their ring posit
 shard through a broadcast table of at most RING + nodes + shards rows. DataFrame functions only.
 
 Defined results: a null id hashes like the empty text; repeated ids are separate rows at one ring
-position; a null text has size 1 and the checksum of the empty text; an empty table gives no rows;
+position, and a position of many rows is ranked in parts; a null text has size 1 and the checksum of the empty text; an empty table gives no rows;
 other columns are not read. Equal texts need not share a shard: one group may hold a third of all rows.
 """
 
@@ -25,6 +25,8 @@ RING_BITS = 16
 RING = 1 << RING_BITS
 SHARDS = 16
 NODES_PER_SHARD = 64
+#: Rows of a ring position that one task ranks; a position with more is split by checksum, equal rows in COPIES parts.
+HOT_ROWS, COPIES, SALT_BITS = 100_000, 1024, 20
 
 
 def _position(key: Column) -> Column:
@@ -85,6 +87,36 @@ def _walk(loads: DataFrame, caps: list[int]) -> DataFrame:
     return one.select(F.explode(F.aggregate("arcs", start, arc_step)["pieces"]).alias("p")).select("p.*")
 
 
+def _ranked(keyed: DataFrame, histogram: DataFrame) -> DataFrame:
+    """keyed with `nth`: its place among the rows of its ring position, by id, checksum and size.
+
+    A position beyond HOT_ROWS (an id, or null, that very many rows have) never meets in one task: its rows
+    are counted by (id, upper bits of the checksum), then by (checksum, size, copy), running sums over these
+    counts give where each group begins, and only a group's own rows are ranked."""
+    order = ["doc_id", "text_crc32", "size"]
+    hot = histogram.filter(F.col("n") > HOT_ROWS).select("pos")
+    usual = F.row_number().over(W.partitionBy("pos").orderBy(*order)) - 1
+    if hot.isEmpty():
+        return keyed.withColumn("nth", usual.cast("long"))
+    hot = F.broadcast(hot)  # ring positions: RING rows at most
+    cold = keyed.join(hot, "pos", "left_anti").withColumn("nth", usual.cast("long"))
+    # rows that are equal in all of the order get a part each by where they lie, kept as it is by the checkpoint
+    warm = cut_lineage(keyed.join(hot, "pos").withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES))))
+    salted = warm.withColumn("salt", F.shiftright("text_crc32", SALT_BITS))
+    first, second = ["pos", "doc_id", "salt"], ["text_crc32", "size", "copy"]
+    small = cut_lineage(salted.groupBy(*first, *second).agg(F.count(F.lit(1)).alias("n")))
+    before = lambda group, by: F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = small.groupBy(*first).agg(F.sum("n").alias("n")).withColumn("base", before(["pos"], first[1:])).drop("n")
+    inner = small.withColumn("begin", before(first, second)).drop("n")
+    named = lambda df, cols: df.select(*[F.col(c).alias(f"g_{c}") for c in cols], *[c for c in df.columns if c not in cols])
+    same = lambda cols: [salted[c].eqNullSafe(F.col(f"g_{c}")) for c in cols]
+    starts = inner.alias("i").join(large.alias("l"), [F.col(f"i.{c}").eqNullSafe(F.col(f"l.{c}")) for c in first]).select(
+        *[F.col(f"i.{c}").alias(c) for c in first + second], (F.col("begin") + F.col("base")).alias("begin"))
+    own = F.row_number().over(W.partitionBy(*first, *second).orderBy(F.xxhash64("row"))) - 1
+    ranked = salted.withColumn("own", own).join(named(starts, first + second), same(first + second))
+    return cold.unionByName(ranked.select(*keyed.columns, (F.col("begin") + F.col("own")).cast("long").alias("nth")))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, per_shard: int = NODES_PER_SHARD,
           id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard (0-based) and slot (0-based place in the shard, gapless).
@@ -108,8 +140,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slack: float = 0.0, per_shard:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns] if whole_rows else [F.lit(0)]).alias("row"),
                         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1).cast("long")).alias("size"),
                         F.crc32(text.cast("binary")).alias("text_crc32"), key_position(F.col(id_col)).alias("pos"))
-    nth = F.row_number().over(W.partitionBy("pos").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = (keyed.withColumn("nth", nth.cast("long")).join(F.broadcast(where), "pos")
+    placed = (_ranked(keyed, histogram).join(F.broadcast(where), "pos")
               .withColumn("rank", F.col("start") + F.col("nth"))
               .filter("rank >= from_rank and rank < to_rank")
               .withColumn("slot", F.col("slot") + F.col("rank") - F.col("from_rank")))

@@ -2,6 +2,7 @@
 
 import binascii
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -160,6 +161,20 @@ def test_sharding_cases(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_hot_positions_are_ranked_in_parts(spark, monkeypatch):
+    """A third of the rows without an id, a third of one id, half of them with one text: as in one piece."""
+    rng = random.Random(8)
+    rows = [(None, rng.choice(["same", f"t{i}"]), "a") for i in range(200)] + [(7, rng.choice(["same", f"u{i}", None]), "b") for i in range(200)]
+    docs = docs_of(spark, rows + [(i, f"v{i}", "c") for i in range(100, 300)]).repartition(6)
+    key = lambda whole: sorted(((r.doc_id, r.text, r.shard, r.slot) if whole else (r.doc_id, r["size"], r.text_crc32, r.shard, r.slot)
+                                for r in sharding.shard(docs, 5, whole_rows=whole).collect()), key=str)
+    usual = key(False)
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    monkeypatch.setattr(sharding, "COPIES", 3)
+    assert key(False) == usual and len(key(True)) == 600
+    assert sorted(slot for *_, shard, slot in key(True) if shard == 0) == list(range(120))
+
+
 def test_little_moves_when_a_shard_is_added(spark):
     docs = docs_of(spark, [(i, "t", "a") for i in range(3000)])
     place = lambda n: {r.doc_id: r.shard for r in sharding.shard(docs, n, slack=0.25).collect()}
