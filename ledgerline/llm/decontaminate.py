@@ -5,6 +5,11 @@ hash per word position, and a position found in the set is verified against all
 (the hash itself takes every third word and the last, which is as selective and a third of the work).
 The hit words are the union of the verified occurrences. Built-in functions only.
 
+The set is broadcast while it has at most BROADCAST_ROWS windows and BROADCAST_BYTES bytes. A larger
+one is joined through a shuffle, which a broadcast bitmap of the window hashes (MOST_BITS bits at
+most) keeps small: of all positions only those whose bit is set leave their task, each with its own
+words and without the text. A text of any length is worked on whole, in one task.
+
 Defined results: a null or wordless text has no words and is never hit; an item of fewer words
 than n is one window, a wordless item none; a null item id counts as the empty string; repeated
 document rows each get the row's result, repeated items count once; an empty benchmark hits
@@ -28,6 +33,10 @@ LEAD = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW = 13
 #: A document is contaminated if at least one word in SHARE is hit.
 SHARE = 20
+#: Most bytes of windows and item ids that are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: The bitmap: bits per window, bits in all at most (32 MB), 64-bit words in a row of it.
+WINDOW_BITS, MOST_BITS, ROW_WORDS = 16, 1 << 28, 512
 
 
 def _words(text: Column) -> Column:
@@ -70,8 +79,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: st
     occurrences, 0-based word positions) and items (sorted ids of the items found)."""
     windows = cut_lineage(benchmark_windows(benchmark, n, item_col, item_text_col))
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # n values at most
-    if windows.count() <= BROADCAST_ROWS:
-        windows = F.broadcast(windows)
+    item_bytes = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    count, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("window") + item_bytes + 32), F.lit(0))).first()
     words = docs.select(F.col(id_col).alias("__id"), *text_key(F.col(text_col)), _words(F.col(text_col)).alias("__w"))
     # element 0 stands for the document itself, so that each row survives the scan
     scanned = F.concat(F.array(F.lit(0).cast("long")), *[_window_hashes(F.col("__w"), k) for k in lengths])
@@ -82,20 +91,52 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: st
         later = F.col("__g") >= _start(lengths, i + 1)
         pos = F.when(later, pos).otherwise(F.col("__g") - _start(lengths, i))
         length = F.when(later, length).otherwise(F.lit(k))
-    found = (rows.join(windows, (F.col("__g") > 0) & (F.col("__h") == F.col("h")), "left")
-             .withColumns({"__pos": pos, "__len": length})
-             .filter((F.col("__g") == 0) | ((F.col("len") == F.col("__len")) & (
-                 F.array_join(F.slice("__w", F.col("__pos") + 1, F.col("__len")), " ") == F.col("window")))))
+    own = F.array_join(F.slice("__w", F.col("__pos") + 1, F.col("__len")), " ")
+    small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    if small:
+        found = (rows.join(F.broadcast(windows), (F.col("__g") > 0) & (F.col("__h") == F.col("h")), "left")
+                 .withColumns({"__pos": pos, "__len": length})
+                 .filter((F.col("__g") == 0) | ((F.col("len") == F.col("__len")) & (own == F.col("window")))))
+    else:
+        found = _shuffled(rows, windows, count, pos, length, own)
     hit = F.when(F.col("__g") > 0, F.struct(F.col("__pos").alias("pos"), F.col("__len").alias("len")))
-    return (found.select("__id", "__text_hash", "__text_bytes", "__n", hit.alias("hit"),
-                         F.when(F.col("__g") > 0, F.col("items")).alias("items"),
-                         (F.col("__g") == 0).cast("int").alias("one"))
-            .groupBy("__id", "__text_hash", "__text_bytes")
+    marked = found.select("__id", "__text_hash", "__text_bytes", "__n", hit.alias("hit"),
+                          F.when(F.col("__g") > 0, F.col("items")).alias("items"),
+                          (F.col("__g") == 0).cast("int").alias("one"))
+    if not small:  # the documents themselves take no part in that join
+        marked = marked.unionByName(words.select(
+            "__id", "__text_hash", "__text_bytes", F.size("__w").alias("__n"),
+            F.lit(None).cast(marked.schema["hit"].dataType).alias("hit"),
+            F.lit(None).cast("array<string>").alias("items"), F.lit(1).alias("one")))
+    return (marked.groupBy("__id", "__text_hash", "__text_bytes")
             .agg(F.max("__n").alias("n_words"), F.sum("one").cast("int").alias("__copies"),
                  F.array_sort(F.collect_set("hit")).alias("hits"),
                  F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
 
 
+def _bitmap(windows: DataFrame, bits: int) -> DataFrame:
+    """(part, words): the bits of all window hashes modulo `bits`, ROW_WORDS 64-bit words in a row."""
+    at = F.pmod("h", F.lit(bits))
+    ones = windows.select(at.alias("at")).selectExpr("at div 64 as word", "shiftleft(1L, cast(at % 64 as int)) as mask")
+    none = windows.sparkSession.range(bits // 64).selectExpr("id as word", "0L as mask")
+    words = ones.unionByName(none).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    row = F.array_sort(F.collect_list(F.struct("word", "mask")))  # ROW_WORDS of them in each group
+    return (words.groupBy(F.expr(f"word div {ROW_WORDS}").alias("part"))
+            .agg(F.transform(row, lambda x: x["mask"]).alias("words")))
+
+
+def _shuffled(rows: DataFrame, windows: DataFrame, count: int, pos: Column, length: Column, own: Column) -> DataFrame:
+    """The verified positions, where the windows are too large to be broadcast."""
+    bits = min(MOST_BITS, 1 << max(15, (count * WINDOW_BITS).bit_length()))
+    at = F.pmod("__h", F.lit(bits))
+    held = F.getbit(F.get("words", F.expr(f"cast(__at div 64 % {ROW_WORDS} as int)")), F.expr("cast(__at % 64 as int)"))
+    maybe = (rows.filter("__g > 0").withColumn("__at", at)
+             .join(F.broadcast(cut_lineage(_bitmap(windows, bits))), F.expr(f"__at div {64 * ROW_WORDS} = part"))
+             .filter(held == 1).withColumns({"__pos": pos, "__len": length}).withColumn("__own", own)
+             .select("__id", "__text_hash", "__text_bytes", "__n", "__g", "__h", "__pos", "__len", "__own"))
+    return maybe.join(windows, (F.col("__h") == F.col("h")) & (F.col("__len") == F.col("len")) & (F.col("__own") == F.col("window")))
+
+
 def _start(lengths: list[int], upto: int) -> Column:
     """Index of the first element of the upto-th length's hashes."""
     at = F.lit(1)

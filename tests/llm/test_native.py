@@ -233,16 +233,32 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_shuffled_windows_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("limit", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_shuffled_windows_give_the_same(spark, monkeypatch, limit):
     docs, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
-    key = lambda df: sorted((r.doc_id, r.n_hit, r.n_items) for r in df.collect())
+    docs = docs.union(docs.filter("doc_id < 5")).union(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    more = spark.createDataFrame([(-i, t, "en", "a", 0) for i, t in enumerate(TEXTS, 1)], docs.schema)
+    docs, bench = docs.union(more), bench.select(F.col("item_id").cast("string"), "text").union(
+        spark.createDataFrame([(None if i is None else str(i), t) for i, t in ITEMS], "item_id string, text string"))
+    key = lambda df: sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r.items), r.contaminated) for r in df.collect())
     want = key(decontaminate.contamination(docs, bench))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert sum(x[2] > 0 for x in want) > 10
+    monkeypatch.setattr(decontaminate, limit, 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert key(decontaminate.contamination(docs, bench)) == want
+    assert len(key(decontaminate.contamination(docs.limit(3), bench.limit(0)))) == 3
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_bitmap_holds_every_window(spark):
+    hashes = [0, 1, -1, 63, 64, 2**62 + 5, -(2**63), 2**63 - 1, 4097]
+    rows = decontaminate._bitmap(spark.createDataFrame([(h,) for h in hashes], "h bigint"), 1 << 16).collect()
+    assert sorted(r.part for r in rows) == [0, 1] and all(len(r.words) == decontaminate.ROW_WORDS for r in rows)
+    words = [w for r in sorted(rows, key=lambda r: r.part) for w in r.words]
+    held = {64 * i + b for i, w in enumerate(words) for b in range(64) if w >> b & 1}
+    assert held == {h % (1 << 16) for h in hashes}
+
+
 def test_spans_are_cut(spark):
     docs = docs_of(spark, [(1, "Keep this. Short item, keep that", "a"), (2, "  nothing here", "b"), (3, None, "c")])
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
