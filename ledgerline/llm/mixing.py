@@ -149,8 +149,10 @@ def mix_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     text = F.col(f"__row.{text_col}")
     pieces = F.regexp_extract_all(text, F.lit(SPACED_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     lead = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
-    part = F.when(F.size("__own") > 0, F.concat(lead, F.array_join(F.flatten(F.transform(
-        "__own", lambda r: F.slice(pieces, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")))), "")))
+    cut = lambda own: F.array_join(F.flatten(F.transform(
+        "__own", lambda r: F.slice(own, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")))), "")
+    # an array of one element binds the pieces to a name, so that the pattern runs once for a document
+    part = F.when(F.size("__own") > 0, F.concat(lead, F.get(F.transform(F.array(pieces), cut), 0)))
     chosen = _selected("__e") - _selected("__s")
     rows = (placed.withColumn("__own", F.when((chosen > 0) & (chosen < F.col("__size")), _ranges()))
             .withColumn("__some", F.when(chosen == F.col("__size"), text).otherwise(part))
