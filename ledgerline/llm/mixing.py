@@ -9,7 +9,8 @@ DataFrame functions only: two small shuffles of (id, size, source), none of text
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; an
 empty table gives no rows; repeated rows are separate documents; null ids are ordered like the
-empty text; a source without words has target 0 and takes nothing; other columns are not read.
+empty text, and an id (or null) that very many rows have is placed in parts; a text of any length is one
+document, cut at its words; a source without words has target 0 and takes nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SPACED_WORD, hash48
+from .common import BROADCAST_ROWS, SPACED_WORD, hash48
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -26,6 +27,8 @@ MAX_REPEATS = 3
 MAX_BLOCK, MIN_SEATS = 256, 200
 ROWS_PER_SHARD = 2048
 SEED = 20240
+#: Rows of a source's shard that one task places; a shard with more (rows of one id) is split by size, equal sizes in COPIES parts.
+HOT_ROWS, COPIES, SIZE_BITS = 100_000, 1024, 6
 
 
 def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: str, seats: str) -> DataFrame:
@@ -89,7 +92,7 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: in
     shard = F.col("__h") % shards
 
     src = ["src_null", "src"]
-    cells = cut_lineage(small.withColumn("shard", shard).groupBy(*src, "shard").agg(F.sum("__size").alias("words")))
+    cells = cut_lineage(small.withColumn("shard", shard).groupBy(*src, "shard").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("rows")))
     goals = targets(cells.groupBy(*src).agg(F.sum("words").alias("source_size")), weights, max_repeats)
     every = W.partitionBy(F.lit(0))
     block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(
@@ -121,12 +124,43 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: in
               .select(F.struct(*src, "shard", "source_size", "target", "block", "passes", "n", "quota", "phase", "head", "carry").alias("__p")))
 
     rows = (small if set(sized.columns) == {"__id", "__source", "__size"} else own(sized)).withColumn("__shard", shard)
-    in_cell = W.partitionBy("src_null", "src", "__shard").orderBy("__h", "__id", "__size").rowsBetween(W.unboundedPreceding, 0)
-    run = rows.withColumn("__e", F.sum("__size").over(in_cell)).withColumn("__s", F.col("__e") - F.col("__size"))
+    run = _placed(rows, cells.withColumnRenamed("shard", "__shard")).withColumn("__s", F.col("__e") - F.col("__size"))
     return run.join(picked, (F.col("src_null") == F.col("__p.src_null")) & (F.col("src") == F.col("__p.src"))
                     & (F.col("__shard") == F.col("__p.shard")))
 
 
+def _placed(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows with __e: the words of its source's shard up to and with the row, by hash, id, size (and text).
+
+    A shard beyond HOT_ROWS never meets in one task: its rows are counted by (id, upper bits of the size), then
+    by (size, copy); running sums over these counts give where each group begins, and only a group's own
+    rows, equal in size, are numbered."""
+    cell, order = ["src_null", "src", "__shard"], ["__h", "__id", "__size"]
+    tie = [c for c in ("__tie",) if c in rows.columns]
+    usual = F.sum("__size").over(W.partitionBy(*cell).orderBy(*order, *tie).rowsBetween(W.unboundedPreceding, 0))
+    hot = cells.filter(F.col("rows") > HOT_ROWS).select(*[F.col(c).alias(f"hot{c}") for c in cell])
+    many = hot.count()
+    if not many:
+        return rows.withColumn("__e", usual)
+    if many <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    same = [F.col(c) == F.col(f"hot{c}") for c in cell]
+    cold = rows.join(hot, same, "left_anti").withColumn("__e", usual)
+    # rows of one id and size get a part each by where they lie, kept as it is by the checkpoint
+    salted = cut_lineage(rows.join(hot, same).select(*rows.columns).withColumns({
+        "__upper": F.shiftright("__size", SIZE_BITS), "__copy": F.pmod(F.monotonically_increasing_id(), F.lit(COPIES))}))
+    first, second = [*cell, "__h", "__id", "__upper"], ["__size", "__copy"]
+    groups = cut_lineage(salted.groupBy(*first, *second).agg(F.sum("__size").alias("w")))
+    before = lambda own, by: F.coalesce(F.sum("w").over(W.partitionBy(*own).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = groups.groupBy(*first).agg(F.sum("w").alias("w")).withColumn("base", before(cell, first[3:])).drop("w")
+    inner = groups.withColumn("begin", before(first, second)).drop("w")
+    starts = inner.alias("i").join(large.alias("l"), [F.col(f"i.{c}").eqNullSafe(F.col(f"l.{c}")) for c in first]).select(
+        *[F.col(f"i.{c}").alias(f"g{c}") for c in first + second], (F.col("begin") + F.col("base")).alias("begin"))
+    nth = F.row_number().over(W.partitionBy(*first, *second).orderBy(*(tie or ["__size"])))
+    placed = salted.withColumn("nth", nth).join(starts, [salted[c].eqNullSafe(F.col(f"g{c}")) for c in first + second])
+    return cold.unionByName(placed.select(*rows.columns, (F.col("begin") + F.col("nth") * F.col("__size")).alias("__e")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's) and taken (its words in the mix)."""
@@ -144,7 +178,8 @@ def mix_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     text's length. A document of which nothing is taken is left out."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     sized = row.select("__row", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{source_col}").alias("__source"),
-                       word_count(F.col(f"__row.{text_col}")).alias("__size"))
+                       word_count(F.col(f"__row.{text_col}")).alias("__size"),
+                       F.xxhash64(F.col(f"__row.{text_col}")).alias("__tie"))
     placed = _plan(sized, weights, max_repeats, seed)
     text = F.col(f"__row.{text_col}")
     pieces = F.regexp_extract_all(text, F.lit(SPACED_WORD + r"[\x20\x09-\x0D]*"), F.lit(0))

@@ -100,6 +100,21 @@ def test_mixing_brute_force_and_cases(spark):
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0)] * 2
 
 
+def test_hot_ids_are_placed_in_parts(spark, monkeypatch):
+    """A third of the rows without an id, a third of one id, half of them of one size: as in one piece."""
+    rng = random.Random(9)
+    text = lambda i: " ".join([f"t{i}"] * rng.choice([5, 5, 5, 0, rng.randint(1, 300)]))
+    rows = [(None, text(i), "a") for i in range(200)] + [(7, text(i), rng.choice("ab")) for i in range(200)]
+    rows += [(None, None, "a"), (7, "same", "b"), (7, "same", "b")]
+    docs = docs_of(spark, rows + [(i, text(i), rng.choice(["a", "b", None])) for i in range(100, 300)]).repartition(6)
+    key = lambda: sorted((str(r.doc_id), str(r.source), r["size"], r.target, r.taken) for r in mixing.mix(docs).collect())
+    cut = lambda: Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mix_texts(docs).collect())
+    usual, texts = key(), cut()
+    monkeypatch.setattr(mixing, "HOT_ROWS", 20)
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    assert key() == usual and cut() == texts
+
+
 def test_mixed_texts_of_the_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
