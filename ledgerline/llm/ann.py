@@ -35,6 +35,8 @@ SAMPLE = 20_000
 LEAF_ROWS, LEAF_SAMPLE, BRANCHES = 96, 16, 8
 CALIBRATION, TARGET = 128, 0.94
 PART = 8192
+#: Queries that one task walks through the tree.
+WALKS = 256
 #: Weight of a node's radius in its priority: how far beyond its centre its vectors may lie.
 REACH = 0.5
 SEED = 5
@@ -288,7 +290,9 @@ def _search(valid: DataFrame, is_query: Column, k: int, target: float, sample: i
                 rows.append([{"shelf": s, "leaves": x} for s, x in shelves.items()])
             yield pa.array(rows, kind)
 
-    going = cut_lineage(queries.select("qkey", "vector", F.explode(walk("vector")).alias("w"))
+    # a walk costs far more than its bytes tell, so the queries are dealt out by number
+    turns = max(1, -(-queries.count() // WALKS))
+    going = cut_lineage(queries.repartition(turns, "qkey").select("qkey", "vector", F.explode(walk("vector")).alias("w"))
                         .select("qkey", "vector", "w.shelf", "w.leaves"))
     shelved = index.withColumn("shelf", F.expr(f"cast(leaf * {n_shelves}L div {tree.leaves} as int)"))
     parts = lambda df, name: df.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / PART).alias(name))
