@@ -218,6 +218,25 @@ def test_stages_one_by_one(spark):
     assert rows(after.drop("shard", "slot")) == rows(before)
 
 
+def test_stages_on_empty_tables_nulls_and_extra_columns(spark):
+    text = lambda k: " ".join(f"the house{k * j} and water{k + j}" for j in range(1, 30))
+    rows = [(i, text(i), "en", "a", 10, 1, "x", 2, 3) for i in range(1, 9)] + [(None, text(20), None, None, None, None, None, None, None)]
+    rows += [(30, None, "en", "a", 0, 1, "x", 2, 3), (31, "", "en", "a", 0, 1, "x", 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+                                       "row int, __lang string, __k_id int, item_id int")
+    base, empty = scratch_path(spark, "t-pipeline"), docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF_SMALL).write.parquet(f"{base}/{name}")
+        columns = [*docs.columns, "shard", "slot"] if name == "sharding" else docs.columns
+        docs = spark.read.parquet(f"{base}/{name}")
+        assert docs.columns == columns and docs.count() > 0
+        if name != "sharding":  # words of each document are left, whatever the mix takes of them
+            assert {r.doc_id for r in docs.collect()} == {None, *range(1, 9)} or name == "mixing"
+        none = stage(spark, empty, SF_SMALL)
+        assert none.columns == columns and none.count() == 0
+    assert {(r["row"], r["__k_id"], r.item_id) for r in docs.collect()} <= {(1, 2, 3), (None, None, None)}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.columns[-2:] == ["shard", "slot"] and out.count() > 100
