@@ -243,18 +243,6 @@ def learn_shared(texts: DataFrame) -> Trie:
     return _trie(texts.mapInArrow(_count_ngrams(SHARED), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow(), SHARED)
 
 
-def learn(texts: DataFrame, max_nodes: int = MAX_NODES) -> Trie:
-    """Trie of all texts of a one-column DataFrame in one piece, of the longest order of which max_nodes
-    entries hold all n-grams. Documents are not scored by it: see score_documents."""
-    grams = cut_lineage(texts.mapInArrow(_count_ngrams(MAX_ORDER), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
-    for order in range(MAX_ORDER, -1, -1):
-        cut = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(order + 1)))).alias("key")).agg(F.sum("n").alias("n")) \
-            if order < MAX_ORDER else grams
-        if order == 0 or cut.count() <= max_nodes:
-            break
-    return _trie(cut.toArrow(), order)
-
-
 def held_out(id_col: Column) -> Column:
     """Documents that are never learned from: a fifth, by the id alone."""
     return doc_bucket(id_col, 5) == 1

@@ -218,14 +218,6 @@ def test_score_cases(spark, monkeypatch):
     check_scores(ppm.score_documents(docs_of(spark, [(d, t, "en") for d, t in held])), held, ppm.MAX_ORDER)
 
 
-def test_order_follows_the_bound(spark):
-    texts = spark.createDataFrame([("abracadabra " * 5,), ("alakazam simsalabim",)], "text string")
-    assert ppm.learn(texts).order == ppm.MAX_ORDER
-    small = ppm.learn(texts, max_nodes=20)
-    assert 0 <= small.order < ppm.MAX_ORDER
-    assert np.allclose(small.score([b"abra"]), BrutePPM([("abracadabra " * 5).encode(), b"alakazam simsalabim"], small.order).score(b"abra"), rtol=1e-5)
-
-
 def test_order_of_the_scores_does_not_fall_with_size(spark):
     """More n-grams than a trie made in one piece may hold."""
     rng = np.random.default_rng(5)
