@@ -30,23 +30,62 @@ def clean_edges(edges: DataFrame) -> DataFrame:
             .filter(F.col("follower_id") != F.col("followed_id")).distinct())
 
 
-def user_feed(posts: DataFrame, edges: DataFrame) -> DataFrame:
+#: An author with more than this part of all posts, or of all edges, is split.  At most this many
+#: authors have more of the posts, and as many more of the edges, whatever the tables' sizes.
+SPLIT_SHARES = 1024
+
+
+def _shares(df: DataFrame, author: str, name: str) -> DataFrame:
+    """(author, name): the authors with more than one of SPLIT_SHARES shares of all rows, and into
+    how many parts their rows go; at most SPLIT_SHARES rows."""
+    counts = df.groupBy(F.col(author).alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    return (counts.withColumn("_all", total).filter(F.col("_n") * SPLIT_SHARES > F.col("_all"))
+            .select("_a", F.ceil(F.col("_n") * SPLIT_SHARES / F.col("_all")).alias(name)))
+
+
+def fan_out(posts: DataFrame, pairs: DataFrame, split_posts: bool = True) -> DataFrame:
+    """(viewer_id, id, user_id, body, timestamp): every post for every viewer paired with its
+    author.  ``pairs`` holds (viewer_id, _author).
+
+    An author of whom one task could not hold the posts or the pairs is split: posts go to parts by
+    their hash, pairs by their viewer's, and each meets every part of the other, so that a join key is
+    (author, part of posts, part of pairs) and no key has more than a 1/SPLIT_SHARES of either side.
+    With ``split_posts`` off (each author has few posts) only the pairs are split.  A pair or a post
+    of any other author is one row, as in a plain join.  Null authors match nothing."""
+    plan = _shares(pairs, "_author", "_fs")
+    if split_posts:
+        plan = plan.join(_shares(posts, "user_id", "_ps"), "_a", "full_outer")
+    else:
+        plan = plan.withColumn("_ps", F.lit(1))
+    plan = F.broadcast(plan)  # 2 * SPLIT_SHARES rows at most
+    part = lambda of, *key: F.pmod(F.xxhash64(*key), F.coalesce(of, F.lit(1).cast("long")))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(of, F.lit(1)).cast("long") - 1))
+    left = (posts.select(*POST_COLS).join(plan, F.col("user_id") == F.col("_a"), "left")
+            .withColumn("_p", part(F.col("_ps"), *POST_COLS)).withColumn("_f", every(F.col("_fs")))
+            .drop("_a", "_ps", "_fs"))
+    right = (pairs.select("viewer_id", "_author").join(plan, F.col("_author") == F.col("_a"), "left")
+             .withColumn("_f", part(F.col("_fs"), "viewer_id")).withColumn("_p", every(F.col("_ps")))
+             .drop("_a", "_ps", "_fs"))
+    met = (left["user_id"] == right["_author"]) & (left["_p"] == right["_p"]) & (left["_f"] == right["_f"])
+    return left.join(right, met).select("viewer_id", *POST_COLS)
+
+
+def user_feed(posts: DataFrame, edges: DataFrame, split_posts: bool = True) -> DataFrame:
     """(viewer_id, id, user_id, body, timestamp) for every viewer: posts of
     followed users plus own posts.
 
     With distinct, non-self edges the two branches are disjoint (followed
     posts have user_id != viewer), so UNION ALL is already duplicate-free and
-    the whole feed never needs a distinct shuffle.  A user followed by a third
-    of everyone is a hot join key; AQE splits that join partition.
+    the whole feed never needs a distinct shuffle.  An author followed by a
+    third of everyone, or with a third of all posts, is split (:func:`fan_out`).
     """
-    e = clean_edges(edges)
+    pairs = clean_edges(edges).select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("_author"))
     # a post without an author belongs to no feed; stating the filter once
     # keeps both branches identical, so the posts are read once
     p = posts.select(*POST_COLS).filter(F.col("user_id").isNotNull())
-    followed = (p.join(e, p["user_id"] == e["followed_id"])
-                .select(F.col("follower_id").alias("viewer_id"), *[p[c] for c in POST_COLS]))
     own = p.select(F.col("user_id").alias("viewer_id"), *POST_COLS)
-    return followed.unionByName(own)
+    return fan_out(p, pairs, split_posts).unionByName(own)
 
 
 def viewer_feed(posts: DataFrame, edges: DataFrame, viewers: list[int] | tuple[int, ...] | DataFrame) -> DataFrame:
@@ -55,13 +94,17 @@ def viewer_feed(posts: DataFrame, edges: DataFrame, viewers: list[int] | tuple[i
 
     The viewers' edges and the viewers themselves are one list of (viewer,
     author) pairs, so the posts are read once and only pairs of the viewers
-    asked for are ever made."""
-    if not isinstance(viewers, DataFrame):
+    asked for are ever made.  A table of viewers may be of any size, so its
+    hot authors are split (:func:`fan_out`)."""
+    listed = not isinstance(viewers, DataFrame)
+    if listed:
         viewers = posts.sparkSession.createDataFrame([(int(v),) for v in viewers], "viewer_id bigint")
     asked = viewers.select(F.col("viewer_id").cast("long").alias("viewer_id")).distinct()
     pairs = (clean_edges(edges).join(asked, F.col("follower_id") == F.col("viewer_id"), "left_semi")
              .select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("_author"))
              .unionByName(asked.select("viewer_id", F.col("viewer_id").alias("_author"))))
+    if not listed:
+        return fan_out(posts, pairs)
     return posts.select(*POST_COLS).join(pairs, F.col("user_id") == F.col("_author")).select("viewer_id", *POST_COLS)
 
 
@@ -76,7 +119,7 @@ def feed_page(posts: DataFrame, edges: DataFrame, page_no: int,
     """
     k = max(int(page_no), 1) * per_page
     recent = per_key_page(posts.select(*POST_COLS), "user_id", 1, k).drop("rank")
-    return per_key_page(user_feed(recent, edges), "viewer_id", page_no, per_page)
+    return per_key_page(user_feed(recent, edges, split_posts=False), "viewer_id", page_no, per_page)
 
 
 def per_key_page(df: DataFrame, key: str, page_no: int, per_page: int,

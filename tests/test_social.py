@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ledgerline import schemas
 from ledgerline.operators import social
 
@@ -123,3 +125,42 @@ def test_feed_of_given_viewers(spark):
     whole = {(r.viewer_id, r.id) for r in social.user_feed(posts, edges).collect()}
     every = {(r.viewer_id, r.id) for r in social.viewer_feed(posts, edges, [1, 2, 3, 4]).collect()}
     assert every == whole
+
+
+def _hot_world(spark):
+    """A third of all edges lead to author 1, who also wrote a third of all posts; some columns are null."""
+    posts = [(i, f"p{i}", T0 + dt.timedelta(seconds=i % 50), 1 if i % 3 == 0 else 2 + i % 40, "") for i in range(600)]
+    posts += [(9001, None, None, 1, None), (9002, "lost", T0, None, "")]
+    edges = [(100 + v, 1) for v in range(900)] + [(100 + v, 2 + (v * 7 + j) % 40) for v in range(900) for j in range(2)]
+    return spark.createDataFrame(posts, schemas.POSTS), spark.createDataFrame(edges, schemas.FOLLOWERS)
+
+
+def test_hot_author_is_split_and_the_feed_is_whole(spark):
+    posts, edges = _hot_world(spark)
+    by = {}
+    for p in posts.collect():
+        by.setdefault(p.user_id, []).append(p.id)
+    pairs = {(e.follower_id, e.followed_id) for e in edges.collect()}
+    expected = sorted([(v, i) for v, a in pairs for i in by.get(a, [])]
+                      + [(a, i) for a, ids in by.items() if a is not None for i in ids])
+    assert sorted((r.viewer_id, r.id) for r in social.user_feed(posts, edges).collect()) == expected
+    viewers = spark.createDataFrame([(100 + v,) for v in range(0, 900, 2)] + [(1,)], "viewer_id bigint")
+    asked = {r.viewer_id for r in viewers.collect()}
+    assert sorted((r.viewer_id, r.id) for r in social.viewer_feed(posts, edges, viewers).collect()) == \
+        [x for x in expected if x[0] in asked]
+
+
+def test_no_task_holds_a_hot_author(spark):
+    """Without Spark's own splitting of skewed joins, no task of the join has twice the median's rows."""
+    posts, edges = _hot_world(spark)
+    pairs = social.clean_edges(edges).select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("_author"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for split in (True, False):
+            sizes = sorted(r["count"] for r in social.fan_out(posts, pairs, split).groupBy(F.spark_partition_id()).count().collect())
+            assert len(sizes) > 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2], sizes
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
