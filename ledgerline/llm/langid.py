@@ -9,12 +9,18 @@ Training takes at most TRAIN_ROWS labelled rows in all (the same number of each
 smallest hash, whole texts), so the model and what the driver sees of the corpus are bounded; a
 prediction uses the text alone.
 
+A machine must name one of its languages, so a text of another language, of code or of random letters
+gets a name too, often surely. Whether it is a text of any learned language is told by its n-grams' mean
+log frequency among the training rows: each of these is measured without itself, and a text is known if
+it lies nearer to the least usual of them than to random bytes.
+
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled row
 every text is `und`; with one language learned, every text with a letter is that language, score 1;
 a language outside the family table is a family of its own; null labels are not learned; repeated
 rows get equal results; in a vote, names with equally many pairs won are told apart by the sum of their
 margins, then by name; texts of any length are read whole, one at a time beyond 4 MB; an empty table
-gives no rows; other columns are kept or not read, whatever their names.
+gives no rows; other columns are kept or not read, whatever their names. Every text with a letter is
+known where fewer than two rows were learned, or where no row shares an n-gram with another.
 """
 
 from __future__ import annotations
@@ -53,6 +59,8 @@ BITS = 13
 EPOCHS = 40
 COST = 8.0
 STEEPNESS = 12.0
+#: Frequency that an n-gram without occurrence counts with.
+UNSEEN = 1e-5
 
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 #: ASCII other than letters counts as white space, so punctuation and digits carry no sign.
@@ -96,16 +104,25 @@ def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Model:
-    """Weights of all pairs: columns are (first, second) names, a positive margin means first."""
+    """Weights of all pairs: columns are (first, second) names, a positive margin means first.
+    `usual` holds each n-gram's log frequency, `least` the mean of a text that is just known."""
 
-    def __init__(self, langs: list[str], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray):
-        self.langs, self.pairs, self.weights, self.bias = langs, pairs, weights.astype(np.float32), bias
+    def __init__(self, langs: list[str], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray,
+                 usual: np.ndarray | None = None, least: float = -np.inf):
+        self.langs, self.pairs, self.bias, self.least = langs, pairs, bias, least
+        usual = np.zeros(len(weights)) if usual is None else usual
+        self.weights = weights.astype(np.float32)
+        self.table = np.column_stack((self.weights, usual)).astype(np.float32)
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """(texts, pairs) margins."""
+        return self._means(texts)[:, :-1] + self.bias
+
+    def _means(self, texts: list[bytes]) -> np.ndarray:
+        """Mean weights of each text's n-grams: a column for each pair, then how usual they are."""
         data, at = joined([_normalised(t) for t in texts])
-        total = np.zeros((len(texts), len(self.pairs)))
-        if not texts or not self.pairs:
+        total = np.zeros((len(texts), len(self.pairs) + 1))
+        if not texts:
             return total
         sizes = np.diff(at) - _MARGIN
         own = np.ones(len(data), bool)
@@ -113,23 +130,28 @@ class Model:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         for n, order in enumerate(ORDERS):
             gram = _grams(data, order)[own] + (n << BITS)
-            total += np.add.reduceat(self.weights[gram], starts, axis=0, dtype=np.float64)
+            total += np.add.reduceat(self.table[gram], starts, axis=0, dtype=np.float64)
         total /= sizes[:, None]
-        return total + self.bias
-
-    def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        return total
+
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float, bool]]:
+        """Each text's language, how sure it is, and whether the text is of any learned language."""
+        if not self.langs:
+            return [(UNKNOWN, 0.0, False)] * len(texts)
+        means = self._means(texts)
+        known = (means[:, -1] >= self.least).tolist()
         if len(self.langs) < 2:
-            return [(self.langs[0], 1.0) if self.langs else (UNKNOWN, 0.0)] * len(texts)
-        margin = self.margins(texts)
+            return [(self.langs[0], 1.0, k) for k in known]
+        margin = means[:, :-1] + self.bias
         column = {p: k for k, p in enumerate(self.pairs)}
         groups: dict[str, list[str]] = {}
         for x in self.langs:
             groups.setdefault(family(x), []).append(x)
         out = []
-        for row in margin:
+        for row, k in zip(margin, known):
             fam, sure = _elect(sorted(groups), "family:", row, column)
             lang, too = _elect(groups[fam], "", row, column)
-            out.append((lang, float(sure * too)))
+            out.append((lang, float(sure * too), k))
         return out
 
 
@@ -165,6 +187,20 @@ def _svm(gram: np.ndarray, sign: np.ndarray, epochs: int = EPOCHS, cost: float =
     return alpha * sign, 0.01 * float(alpha @ sign)
 
 
+def _usual(features: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, float]:
+    """Each n-gram's log frequency among the rows, and the least mean of a known text: half way from
+    the least usual row, measured by the others alone, to random n-grams."""
+    n = len(features)
+    total = np.zeros(width)
+    for at, value in features:
+        total[at] += value
+    usual = np.log(total / max(1, n) + UNSEEN)
+    if n < 2:
+        return usual, -np.inf
+    least = min(float(value @ np.log(np.maximum(total[at] - value, 0) / (n - 1) + UNSEEN)) for at, value in features)
+    return usual, (least + len(ORDERS) * float(usual.mean())) / 2
+
+
 #: Rows that are spread out to all features at a time.
 _DENSE = 128
 
@@ -212,18 +248,20 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Mod
                 pairs.append((prefix + a, prefix + b))
                 weights.append((w * scale * scale).astype(np.float32))
                 bias.append(c)
-    return Model(langs, pairs, np.array(weights).T if pairs else np.zeros((width, 0), np.float32), np.array(bias))
+    return Model(langs, pairs, np.array(weights).T if pairs else np.zeros((width, 0), np.float32), np.array(bias),
+                 *_usual(features, width))
 
 
 def identify(text: Column, model: Model) -> Column:
-    """struct(lang, score) of a text column."""
+    """struct(lang, score, known) of a text column."""
     def run(texts):
         seen = [t is not None and any(c.isalpha() for c in t.decode(errors="replace")) for t in texts]
         got = iter(model.predict([t for t, s in zip(texts, seen) if s]))
-        found = [next(got) if s else (UNKNOWN, 0.0) for s in seen]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()),
-                                           pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
-    return text_udf(run, "lang string, score double")(text)
+        found = [next(got) if s else (UNKNOWN, 0.0, False) for s in seen]
+        return pa.StructArray.from_arrays([pa.array([x for x, _, _ in found], pa.string()),
+                                           pa.array([x for _, x, _ in found], pa.float64()),
+                                           pa.array([x for _, _, x in found], pa.bool_())], ["lang", "score", "known"])
+    return text_udf(run, "lang string, score double, known boolean")(text)
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
@@ -269,14 +307,13 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
-    """(row, lang): whole rows, whatever their columns are called, with their struct(lang, score)."""
+    """(row, lang): whole rows, whatever their columns are called, with their struct(lang, score, known)."""
     model = train(docs.filter(~held_out(F.col(id_col))), most, id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = docs.select(whole_row(docs).alias("row"))
     return rows.select("row", identify(F.col("row").getField(text_col), model).alias("lang"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", most: int = TRAIN_ROWS) -> DataFrame:
-    """The documents whose language can be told (not `und`, score of at least min_score), unchanged."""
-    found = _found(docs, id_col, text_col, lang_col, most)
-    return found.filter((F.col("lang.lang") != UNKNOWN) & (F.col("lang.score") >= min_score)).select("row.*")
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    most: int = TRAIN_ROWS) -> DataFrame:
+    """The documents whose text is of a learned language (a letter, and n-grams usual enough), unchanged."""
+    return _found(docs, id_col, text_col, lang_col, most).filter("lang.known").select("row.*")

@@ -93,6 +93,42 @@ def test_fit_memory_is_bounded():
     assert peak < 80 << 20
 
 
+def test_usual_level_equals_dense_means():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["der", "hund", "die", "katze", "und", "haus"], 30)).encode() for _ in range(12)]
+    features = langid._features(texts)
+    width = len(langid.ORDERS) << langid.BITS
+    dense = np.zeros((len(texts), width))
+    for i, (at, value) in enumerate(features):
+        dense[i, at] = value
+    usual, least = langid._usual(features, width)
+    assert np.allclose(usual, np.log(dense.mean(0) + langid.UNSEEN))
+    left_out = [row @ np.log(np.delete(dense, i, 0).mean(0) + langid.UNSEEN) for i, row in enumerate(dense)]
+    assert np.isclose(least, (min(left_out) + len(langid.ORDERS) * usual.mean()) / 2)
+    model = langid.fit(features, ["de"] * 6 + ["en"] * 6)
+    assert np.allclose(model._means(texts)[:, -1], dense @ usual, atol=1e-4)
+    assert langid._usual(features[:1], width)[1] == -np.inf == langid.fit([], []).least
+    assert langid.fit([], []).predict([b"x"]) == [("und", 0.0, False)]
+    assert langid.fit(features[:1], ["de"]).predict([b"x", b""]) == [("de", 1.0, True)] * 2
+
+
+def test_strange_texts_go_and_documents_stay(spark):
+    """Rejected: texts of no learned language. Kept: every document with a letter, also its first five words."""
+    import base64
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(7)
+    strange = [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 200, 1500) * 4]
+    strange += ["Привет мир это русский текст о погоде и о людях", "今日は天気がいいですね", "καλημέρα τι κάνεις σήμερα φίλε μου"]
+    added = docs_of(spark, [(10_000_000 + i, t, None) for i, t in enumerate(strange)]).select("doc_id", "text", "lang")
+    short = docs.select((F.col("doc_id") + 20_000_000).alias("doc_id"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("text"),
+                        F.lit(None).cast("string").alias("lang"))
+    both = docs.unionByName(added).unionByName(short)
+    kept = {r.doc_id for r in langid.keep_identified(both).collect()}
+    lettered = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert lettered <= kept and not {d for d in kept if 10_000_000 <= d < 20_000_000}
+    assert len([d for d in kept if d >= 20_000_000]) >= 0.98 * len(lettered)
+
+
 def test_whole_rows_keep_clashing_columns(spark):
     rows = [(i, "the house and this water", "en" if i % 2 else "de", 1, 2, 3, 4) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, __lang int, row int, __k_id int, __lang_score int")
