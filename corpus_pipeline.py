@@ -3,8 +3,8 @@
 Each stage takes what its predecessor kept, written as Parquet and read again, and calls one
 operator of ``ledgerline.llm``; all but the last return the columns of documents.
 
-Defined results (the operators' docstrings say more): a null or letterless text goes in the first
-stage; a null id is an id like another; equal rows are near-duplicates, of which one stays, ties going to
+Defined results (the operators' docstrings say more): a null or letterless text, or one of no learned
+language, goes in the first stage; a null id is an id like another; equal rows are near-duplicates, of which one stays, ties going to
 the smallest id; a null source is a source of its own; a text of any length is worked on whole; an empty
 table gives an empty one with the same columns; columns beside those of documents are kept, whatever
 their names, but for ``shard`` and ``slot``, which the last stage sets.
@@ -20,7 +20,7 @@ from ledgerline.sources.tables import read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go."""
+    """Documents of no learned language go: null, without a letter, or of n-grams that its texts do not have."""
     return langid.keep_identified(docs)
 
 
