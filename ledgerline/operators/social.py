@@ -44,9 +44,13 @@ def _shares(df: DataFrame, author: str, name: str) -> DataFrame:
             .select("_a", F.ceil(F.col("_n") * SPLIT_SHARES / F.col("_all")).alias(name)))
 
 
-def fan_out(posts: DataFrame, pairs: DataFrame, split_posts: bool = True) -> DataFrame:
+def fan_out(posts: DataFrame, pairs: DataFrame, split_posts: bool = True, floor: str | None = None) -> DataFrame:
     """(viewer_id, id, user_id, body, timestamp): every post for every viewer paired with its
-    author.  ``pairs`` holds (viewer_id, _author).
+    author.  ``pairs`` holds (viewer_id, _author), and maybe a column ``floor``: posts with an older or no
+    time are left out for this pair (none are where it is null).
+
+    A row of pairs gives as many rows as its author has posts, so with ``floor`` the two sides keep the
+    session's number of partitions: sized by their input, tasks would grow with what comes out.
 
     An author of whom one task could not hold the posts or the pairs is split: posts go to parts by
     their hash, pairs by their viewer's, and each meets every part of the other, so that a join key is
@@ -64,10 +68,15 @@ def fan_out(posts: DataFrame, pairs: DataFrame, split_posts: bool = True) -> Dat
     left = (posts.select(*POST_COLS).join(plan, F.col("user_id") == F.col("_a"), "left")
             .withColumn("_p", part(F.col("_ps"), *POST_COLS)).withColumn("_f", every(F.col("_fs")))
             .drop("_a", "_ps", "_fs"))
-    right = (pairs.select("viewer_id", "_author").join(plan, F.col("_author") == F.col("_a"), "left")
+    floors = [floor] if floor else []
+    right = (pairs.select("viewer_id", "_author", *floors).join(plan, F.col("_author") == F.col("_a"), "left")
              .withColumn("_f", part(F.col("_fs"), "viewer_id")).withColumn("_p", every(F.col("_ps")))
              .drop("_a", "_ps", "_fs"))
     met = (left["user_id"] == right["_author"]) & (left["_p"] == right["_p"]) & (left["_f"] == right["_f"])
+    if floor:
+        n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(n, "user_id", "_p", "_f"), right.repartition(n, "_author", "_p", "_f")
+        met = met & (right[floor].isNull() | (left["timestamp"] >= right[floor]))
     return left.join(right, met).select("viewer_id", *POST_COLS)
 
 
@@ -84,8 +93,11 @@ def user_feed(posts: DataFrame, edges: DataFrame, split_posts: bool = True) -> D
     # a post without an author belongs to no feed; stating the filter once
     # keeps both branches identical, so the posts are read once
     p = posts.select(*POST_COLS).filter(F.col("user_id").isNotNull())
-    own = p.select(F.col("user_id").alias("viewer_id"), *POST_COLS)
-    return fan_out(p, pairs, split_posts).unionByName(own)
+    return fan_out(p, pairs, split_posts).unionByName(_own_posts(p))
+
+
+def _own_posts(posts: DataFrame) -> DataFrame:
+    return posts.select(F.col("user_id").alias("viewer_id"), *POST_COLS)
 
 
 def viewer_feed(posts: DataFrame, edges: DataFrame, viewers: list[int] | tuple[int, ...] | DataFrame) -> DataFrame:
@@ -115,11 +127,20 @@ def feed_page(posts: DataFrame, edges: DataFrame, page_no: int,
     A post on rank <= k of a viewer's feed is within the newest k posts of
     its author, so each author's posts are cut to their newest k before the
     fan-out to followers (exact, and the join no longer grows with the
-    authors' full history).
+    authors' full history).  Each author with k posts or more also tells a
+    viewer how old a post on the page can be; the fan-out leaves out older ones.
     """
     k = max(int(page_no), 1) * per_page
-    recent = per_key_page(posts.select(*POST_COLS), "user_id", 1, k).drop("rank")
-    return per_key_page(user_feed(recent, edges, split_posts=False), "viewer_id", page_no, per_page)
+    ranked = per_key_page(posts.select(*POST_COLS).filter(F.col("user_id").isNotNull()), "user_id", 1, k)
+    # an author's k-th newest post: nothing older is on the page of a viewer of this author
+    last = ranked.filter((F.col("rank") == k) & F.col("timestamp").isNotNull()).select(F.col("user_id").alias("_author"), F.col("timestamp").alias("_last"))
+    pairs = clean_edges(edges).select(F.col("follower_id").alias("viewer_id"), F.col("followed_id").alias("_author"))
+    own = last.select(F.col("_author").alias("viewer_id"), "_last")
+    floors = (pairs.join(last, "_author").select("viewer_id", "_last").unionByName(own)
+              .groupBy("viewer_id").agg(F.max("_last").alias("_floor")))
+    recent = ranked.drop("rank")
+    seen = _own_posts(recent).unionByName(fan_out(recent, pairs.join(floors, "viewer_id", "left"), split_posts=False, floor="_floor"))
+    return per_key_page(seen, "viewer_id", page_no, per_page)
 
 
 def per_key_page(df: DataFrame, key: str, page_no: int, per_page: int,

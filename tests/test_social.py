@@ -1,6 +1,7 @@
 """Feed, follow graph and per-user counts (the reference's own test cases)."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -164,3 +165,22 @@ def test_no_task_holds_a_hot_author(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_feed_page_fans_out_only_posts_that_can_be_on_the_page(spark):
+    """Ties at an author's last place, posts without a time, authors of few posts: the page is that of the
+    whole feed; a post older than the viewer's floor is never paired with the viewer."""
+    rng = random.Random(5)
+    at = [None, *[dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) for h in range(12)]]
+    data = [(i, rng.choice([1, 2, 3, 4, 5, None]), f"b{i}", rng.choice(at)) for i in range(150)] + [(900, 6, "few", None)]
+    posts = spark.createDataFrame(data, "id bigint, user_id bigint, body string, timestamp timestamp")
+    pairs = {(rng.randrange(1, 9), rng.randrange(1, 7)) for _ in range(25)} | {(7, 6)}
+    edges = spark.createDataFrame(sorted(pairs), "follower_id bigint, followed_id bigint")
+    for page, per in ((1, 1), (1, 4), (3, 4), (2, 60)):
+        got = sorted((r.viewer_id, r["rank"], r.id) for r in social.feed_page(posts, edges, page, per).collect())
+        whole = social.per_key_page(social.user_feed(posts, edges), "viewer_id", page, per)
+        assert got == sorted((r.viewer_id, r["rank"], r.id) for r in whole.collect())
+    floors = spark.createDataFrame([(1, 2, at[6]), (2, 2, None)], "viewer_id bigint, _author bigint, _floor timestamp")
+    out = social.fan_out(posts, floors, split_posts=False, floor="_floor").collect()
+    assert {(r.viewer_id, r.id) for r in out} == {(v, p[0]) for p in data if p[1] == 2 for v in (1, 2)
+                                                   if v == 2 or (p[3] is not None and p[3] >= at[6])}
