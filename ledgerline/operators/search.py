@@ -9,7 +9,11 @@ truncated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +27,58 @@ def _text_of(df: DataFrame, text_cols: list[str]):
     return F.concat_ws(" ", *[F.col(c) for c in text_cols])
 
 
+#: Rows whose tokens are counted at once.
+WORK_ROWS = 256
+
+
+def _rows_counted():
+    """mapInArrow function: rows (doc_id, words: tokens joined by blanks, doc_len) -> a row for each distinct
+    token of each row; one with a null term where there is no token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, WORK_ROWS):
+                ids, words, lens = whole.slice(a, WORK_ROWS).columns
+                filled = np.flatnonzero(pc.fill_null(pc.greater(lens, 0), False).to_numpy(zero_copy_only=False))
+                none = np.setdiff1d(np.arange(len(lens)), filled)
+                toks = pc.split_pattern(words.take(pa.array(filled)), " ")
+                coded = toks.flatten().dictionary_encode()
+                kinds = max(len(coded.dictionary), 1)
+                rows = np.repeat(np.arange(len(filled)), pc.list_value_length(toks).to_numpy())
+                keys, tf = np.unique(rows * kinds + coded.indices.to_numpy(), return_counts=True)
+                row = pa.array(np.concatenate([filled[keys // kinds], none]))
+                term = pa.concat_arrays([coded.dictionary.take(pa.array(keys % kinds)), pa.nulls(len(none), coded.dictionary.type)])
+                tf = pa.array(np.concatenate([tf, np.ones(len(none), np.int64)]))
+                yield pa.RecordBatch.from_arrays([term, ids.take(row), tf, lens.take(row)], ["term", "doc_id", "tf", "doc_len"])
+    return run
+
+
+def token_rows(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+    """(term, doc_id, tf, doc_len): the tokens of each row, counted within the row; a row without tokens
+    appears once with a null term (so its length is kept).
+
+    Only documents of several rows have a term twice: :func:`merged` adds these up.  Counting row by row holds
+    a few rows; a hash table of all (term, doc_id) of a task would grow with its texts and spill."""
+    tok = docs.select(F.col(id_col).alias("doc_id"), tokens(_text_of(docs, text_cols)).alias("_toks"))
+    kind = tok.schema["doc_id"].dataType.simpleString()
+    return (tok.select("doc_id", F.array_join("_toks", " ").alias("words"), F.size("_toks").cast("long").alias("doc_len"))
+            .mapInArrow(_rows_counted(), f"term string, doc_id {kind}, tf bigint, doc_len bigint"))
+
+
+def merged(rows: DataFrame, *more: str) -> DataFrame:
+    """One row per (term, doc_id) of token rows that are partitioned by any of these columns, sorted by them.
+
+    The largest length is that of a struct: Spark then merges neighbours of the sorted rows.  A hash table
+    would hold a whole partition, twice."""
+    return (rows.groupBy("term", *more, "doc_id").agg(F.sum("tf").alias("tf"), F.max(F.struct("doc_len")).alias("_l"))
+            .select("term", *more, "doc_id", "tf", F.col("_l.doc_len").alias("doc_len")))
+
+
 def token_counts(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(term, doc_id, tf, doc_len) from one tokenisation pass; a document
-    without tokens appears once with a null term (so its length is kept)."""
-    tok = docs.select(F.col(id_col).alias("doc_id"), tokens(_text_of(docs, text_cols)).alias("_toks"))
-    rows = tok.select("doc_id", F.explode_outer("_toks").alias("term"),
-                      F.size("_toks").cast("long").alias("_len"))
-    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("_len").alias("doc_len"))
+    without tokens appears once with a null term (so its length is kept).
+
+    Rows are shuffled as they are: nearly all are distinct, so adding them up before would save nothing."""
+    return merged(token_rows(docs, id_col, text_cols).repartition("term", "doc_id"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -44,12 +93,12 @@ def build_index(docs: DataFrame, id_col: str, text_cols: list[str]) -> tuple[Dat
     return postings, lengths
 
 
-def _store(counts: DataFrame, root: str) -> str:
-    """Write token counts (term, doc_id, tf, doc_len) as an index."""
+def _store(rows: DataFrame, root: str) -> str:
+    """Write token rows (term, doc_id, tf, doc_len) as an index: one shuffle, by range, merges and sorts them."""
     root = root.rstrip("/")
-    (counts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    (merged(rows.repartitionByRange("term", "doc_id")).sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").parquet(f"{root}/postings"))
-    spark = counts.sparkSession
+    spark = rows.sparkSession
     (spark.read.parquet(f"{root}/postings").groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
      .write.mode("overwrite").parquet(f"{root}/lengths"))
     (spark.read.parquet(f"{root}/lengths").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
@@ -64,9 +113,9 @@ def write_index(docs: DataFrame, id_col: str, text_cols: list[str], root: str) -
 
     Postings are range-partitioned and sorted by (term, doc_id): a term lies in
     few files, which a term filter finds by their statistics, and a frequent
-    term is still split over several.  The texts are tokenised once; lengths
+    term is still split over several.  The texts are tokenised twice (the ranges come from a sample); lengths
     and corpus numbers are read back from the stored postings."""
-    return _store(token_counts(docs, id_col, text_cols), root)
+    return _store(token_rows(docs, id_col, text_cols), root)
 
 
 def update_index(spark: SparkSession, root: str, changes: DataFrame, new_root: str) -> str:
@@ -76,7 +125,7 @@ def update_index(spark: SparkSession, root: str, changes: DataFrame, new_root: s
     touched = changes.select(F.col("id").alias("doc_id")).distinct()
     old = spark.read.parquet(f"{root.rstrip('/')}/postings")
     kept = old.join(touched, "doc_id", "left_anti").select("term", "doc_id", "tf", "doc_len")
-    fresh = token_counts(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
+    fresh = token_rows(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
     return _store(kept.unionByName(fresh), new_root)
 
 

@@ -59,17 +59,18 @@ def _sums(lengths: DataFrame) -> dict[str, int]:
     return dict(zip(("n_docs", "n_texts", "total_len"), row))
 
 
-def _write_segment(counts: DataFrame, gone: DataFrame, path: str) -> tuple[int, dict[str, int]]:
-    """Store token counts (term, doc_id, tf, doc_len; a null term for a document without tokens) and dead ids;
-    returns the number of postings, and the sums of the lengths."""
-    spark = counts.sparkSession
-    block = F.shiftright("doc_id", BLOCK_BITS)
+def _write_segment(rows: DataFrame, gone: DataFrame, path: str) -> tuple[int, dict[str, int]]:
+    """Store token rows (term, doc_id, tf, doc_len; a null term for a document without tokens) and dead ids;
+    returns the number of postings, and the sums of the lengths.  One shuffle, by range, merges rows of one
+    document, makes the blocks and sorts them."""
+    spark = rows.sparkSession
+    dealt = rows.withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).repartitionByRange("term", "block")
     posting = F.struct("doc_id", F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len"))
-    rows = (counts.groupBy("term", block.alias("block")).agg(
+    rows = (search.merged(dealt, "block").groupBy("term", "block").agg(
         F.array_sort(F.collect_list(posting)).alias("p"), F.max("tf").cast("int").alias("max_tf"), F.min("doc_len").cast("int").alias("min_len")))
     (rows.select("term", "block", F.size("p").alias("n"), "max_tf", "min_len", F.col("p.doc_id").alias("docs"),
                  F.col("p.tf").alias("tfs"), F.col("p.doc_len").alias("lens"))
-     .repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks"))
+     .sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks"))
     stored = spark.read.parquet(f"{path}/blocks")
     (stored.select(F.explode(F.arrays_zip("docs", "lens")).alias("p")).groupBy(F.col("p.docs").alias("doc_id"))
      .agg(F.max("p.lens").cast("long").alias("doc_len")).write.mode("overwrite").parquet(f"{path}/lengths"))
@@ -87,7 +88,7 @@ def write_index(docs: DataFrame, id_col: str, text_cols: list[str], root: str) -
     spark, root = docs.sparkSession, root.rstrip("/")
     if manifest(spark, root)["segments"]:
         raise ValueError(f"{root} holds an index")
-    size, sums = _write_segment(search.token_counts(docs, id_col, text_cols), _no_ids(spark), f"{root}/segment=0")
+    size, sums = _write_segment(search.token_rows(docs, id_col, text_cols), _no_ids(spark), f"{root}/segment=0")
     _publish(spark, root, {"gen": -1, "segments": [0], "sizes": [size], **sums})
     return root
 
@@ -99,7 +100,7 @@ def update_index(spark: SparkSession, root: str, changes: DataFrame) -> list[int
     now = manifest(spark, root)
     number = max(now["segments"], default=-1) + 1
     touched = changes.select(F.col("id").alias("doc_id")).distinct()
-    fresh = search.token_counts(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
+    fresh = search.token_rows(changes.filter(F.col("op").isin("add", "update")), "id", ["body"])
     size, sums = _write_segment(fresh, touched, f"{root}/segment={number}")
     touched = spark.read.parquet(f"{root}/segment={number}/gone")
     if now["segments"]:

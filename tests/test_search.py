@@ -107,3 +107,17 @@ def test_replaced_table_is_indexed_again(spark, tmp_path):
     assert roots[0] == roots[1] != roots[2] == roots[3]
     terms = {r.term for r in spark.read.parquet(f"{roots[2]}/postings").collect() if r.term}
     assert "gamma" in terms and "alpha" not in terms
+
+
+def test_tokens_are_counted_row_by_row(spark):
+    """Counting needs no table of a task's terms and no shuffle; rows of one document are added up after it."""
+    data = [(1, "a b a"), (1, "a c"), (2, None), (3, "..."), (None, "b"), (3, "b b"), (4, "")] + [(9, "x " * 700)] * 600
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows_of = search.token_rows(docs, "doc_id", ["text"])
+    plan = rows_of._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    want = {("a", 1): (3, 3), ("b", 1): (1, 3), ("c", 1): (1, 2), (None, 2): (1, None), (None, 3): (1, 0), ("b", None): (1, 1),
+            ("b", 3): (2, 2), (None, 4): (1, 0), ("x", 9): (420000, 700)}
+    assert {(r.term, r.doc_id): (r.tf, r.doc_len) for r in search.token_counts(docs, "doc_id", ["text"]).collect()} == want
+    assert rows_of.filter("doc_id = 9").count() == 600
+    assert search.token_counts(docs.limit(0), "doc_id", ["text"]).count() == 0
