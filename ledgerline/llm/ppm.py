@@ -40,6 +40,8 @@ MAX_ORDER = 5
 SHARED = 2
 #: Entries of a trie that is made in one piece, and n-grams that a counting task holds at once.
 MAX_NODES = 4_000_000
+#: Keys that a chunk's task holds before equal ones are added up (or twice the distinct ones).
+MAX_HELD = 1_000_000
 CHUNK_TEXT = 16 << 20
 #: Least number of parts of the trie, and parts for each chunk.
 PARTS, CHUNK_PARTS = 256, 4
@@ -278,7 +280,7 @@ def _chunk_counts(keys_of):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        now = None
+        now, size, most = None, 0, MAX_HELD
         for batch in batches:
             chunk = batch.column(3).to_numpy()
             train = ~batch.column(1).to_numpy(zero_copy_only=False)
@@ -288,7 +290,7 @@ def _chunk_counts(keys_of):
                     continue
                 if held and chunk[lo] != now:
                     yield from rows(held, now)
-                    held = []
+                    held, size, most = [], 0, MAX_HELD
                 now, done = int(chunk[lo]), int(lo)
                 for texts in chunks(batch.column(2).slice(lo, hi - lo), WORK_BYTES):
                     keys, sizes = keys_of([normalised(t) for t in texts])
@@ -298,8 +300,11 @@ def _chunk_counts(keys_of):
                     held.append((low, n.astype(np.int64)))
                     low = np.unique(keys[~seen])
                     held.append((low, np.zeros(len(low), np.int64)))
-                if len(held) > 64:
-                    held = [added(held)]
+                    size += len(held[-2][0]) + len(low)
+                    if size > most:  # however many distinct keys the texts have
+                        held = [added(held)]
+                        size = len(held[0][0])
+                        most = max(MAX_HELD, 2 * size)
         if held:
             yield from rows(held, now)
     return run

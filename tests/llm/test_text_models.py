@@ -3,9 +3,11 @@
 import binascii
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,3 +406,21 @@ def test_license_scan_of_the_table_and_cases(spark):
     assert sorted(((r.doc_id, r.license, r.first_word) for r in found.collect()), key=str) == sorted(
         [(3, "MIT", 0), (3, "MIT", 0), (None, "CC-BY-NC-4.0", 30000)], key=str)
     assert licenses.scan_licenses(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_chunk_counts_hold_few_keys_however_many_pieces(monkeypatch):
+    """Equal keys are added up by the number of keys held, not by that of pieces; the counts stay the same."""
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 123, 16_000, np.uint8)).decode()
+    rows = pa.record_batch([pa.array(range(60)), pa.array([i % 5 == 1 for i in range(60)]), pa.array([text] * 60), pa.array([0] * 59 + [1])],
+                           ["doc_id", "held_out", "text", "chunk"])
+    run = ppm._chunk_counts(lambda texts: ppm.ngram_keys(texts, ppm.MAX_ORDER))
+    whole = [b.to_pydict() for b in run(iter([rows]))]
+    monkeypatch.setattr(ppm, "MAX_HELD", 40_000)
+    monkeypatch.setattr(ppm, "WORK_BYTES", 16_000)
+    tracemalloc.start()
+    got = list(run(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.to_pydict() for b in got] == whole
+    assert peak < 8 << 20  # sixty pieces of 16,001 keys and counts take 15 MB
