@@ -40,13 +40,15 @@ MAX_ORDER = 5
 SHARED = 2
 #: Entries of a trie that is made in one piece, and n-grams that a counting task holds at once.
 MAX_NODES = 4_000_000
-#: Keys that a chunk's task holds before equal ones are added up (or twice the distinct ones).
+#: Keys that a chunk's task holds before equal ones are added up (or half as many again as the distinct ones).
 MAX_HELD = 1_000_000
+#: Keys that are sorted, added up or put into an index at once.
+WORK_KEYS = 1 << 17
 CHUNK_TEXT = 16 << 20
 #: Least number of parts of the trie, and parts for each chunk.
 PARTS, CHUNK_PARTS = 256, 4
-#: Bytes of text worked on at once; arrays of this size stay in a core's cache.
-WORK_BYTES = 1 << 20
+#: Bytes of text worked on at once; a symbol takes 8 bytes in each of the arrays made of it.
+WORK_BYTES = 1 << 18
 
 END, BEFORE, SYMBOLS = 256, 257, 257  # the end is a symbol; what stands before a text only a context
 _BITS = np.uint64(9)
@@ -85,15 +87,17 @@ class _Index:
         self.shift, self.wrap = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.places = np.full(1 << bits, -1, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.places[slot] < 0
-            _, first = np.unique(slot[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self.keys[slot[won]], self.places[slot[won]] = keys[left[won]], left[won]
-            rest = np.ones(len(left), bool)
-            rest[won] = False
-            left, slot = left[rest], (slot[rest] + 1) & self.wrap
+        for a in range(0, len(keys), WORK_KEYS):
+            left = np.arange(a, min(a + WORK_KEYS, len(keys)))
+            slot = self._slot(keys[left])
+            while len(left):
+                free = self.places[slot] < 0
+                _, first = np.unique(slot[free], return_index=True)
+                won = np.flatnonzero(free)[first]
+                self.keys[slot[won]], self.places[slot[won]] = keys[left[won]], left[won]
+                rest = np.ones(len(left), bool)
+                rest[won] = False
+                left, slot = left[rest], (slot[rest] + 1) & self.wrap
 
     def _slot(self, keys):
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -202,18 +206,33 @@ class Trie:
 
 # ---- on Spark -------------------------------------------------------------------------------
 
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each key of the pieces (sorted keys, counts) with the sum of its counts, as pieces in ascending order.
+
+    A range of keys is added up at a time, of at most 2 * WORK_KEYS keys, or one from each piece."""
+    step = max(1, WORK_KEYS // len(held))
+    # between two of all these, a piece has fewer than `step` keys; every len(held)-th of them ends a range
+    cuts = np.unique(np.sort(np.concatenate([k[step - 1::step] for k, _ in held]))[len(held) - 1::len(held)])
+    ends = [np.concatenate(([0], np.searchsorted(k, cuts), [len(k)])) for k, _ in held]
+    for i in range(len(cuts) + 1):
+        parts = [(k[e[i]:e[i + 1]], c[e[i]:e[i + 1]]) for (k, c), e in zip(held, ends) if e[i] < e[i + 1]]
+        if parts:
+            low, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            yield low, np.bincount(where, np.concatenate([c for _, c in parts]), len(low)).astype(np.int64)
+
+
+def _held(pieces: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    return sum(len(k) for k, _ in pieces)
+
+
 def _count_ngrams(order: int):
     """mapInArrow function: n-grams in a task's texts, each with its count as often as memory allows."""
     kind = np.uint64 if order > 2 else np.uint32  # short keys sort faster
 
-    def added(held):
-        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-        low, where = np.unique(keys, return_inverse=True)
-        return low, np.bincount(where, counts, len(low)).astype(np.int64)
-
-    def rows(keys, counts):
-        for a in range(0, len(keys), 1 << 16):
-            yield pa.record_batch([pa.array(keys[a:a + (1 << 16)].astype(np.int64)), pa.array(counts[a:a + (1 << 16)])], ["key", "n"])
+    def rows(held):
+        for keys, counts in held:
+            for a in range(0, len(keys), 1 << 16):
+                yield pa.record_batch([pa.array(keys[a:a + (1 << 16)].astype(np.int64)), pa.array(counts[a:a + (1 << 16)])], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -222,13 +241,13 @@ def _count_ngrams(order: int):
                 held.append(np.unique(ngram_keys([normalised(t) for t in texts], order)[0].astype(kind), return_counts=True))
                 size += len(held[-1][0])
                 if size > MAX_NODES:
-                    held = [added(held)]
-                    size = len(held[0][0])
+                    held = list(_added(held))
+                    size = _held(held)
                     if size > MAX_NODES // 2:
-                        yield from rows(*held[0])
+                        yield from rows(held)
                         held, size = [], 0
         if held:
-            yield from rows(*added(held))
+            yield from rows(_added(held))
     return run
 
 
@@ -266,17 +285,12 @@ def _chunk_counts(keys_of):
 
     Rows are (doc_id, held_out, text, chunk), sorted by chunk; keys_of gives the keys of normalised texts
     and the number of keys of each."""
-    def added(held):
-        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-        low, where = np.unique(keys, return_inverse=True)
-        return low, np.bincount(where, counts, len(low)).astype(np.int64)
-
     def rows(held, chunk):
-        low, counts = added(held)
-        for a in range(0, len(low), 1 << 16):
-            part = low[a:a + (1 << 16)]
-            yield pa.record_batch([pa.array(np.full(len(part), chunk)), pa.array(part.view(np.int64)), pa.array(counts[a:a + (1 << 16)])],
-                                  ["chunk", "key", "n"])
+        for low, counts in _added(held):
+            for a in range(0, len(low), 1 << 16):
+                part = low[a:a + (1 << 16)]
+                yield pa.record_batch([pa.array(np.full(len(part), chunk)), pa.array(part.view(np.int64)), pa.array(counts[a:a + (1 << 16)])],
+                                      ["chunk", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -302,9 +316,9 @@ def _chunk_counts(keys_of):
                     held.append((low, np.zeros(len(low), np.int64)))
                     size += len(held[-2][0]) + len(low)
                     if size > most:  # however many distinct keys the texts have
-                        held = [added(held)]
-                        size = len(held[0][0])
-                        most = max(MAX_HELD, 2 * size)
+                        held = list(_added(held))
+                        size = _held(held)
+                        most = max(MAX_HELD, size + size // 2)
         if held:
             yield from rows(held, now)
     return run
@@ -329,6 +343,7 @@ def _score(docs: pa.Table, counted: pa.Table) -> pa.Table:
     keys, values = counted["key"].to_numpy().view(np.uint64), counted["value"].to_numpy()
     grams, gram_values = _Index(keys[~is_word]), values[~is_word]
     keys, count = keys[is_word], values[is_word]
+    del values, is_word, counted
     order = np.argsort(keys)
     keys, count = keys[order], count[order].astype(np.int64)
     kinds = int((count < -1).sum())

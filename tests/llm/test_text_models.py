@@ -424,3 +424,43 @@ def test_chunk_counts_hold_few_keys_however_many_pieces(monkeypatch):
     tracemalloc.stop()
     assert [b.to_pydict() for b in got] == whole
     assert peak < 8 << 20  # sixty pieces of 16,001 keys and counts take 15 MB
+
+
+def test_chunk_counts_add_up_distinct_keys_a_range_at_a_time(monkeypatch):
+    """Where all keys differ, adding them up takes little besides the keys and counts held."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 16_000, np.uint8)).decode() for _ in range(60)]
+    rows = pa.record_batch([pa.array(range(60)), pa.array([i % 5 == 1 for i in range(60)]), pa.array(texts), pa.array([0] * 60)],
+                           ["doc_id", "held_out", "text", "chunk"])
+    monkeypatch.setattr(ppm, "MAX_HELD", 40_000)
+    monkeypatch.setattr(ppm, "WORK_BYTES", 16_000)
+    monkeypatch.setattr(ppm, "WORK_KEYS", 10_000, raising=False)
+    n, peak, got = 0, 0, Counter()
+    tracemalloc.start()
+    for batch in ppm._chunk_counts(lambda part: ppm.ngram_keys(part, ppm.MAX_ORDER))(iter([rows])):
+        n += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 900_000
+    assert peak < 48 * n  # 16 bytes a key and count: the pieces, and what they are added up to
+    seen, _ = ppm.ngram_keys([ppm.normalised(t.encode()) for i, t in enumerate(texts) if i % 5 != 1], ppm.MAX_ORDER)
+    for batch in ppm._chunk_counts(lambda part: ppm.ngram_keys(part, ppm.MAX_ORDER))(iter([rows])):
+        got.update(dict(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+    want = Counter(seen.view(np.int64).tolist())
+    assert len(got) == n and {k: c for k, c in got.items() if c} == want
+
+
+def test_pieces_are_added_up_by_ranges_of_bounded_size(monkeypatch):
+    rng = np.random.default_rng(1)
+    for most in (1, 7, 100):
+        monkeypatch.setattr(ppm, "WORK_KEYS", most)
+        for n_pieces in (1, 3, 12):
+            pieces = [(np.unique(rng.integers(0, top, 200).astype(np.uint64)), None) for top in rng.choice([3, 90, 5000], n_pieces)]
+            pieces = [(k, rng.integers(0, 4, len(k))) for k, _ in pieces] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            got = list(ppm._added(pieces))
+            want = Counter()
+            for k, c in pieces:
+                want.update(dict(zip(k.tolist(), c.tolist())))
+            assert [k for part, _ in got for k in part.tolist()] == sorted(want)
+            assert [c for _, part in got for c in part.tolist()] == [want[k] for k in sorted(want)]
+            assert max(len(k) for k, _ in got) <= 2 * max(most, len(pieces))
