@@ -16,29 +16,38 @@ def drop_zero_hours(entries: DataFrame) -> DataFrame:
     return entries.filter(~F.col("hours").eqNullSafe(0))
 
 
-def monthly_hours(entries: DataFrame) -> DataFrame:
+def monthly_hours(entries: DataFrame, tasks: int | None = None) -> DataFrame:
     """(year, month, project, employee, hours): hours per calendar month.
 
     Rows with a null date, project or employee are dropped; a group whose
     hours are all null sums to 0.  A calendar month is not a fixed-width
     window, so the month is a grouping key (year(date), month(date)).
+
+    With ``tasks`` the entries are dealt by group into so many tasks first: a
+    task then holds the groups of its share of the table, here and in what is
+    computed per group from these rows, whatever the size of a scan split or
+    of a coalesced partition (a group's entries meet in one task, which adds
+    them up as they come).
     """
     clean = entries.filter(F.col("date").isNotNull() & F.col("project").isNotNull()
                            & F.col("employee").isNotNull())
-    return (clean.groupBy(F.year("date").alias("year"), F.month("date").alias("month"),
-                          "project", "employee")
-            .agg(F.coalesce(F.sum("hours"), F.lit(0.0)).alias("hours")))
+    keys = ["year", "month", "project", "employee"]
+    rows = clean.select(F.year("date").alias("year"), F.month("date").alias("month"), "project", "employee", "hours")
+    if tasks:
+        rows = rows.repartition(tasks, *keys)
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum("hours"), F.lit(0.0)).alias("hours"))
 
 
 def spent_time(entries: DataFrame, run_stamp: str,
-               avg_monthly_hours: float = config.AVG_MONTHLY_HOURS) -> DataFrame:
+               avg_monthly_hours: float = config.AVG_MONTHLY_HOURS, tasks: int | None = None) -> DataFrame:
     """The spent-time table: dedication = hours / average monthly hours, and
     the employee's total hours of the month on every project row.
 
     ``run_stamp`` is the import time as text (``dd/mm/YYYY HH:MM:SS``); it is
-    passed in so the job is deterministic and re-runnable.
+    passed in so the job is deterministic and re-runnable.  ``tasks`` as in
+    :func:`monthly_hours`.
     """
-    return spent_from_monthly(monthly_hours(drop_zero_hours(entries)), run_stamp, avg_monthly_hours)
+    return spent_from_monthly(monthly_hours(drop_zero_hours(entries), tasks), run_stamp, avg_monthly_hours)
 
 
 def spent_from_monthly(hours: DataFrame, run_stamp: str,

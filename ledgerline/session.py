@@ -16,6 +16,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Bytes of stored rows whose groups one task holds (some hundred MB in hash tables).
+TASK_BYTES = 16 << 20
+
 
 def build_session(master: str | None = None, app_name: str = "ledgerline",
                   shuffle_partitions: int | None = None,
@@ -71,6 +74,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_bytes(spark: SparkSession, name: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def tasks_for(spark: SparkSession, n_bytes: int) -> int:
+    """Tasks that rows of so many stored bytes are dealt into to be grouped: the cores at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for code that needs a plain local path."""
     return path[5:] if path.startswith("file:") else path

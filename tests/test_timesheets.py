@@ -4,11 +4,12 @@ import datetime as dt
 import os
 import tempfile
 
-from ledgerline import schemas
+from ledgerline import schemas, session
 from ledgerline.operators import timesheets
+from ledgerline.plans import registry
 from ledgerline.sources import files
 
-from conftest import rows
+from conftest import SF_SMALL, rows
 
 D = dt.date
 
@@ -73,3 +74,22 @@ def test_entries_slice_honours_every_filter(spark):
     assert timesheets.entries_slice(te, "u", "A", "2020-01-01", "2020-01-31").count() == 2
     assert timesheets.entries_slice(te, "u", None, "2020-02-01", "2020-02-28").count() == 2
     assert timesheets.entries_slice(te, "u", "A").count() == 2
+
+
+def test_entries_dealt_into_tasks_give_the_same_hours(spark):
+    data = [(D(2020, 1 + i % 3, 2), p, e, h) for i in range(40) for p, e, h in (("A", "u", 1.5), ("B", "u", None), (None, "v", 2.0), ("A", "w", 0.0))]
+    te = spark.createDataFrame(data + data[:7] + [(None, "A", "u", 8.0)], "date date, project string, employee string, hours double")
+    want = rows(timesheets.spent_time(te, "x"))
+    for tasks in (1, 5, 30):
+        assert rows(timesheets.spent_time(te, "x", tasks=tasks)) == want and len(want) == 6
+        hours = timesheets.monthly_hours(te, tasks)
+        assert hours.rdd.getNumPartitions() == tasks and rows(hours) == rows(timesheets.monthly_hours(te))
+
+
+def test_a_larger_table_of_entries_is_added_up_by_more_tasks(spark, monkeypatch):
+    """A task's groups are a share of fixed size of the table, not all of a scan split or coalesced partition."""
+    stored = os.path.getsize(f"{SF_SMALL}/lineitem.parquet")
+    monkeypatch.setattr(session, "TASK_BYTES", stored // 20, raising=False)
+    for name in ("monthly_hours", "employee_chart_series"):
+        parts = registry.registry()[name](spark, SF_SMALL).rdd.glom().map(len).collect()
+        assert sum(n > 0 for n in parts) >= 20 and max(parts) < sum(parts) / 4
