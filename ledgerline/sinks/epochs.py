@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import stored_bytes, tasks_for
+
 #: Micro-batches between two folds.
 FOLD_EVERY = 16
 
@@ -73,8 +75,10 @@ class EpochTable:
     merge: dict[str, Callable[[Column], Column]]
     fold_every: int = FOLD_EVERY
 
-    def _merged(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*self.keys).agg(*[fn(F.col(c)).alias(c) for c, fn in self.merge.items()])
+    def _merged(self, rows: DataFrame, n_bytes: int) -> DataFrame:
+        """A task holds the groups of its share of the rows, whatever the size of a scan split."""
+        dealt = rows.repartition(tasks_for(self.spark, n_bytes), *self.keys)
+        return dealt.groupBy(*self.keys).agg(*[fn(F.col(c)).alias(c) for c, fn in self.merge.items()])
 
     def _folders(self, upto: int | None = None) -> tuple[int, list[str]]:
         """The newest base's number (-1: none), and the folders that make up the table (up to a micro-batch)."""
@@ -87,7 +91,7 @@ class EpochTable:
         folders = self._folders(upto)[1]
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self._merged(self.spark.read.schema(self.schema).parquet(*folders))
+        return self._merged(self.spark.read.schema(self.schema).parquet(*folders), sum(stored_bytes(self.spark, f) for f in folders))
 
     def write(self, rows: DataFrame, epoch: int) -> None:
         """Add a micro-batch's aggregated rows; fold when enough deltas lie after the base."""

@@ -3,8 +3,11 @@
 import datetime as dt
 import time
 
-from ledgerline import schemas
+from pyspark.sql import functions as F
+
+from ledgerline import schemas, session
 from ledgerline.session import scratch_path
+from ledgerline.sinks import epochs
 from ledgerline.streaming import jobs
 
 from conftest import rows
@@ -221,3 +224,18 @@ def test_a_larger_landing_has_larger_micro_batches(spark, tmp_path, monkeypatch)
     table = registry._run_hours(spark, str(tmp_path))
     assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) <= 4
     assert jobs.read_monthly_hours(spark, table).agg({"hours": "sum"}).first()[0] == 180.0
+
+
+def test_a_larger_epoch_table_is_read_by_more_tasks(spark, tmp_path, monkeypatch):
+    table = epochs.EpochTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], {"n": F.sum})
+    for epoch in (0, 1):
+        table.write(spark.range(5000).selectExpr("if(id = 7, null, concat('key', id)) as k", "id as n").repartition(2), epoch)
+    want = sorted(((None if i == 7 else f"key{i}", 2 * i) for i in range(5000)), key=str)
+    n_bytes = sum(f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet"))
+    for tasks in (1, 40):
+        monkeypatch.setattr(session, "TASK_BYTES", n_bytes // tasks, raising=False)
+        got = table.read()
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert got.rdd.getNumPartitions() >= tasks
+    table.fold(1)
+    assert sorted(map(tuple, table.read().collect()), key=str) == want
