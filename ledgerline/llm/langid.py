@@ -26,6 +26,7 @@ known where fewer than two rows were learned, or where no row shares an n-gram w
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow_text import joined, text_udf
-from .common import doc_bucket, join_keys, whole_row
+from .common import doc_bucket, join_keys, slices, whole_row
 
 # Language codes by family.
 FAMILIES = {
@@ -79,6 +80,20 @@ def _normalised(text: bytes) -> bytes:
     return b" " * _MARGIN + text.decode(errors="replace").lower().encode().translate(_LETTERS) + b" "
 
 
+#: Bytes whose n-grams are looked up at a time (each takes some 60 bytes in arrays, and 4 for each pair of names).
+PIECE = 1 << 18
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Normalised texts, some at a time, and the number of each in `texts`. A text of more than PIECE bytes
+    comes in parts of that size, each after the _MARGIN bytes before it, so that it has every n-gram once."""
+    for lo, hi in slices([len(t) for t in texts], PIECE):
+        runs = [(i, t[k:k + PIECE + _MARGIN]) for i, t in zip(range(lo, hi), map(_normalised, texts[lo:hi]))
+                for k in range(0, len(t) - _MARGIN, PIECE)]
+        for a, b in slices([len(run) for _, run in runs], PIECE):
+            yield np.array([i for i, _ in runs[a:b]]), [run for _, run in runs[a:b]]
+
+
 def _grams(data: np.ndarray, order: int) -> np.ndarray:
     """Feature of the n-gram that ends at each byte."""
     code = data.astype(np.uint64)
@@ -120,19 +135,18 @@ class Model:
 
     def _means(self, texts: list[bytes]) -> np.ndarray:
         """Mean weights of each text's n-grams: a column for each pair, then how usual they are."""
-        data, at = joined([_normalised(t) for t in texts])
-        total = np.zeros((len(texts), len(self.pairs) + 1))
-        if not texts:
-            return total
-        sizes = np.diff(at) - _MARGIN
-        own = np.ones(len(data), bool)
-        own[(at[:-1, None] + np.arange(_MARGIN)).ravel()] = False
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        for n, order in enumerate(ORDERS):
-            gram = _grams(data, order)[own] + (n << BITS)
-            total += np.add.reduceat(self.table[gram], starts, axis=0, dtype=np.float64)
-        total /= sizes[:, None]
-        return total
+        total, length = np.zeros((len(texts), len(self.pairs) + 1)), np.zeros(len(texts))
+        for whose, runs in _pieces(texts):
+            data, at = joined(runs)
+            sizes = np.diff(at) - _MARGIN
+            np.add.at(length, whose, sizes)
+            own = np.ones(len(data), bool)
+            own[(at[:-1, None] + np.arange(_MARGIN)).ravel()] = False
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            for n, order in enumerate(ORDERS):
+                gram = _grams(data, order)[own] + (n << BITS)
+                np.add.at(total, whose, np.add.reduceat(self.table[gram], starts, axis=0, dtype=np.float64))
+        return total / length[:, None]
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float, bool]]:
         """Each text's language, how sure it is, and whether the text is of any learned language."""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow_text import text_udf
-from .common import join_keys, text_key, whole_row
+from .common import join_keys, slices, text_key, whole_row
 from .components import components
 
 SHINGLE = 3
@@ -42,7 +42,9 @@ LARGE = 4096
 #: Parts that the rows of one fingerprint are dealt to.
 SALTS = 32
 
-_HASHES_AT_ONCE = 1 << 17
+#: Bytes of texts whose words are listed at a time.
+TEXT_BYTES = 1 << 19
+_HASHES_AT_ONCE = 1 << 15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -62,7 +64,12 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
-    """uint64 fingerprint of each UTF-8 text."""
+    """uint64 fingerprint of each UTF-8 text; TEXT_BYTES of texts, or one longer text, are taken apart at a time."""
+    parts = [_fingerprints(texts[lo:hi], shingle) for lo, hi in slices([len(t or b"") for t in texts], TEXT_BYTES)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _fingerprints(texts: list[bytes | None], shingle: int) -> np.ndarray:
     hashes, counts = [], []
     for text in texts:
         words = (text or b"").lower().split()  # of bytes: A-Z only, ASCII white space only

@@ -1,6 +1,7 @@
 """SimHash near-duplicates against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -51,6 +52,18 @@ def test_fingerprints_equal_brute_force():
     assert [int(x) for x in simhash.fingerprints_of([t.encode() for t in many])] == [brute_fingerprint(t) for t in many]
 
 
+def test_fingerprint_memory_does_not_follow_the_chunk(monkeypatch):
+    many = [" ".join(random.Random(i).choices("abcdefgh", k=400)).encode() for i in range(4000)]
+    tracemalloc.start()
+    got = simhash.fingerprints_of(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # of 3 MB of text, half a MB at a time; all at once it took 122 MB
+    monkeypatch.setattr(simhash, "TEXT_BYTES", 1000)
+    assert (simhash.fingerprints_of(many) == got).all()
+    assert len(simhash.fingerprints_of([])) == 0
+
+
 def flipped(rng, fp, n):
     for b in rng.sample(range(64), n):
         fp ^= 1 << b

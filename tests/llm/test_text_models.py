@@ -95,6 +95,25 @@ def test_fit_memory_is_bounded():
     assert peak < 80 << 20
 
 
+def test_prediction_memory_does_not_follow_the_chunk(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, n)).encode() for n in (3, 40, 900, 1 << 20)]
+    model = langid.Model(["de", "en", "fr"], [("de", "en"), ("de", "fr"), ("en", "fr")],
+                         rng.normal(size=(len(langid.ORDERS) << langid.BITS, 3)), np.zeros(3))
+    tracemalloc.start()
+    got = model.margins(texts * 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # 3 MB of text; all at once it took 174 MB
+    for i, text in enumerate(texts):  # text by text, feature by feature
+        (at, value), = langid._features([text])
+        assert np.allclose(got[i], value @ model.weights[at], atol=1e-6) and np.allclose(got[i], got[i + 4], rtol=0, atol=0)
+    for piece in (1, 7, 64):  # parts of a text add up to the whole
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.allclose(model.margins(texts[:3]), got[:3], atol=1e-9)
+    assert model.margins([]).shape == (0, 3)
+
+
 def test_usual_level_equals_dense_means():
     rng = np.random.default_rng(6)
     texts = [" ".join(rng.choice(["der", "hund", "die", "katze", "und", "haus"], 30)).encode() for _ in range(12)]
